@@ -84,7 +84,7 @@ def _emit(window: int, anchor: int):
                 [
                     pa.array(np.r_[prints[take[0]], spread[take[1]]]),
                     pa.array(np.r_[docs[take[0]], docs[take[1]]]),
-                    pa.array(np.r_[prints[take[0]], prints[take[1]]]),
+                    pa.array(np.r_[prints[take[0]], prints[take[1]]], mask=np.r_[np.ones(len(take[0]), bool), np.zeros(len(take[1]), bool)]),
                     pa.array(np.r_[np.zeros(len(take[0]), bool), np.ones(len(take[1]), bool)]),
                 ],
                 names=["slot", "doc_id", "fingerprint", "known"],
@@ -123,16 +123,16 @@ class FingerprintIndex:
         own = new.where(~F.col("known"))
         # within the run: several slices hold it
         again = own.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1").select("slot")
-        met = [new.where("known"), own.join(again.hint("merge"), "slot", "left_semi")]
+        met = [own.join(again.hint("merge"), "slot", "left_semi")]
         for old in self.runs:
             past = self.spark.table(old).where(~F.col("known"))
             met.append(own.join(past.hint("merge"), "slot", "left_semi"))
             met.append(past.join(own.hint("merge"), "slot", "left_semi"))
             # rows that were known to repeat in the batch of old are candidates since then
         self.runs.append(name)
-        out = met[0].select("doc_id", "fingerprint")
-        for x in met[1:]:
-            out = out.unionByName(x.select("doc_id", "fingerprint"))
+        out = new.where("known").select("doc_id", "fingerprint")
+        for x in met:
+            out = out.unionByName(x.select("doc_id", F.col("slot").alias("fingerprint")))
         return out
 
     def compact(self) -> None:
@@ -208,15 +208,15 @@ def repeated_windows(texts: DataFrame, candidates: DataFrame, window: int = WIND
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = claims.repartition(n, "slot")
     each = dealt.select("slot", "doc_id", "start", "length", F.posexplode_outer("windows").alias("i", "w"))
+    # settled stretches have no window to compare; equal windows of one slice were settled before, so at most one
+    # row a slice meets in a window's group
     each = each.select(
         "slot", "doc_id", "w", (F.col("start") + F.coalesce("i", F.lit(0))).alias("start"),
         F.when(F.col("w").isNull(), F.col("length")).otherwise(1).alias("length"),
     )
-    # equal windows of one slice were settled before: at most one row a slice and window meets here
-    open_rows = each.where(F.col("w").isNotNull())
     firsts = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("slot", "w"))
-    late = open_rows.withColumn("first", firsts).where(F.struct("doc_id", "start") != F.col("first"))
-    return each.where(F.col("w").isNull()).select("doc_id", "start", "length").unionByName(late.select("doc_id", "start", "length"))
+    late = each.withColumn("first", firsts).where(F.col("w").isNull() | (F.struct("doc_id", "start") != F.col("first")))
+    return late.select("doc_id", "start", "length")
 
 
 def _cut(window: int):
