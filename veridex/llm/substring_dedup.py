@@ -249,7 +249,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     The documents arrive at a FingerprintIndex in `batches` batches by doc_id, as they would over time.
     """
     spark = docs.sparkSession
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    # both joins below deal out just these rows, so their texts are shuffled once
+    texts, unnamed = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull())
     index = FingerprintIndex(spark, window, anchor)
     cuts = texts.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     candidates, low = None, None
@@ -264,7 +266,9 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
         candidates = found if candidates is None else candidates.unionByName(found)
         index.maintain()
     spans = repeated_windows(texts, candidates, window, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    return texts.join(spans.hint("merge"), "doc_id", "left").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    whole = texts.join(spans.hint("merge"), "doc_id", "left")
+    whole = whole.unionByName(unnamed.withColumn("spans", F.lit(None).cast(whole.schema["spans"].dataType)))
+    return whole.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def with_digest(cut: DataFrame) -> DataFrame:
