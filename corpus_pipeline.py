@@ -1,12 +1,52 @@
-"""The corpus pipeline: documents through the operators of veridex.llm, stage by stage."""
+"""The corpus pipeline: documents through operators of veridex.llm, stage by stage.
+
+Each stage is written as Parquet in the shared folder and read again as the next one's documents. Language ID
+drops documents without a language, near-dedup keeps one document of each group, decontamination drops
+documents that hold a benchmark window, the secret scan replaces secrets in texts, and the last stage encodes
+what is left. Language ID learns from the labels of the documents that it is given.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from public_tokenizers import PATTERN, path
 
+from veridex.llm import bpe, decontaminate, language, secret_scan, simhash
 from veridex.llm.store import written
 
-STAGES = []
+RANKS = path("byte_bpe_multi_50k.tiktoken")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return language.accepted(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.first_of_each(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.uncontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secret_scan.redacted(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    encoded = bpe.encode(docs.select("doc_id", "text", "lang", "source", "n_chars"), RANKS, PATTERN)
+    return bpe.decode(encoded, RANKS)
+
+
+STAGES = [
+    ("language", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("secrets", redact_secrets),
+    ("bpe", encode),
+]
+
+#: Language ID and the Markov models have no form in SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
 
 
