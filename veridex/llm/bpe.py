@@ -27,7 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kept transitions and pieces are forgotten beyond these numbers; results don't depend on them.
-MAX_TRANSITIONS, MAX_PIECES = 250_000, 300_000
+MAX_TRANSITIONS, MAX_PIECES = 250_000, 160_000
+#: Pieces of up to this many bytes are looked up and searched as a whole.
+WHOLE_PIECE = 64
 
 BYTES = [bytes([b]) for b in range(256)]
 
@@ -165,10 +167,62 @@ class Transducer:
         state.moves[byte] = step = (out, new)
         return step
 
+    def _search(self, piece: bytes) -> tuple[int, ...]:
+        """A path of the undetermined transducer through a whole piece, longest tokens first.
+
+        Only one path ends, as a text has one segmentation into compatible neighbours. What was tried in vain
+        isn't tried again, so the work is bounded by places times tokens that end there.
+        """
+        ranks, prefixes, compatible, n = self.ranks, self.prefixes, self._compatible, len(piece)
+        path: list[int] = []
+        choices: list[list[tuple[int, int]]] = []  # at each place on the path, what is left to try: (end, token)
+        failed: set[tuple[int, int]] = set()
+        at, before = 0, -1
+        while True:
+            found, end, place = [], at + 1, at
+            part = piece[at:end]
+            while True:
+                token = ranks.get(part)
+                if token is not None:
+                    found.append((end, token))
+                if end == n or part not in prefixes:
+                    break
+                end += 1
+                part = piece[at:end]
+            while True:
+                while found:
+                    end, token = found.pop()
+                    fine = compatible.get((before, token))
+                    if fine is None:
+                        fine = self.compatible(before, token)
+                    if fine and (end, token) not in failed:
+                        break
+                else:  # nothing fits here: the token before was wrong
+                    failed.add((place, before))
+                    last = path.pop()
+                    found = choices.pop()
+                    before = path[-1] if path else -1
+                    place -= len(self.tokens[last])
+                    continue
+                break
+            path.append(token)
+            choices.append(found)
+            at, before = end, token
+            if at == n:
+                return tuple(path)
+
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
+        """A piece's tokens. Short pieces' paths are found as a whole (and kept by Encoder); longer ones are read
+        byte by byte through determined states, which are made when first met."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
+        if len(piece) <= WHOLE_PIECE:
+            return self._search(piece)
+        return self.read(piece)
+
+    def read(self, piece: bytes) -> tuple[int, ...]:
+        """The tokens of a piece of any length, byte by byte."""
         if self._made > MAX_TRANSITIONS:
             self._forget()
         out: list[int] = []
@@ -184,24 +238,29 @@ class Transducer:
 
 
 class Kept(dict):
-    """A function's results, up to a number."""
+    """A function's results: the newest ones, and those of the generation before as long as they are used."""
 
     def __init__(self, function, most: int):
         super().__init__()
-        self.function, self.most = function, most
+        self.function, self.most, self.old = function, most, {}
 
     def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.function(key)
         if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.function(key)
+        self[key] = value
         return value
 
 
 class Encoder:
     """Texts to ids: pieces by a pattern, each through the transducer; what was met before is remembered.
 
-    With the usual pattern, in which a space goes with what follows it, a single space between two other
-    characters always begins a piece, so the stretches between such spaces can be remembered as a whole.
+    With the usual pattern, in which a space goes with the letters or signs that follow it, a single space
+    between two other characters always begins a piece, so the stretches between such spaces are remembered as a
+    whole. For other patterns set spaced to False.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, spaced: bool = True):
@@ -211,7 +270,17 @@ class Encoder:
         self.other_space = re.compile(r"\s | \s|\A | \Z").search
         self.spaced = spaced
         pieces = self.pieces = Kept(lambda p: self.transducer.encode_piece(p.encode()), MAX_PIECES)
-        self.words = Kept(lambda w: tuple(i for p in self.find(" " + w) for i in pieces[p]), MAX_PIECES)
+        self.words = Kept(self._word, MAX_PIECES)
+
+    def _word(self, word: str) -> tuple[int, ...]:
+        """What stands between two single spaces, with the space before it."""
+        pieces = self.pieces
+        if word.isascii():
+            if word.isalpha():
+                return pieces[" " + word]
+            if word[-1:] in (".", ",") and word[:-1].isalpha():
+                return pieces[" " + word[:-1]] + pieces[word[-1]]
+        return tuple(i for p in self.find(" " + word) for i in pieces[p])
 
     def __call__(self, text: str) -> list[int]:
         pieces, words = self.pieces, self.words
