@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Kept transitions and pieces are forgotten beyond these numbers; results don't depend on them.
-MAX_TRANSITIONS, MAX_PIECES = 250_000, 160_000
+MAX_TRANSITIONS, MAX_PIECES, MAX_WORDS = 150_000, 130_000, 90_000
 #: Pieces of up to this many bytes are looked up and searched as a whole.
 WHOLE_PIECE = 64
 
@@ -71,7 +71,17 @@ class Transducer:
         self.tokens = {i: t for t, i in ranks.items()}
         self.sizes = {i: len(t) for i, t in self.tokens.items()}
         self.prefixes = {t[:i] for t in ranks for i in range(1, len(t))}  # of longer tokens
-        self._compatible: dict[tuple[int, int], bool] = {}
+        #: the tokens as a trie: (node << 8 | byte) -> next node, and each node's token or -1
+        self.next: dict[int, int] = {}
+        self.token_at = [-1]
+        for t, i in ranks.items():
+            node = 0
+            for byte in t:
+                node = self.next.setdefault(node << 8 | byte, len(self.token_at))
+                if node == len(self.token_at):
+                    self.token_at.append(-1)
+            self.token_at[node] = i
+        self._compatible: dict[int, bool] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
         self._forget()
 
@@ -100,11 +110,11 @@ class Transducer:
         The two are undone merge by merge, latest first: they stay apart if at no time before the last undone
         merge the tokens at their border would have merged.
         """
-        known = self._compatible.get((left, right))
+        known = self._compatible.get(left << 24 | right)
         if known is None:
             if len(self._compatible) > MAX_TRANSITIONS:
                 self._compatible.clear()
-            known = self._compatible[left, right] = self._apart(left, right)
+            known = self._compatible[left << 24 | right] = self._apart(left, right)
         return known
 
     def _apart(self, left: int, right: int) -> bool:
@@ -173,36 +183,34 @@ class Transducer:
         Only one path ends, as a text has one segmentation into compatible neighbours. What was tried in vain
         isn't tried again, so the work is bounded by places times tokens that end there.
         """
-        ranks, prefixes, compatible, n = self.ranks, self.prefixes, self._compatible, len(piece)
+        follow, token_at, compatible, n = self.next.get, self.token_at, self._compatible.get, len(piece)
         path: list[int] = []
-        choices: list[list[tuple[int, int]]] = []  # at each place on the path, what is left to try: (end, token)
+        choices: list[list[tuple[int, int]]] = []  # at each place on the path, what is left to try: (token, end)
         failed: set[tuple[int, int]] = set()
         at, before = 0, -1
         while True:
-            found, end, place = [], at + 1, at
-            part = piece[at:end]
-            while True:
-                token = ranks.get(part)
-                if token is not None:
-                    found.append((end, token))
-                if end == n or part not in prefixes:
+            found, node, end = [], 0, at
+            while end < n:
+                node = follow(node << 8 | piece[end])
+                if node is None:
                     break
                 end += 1
-                part = piece[at:end]
+                token = token_at[node]
+                if token >= 0:
+                    found.append((token, end))
             while True:
                 while found:
-                    end, token = found.pop()
-                    fine = compatible.get((before, token))
+                    token, end = found.pop()
+                    fine = compatible(before << 24 | token)
                     if fine is None:
                         fine = self.compatible(before, token)
-                    if fine and (end, token) not in failed:
+                    if fine and (not failed or (end, token) not in failed):
                         break
                 else:  # nothing fits here: the token before was wrong
-                    failed.add((place, before))
-                    last = path.pop()
+                    failed.add((at, before))
+                    at -= self.sizes[path.pop()]
                     found = choices.pop()
                     before = path[-1] if path else -1
-                    place -= len(self.tokens[last])
                     continue
                 break
             path.append(token)
@@ -269,8 +277,9 @@ class Encoder:
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
         self.other_space = re.compile(r"\s | \s|\A | \Z").search
         self.spaced = spaced
-        pieces = self.pieces = Kept(lambda p: self.transducer.encode_piece(p.encode()), MAX_PIECES)
-        self.words = Kept(self._word, MAX_PIECES)
+        encode_piece = self.transducer.encode_piece
+        pieces = self.pieces = Kept(lambda p: encode_piece(p.encode()), MAX_PIECES)
+        self.words = Kept(self._word, MAX_WORDS)
 
     def _word(self, word: str) -> tuple[int, ...]:
         """What stands between two single spaces, with the space before it."""

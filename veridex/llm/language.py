@@ -182,7 +182,7 @@ def _predict_batches(model, penalty: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = model.value
         k = len(m.langs)
-        for part in T.slices(batches, "text", max(1 << 16, (1 << 21) // max(k, 4))):
+        for part in T.slices(batches, "text", max(1 << 15, (1 << 21) // max(k, 4))):
             pred, score = [UNDETERMINED] * part.num_rows, np.zeros(part.num_rows)
             if k:
                 row, _, _, lengths, labels = label_words(part.column("text").to_pylist(), m, penalty)
