@@ -6,8 +6,8 @@ Macenko normalisation need whole tiles and run on one array a tile.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -92,27 +92,51 @@ def mask_black(pixels: DataFrame) -> DataFrame:
 
 
 def _per_tile(df: DataFrame, change: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """Tile by tile as arrays height x width, one per column."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["y", "x"])
-        h, w = int(pdf["y"].max()) + 1, int(pdf["x"].max()) + 1
-        arrays = {c: pdf[c].to_numpy().reshape(h, w) for c in pdf.columns if c not in ("image_id", "y", "x")}
-        out = change(arrays)
-        return pdf[["image_id", "y", "x"]].assign(**{c: a.reshape(-1) for c, a in out.items()})
-
-    return df.groupBy("image_id").applyInPandas(run, f"image_id long, y int, x int, {schema}")
+    """Tile by tile as arrays height x width, one per column. Tiles come sorted, so memory holds a batch and one tile."""
+
+    def changed(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, ys, xs = (pdf[c].to_numpy() for c in ("image_id", "y", "x"))
+        values = {c: pdf[c].to_numpy() for c in pdf.columns if c not in ("image_id", "y", "x")}
+        cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
+        parts = []
+        for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+            shape = (int(ys[j - 1]) + 1, int(xs[j - 1]) + 1)
+            parts.append(change({c: v[i:j].reshape(shape) for c, v in values.items()}))
+        out = {c: np.concatenate([p[c].reshape(-1) for p in parts]) for c in parts[0]}
+        return pd.DataFrame({"image_id": ids, "y": ys, "x": xs, **out})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if held is None else pd.concat([held, pdf])
+            ids = pdf["image_id"].to_numpy()
+            last = int(np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])[-1])
+            held = pdf.iloc[last:]
+            if last:
+                yield changed(pdf.iloc[:last])
+        if held is not None:
+            yield changed(held)
+
+    return df.repartition("image_id").sortWithinPartitions("image_id", "y", "x").mapInPandas(run, f"image_id long, y int, x int, {schema}")
+
+
+@lru_cache
+def _kernel(n: int, sigma: float) -> np.ndarray:
+    """n x n weights of Gaussian smoothing in one dimension, with edges repeated."""
+    radius = max(1, int(4 * sigma + 0.5))
+    offsets = np.arange(-radius, radius + 1)
+    weights = np.exp(-(offsets**2) / (2 * sigma**2))
+    out = np.zeros((n, n))
+    for i in range(n):
+        np.add.at(out[i], np.clip(i + offsets, 0, n - 1), weights / weights.sum())
+    return out
 
 
 def gaussian(a: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian smoothing with edges repeated."""
-    radius = max(1, int(4 * sigma + 0.5))
-    kernel = np.exp(-(np.arange(-radius, radius + 1) ** 2) / (2 * sigma**2))
-    kernel /= kernel.sum()
-    for axis in (0, 1):
-        padded = np.pad(a, [(radius, radius) if k == axis else (0, 0) for k in (0, 1)], mode="edge")
-        a = np.apply_along_axis(lambda v: np.convolve(v, kernel, "valid"), axis, padded)
-    return a
+    """Separable Gaussian smoothing."""
+    return _kernel(a.shape[0], sigma) @ a @ _kernel(a.shape[1], sigma).T
 
 
 def mask_blur(pixels: DataFrame, sigma: float = 12.0) -> DataFrame:

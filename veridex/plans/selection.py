@@ -111,15 +111,15 @@ def _(t: Tables):
 
 
 @query("i10_match_quality", """
-    SELECT reason, usable, count(*) AS n, sum(gap) AS gaps FROM (
+    SELECT reason, usable, count(*) AS n, max(gap) AS widest FROM (
         SELECT gap, abs(gap) <= 5 AND overlap = 0 AS usable, CASE WHEN abs(gap) <= 5 AND overlap = 0 THEN 'ok' WHEN abs(gap) > 5 AND overlap = 0 THEN 'gap' WHEN abs(gap) <= 5 THEN 'overlap' ELSE 'gap and overlap' END AS reason
-        FROM (SELECT round(round(a.tissue_pct, 1) - round(b.tissue_pct, 1), 1) AS gap, a.image_id % 3 AS overlap FROM coverage a JOIN coverage b ON a.image_id = b.image_id AND b.cell_idx = (a.cell_idx + 5) % 16)) GROUP BY ALL""", ("coverage",), ("gaps",))
+        FROM (SELECT round(round(a.tissue_pct, 1) - round(b.tissue_pct, 1), 1) AS gap, a.image_id % 3 AS overlap FROM coverage a JOIN coverage b ON a.image_id = b.image_id AND b.cell_idx = (a.cell_idx + 5) % 16)) GROUP BY ALL""", ("coverage",), ("widest",))
 def _(t: Tables):
     from ..operators.tiles import match_quality
 
     a = t.coverage.select("image_id", ((F.col("cell_idx") + 5) % 16).alias("cell_idx"), F.col("tissue_pct").alias("treated"))
     both = a.join(t.coverage.select("image_id", "cell_idx", F.col("tissue_pct").alias("control")), ["image_id", "cell_idx"]).withColumn("overlap", F.col("image_id") % 3)
-    return match_quality(both, "treated", "control").groupBy("reason", "usable").agg(F.count("*").alias("n"), F.sum("gap").alias("gaps"))
+    return match_quality(both, "treated", "control").groupBy("reason", "usable").agg(F.count("*").alias("n"), F.max("gap").alias("widest"))
 
 
 @query("h7_blinded_sample", f"""
