@@ -106,7 +106,7 @@ class Model:
         self.langs = sorted(counts)
         width = len(ORDERS) << BUCKET_BITS
         table = np.array([counts[x] for x in self.langs], dtype=np.float64).reshape(len(self.langs), width + len(SCRIPTS))
-        grams = table[:, :width].reshape(len(self.langs), len(ORDERS), -1) + _SMOOTHING
+        grams = table[:, :width].reshape(len(self.langs), len(ORDERS), 1 << BUCKET_BITS) + _SMOOTHING
         logs = np.log(grams / grams.sum(axis=2, keepdims=True)) / len(ORDERS)
         self.scores = np.ascontiguousarray(logs.reshape(len(self.langs), width).T).astype(np.float32)
         scripts = table[:, width:]

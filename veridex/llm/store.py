@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # by application, in local mode without that setting
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,9 +18,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all executors share")
-    folder = "file://" + tempfile.mkdtemp(prefix="spark-")
-    spark.conf.set(CHECKPOINT_DIR, folder)
-    return folder
+    application = spark.sparkContext.applicationId
+    if application not in _LOCAL:
+        _LOCAL[application] = "file://" + tempfile.mkdtemp(prefix="spark-")
+    return _LOCAL[application]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
