@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 SETTING = "spark.checkpoint.dir"
+_LOCAL: dict[str, str] = {}  # by application, in local mode without that setting
 
 
 def fresh_folder(spark: SparkSession, name: str) -> str:
@@ -16,6 +17,6 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {SETTING} to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(SETTING, base)
+        base = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="spark-")
+        _LOCAL[spark.sparkContext.applicationId] = base
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
