@@ -58,7 +58,7 @@ def vectors(spark, n=900, dim=8, seed=15):
 
 def test_neighbours_recall_and_scores(spark):
     rows, df = vectors(spark)
-    found = ann.search(df, F.col("vec_id") % 20 == 0, k=10, block_rows=100).collect()
+    found = ann.search(df, F.col("vec_id") % 20 == 0, k=10, segment_rows=300, chunk_rows=20).collect()
     x = np.array([r[1] for r in rows], dtype=np.float64)
     x = x.astype(np.float32).astype(np.float64)
     by = {}

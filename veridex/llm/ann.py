@@ -6,10 +6,12 @@ residual coded subspace by subspace. A query is sent to its `probes` best lists.
 tables - the query's inner products with all code words - score the codes, the best `rerank` of a list go on,
 and the best `rerank` of all lists are ranked by their exact inner product in double precision.
 
-A list is dealt out in blocks of at most `block_rows` by a hash of the vector, so no list, however hot, meets
-in one task; a query visits all blocks of its lists. The number of lists grows with the square root of the
-number of vectors. Equal vectors share a list and a code; those that tie at the cut of a block are all kept
-apart by vec_id, smaller first.
+Vectors are dealt out to segments of about `segment_rows` by a hash of vec_id, each with its part of every
+list, so no list, however hot, and no group of equal vectors meets in one task; queries visit all segments, in
+chunks of about `chunk_rows`. As the hash deals the best candidates out evenly, a segment returns its share of
+`rerank` with a margin, and what is returned for a query hardly grows with the number of segments. The number
+of lists grows with the square root of the number of vectors. Of candidates with equal scores those with the
+smaller vec_id go on.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
 Of rows with one vec_id any one is searched for, found and scored. With fewer candidates than k all are
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-SAMPLE_ROWS, BLOCK_ROWS, K = 8192, 20_000, 20
-PROBE_SHARE, RERANK, SUBSPACES, CODES = 0.8, 300, 16, 256
+SAMPLE_ROWS, SEGMENT_ROWS, CHUNK_ROWS, K = 8192, 16_384, 4096, 20
+PROBE_SHARE, RERANK, SUBSPACES, CODES = 0.85, 400, 16, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -128,55 +130,66 @@ def _probe_batches(quantizer, probes: int):
     return run
 
 
-def _search_block(quantizer, rerank: int):
+def _search_segment(quantizer, returned: int):
+    """The best of a segment for each query of a chunk, by asymmetric distance tables."""
+
     def run(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         q: Quantizer = quantizer.value
-        out = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(queries) and len(members):
-            members = members.sort_values("vec_id", kind="stable")
-            ids = members["vec_id"].to_numpy()
-            codes = np.frombuffer(b"".join(members["code"]), dtype=np.uint8).reshape(len(ids), -1)
-            centre = q.coarse[int(key[0])]
+            members = members.sort_values(["list", "vec_id"], kind="stable")
+            ids, lists = members["vec_id"].to_numpy(), members["list"].to_numpy()
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(members["code"]), dtype=np.uint8).reshape(len(ids), -1).T)
+            cuts = np.searchsorted(lists, np.arange(len(q.coarse) + 1))
             for at in range(0, len(queries), 64):
                 part = queries.iloc[at : at + 64]
                 v = np.stack(part["v"].to_numpy()).astype(np.float32)
-                tables, base = q.tables(v), v @ centre
-                for i, query in enumerate(part["query_id"].to_numpy()):
-                    score = np.full(len(ids), base[i], dtype=np.float32)
-                    for j in range(codes.shape[1]):
-                        score += tables[i, j][codes[:, j]]
-                    score[ids == query] = -np.inf
-                    take = np.argpartition(-score, rerank - 1)[:rerank] if len(ids) > rerank else np.arange(len(ids))
-                    if len(ids) > rerank:  # of those that tie at the cut the smaller ids
-                        cut = score[take].min()
+                tables, base = q.tables(v), v @ q.coarse.T
+                for i, (query, probed) in enumerate(zip(part["query_id"].to_numpy(), part["lists"], strict=True)):
+                    wanted = np.zeros(len(q.coarse), dtype=bool)
+                    wanted[probed] = True
+                    rows = np.flatnonzero(np.repeat(wanted, np.diff(cuts)))
+                    score = base[i, lists[rows]]
+                    for j, own in enumerate(codes):
+                        score = score + tables[i, j][own[rows]]
+                    keep = ids[rows] != query
+                    rows, score = rows[keep], score[keep]
+                    if len(rows) > returned:
+                        cut = np.partition(score, len(score) - returned)[len(score) - returned]
+                        level = np.flatnonzero(score == cut)
                         above = np.flatnonzero(score > cut)
-                        take = np.r_[above, np.flatnonzero(score == cut)[: rerank - len(above)]]
-                    take = take[score[take] > -np.inf]
-                    out.append(pd.DataFrame({"query_id": query, "vec_id": ids[take], "near": score[take]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "near": pd.Series(dtype="float32")})
+                        level = level[np.argsort(ids[rows[level]], kind="stable")][: returned - len(above)]
+                        best = np.r_[above, level]
+                        rows, score = rows[best], score[best]
+                    found.append((np.full(len(rows), query), ids[rows], score))
+        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else empty
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "near"), columns, strict=True)))
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float = PROBE_SHARE, rerank: int = RERANK, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float = PROBE_SHARE, rerank: int = RERANK, segment_rows: int = SEGMENT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows nearest to each row for which is_query holds."""
     spark = vectors.sparkSession
     rows = usable(vectors).dropDuplicates(["vec_id"])
-    total = rows.count()
+    total, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
     model = fit(rows, total)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(model)
+    segments, chunks = max(1, math.ceil(total / segment_rows)), max(1, math.ceil(asked / chunk_rows))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     index = written(rows.mapInArrow(_index_batches(shared), "vec_id long, list int, code binary"), "ivf")
-    # one row a list: how many blocks it is dealt out to; its size is the number of lists
-    blocks = index.groupBy("list").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"))
-    members = index.join(blocks, "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "code")
+    members = index.select(part("vec_id", segments).alias("segment"), spread(chunks).alias("chunk"), "vec_id", "list", "code")
     probes = max(1, math.ceil(probe_share * len(model.coarse)))
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
     sent = queries.mapInArrow(_probe_batches(shared, probes), "query_id long, v array<double>, lists array<int>")
-    sent = sent.select("query_id", F.transform("v", lambda x: x.cast("float")).alias("v"), F.explode("lists").alias("list")).join(blocks, "list")
-    sent = sent.select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query_id", "v")
-    found = sent.groupBy("list", "block").cogroup(members.groupBy("list", "block")).applyInPandas(_search_block(shared, rerank), "query_id long, vec_id long, near float")
+    sent = sent.select(spread(segments).alias("segment"), part("query_id", chunks).alias("chunk"), "query_id", F.transform("v", lambda x: x.cast("float")).alias("v"), "lists")
+    share = rerank / segments
+    returned = min(rerank, math.ceil(share + 6 * math.sqrt(share)) + k // 4)
+    found = sent.groupBy("segment", "chunk").cogroup(members.groupBy("segment", "chunk")).applyInPandas(_search_segment(shared, returned), "query_id long, vec_id long, near float")
     return _reranked(found, rows, queries, k, rerank)
 
 
