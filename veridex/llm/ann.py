@@ -2,16 +2,16 @@
 
 Coarse centroids and the codebooks of the residuals' subspaces are fitted on a bounded sample (`sample_rows`
 vectors, chosen by a hash of the id). Every vector is indexed: assigned to its nearest centroid's list, its
-residual coded subspace by subspace. A query is sent to its `probes` best lists. There asymmetric distance
-tables - the query's inner products with all code words - score the codes, the best `rerank` of a list go on,
-and the best `rerank` of all lists are ranked by their exact inner product in double precision.
+residual coded subspace by subspace. A query looks at its best lists, `probe_share` of them. There asymmetric distance
+tables - the query's inner products with all code words - score the codes, and
+the best `rerank` of all lists are ranked by their exact inner product in double precision.
 
 Vectors are dealt out to segments of about `segment_rows` by a hash of vec_id, each with its part of every
 list, so no list, however hot, and no group of equal vectors meets in one task; queries visit all segments, in
 chunks of about `chunk_rows`. As the hash deals the best candidates out evenly, a segment returns its share of
 `rerank` with a margin, and what is returned for a query hardly grows with the number of segments. The number
-of lists grows with the square root of the number of vectors. Of candidates with equal scores those with the
-smaller vec_id go on.
+of lists grows with the square root of the number of vectors, up to the size of the sample. Of candidates with
+equal scores those with the smaller vec_id go on.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
 Of rows with one vec_id any one is searched for, found and scored. With fewer candidates than k all are
