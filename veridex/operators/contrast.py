@@ -88,7 +88,7 @@ def paraphrase_summary(runs: DataFrame, design: DataFrame, positive: str = "SSA"
         F.count("*").alias("n"), F.count_if(F.col("label_pred") == F.col("label")).alias("correct"), F.count_if(F.col("label_pred") == positive).alias("positives"),
         F.avg(F.coalesce("confidence", F.lit(0.0))).alias("mean_confidence"),
     )
-    out = F.broadcast(design).join(found, "prompt_id", "left")
+    out = design.join(found, "prompt_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return out.select("prompt_id", zero("n"), zero("correct"), zero("positives"), "mean_confidence", F.col("n").isNull().alias("missing"))
 

@@ -25,7 +25,7 @@ def stratified_select(items: DataFrame, allocation: DataFrame, seed: int, strata
     rich_quota = F.when(n >= 4, F.ceil(n / 2)).when(n >= 2, n).otherwise(0).cast("long")
     quota = F.when(F.col(rich_column), rich_quota).otherwise(n - rich_quota)
     w = Window.partitionBy(*strata, rich_column).orderBy(u(seed, id_column), id_column)
-    ranked = items.join(F.broadcast(allocation), strata).withColumn("rank", F.row_number().over(w))
+    ranked = items.join(allocation, strata).withColumn("rank", F.row_number().over(w))
     return ranked.where(F.col("rank") <= quota)
 
 
