@@ -247,3 +247,15 @@ def test_pii_edges(spark):
 def test_base64_of_ranks(ranks):
     line = f"{base64.b64encode(b'ab').decode()} 7".encode()
     assert bpe.read_ranks(line) == {b"ab": 7} and len(ranks) == 50256
+
+
+def test_very_long_runs_stay_linear(ranks):
+    field, ratio = pii.Field(), secret_scan.Ratio(np.ones((2, secret_scan._SIZE**2)))
+    many = "token=abcdefgh1 a@b.co 10.2.3.4 " * 200
+    for text in ("9" * 200_000, "x" * 200_000, "1." * 50_000, "@" * 1000, "a@" * 1000, "+1 " * 1000, "+1" + " " * 200_000, "token " * 30_000, "漢" * 200_000, many):
+        base = pii.base_spans(text)
+        pii.added(text, base, field)
+        own = secret_scan.base_spans(text)
+        ratio.added(text, own)
+        language._word_grams([text])
+    assert len(secret_scan.base_spans(many)) == 200 and len(pii.base_spans(many)) == 400

@@ -13,6 +13,7 @@ touches it. Nulls: a null text is empty. Without samples nothing is added.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ MAX_TOKENS, STRETCH_TOKENS, WEIGHT_BITS = 12, 40, 12
 
 _AFTER_AT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+){3,}")
+# Possessive runs, tried at their start alone, keep long runs without a match linear.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3,}+")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
@@ -82,7 +84,7 @@ def base_spans(text: str) -> list[Span]:
 # tokens and stretches
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|[^\sA-Za-z0-9]")
-_CHUNK = re.compile(r"\S*[0-9@]\S*(?:[ ]\S*[0-9@]\S*)*")
+_CHUNK = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:[ ][^\s0-9@]*+[0-9@]\S*+)*")
 Token = tuple[int, int]
 
 
@@ -199,6 +201,17 @@ class Field:
         return self
 
 
+def merged(spans: list[Span]) -> list[tuple[int, int]]:
+    """What the spans cover, as disjoint stretches in order."""
+    out: list[tuple[int, int]] = []
+    for a, z in sorted((a, z) for _, a, z in spans):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(z, out[-1][1]))
+        else:
+            out.append((a, z))
+    return out
+
+
 def sample_of(text: str, tokens: list[Token], before: str, base: list[Span]):
     """A stretch with its labels; None if a base span doesn't fall on its segments."""
     found = segments(text, tokens, before)
@@ -217,11 +230,13 @@ def sample_of(text: str, tokens: list[Token], before: str, base: list[Span]):
 def added(text: str, base: list[Span], field: Field, least: float = LEAST_PROBABILITY) -> list[Span]:
     """Segments of the best path that are likely enough and touch no base span."""
     out = []
+    taken = merged(base)
+    starts = [a for a, _ in taken]
     for tokens, before in stretches(text):
         if not tokens:
             continue
         start, end = tokens[0][0], tokens[-1][1]
-        near = [(a, z) for _, a, z in base if a < end and z > start]
+        near = [x for x in taken[max(0, bisect_right(starts, start) - 1) : bisect_left(starts, end)] if x[1] > start]
         covered = sum(1 for t in tokens if any(a <= t[0] and t[1] <= z for a, z in near))
         digits = [t for t in tokens if any(c in "0123456789@" for c in text[t[0] : t[1]])]
         if near and covered and all(any(a <= t[0] and t[1] <= z for a, z in near) for t in digits):

@@ -13,6 +13,7 @@ carried. Without any labelled sample the models add nothing.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,8 +67,21 @@ def joined(spans: list[Span]) -> str:
     return ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
 
 
-def _apart(start: int, end: int, spans: list[Span]) -> bool:
-    return all(end <= a or z <= start for _, a, z in spans)
+class Cover:
+    """What spans cover, for quick questions."""
+
+    def __init__(self, spans: list[Span]):
+        self.starts, self.ends = [], []
+        for _, a, z in sorted(spans, key=lambda s: s[1:]):
+            if self.ends and a < self.ends[-1]:
+                self.ends[-1] = max(z, self.ends[-1])
+            else:
+                self.starts.append(a)
+                self.ends.append(z)
+
+    def apart(self, start: int, end: int) -> bool:
+        i = bisect_left(self.starts, end)
+        return i == 0 or self.ends[i - 1] <= start
 
 
 def _codes(token: str) -> np.ndarray:
@@ -85,7 +99,8 @@ def samples(text: str) -> tuple[list[str], list[str]]:
     spans = base_spans(text)
     random = [m[2] for m in ASSIGN.finditer(text) if len(m[2]) >= LEAST_VALUE] if any(k == "assign" for k, _, _ in spans) else []
     random += [text[a:z] for k, a, z in spans if k != "assign"]
-    return random, [m[0] for m in ORDINARY.finditer(text) if _apart(*m.span(), spans)]
+    cover = Cover(spans)
+    return random, [m[0] for m in ORDINARY.finditer(text) if cover.apart(*m.span())]
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,12 +137,12 @@ class Ratio:
         """Candidate tokens that score as random, outside of base spans. Tokens of one case without digits aren't scored."""
         if not self.trained:
             return []
-        out = []
+        out, cover = [], Cover(base)
         for m in CANDIDATE.finditer(text):
             token = m[0]
             if token.isalpha() and (token.islower() or token[1:].islower()) or not re.search("[A-Za-z]", token) or not re.search("[0-9]", token):
                 continue
-            if _apart(*m.span(), base) and self.score(token) >= least:
+            if cover.apart(*m.span()) and self.score(token) >= least:
                 out.append((MODEL_KIND, *m.span()))
         return out
 
