@@ -26,8 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .text import releasing
+
 #: Kept transitions and pieces are forgotten beyond these numbers; results don't depend on them.
-MAX_TRANSITIONS, MAX_PIECES, MAX_WORDS = 150_000, 130_000, 90_000
+MAX_TRANSITIONS, MAX_PIECES, MAX_WORDS = 100_000, 80_000, 50_000
 #: Pieces of up to this many bytes are looked up and searched as a whole.
 WHOLE_PIECE = 64
 
@@ -418,7 +420,7 @@ def _encode_batches(data, pattern: str, spaced: bool):
                 columns = {n: part.column(n) for n in part.schema.names if n != "ids"} | {"ids": ids}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return run
+    return releasing(run)
 
 
 def _decode_batches(data):
@@ -434,7 +436,7 @@ def _decode_batches(data):
                 columns = {n: part.column(n) for n in part.schema.names if n != "decoded"} | {"decoded": pa.array(texts, pa.string())}
                 yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return run
+    return releasing(run)
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", spaced: bool = True) -> DataFrame:

@@ -55,7 +55,7 @@ def _window_batches(window: int):
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int32())], names=["item", "words", "n"]
             )
 
-    return run
+    return T.releasing(run)
 
 
 def windows_of(items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -129,7 +129,7 @@ def _frequency_batches(index):
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(T.signed(block.wanted[some])), pa.array(counts[some])], names=["shingle", "n"])
 
-    return run
+    return T.releasing(run)
 
 
 def _hit_batches(index):
@@ -174,7 +174,7 @@ def _hit_batches(index):
             out["n_words"] = pa.array(np.diff(first))
             yield pa.RecordBatch.from_arrays(list(out.values()), names=list(out))
 
-    return run
+    return T.releasing(run)
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -196,7 +196,7 @@ def _predict_batches(model, penalty: float):
             del columns["text"]
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return run
+    return T.releasing(run)
 
 
 def predict(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

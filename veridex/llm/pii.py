@@ -297,7 +297,7 @@ def _scan_batches(field, least: float):
             columns["spans"] = pa.array(spans, type=part.schema.field("spans").type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return run
+    return T.releasing(run)
 
 
 def scan(docs: DataFrame, model: Field | None = None, least: float = LEAST_PROBABILITY) -> DataFrame:

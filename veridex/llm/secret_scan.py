@@ -175,7 +175,7 @@ def _scan_batches(ratio, least: float, redact: bool):
                 del columns["text"]
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
-    return run
+    return T.releasing(run)
 
 
 def without(text: str, spans: list[Span], placeholder: str = PLACEHOLDER) -> str:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
+from .text import releasing
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
 #: A variant with more members is split by the bytes of the other segment before comparison.
@@ -63,7 +64,7 @@ def _fingerprint_batches(shingle: int):
             fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), dtype=np.int64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
 
-    return run
+    return releasing(run)
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:

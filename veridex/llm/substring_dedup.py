@@ -90,7 +90,7 @@ def _emit(window: int, anchor: int):
                 names=["slot", "doc_id", "fingerprint", "known"],
             )
 
-    return run
+    return T.releasing(run)
 
 
 class FingerprintIndex:
@@ -177,7 +177,7 @@ def _claim(window: int, anchor: int):
             start = whole - first[rows]
             yield from _rows_of_claims(ids, rows, start, prints, full, later)
 
-    return run
+    return T.releasing(run)
 
 
 def _rows_of_claims(ids, rows, start, prints, full, later):
@@ -240,7 +240,7 @@ def _cut(window: int):
                 out.append((doc, len(all_words), gone, b" ".join(kept).decode("utf-8", "replace")))
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
 
-    return run
+    return T.releasing(run)
 
 
 def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = 2) -> DataFrame:
