@@ -1,9 +1,9 @@
 """The corpus pipeline: documents through operators of veridex.llm, stage by stage.
 
 Each stage is written as Parquet in the shared folder and read again as the next one's documents. Language ID
-drops documents without a language, near-dedup keeps one document of each group, decontamination drops
-documents that hold a benchmark window, the secret scan replaces secrets in texts, and the last stage encodes
-what is left. Language ID learns from the labels of the documents that it is given.
+drops documents without a language, near-dedup drops documents whose five-word shingles are at least 0.8 like
+those of a kept one, decontamination drops documents that hold a benchmark window, the secret scan replaces
+secrets in texts, and the last stage encodes what is left. Language ID learns from the labels of the documents that it is given.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import PATTERN, path
 
-from veridex.llm import bpe, decontaminate, language, secret_scan, simhash
+from veridex.llm import bpe, decontaminate, language, near_copies, secret_scan
 from veridex.llm.store import written
 
 RANKS = path("byte_bpe_multi_50k.tiktoken")
@@ -22,7 +22,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.first_of_each(docs)
+    return near_copies.first_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 import xxhash
 
-from veridex.llm import decontaminate, simhash, substring_dedup
+import corpus_pipeline
+from veridex.llm import decontaminate, near_copies, simhash, substring_dedup
 from veridex.llm import text as T
 
 DOC = "doc_id long, text string"
@@ -189,3 +190,37 @@ def test_decontamination_edges(spark):
     assert decontaminate.contamination_report(docs.limit(0), none).collect() == []
     with pytest.raises(ValueError):
         decontaminate.find_contamination(docs, none, window=2, shingle=3)
+
+
+def plain_jaccard(a, b):
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)}
+    return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
+
+
+@pytest.mark.parametrize("few", [20_000, 0])
+def test_stage_drops_near_copies_by_jaccard(spark, monkeypatch, few):
+    monkeypatch.setattr(near_copies, "FEW_PAIRS", few)
+    rng = random.Random(21)
+    rows, text = [], lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
+
+    def edited(words, *places):
+        return " ".join("edit%d" % rng.randint(0, 9**9) if i in places else w for i, w in enumerate(words))
+
+    for i in range(20):  # at 0.90, 0.81, and (apart) 0.73
+        words = text(100)
+        rows += [(4 * i, " ".join(words)), (4 * i + 1, edited(words, 50)), (4 * i + 2, edited(words, 30, 60)), (4 * i + 3, edited(words, 25, 50, 75))]
+    hot = text(200)
+    rows += [(1000 + i, edited(hot, rng.randrange(5, 195))) for i in range(150)]
+    common = text(60)
+    rows += [(2000 + i, " ".join([*common, *text(15)])) for i in range(9)]  # much alike, under 0.8
+    kept, want = [], set()
+    for i, t in sorted(rows):
+        if all(plain_jaccard(t, k) < 0.8 for k in kept):
+            kept.append(t)
+            want.add(i)
+    docs = spark.createDataFrame(rows, DOC).repartition(5)
+    found = [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    assert near_copies.first_of_each(docs.limit(0)).collect() == []
+    edges = spark.createDataFrame([(None, "a b"), (4, None), (2, ""), (7, "A b"), (7, "a b"), (9, "a b")], DOC)
+    assert sorted(r[0] or -1 for r in near_copies.first_of_each(edges).collect()) == [-1, 2, 7]
