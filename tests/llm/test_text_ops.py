@@ -88,6 +88,20 @@ def test_best_path_is_viterbi():
             assert abs(s[np.arange(n), path].sum() - 2.0 * (np.diff(path) != 0).sum() - value.max()) < 1e-3
 
 
+def test_best_path_of_two_stretches_against_the_best_single_language():
+    s = np.array([[10, -20, 0], [-20, 10, 0]], dtype=np.float32)
+    assert language.best_path(s, 12.0).tolist() == [0, 1]
+    rng = np.random.default_rng(19)
+    for n in (1, 2, 5, 12):
+        for _ in range(300):
+            s = rng.normal(size=(n, 4)).astype(np.float32) * 5
+            path = language.best_path(s, 12.0)
+            value = s[0].astype(float)
+            for row in s[1:]:
+                value = row + np.maximum(value, value.max() - 12.0)
+            assert abs(s[np.arange(n), path].sum() - 12.0 * (np.diff(path) != 0).sum() - value.max()) < 1e-3
+
+
 def sentences(rng, words, n):
     return " ".join(rng.choice(words) for _ in range(n))
 

@@ -7,8 +7,9 @@ whose spans hold most letters is the document's.
 The classifier is fitted on a bounded sample: of each language about `sample_rows` labelled documents (all, if
 there are fewer), chosen by a hash of doc_id; whole texts. Scores are computed for every word of every text.
 
-If no language gains more than the penalty over any stretch of words, one language is the best path, so words
-are walked one by one only in texts where a switch could pay.
+A path that switches pays the penalty for each switch. One language is the best path if against it no stretch of
+words gains more than the penalty, nor a first and a last stretch together, which have one switch less than there
+are stretches; words are walked one by one only in texts where a switch could pay.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; rows with null text or language don't train;
 a row with null doc_id is predicted but never learned from. Without any labelled row all texts are `und`.
@@ -141,7 +142,8 @@ def best_path(scores: np.ndarray, penalty: float) -> np.ndarray:
     one = int(np.argmax(total))
     gains = np.cumsum(scores - scores[:, one : one + 1], axis=0, dtype=np.float64)
     low = np.minimum.accumulate(np.vstack([np.zeros((1, scores.shape[1])), gains[:-1]]), axis=0)
-    if (gains - low).max(initial=0.0) <= penalty:
+    last = (gains[-1] - np.minimum(low[-1], gains[-1])).max()
+    if (gains - low).max(initial=0.0) <= penalty and max(gains.max(), 0.0) + last <= penalty:
         return np.full(len(scores), one)
     value, back = scores[0].tolist(), []
     span = range(scores.shape[1])
