@@ -170,6 +170,16 @@ def test_markov_models_add_random_strings_only(spark):
     assert sum(r["n_assign"] for r in found) == 40 and not any("markov" in r["spans"] for r in found)
 
 
+def test_markov_models_score_keys_without_digits(spark):
+    model = secret_scan.train(secret_docs(spark))
+    keys = ["qZtRkWvXbNcYpLsD", "HgTfRwQzXcVbNmKjLpYd", "aB+dQ/zXkWvRtYpLqNhG"]
+    for key in keys:
+        text = f"ering {key} onatthering-thering-onat Theringonatthering"
+        assert [text[a:z] for _, a, z in model.added(text, [])] == [key]
+    docs = spark.createDataFrame([(1, f"x {keys[0]} y")], DOC)
+    assert [r["text"] for r in secret_scan.redacted(docs, model=model).collect()] == ["x [secret] y"]
+
+
 def test_secret_redaction_and_edges(spark):
     rows = [(1, "x token=abcdefgh1 y", 19, "a"), (2, None, None, "b"), (2, "clean", 5, "c"), (3, "", 0, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")

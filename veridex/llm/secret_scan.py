@@ -134,13 +134,14 @@ class Ratio:
         return float(self.ratio[c[:-1], c[1:]].sum())
 
     def added(self, text: str, base: list[Span], least: float = LEAST_RATIO) -> list[Span]:
-        """Candidate tokens that score as random, outside of base spans. Tokens of one case without digits aren't scored."""
+        """Candidate tokens that score as random, outside of base spans. Tokens without letters, and those without digits whose
+        letters are of one case or only begin with a capital, aren't scored."""
         if not self.trained:
             return []
         out, cover = [], Cover(base)
         for m in CANDIDATE.finditer(text):
             token = m[0]
-            if token.isalpha() and (token.islower() or token[1:].islower()) or not re.search("[A-Za-z]", token) or not re.search("[0-9]", token):
+            if not re.search("[A-Za-z]", token) or not re.search("[0-9]", token) and (token.isupper() or token[1:].islower()):
                 continue
             if cover.apart(*m.span()) and self.score(token) >= least:
                 out.append((MODEL_KIND, *m.span()))
