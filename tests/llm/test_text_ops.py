@@ -1,6 +1,8 @@
 """BPE, language ID, secrets and PII."""
 
 import base64
+import hashlib
+import os
 import random
 import re
 
@@ -9,8 +11,9 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from veridex.llm import bpe, language, pii, secret_scan
+from veridex.llm import bpe, language, pii, queries, secret_scan
 
+SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
 
@@ -41,21 +44,53 @@ def test_bpe_equals_library(ranks, reference):
             assert decode(ids) == s
 
 
-def test_transducer_reads_like_the_search(ranks):
+def test_transducer_reads_like_the_merges(ranks):
     t = bpe.Transducer(ranks)
     rng = random.Random(8)
-    for _ in range(300):
-        piece = "".join(rng.choice("aethnosrçλ ") for _ in range(rng.randint(1, 60))).encode()[:64]
-        want = tuple(ranks[x] for x in bpe.merged(piece, ranks))
-        assert t.read(piece) == want
-        assert t._search(piece) == want
+    pieces = ["".join(rng.choice("aethnosrçλ ") for _ in range(rng.randint(1, 60))).encode()[:64] for _ in range(300)]
+    want = [[ranks[x] for x in bpe.merged(p, ranks)] for p in pieces]
+    assert [list(t.read(p)) for p in pieces] == want
+    offsets = np.cumsum([0, *map(len, pieces)])
+    ids, at = t.read_all(np.frombuffer(b"".join(pieces), dtype=np.uint8), offsets)
+    assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:])] == want
+
+
+def test_small_tables_change_nothing(ranks, reference, monkeypatch):
+    for name, value in (("MAX_STATES", 20), ("MAX_PAIRS", 3), ("BLOCK_PIECES", 5), ("LONG_PIECE", 6), ("ALIKE", 2)):
+        monkeypatch.setattr(bpe, name, value)
+    encode = bpe.Encoder(ranks, P.PATTERN)
+    for s in strings(17, 60):
+        assert encode(s) == reference.encode_ordinary(s)
+
+
+def test_many_texts_at_once(ranks, reference):
+    texts = strings(18, 300) + ["x×y Ωmega ª\u0085 b", "\x1c a", "a \x1c", "é\u2003 b", " 漢", "\n\n a", " \n", "a\nb", "'s don't", "ɏȿɀ", "", " ", "  "]
+    data = "".join(texts).encode()
+    offsets = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    for spaced in (True, False):
+        ids, at = bpe.Encoder(ranks, P.PATTERN, spaced).encode(np.frombuffer(data, dtype=np.uint8), offsets)
+        assert [ids[a:z].tolist() for a, z in zip(at[:-1], at[1:])] == [reference.encode_ordinary(t) for t in texts]
+    assert bpe.Decoder(ranks).texts(ids, at).to_pylist() == texts
+
 
+def test_pattern_with_gaps(ranks):
+    pattern = "[a-z]+"
+    own = tiktoken.Encoding("gaps", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encode = bpe.Encoder(ranks, pattern, spaced=False)
+    for s in ("abc 12 def", "12", "the9", ""):
+        assert encode(s) == own.encode_ordinary(s)
 
-def test_small_caches_change_nothing(ranks, monkeypatch):
-    monkeypatch.setattr(bpe, "MAX_TRANSITIONS", 20)
-    monkeypatch.setattr(bpe, "MAX_PIECES", 3)
-    encode, plain = bpe.Encoder(ranks, P.PATTERN), [bpe.merged(b"abcdefgh", ranks)]
-    assert encode("abcdefgh " * 5) and plain
+
+def test_decoder_of_broken_characters(ranks):
+    decode = bpe.Decoder(ranks)
+    rng = random.Random(19)
+    single = {b: ranks[bytes([b])] for b in range(256)}
+    some = [0x41, 0x80, 0xA9, 0xBF, 0xC3, 0xE0, 0xE2, 0xED, 0xF0, 0xF4, 0xFF, 0x90, 0x9F]
+    rows = [bytes(rng.choice(some) for _ in range(rng.randint(0, 8))) for _ in range(400)] + ["漢字😀é".encode()]
+    ids, offsets = np.array([single[b] for r in rows for b in r]), np.cumsum([0, *map(len, rows)])
+    want = [r.decode("utf-8", "replace") for r in rows]
+    assert decode.texts(ids, offsets).to_pylist() == want
+    assert [decode(ids[a:z]) for a, z in zip(offsets[:-1], offsets[1:])] == want
 
 
 def test_utf8_machine():
@@ -74,6 +109,19 @@ def test_bpe_frames(spark, reference):
     out = bpe.decode(encoded, RANKS).collect()
     assert sorted((r["doc_id"] or 0, tuple(r["ids"]), r["decoded"]) for r in out) == sorted((d or 0, tuple(reference.encode_ordinary(t or "")), t or "") for d, t in rows)
     assert bpe.digests(encoded.limit(0), RANKS).collect() == []
+    odd = docs.withColumn("ids", docs.doc_id)
+    assert bpe.encode(odd, RANKS, P.PATTERN).columns == ["doc_id", "decoded", "ids"]
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the given tables")
+def test_registered_bpe_query_on_whole_documents(spark, reference):
+    found = {r["doc_id"]: tuple(r[1:]) for r in queries.QUERIES["op6_bpe"](spark, SMALL).collect()}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    rows = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()
+    for doc, text in rows:
+        ids = reference.encode_ordinary(text or "")
+        assert found[doc] == (len(ids), sha(",".join(map(str, ids)).encode()), sha((text or "").encode()))
+    assert len(found) == len(rows)
 
 
 def test_best_path_is_viterbi():
