@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from veridex.llm import decontaminate, near_copies, simhash, substring_dedup
@@ -42,16 +43,44 @@ def test_words_and_grams():
     assert T.fits(first, 2).tolist() == [True, True, False, True]
 
 
-@pytest.mark.parametrize("batches", [1, 2, 3])
-def test_substring_dedup_is_exact(spark, batches):
+def dedup_by_definition(docs):
+    """Documents of one doc_id are ordered by the key that Spark gives them."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", "text", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("key")).collect()
+    keys = {(r["doc_id"], r["text"] or ""): r["key"] for r in rows}
+    return substring_dedup.brute_force([(r["doc_id"], r["text"]) for r in rows], lambda d, t: keys[d, t])
+
+
+@pytest.mark.parametrize(("batches", "max_runs"), [(1, 1), (2, 1), (4, 1), (4, 9)])
+def test_substring_dedup_is_exact(spark, batches, max_runs):
     rows = corpus()
     docs = spark.createDataFrame(rows, DOC).repartition(5)
-    found = substring_dedup.with_digest(substring_dedup.dedup_substrings(docs, batches=batches)).collect()
-    assert {r[0]: tuple(r[1:]) for r in found} == substring_dedup.brute_force(rows)
+    found = substring_dedup.with_digest(substring_dedup.dedup_substrings(docs, batches=batches, max_runs=max_runs)).collect()
+    assert sorted(map(tuple, found)) == dedup_by_definition(docs)
     assert any(r[2] for r in found)
 
 
-def test_substring_dedup_within_one_slice_and_across(spark, monkeypatch):
+def test_substring_dedup_of_repeated_ids(spark):
+    words = lambda c, n: " ".join(f"{c}{k}" for k in range(n))
+    a, b = words("a", 30), words("b", 30)
+    rows = [(0, a), (1, a), (1, b), (2, b), (2, b), (2, a + " " + b), (3, None), (3, words("c", 25)), (5, b)] * 2
+    docs = spark.createDataFrame(rows, DOC).repartition(7)
+    found = sorted(map(tuple, substring_dedup.with_digest(substring_dedup.dedup_substrings(docs)).collect()))
+    assert found == dedup_by_definition(docs) and len(found) == len(rows)
+    assert {r[2] for r in found if r[0] == 0} == {0} and {r[2] for r in found if r[0] == 5} == {30}
+    assert sum(r[2] == 0 and r[1] == 30 for r in found if r[0] == 1) == 2  # the text that occurs nowhere before
+
+
+def test_substring_dedup_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "_SLICE_BYTES", 4000)
+    rng = random.Random(23)
+    long = " ".join(f"w{rng.randint(0, 40)}" for _ in range(30_000))
+    rows = [(1, long), (2, long[5000:90_000]), (3, "x " * 20_000), (4, "y" * 300_000), (5, long[-700:] + "\x0b" + long[:900])]
+    docs = spark.createDataFrame(rows, DOC)
+    found = sorted(map(tuple, substring_dedup.with_digest(substring_dedup.dedup_substrings(docs)).collect()))
+    assert found == dedup_by_definition(docs)
+
+
+def test_substring_dedup_within_one_slice_and_across(spark):
     rows = [(i, " ".join(f"t{k}" for k in range(30))) for i in range(40)]
     docs = spark.createDataFrame(rows, DOC).repartition(8)
     found = {r[0]: r[2] for r in substring_dedup.dedup_substrings(docs).collect()}
@@ -61,21 +90,29 @@ def test_substring_dedup_within_one_slice_and_across(spark, monkeypatch):
 def test_substring_dedup_edges(spark):
     empty = spark.createDataFrame([], DOC)
     assert substring_dedup.dedup_substrings(empty).collect() == []
-    odd = spark.createDataFrame([(None, "a " * 30, 1), (None, "a " * 30, 2)], "doc_id long, text string, spans int")
+    odd = spark.createDataFrame([(None, "a " * 30, 1, 2), (None, "a " * 30, 2, 3)], "doc_id long, text string, candidates int, key int")
     assert [tuple(r[:3]) for r in substring_dedup.dedup_substrings(odd).collect()] == [(None, 30, 0)] * 2
 
 
-def test_index_compacts(spark):
+def test_index_compacts_and_opens_again(spark):
     rows = corpus(3, 30)
+    parts = [spark.createDataFrame(rows[i::3], DOC).withColumnRenamed("doc_id", "key") for i in range(3)]
     index = substring_dedup.FingerprintIndex(spark, max_runs=1)
-    parts = [spark.createDataFrame(rows[i::3], DOC) for i in range(3)]
     index.append(parts[0])
     index.append(parts[1])
-    index.maintain()
-    assert len(index.runs) == 1
-    late = {r[0] for r in index.append(parts[2]).collect()}
-    repeated = {d for d, (_, gone, _) in substring_dedup.brute_force(rows).items() if gone}
+    for name in index.runs:  # as in a session that has no such tables yet
+        spark.sql(f"DROP TABLE {name}")
+    again = substring_dedup.FingerprintIndex(spark, folder=index.folder, max_runs=1)
+    assert again.runs == index.runs and len(again.runs) == 2
+    late = {r[0] for r in again.append(parts[2]).collect()}
+    assert len(again.runs) == 2  # the merged one and the new one
+    merged = spark.table(again.runs[0])
+    assert merged.count() == merged.select("slot").distinct().count() > 0
+    repeated = {r[0] for r in dedup_by_definition(spark.createDataFrame(rows, DOC)) if r[2]}
     assert repeated & {d for d, _ in rows[2::3]} <= late
+    with pytest.raises(ValueError):
+        substring_dedup.FingerprintIndex(spark, window=30, folder=index.folder)
+    again.drop()
 
 
 def plain_fingerprint(text):
@@ -140,6 +177,44 @@ def test_large_variant_groups_are_split_exactly(monkeypatch):
     assert groups(got) == groups(want)
 
 
+@pytest.mark.parametrize("split", [2048, 4])
+def test_hot_variants_are_dealt_out_exactly(spark, monkeypatch, split):
+    monkeypatch.setattr(simhash, "SPLIT_ABOVE", split)
+    monkeypatch.setattr(simhash, "HEAT_SHARE", 1)
+    rng = random.Random(22)
+    hot = rng.getrandbits(32)
+    fps = {hot << 32 | rng.getrandbits(9) | (rng.getrandbits(4) << 20) for _ in range(250)} | {rng.getrandbits(64) for _ in range(40)}
+    fps |= {f ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) for f in list(fps)[:60]}
+    signed = [f - 2**64 if f >> 63 else f for f in fps]
+    links = simhash.near_links(spark.createDataFrame([(f,) for f in signed], "fp long").repartition(5))
+    found = {r["node"]: r["component"] for r in simhash.components(links).collect()}
+    want = plain_components({f: f % 2**64 for f in signed})
+    assert {f: found.get(f, f) for f in signed} == want
+    if split == 4:
+        assert simhash.hot_variants(spark.createDataFrame([(f,) for f in signed], "fp long"), 4, 1).count() > 0
+
+
+def test_simhash_of_repeated_ids(spark):
+    p, q = " ".join(f"p{i}" for i in range(50)), " ".join(f"q{i}" for i in range(50))
+    rows = [(5, p), (5, q), (6, p), (7, q), (5, p), (None, p)]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], f"{DOC}, fp int")
+    found = simhash.near_duplicates(docs).collect()
+    assert sorted(r["component_id"] or -1 for r in found) == [-1, 5, 5, 5, 5, 5]
+    kept = simhash.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"][0]) for r in kept.collect()) == [(-1, "p"), (5, "p"), (5, "q")]
+
+
+def test_simhash_of_very_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "_CHUNK_SHINGLES", 1000)
+    rng = random.Random(24)
+    rows = [(1, " ".join(f"W{rng.randint(0, 900)}" for _ in range(20_000))), (2, "Z" * 200_000), (3, "a b " * 30_000)]
+    rows += [(4, rows[0][1] + " tail")]
+    found = {r[0]: (r[1] % 2**64, r[2]) for r in simhash.near_duplicates(spark.createDataFrame(rows, DOC)).collect()}
+    fps = {d: plain_fingerprint(t) for d, t in rows}
+    assert {d: f for d, (f, _) in found.items()} == fps and {d: c for d, (_, c) in found.items()} == plain_components(fps)
+
+
 def test_simhash_edges(spark):
     assert simhash.near_duplicates(spark.createDataFrame([], DOC)).collect() == []
     rows = [(None, "a b"), (4, None), (2, ""), (7, "a b"), (7, "a b")]

@@ -6,37 +6,44 @@ share theirs, so an index holds about 2 / (window - anchor + 2) rows a word.
 
 `FingerprintIndex.append` writes a batch's fingerprints as a sorted immutable run (bucketed by
 fingerprint), and merge-joins it with the runs before it and with itself, bucket by bucket. What meets is
-a candidate. `compact` merges runs. `repeated_windows` verifies candidates: it compares whole windows (two
-independent 64-bit hashes of all their words) and keeps every occurrence but the first.
-
-Hot fingerprints never meet in one task row by row. A fingerprint that a slice of a batch holds twice is
-known to repeat: its rows are dealt out by document and skip the join, and one row a slice stands for it
-in the run. Verification likewise settles repeats within a slice where they are found, and sends one row
-a slice and window to the shuffle.
-
-Nulls: a null text has no words; a row with null doc_id is returned with nothing removed and neither
-removes from others. Repeated doc_ids: rows of one doc_id are ordered by text; further equal rows repeat
-the first. Documents shorter than a window lose nothing.
+a candidate. Runs are compacted to one row a fingerprint when there are too many; their list is kept beside
+them, so a later session can open the index again and append.
+
+Candidates are verified: of the windows that have two independent 64-bit hashes of all their words in common,
+the first one in the order of documents is found by a minimum, which combines before the shuffle. Those that
+are first go back to their documents, and every other window of a candidate is late: its words go. So no window,
+however often it occurs, gathers its occurrences in one task: repeats within a slice of texts are settled where
+they are found, and of a fingerprint that a slice holds twice one row stands for the slice in the run.
+
+A document is a doc_id with a text. Documents of one doc_id are ordered by a hash of their text; equal rows are
+one document and get the same result. Nulls: a null text has no words; a row with null doc_id is returned with
+nothing removed and neither removes from others. Documents shorter than a window lose nothing. Texts of any
+length are read whole. An empty table gives an empty result; other columns than doc_id and text are left out,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import fresh_path
+from .store import fresh_path, remove, written
 
 WINDOW = 20
 ANCHOR = 4
-_POSITIONS = "slot long, doc_id long, fingerprint long, known boolean"
-_CLAIMS = "slot long, doc_id long, start int, length int, windows array<long>"
+#: Batches in which the query's documents arrive, and runs that the index keeps before it compacts them.
+BATCHES, MAX_RUNS = 3, 1
+_SLICE_BYTES = 8 << 20
+_POSITIONS = "slot long, key long, fingerprint long, known boolean"
+_CLAIMS = "w long, v long, doc_id long, key long, start int"
+_FIRSTS = "array<struct<doc_id:bigint,start:int>>"
 
 
 def _fingerprints(data, offsets, window: int, anchor: int):
@@ -62,8 +69,8 @@ def _row_of(first: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _emit(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches, "text", 8 << 20):
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+        for part in T.slices(batches, "text", _SLICE_BYTES):
+            ids = part.column("key").to_numpy(zero_copy_only=False)
             first, _, whole, prints, leads = _fingerprints(*T.utf8(part.column("text")), window, anchor)
             rows = _row_of(first, whole)
             # consecutive windows that share one gram as fingerprint count once; a like gram further on is another
@@ -87,27 +94,47 @@ def _emit(window: int, anchor: int):
                     pa.array(np.r_[prints[take[0]], prints[take[1]]], mask=np.r_[np.ones(len(take[0]), bool), np.zeros(len(take[1]), bool)]),
                     pa.array(np.r_[np.zeros(len(take[0]), bool), np.ones(len(take[1]), bool)]),
                 ],
-                names=["slot", "doc_id", "fingerprint", "known"],
+                names=["slot", "key", "fingerprint", "known"],
             )
 
     return T.releasing(run)
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of window fingerprints, as bucketed tables under one folder."""
+    """Sorted immutable runs of window fingerprints, as bucketed tables under one folder, and the list of them.
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, buckets: int | None = None, max_runs: int = 4):
+    With a folder, the index that an earlier session left there is opened again.
+    """
+
+    def __init__(self, spark: SparkSession, window: int = WINDOW, anchor: int = ANCHOR, buckets: int | None = None, max_runs: int = MAX_RUNS, folder: str | None = None):
         if not 1 <= anchor <= window:
             raise ValueError("anchor must be between 1 and window")
         self.spark, self.window, self.anchor, self.max_runs = spark, window, anchor, max_runs
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.folder = fresh_path(spark, "fingerprints")
+        self.folder = folder or fresh_path(spark, "fingerprints")
         self.runs: list[str] = []
-        self._made = 0
+        self._version = 0
+        if folder:
+            self._open()
+
+    def _open(self) -> None:
+        rows = self.spark.read.schema("version int, runs array<string>, window int, anchor int, buckets int").json(f"{self.folder}/list")
+        last = rows.orderBy(F.desc("version")).first()
+        if (last["window"], last["anchor"]) != (self.window, self.anchor):
+            raise ValueError(f"the index has windows of {last['window']} words and anchors of {last['anchor']}")
+        self._version, self.runs, self.buckets = last["version"], last["runs"], last["buckets"]
+        for name in self.runs:
+            if not self.spark.catalog.tableExists(name):
+                self.spark.sql(f"CREATE TABLE {name} ({_POSITIONS}) USING parquet OPTIONS (path '{self.folder}/{name}') CLUSTERED BY (slot) SORTED BY (slot) INTO {self.buckets} BUCKETS")
+
+    def _commit(self, runs: list[str]) -> None:
+        """The list of runs changes in one write; a run that isn't in the last list is none."""
+        self._version, self.runs = self._version + 1, runs
+        line = self.spark.createDataFrame([(self._version, runs, self.window, self.anchor, self.buckets)], "version int, runs array<string>, window int, anchor int, buckets int")
+        line.coalesce(1).write.mode("append").json(f"{self.folder}/list")
 
     def _write_run(self, rows: DataFrame) -> str:
-        name = f"run_{self.folder.rpartition('-')[2]}_{self._made}"
-        self._made += 1
+        name = f"run_{self.folder.rpartition('-')[2]}_{uuid.uuid4().hex[:8]}"
         (
             rows.repartition(self.buckets, "slot")
             .write.bucketBy(self.buckets, "slot").sortBy("slot")
@@ -116,8 +143,13 @@ class FingerprintIndex:
         return name
 
     def append(self, batch: DataFrame) -> DataFrame:
-        """Add a batch (doc_id, text) as a run; (doc_id, fingerprint) of what may repeat within it or before."""
-        texts = batch.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
+        """Add a batch (key, text) as a run; (key, fingerprint) of what may repeat within it or before.
+
+        key is a number that names the row. The candidates are written, so they need no run any more.
+        """
+        if len(self.runs) > self.max_runs:
+            self.compact()
+        texts = batch.select("key", F.coalesce("text", F.lit("")).alias("text"))
         name = self._write_run(texts.mapInArrow(_emit(self.window, self.anchor), _POSITIONS))
         new = self.spark.table(name)
         own = new.where(~F.col("known"))
@@ -129,130 +161,112 @@ class FingerprintIndex:
             met.append(own.join(past.hint("merge"), "slot", "left_semi"))
             met.append(past.join(own.hint("merge"), "slot", "left_semi"))
             # rows that were known to repeat in the batch of old are candidates since then
-        self.runs.append(name)
-        out = new.where("known").select("doc_id", "fingerprint")
+        out = new.where("known").select("key", "fingerprint")
         for x in met:
-            out = out.unionByName(x.select("doc_id", F.col("slot").alias("fingerprint")))
+            out = out.unionByName(x.select("key", F.col("slot").alias("fingerprint")))
+        out = written(out, "candidates")
+        self._commit([*self.runs, name])
         return out
 
     def compact(self) -> None:
-        """Merge all runs into one. Candidates that append has returned keep reading the old runs' files."""
+        """Merge all runs into one with one row a fingerprint: rows that met have been candidates since then."""
         if len(self.runs) < 2:
             return
-        merged = self.spark.table(self.runs[0])
+        rows = self.spark.table(self.runs[0])
         for name in self.runs[1:]:
-            merged = merged.unionByName(self.spark.table(name))
-        self.runs = [self._write_run(merged.distinct())]
-
-    def maintain(self) -> None:
-        if len(self.runs) > self.max_runs:
-            self.compact()
+            rows = rows.unionByName(self.spark.table(name))
+        one = rows.where(~F.col("known")).groupBy("slot").agg(F.min("key").alias("key"))
+        old, merged = self.runs, self._write_run(one.select("slot", "key", F.lit(None).cast("long").alias("fingerprint"), F.lit(False).alias("known")))
+        self._commit([merged])
+        self._drop(old)
+
+    def _drop(self, runs: list[str]) -> None:
+        for name in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            remove(self.spark, f"{self.folder}/{name}")
+
+    def drop(self) -> None:
+        """Remove the index."""
+        self._drop(self.runs)
+        remove(self.spark, self.folder)
+
+
+def _candidate_windows(part: pa.RecordBatch, window: int, anchor: int, data: np.ndarray, offsets: np.ndarray):
+    """Of the windows whose fingerprint is a candidate of their row: first words of rows, rows, first words."""
+    first, _, whole, prints, _ = _fingerprints(data, offsets, window, anchor)
+    rows = _row_of(first, whole)
+    wanted = part.column("candidates")
+    lengths = np.diff(wanted.offsets.to_numpy())
+    wanted_prints = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(T.U)
+    keys = T.mixed(wanted_prints + np.repeat(np.arange(part.num_rows).astype(T.U), lengths) * T._M1)
+    keys.sort()
+    mine = T.mixed(prints + rows.astype(T.U) * T._M1)
+    at = np.searchsorted(keys, mine)
+    hit = np.zeros(len(mine), dtype=bool)
+    inside = at < len(keys)
+    hit[inside] = keys[at[inside]] == mine[inside]
+    return first, rows[hit], whole[hit]
 
 
 def _claim(window: int, anchor: int):
-    """Whole windows of candidates. Repeats within a slice are settled here: rows without windows."""
+    """The windows of candidates, by two hashes of all their words. Of equal ones in a slice the first is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in T.slices(batches, "text", 8 << 20):
-            order = pc.sort_indices(pa.table({"d": part.column("doc_id"), "t": part.column("text")}), [("d", "ascending"), ("t", "ascending")])
-            part = part.take(order)
-            ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            first, h, whole, prints, _ = _fingerprints(*T.utf8(part.column("text")), window, anchor)
-            rows = _row_of(first, whole)
-            wanted = part.column("candidates")
-            lengths = np.diff(wanted.offsets.to_numpy())
-            wanted_prints = wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(T.U)
-            keys = T.mixed(wanted_prints + np.repeat(np.arange(len(ids)).astype(T.U), lengths) * T._M1)
-            keys.sort()
-            mine = T.mixed(prints + rows.astype(T.U) * T._M1)
-            at = np.searchsorted(keys, mine)
-            hit = np.zeros(len(mine), dtype=bool)
-            inside = at < len(keys)
-            hit[inside] = keys[at[inside]] == mine[inside]
-            whole, rows, prints = whole[hit], rows[hit], prints[hit]
-            full = T.grams(h, window)[whole] if len(whole) else np.zeros(0, T.U)
-            order = np.lexsort((whole, full, prints))
-            later = np.zeros(len(whole), dtype=bool)
-            later[order[1:]] = (full[order[1:]] == full[order[:-1]]) & (prints[order[1:]] == prints[order[:-1]])
+        for part in T.slices(batches, "text", _SLICE_BYTES):
+            data, offsets = T.utf8(part.column("text"))
+            first, rows, whole = _candidate_windows(part, window, anchor, data, offsets)
+            starts, ends, _ = T.words(data, offsets, T.BLANK_SEPARATED)
+            w, v = (T.grams(T.word_hashes(data, starts, ends, seed), window)[whole] if len(whole) else np.zeros(0, T.U) for seed in (0, 0x5EED))
+            docs, keys = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[rows] for c in ("doc_id", "key"))
             start = whole - first[rows]
-            yield from _rows_of_claims(ids, rows, start, prints, full, later)
+            order = np.lexsort((start, keys, docs, v, w))
+            lead = np.ones(len(order), dtype=bool)
+            lead[1:] = (w[order[1:]] != w[order[:-1]]) | (v[order[1:]] != v[order[:-1]])
+            order = order[lead]
+            columns = [T.signed(w[order]), T.signed(v[order]), docs[order], keys[order], start[order].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "v", "doc_id", "key", "start"])
 
     return T.releasing(run)
 
 
-def _rows_of_claims(ids, rows, start, prints, full, later):
-    """Stretches of consecutive windows: settled ones, and those of one fingerprint that others may precede."""
-    if not len(rows):
-        return
-    cut = np.ones(len(rows), dtype=bool)
-    cut[1:] = (rows[1:] != rows[:-1]) | (start[1:] != start[:-1] + 1) | (later[1:] != later[:-1]) | (~later[1:] & (prints[1:] != prints[:-1]))
-    at = np.flatnonzero(cut)
-    sizes = np.diff(np.r_[at, len(rows)])
-    settled = later[at]
-    docs = ids[rows[at]]
-    spread = T.mixed(docs.view(T.U) * T._M1 + start[at].astype(T.U))
-    slot = T.signed(np.where(settled, spread, prints[at]))
-    open_window = np.repeat(~settled, sizes)
-    offsets = np.r_[0, np.cumsum(np.where(settled, 0, sizes))].astype(np.int32)
-    windows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(T.signed(full[open_window])))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(slot), pa.array(docs), pa.array(start[at].astype(np.int32)), pa.array(sizes.astype(np.int32)), windows],
-        names=["slot", "doc_id", "start", "length", "windows"],
-    )
-
-
-def repeated_windows(texts: DataFrame, candidates: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, start, length): stretches of window starts whose words also start a window earlier."""
-    wanted = candidates.groupBy("doc_id").agg(F.collect_set("fingerprint").alias("candidates"))
-    claims = texts.join(wanted.hint("merge"), "doc_id").mapInArrow(_claim(window, anchor), _CLAIMS)
-    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = claims.repartition(n, "slot")
-    each = dealt.select("slot", "doc_id", "start", "length", F.posexplode_outer("windows").alias("i", "w"))
-    # settled stretches have no window to compare; equal windows of one slice were settled before, so at most one
-    # row a slice meets in a window's group
-    each = each.select(
-        "slot", "doc_id", "w", (F.col("start") + F.coalesce("i", F.lit(0))).alias("start"),
-        F.when(F.col("w").isNull(), F.col("length")).otherwise(1).alias("length"),
-    )
-    firsts = F.min(F.struct("doc_id", "start")).over(Window.partitionBy("slot", "w"))
-    late = each.withColumn("first", firsts).where(F.col("w").isNull() | (F.struct("doc_id", "start") != F.col("first")))
-    return late.select("doc_id", "start", "length")
-
-
-def _cut(window: int):
+def _cut(window: int, anchor: int):
+    """Rows without the words of their late windows: those of candidates that aren't first."""
     schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches, "text"):
-            out = []
-            texts = part.column("text").cast(pa.large_binary()).to_pylist()
-            spans = part.column("spans").to_pylist()
-            for doc, data, cuts in zip(part.column("doc_id").to_pylist(), texts, spans, strict=True):
-                all_words = data.split()
-                kept, gone = all_words, 0
-                if cuts:
-                    drop = np.zeros(len(all_words) + 1, dtype=np.int64)
-                    for x in cuts:
-                        drop[x["start"]] += 1
-                        drop[min(x["start"] + x["length"] - 1 + window, len(all_words))] -= 1
-                    stay = np.cumsum(drop[:-1]) == 0
-                    kept, gone = [all_words[i] for i in np.flatnonzero(stay)], int((~stay).sum())
-                out.append((doc, len(all_words), gone, b" ".join(kept).decode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+            data, offsets = T.utf8(part.column("text"))
+            first, rows, whole = _candidate_windows(part, window, anchor, data, offsets)
+            firsts = part.column("firsts")
+            owner = np.repeat(np.arange(part.num_rows), np.diff(firsts.offsets.to_numpy()))
+            docs, start = (firsts.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+            mine = docs == ids[owner] if len(owner) else np.zeros(0, bool)
+            late = whole[~np.isin(whole, first[owner[mine]] + start[mine])]
+            drop = np.zeros(int(first[-1]) + 1, dtype=np.int64)
+            np.add.at(drop, late, 1)
+            np.add.at(drop, late + window, -1)
+            stay = np.cumsum(drop[:-1]) == 0
+            gone = np.diff(np.r_[0, np.cumsum(~stay)][first])
+            starts, ends, _ = T.words(data, offsets, T.BLANK_SEPARATED)
+            raw, kept = data.tobytes(), []
+            for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+                own = np.flatnonzero(stay[a:z]) + a
+                kept.append(b" ".join([raw[s:e] for s, e in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]).decode("utf-8", "replace"))
+            columns = [part.column("doc_id"), pa.array(np.diff(first)), pa.array(gone), pa.array(kept, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return T.releasing(run)
 
 
-def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = 2) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES, max_runs: int = MAX_RUNS) -> DataFrame:
     """Remove the words of windows that also start earlier: (doc_id, n_words, n_removed, kept).
 
     The documents arrive at a FingerprintIndex in `batches` batches by doc_id, as they would over time.
     """
-    spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # both joins below deal out just these rows, so their texts are shuffled once
-    texts, unnamed = rows.where(F.col("doc_id").isNotNull()), rows.where(F.col("doc_id").isNull())
-    index = FingerprintIndex(spark, window, anchor)
+    texts, unnamed = rows.where(F.col("doc_id").isNotNull()).withColumn("key", F.xxhash64("doc_id", "text")), rows.where(F.col("doc_id").isNull())
+    index = FingerprintIndex(docs.sparkSession, window, anchor, max_runs=max_runs)
     cuts = texts.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01) if batches > 1 else []
     candidates, low = None, None
     for high in [*sorted(set(cuts)), None]:
@@ -264,23 +278,29 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
             mine = mine & (at < high)
         found, low = index.append(texts.where(mine)), high
         candidates = found if candidates is None else candidates.unionByName(found)
-        index.maintain()
-    spans = repeated_windows(texts, candidates, window, anchor).groupBy("doc_id").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
-    whole = texts.join(spans.hint("merge"), "doc_id", "left")
-    whole = whole.unionByName(unnamed.withColumn("spans", F.lit(None).cast(whole.schema["spans"].dataType)))
-    return whole.mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept string")
+    index.drop()
+    wanted = candidates.groupBy("key").agg(F.collect_set("fingerprint").alias("candidates"))
+    # claims and cuts are joined on the same key, so texts are shuffled once for both
+    claims = texts.join(wanted.hint("merge"), "key").mapInArrow(_claim(window, anchor), _CLAIMS)
+    first = claims.groupBy("w", "v").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"))
+    firsts = first.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("first.doc_id", "first.start")).alias("firsts"))
+    whole = texts.join(wanted.hint("merge"), "key", "left").join(firsts.hint("merge"), "key", "left").select("doc_id", "text", "candidates", "firsts")
+    none = [F.lit(None).cast("array<long>").alias("candidates"), F.lit(None).cast(_FIRSTS).alias("firsts")]
+    whole = whole.unionByName(unnamed.select("doc_id", "text", *none))
+    filled = whole.select("doc_id", "text", F.coalesce("candidates", F.array().cast("array<long>")).alias("candidates"), F.coalesce("firsts", F.array().cast(_FIRSTS)).alias("firsts"))
+    return filled.mapInArrow(_cut(window, anchor), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def with_digest(cut: DataFrame) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dict[int, tuple[int, int, str]]:
-    """The same by definition, for tests: doc_id -> (n_words, n_removed, digest). doc_ids are distinct."""
+def brute_force(rows: list[tuple[int, str | None]], order, window: int = WINDOW) -> list[tuple[int, int, int, str]]:
+    """The same by definition, for tests: sorted (doc_id, n_words, n_removed, digest). order(doc_id, text) orders documents of one id."""
     seen: set[tuple[bytes, ...]] = set()
-    out = {}
-    for doc, text in sorted(rows):
-        w = (text or "").encode().split()
+    done: dict[tuple[int, str], tuple[int, int, str]] = {}
+    for doc, text in sorted({(d, t or "") for d, t in rows}, key=lambda r: (r[0], order(*r))):
+        w = text.encode().split()
         drop = set()
         for i in range(len(w) - window + 1):
             key = tuple(w[i : i + window])
@@ -288,5 +308,5 @@ def brute_force(rows: list[tuple[int, str | None]], window: int = WINDOW) -> dic
                 drop.update(range(i, i + window))
             seen.add(key)
         kept = b" ".join(x for i, x in enumerate(w) if i not in drop)
-        out[doc] = (len(w), len(drop), hashlib.sha256(kept).hexdigest())
-    return out
+        done[doc, text] = (len(w), len(drop), hashlib.sha256(kept).hexdigest())
+    return sorted((d, *done[d, t or ""]) for d, t in rows)
