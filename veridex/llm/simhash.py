@@ -6,12 +6,16 @@ out. Every distinct fingerprint is indexed under its 2 x 32 variants, equality b
 variant together, and whole fingerprints are compared there.
 
 A variant's members are linked by a spanning tree of verified links, never by all pairs; components are then
-joined over these links. Members are distinct fingerprints: copies, however many, are one. A variant with
-many members is first split by the bytes of the other segment (one of four must agree), so its work is
-divided before anything is compared.
-
-Nulls: a null text has no shingle and fingerprint zero, like an empty one; a row with null doc_id gets its
-fingerprint and no component. Repeated rows are returned as often as they occur.
+joined over these links. Members are distinct fingerprints: copies, however many, are one. The members of a hot
+variant are dealt out before the shuffle, by each byte of the other segment (one of four must agree), so they
+never meet in one task as a whole. Heat is estimated from a share of the fingerprints; it decides where members
+meet, not which links are found.
+
+Components are over fingerprints, so rows with one doc_id and different texts each keep their own. Nulls: a null
+text has no shingle and fingerprint zero, like an empty one; a row with null doc_id gets its fingerprint and no
+component. Repeated rows are returned as often as they occur. Texts of any length are read whole, in chunks of
+shingles. An empty table gives an empty result; columns of docs with clashing names don't matter to
+near_duplicates and stay in first_of_each.
 """
 
 from __future__ import annotations
@@ -21,15 +25,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
 from .text import releasing
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 3
-#: A variant with more members is split by the bytes of the other segment before comparison.
-SPLIT_ABOVE = 2048
+#: A variant with about so many members is dealt out by the bytes of the other segment; its heat is estimated from one
+#: fingerprint in HEAT_SHARE, and at most HOT_KEYS variants (16 bytes each) are sent to the executors. Larger groups that
+#: remain are split in their task.
+SPLIT_ABOVE, HEAT_SHARE, HOT_KEYS = 2048, 16, 50_000
 _BLOCK = 512
 _CHUNK_SHINGLES = 1 << 18
 
@@ -62,25 +68,43 @@ def _fingerprint_batches(shingle: int):
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             fps = np.fromiter((fingerprint(x.as_py() or b"", shingle) for x in texts), dtype=np.int64, count=batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps)], names=["doc_id", "fp"])
+            columns = {n: batch.column(n) for n in batch.schema.names if n != "text"} | {"fp": pa.array(fps)}
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return releasing(run)
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): one row a document."""
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_fingerprint_batches(shingle), "doc_id long, fp long")
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *others: Column) -> DataFrame:
+    """(doc_id, others, fp): one row a document."""
+    source = docs.select("doc_id", *others, F.coalesce("text", F.lit("")).alias("text"))
+    return source.mapInArrow(_fingerprint_batches(shingle), source.drop("text").schema.add("fp", "long"))
+
+
+_LOW = 0xFFFFFFFF
 
 
 def variants(fps: DataFrame) -> DataFrame:
     """(key, fp): each fingerprint under the 64 one-wildcard variants of its two segments."""
-
-    low, full = F.col("fp").bitwiseAND(0xFFFFFFFF), 0xFFFFFFFF
-    high = F.shiftrightunsigned("fp", 32)
-    keys = [(high if v < 32 else low).bitwiseAND(full & ~(1 << v % 32)).bitwiseOR(v << 32) for v in range(64)]
+    low, high = F.col("fp").bitwiseAND(_LOW), F.shiftrightunsigned("fp", 32)
+    keys = [(high if v < 32 else low).bitwiseAND(_LOW & ~(1 << v % 32)).bitwiseOR(v << 32) for v in range(64)]
     return fps.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
+def hot_variants(fps: DataFrame, split_above: int = SPLIT_ABOVE, share: int = HEAT_SHARE) -> DataFrame:
+    """(key): the variants with about split_above members or more, the hottest HOT_KEYS of them."""
+    some = fps.where(F.pmod(F.xxhash64("fp"), F.lit(share)) == 0) if share > 1 else fps
+    counted = variants(some).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") * share >= split_above)
+    return counted.orderBy(F.desc("n"), "key").limit(HOT_KEYS).select("key")
+
+
+def dealt(fps: DataFrame, hot: DataFrame) -> DataFrame:
+    """(key, part, fp): variants, those of hot ones under each byte of the other segment."""
+    found = variants(fps).join(F.broadcast(hot.withColumn("hot", F.lit(True))), "key", "left")
+    other = F.when(F.shiftrightunsigned("key", 32) < 32, F.col("fp").bitwiseAND(_LOW)).otherwise(F.shiftrightunsigned("fp", 32))
+    bytes_ = F.array(*[F.shiftrightunsigned(other, 8 * j).bitwiseAND(0xFF).bitwiseOR(j << 8).cast("int") for j in range(4)])
+    return found.select("key", F.explode(F.when(F.col("hot"), bytes_).otherwise(F.array(F.lit(-1)))).alias("part"), "fp")
+
+
 def _near(block: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return (np.bitwise_count(block[:, None] ^ rest) <= MAX_DISTANCE).any(axis=0)
 
@@ -114,8 +138,10 @@ def _compare(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     shift = np.uint64(0 if key >> 32 < 32 else 32)
     other = (fps >> shift) & np.uint64(0xFFFFFFFF)
     tails, heads = [], []
-    for byte in range(4):
-        part = (other >> np.uint64(8 * byte)) & np.uint64(0xFF)
+    parts = [(other >> np.uint64(8 * byte)) & np.uint64(0xFF) for byte in range(4)]
+    if any((p == p[0]).all() for p in parts):
+        return spanning_links(fps)
+    for part in parts:
         for value in np.unique(part):
             t, h = spanning_links(fps[part == value])
             tails.append(t)
@@ -124,45 +150,40 @@ def _compare(key: int, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _link_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by key; a key's rows may run over several batches."""
+    """Rows come sorted by key and part; a group's rows may run over several batches."""
     held_key, held = None, []
 
     def links(key, parts):
-        t, h = _compare(key, np.concatenate(parts))
+        t, h = _compare(key[0], np.concatenate(parts))
         return pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(h.view(np.int64))], names=["u", "v"])
 
     for batch in batches:
-        keys = batch.column("key").to_numpy()
+        keys, part = batch.column("key").to_numpy(), batch.column("part").to_numpy()
         fps = batch.column("fp").to_numpy().view(np.uint64)
         if not len(keys):
             continue
-        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        at = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])])
         ends = np.r_[at[1:], len(keys)]
-        if held_key is not None and keys[0] != held_key:
-            if sum(map(len, held)) > 1:
-                yield links(held_key, held)
-            held_key, held = None, []
-        for i in np.flatnonzero(ends - at > 1) if len(at) > 1 else []:
-            if i == len(at) - 1 or (i == 0 and held_key is not None):
+        for i, (a, z) in enumerate(zip(at.tolist(), ends.tolist(), strict=True)):
+            if i and i < len(at) - 1:
+                if z - a > 1:
+                    yield links((int(keys[a]), int(part[a])), [fps[a:z]])
                 continue
-            yield links(int(keys[at[i]]), [fps[at[i] : ends[i]]])
-        if held_key is not None:
-            held.append(fps[: ends[0]].copy())
-            if len(at) > 1:
+            key = (int(keys[a]), int(part[a]))
+            if key != held_key:
                 if sum(map(len, held)) > 1:
                     yield links(held_key, held)
-                held_key, held = None, []
-        if held_key is None:
-            held_key, held = int(keys[at[-1]]), [fps[at[-1] :].copy()]
-    if held_key is not None and sum(map(len, held)) > 1:
+                held_key, held = key, []
+            held.append(fps[a:z].copy())
+    if sum(map(len, held)) > 1:
         yield links(held_key, held)
 
 
 def near_links(fps: DataFrame) -> DataFrame:
     """(u, v): links that connect exactly the fingerprints within reach of one another. fps: distinct fp."""
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sorted_keys = variants(fps).repartition(n, "key").sortWithinPartitions("key")
-    return sorted_keys.mapInArrow(_link_groups, "u long, v long").dropDuplicates()
+    groups = dealt(fps, hot_variants(fps, SPLIT_ABOVE, HEAT_SHARE)).repartition(n, "key", "part").sortWithinPartitions("key", "part")
+    return groups.mapInArrow(_link_groups, "u long, v long").dropDuplicates()
 
 
 def components(links: DataFrame, rounds: int = 100) -> DataFrame:
@@ -195,25 +216,30 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def _components_of(fps: DataFrame) -> DataFrame:
+    """(fp, component, component_id): of each fingerprint in (doc_id, fp) its component and the least doc_id there."""
+    classes = written(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    found = components(written(near_links(classes.select("fp")), "links")).withColumnRenamed("node", "fp")
+    named = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return named.join(least, "component").select("fp", "component", "component_id")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id): each document with the smallest doc_id that links reach from it."""
     fps = written(fingerprints(docs, shingle), "simhash")
-    classes = fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("node"))
-    links = written(near_links(classes.select("fp")), "links")
-    by_fp = lambda end: classes.select(F.col("fp").alias(end), F.col("node").alias(f"{end}_node"))
-    nodes = links.join(by_fp("u"), "u").join(by_fp("v"), "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    named = classes.join(components(nodes), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    out = fps.join(named, "fp", "left")
+    out = fps.join(_components_of(fps), "fp", "left")
     return out.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
 def first_of_each(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """docs without near duplicates: the document with the smallest doc_id of each component stays, once.
-
-    Rows with null doc_id stay.
+    """docs without near duplicates: of each component the row with the smallest doc_id stays, once; of several such
+    rows the one with the smallest hash of its text. Rows with null doc_id stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    ours = docs.where(F.col("doc_id").isNotNull()).join(keep.hint("merge"), "doc_id", "left_semi")
-    one = ours.dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    edition = F.xxhash64(F.coalesce("text", F.lit("")))
+    found = written(fingerprints(docs, shingle, edition.alias("edition")), "simhash")
+    rows = found.where(F.col("doc_id").isNotNull()).join(_components_of(found.select("doc_id", "fp")), "fp")
+    kept = rows.groupBy("component").agg(F.min(F.struct("doc_id", "edition")).alias("first")).select("first.*")
+    whole = docs.where(F.col("doc_id").isNotNull()).select("doc_id", edition.alias("edition"), F.struct(*docs.columns).alias("row"))
+    one = whole.join(kept.hint("merge"), ["doc_id", "edition"], "left_semi").groupBy("doc_id", "edition").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return one.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
