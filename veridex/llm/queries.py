@@ -81,15 +81,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "op2_url_filter": r"""
         WITH parts AS (
-            SELECT page_id,
+            SELECT page_id, row_number() OVER () AS row_no,
                    coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
                    coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path
             FROM pages),
         rules(h, p, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
         fits AS (
-            SELECT page_id, host, path, h || p AS rule, v
+            SELECT page_id, row_no, host, path, h || p AS rule, v
             FROM parts LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p))
         SELECT page_id, host, path, arg_max(rule, length(rule)) AS rule, coalesce(arg_max(v, length(rule)), 'allow') AS verdict
-        FROM fits GROUP BY page_id, host, path
+        FROM fits GROUP BY page_id, row_no, host, path
     """,
 }

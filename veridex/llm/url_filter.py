@@ -5,8 +5,12 @@ path that is as long as some rule's path. Expressions meet rules by equality of
 SHA-256 digests; the full digest confirms, and of the rules that fit the longest wins (then the longer host).
 
 Rules are broadcast only while their number is within a bound; beyond it the same equality is a shuffled join,
-whose large partitions Spark splits. Nulls: a null url, or one without "://", has empty host and path and
-fits no rule. Repeated rows are returned as often as they occur; an empty rule table allows everything.
+whose large partitions Spark splits. Urls with one host and like paths are judged once, and verdicts of hosts that
+hold many urls go to these by broadcast (see heat).
+
+Nulls: a null url, or one without "://", has empty host and path and fits no rule. Repeated rows are returned as
+often as they occur; an empty rule table allows everything, an empty url table gives an empty result. Of other
+columns only the key stays, so their names don't matter. Urls of any length are judged whole.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .heat import attached, hot_keys
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 DEFAULT_VERDICT = "allow"
 #: Rules up to this number (of at most 4 KB each) are broadcast.
@@ -55,7 +61,9 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
     lengths = F.array(*[F.lit(n) for n in sorted(facts[1])]) if facts[1] else F.array().cast("array<int>")
     # many urls share an expression, and expressions of one url differ: urls with one host and like prefixes are judged once
     longest = max(facts[1], default=0)
-    stems = parts.select("host", F.substring("path", 1, longest).alias("stem")).distinct()
+    stem = F.substring("path", 1, longest)
+    counted = parts.groupBy("host", stem.alias("stem")).agg(F.count("*").alias("n"))
+    stems = counted.select("host", "stem")
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     prefixes = F.transform(F.filter(lengths, lambda n: n <= F.length("stem")), lambda n: F.substr("stem", F.lit(1), n))
@@ -65,5 +73,6 @@ def judge(urls: DataFrame, rules: DataFrame, key: str = "page_id", url: str = "u
     index = index.drop("path_length")
     fits = expressions.join(F.broadcast(index) if small else index, "short").where("digest = rule_digest")
     best = fits.groupBy("host", "stem").agg(F.max(F.struct(F.length("rule").alias("n"), "host_length", "rule", "rule_verdict")).alias("best"))
-    joined = parts.withColumn("stem", F.substring("path", 1, longest)).join(best, ["host", "stem"], "left")
+    hot = hot_keys(counted, ["host", "stem"], urls.count())
+    joined = attached(parts.withColumn("stem", stem), best, ["host", "stem"], hot)
     return joined.select(key, "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.rule_verdict", F.lit(default)).alias("verdict"))
