@@ -5,12 +5,15 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veridex.llm import ann, sharding, url_filter
+from veridex.llm import ann, heat, queries, sharding, url_filter
 from veridex.llm.queries import URL_RULES
 
+SMALL = "/root/testdata/sf0.01"
+
 RULES = "host string, path string, verdict string"
 
 
@@ -40,6 +43,15 @@ def test_urls_match_definition(spark):
         assert sorted(map(str, map(tuple, found))) == sorted(str((i, *plain_verdict(u, rules))) for i, u in [*enumerate(URLS), (0, None)])
 
 
+@pytest.mark.parametrize("most", [2000, 2])
+def test_urls_of_a_hot_host(spark, monkeypatch, most):
+    monkeypatch.setattr(heat, "MOST", most)
+    urls = [*URLS, *["http://hot.net/x"] * 60, *["http://cold.com/x"] * 60, *[None] * 30]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    found = url_filter.judge(pages, spark.createDataFrame(URL_RULES, RULES)).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(str((i, *plain_verdict(u, URL_RULES))) for i, u in enumerate(urls))
+
+
 def test_urls_beyond_the_broadcast_bound(spark, monkeypatch):
     monkeypatch.setattr(url_filter, "BROADCAST_RULES", 0)
     pages = spark.createDataFrame(list(enumerate(URLS)), "page_id long, url string")
@@ -56,9 +68,10 @@ def vectors(spark, n=900, dim=8, seed=15):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
 
 
-def test_neighbours_recall_and_scores(spark):
+@pytest.mark.parametrize("block_rows", [40, 300])
+def test_neighbours_recall_and_scores(spark, block_rows):
     rows, df = vectors(spark)
-    found = ann.search(df, F.col("vec_id") % 20 == 0, k=10, segment_rows=300, chunk_rows=20).collect()
+    found = ann.search(df, F.col("vec_id") % 20 == 0, k=10, block_rows=block_rows, chunk_rows=20).collect()
     x = np.array([r[1] for r in rows], dtype=np.float64)
     x = x.astype(np.float32).astype(np.float64)
     by = {}
@@ -77,14 +90,64 @@ def test_neighbours_recall_and_scores(spark):
     assert hit >= 0.9 * 450
 
 
+def plain_neighbours(rows, k=20):
+    """query row -> the k best other rows, by definition: (query_id, rank, vec_id, score)."""
+    x = np.array([v for _, v in rows], dtype=np.float64)
+    out = []
+    for i, (q, _) in enumerate(rows):
+        if q % 20 == 0:
+            s = x @ x[i]
+            best = sorted((-float(s[j]), rows[j][0]) for j in range(len(rows)) if j != i)[:k]
+            out += [(q, r + 1, v, -n) for r, (n, v) in enumerate(best)]
+    return out
+
+
+def test_neighbours_of_repeated_rows_are_exact(spark):
+    rng = np.random.default_rng(20)
+    rows = [(i % 25, [float(a) for a in np.round(rng.normal(size=4), 1)]) for i in range(40)]
+    rows += [(60, rows[0][1])] * 30 + [(100 + i, rows[0][1]) for i in range(30)] + [(7, rows[1][1]), (0, rows[2][1])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    found = sorted((r[0], r[1], r[2], round(r[3], 9)) for r in ann.search(df, F.col("vec_id") % 20 == 0, probe_share=1.0).collect())
+    assert found == sorted((q, r, v, round(s, 9)) for q, r, v, s in plain_neighbours(rows))
+
+
+def test_near_copies_beyond_rerank_are_all_compared(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=16)
+    rows = [(i, [float(a) for a in base + 1e-9 * rng.normal(size=16)]) for i in range(1500)] + [(2000 + i, [float(a) for a in rng.normal(size=16)]) for i in range(2000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = ann.search(df, F.col("vec_id").isin(0, 20)).collect()
+    x = np.array([v for _, v in rows])
+    for q in (0, 20):
+        bar = np.sort(np.delete(x @ x[q], q))[-20]
+        assert sum(r["score"] >= bar - 1e-15 for r in found if r["query_id"] == q) >= 18
+
+
+def test_registered_neighbours_query_reaches_the_recall(spark):
+    table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect() if r["embedding"] is not None]
+    want, found = {}, {}
+    for q, _, v, _ in plain_neighbours(rows):
+        want.setdefault(q, set()).add(v)
+    for r in queries.QUERIES["op4_ann"](spark, SMALL).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(found) == set(want) and all(len(f) == 20 for f in found.values())
+    assert sum(len(want[q] & found[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_neighbours_edges(spark):
-    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.5]), (7, [float("inf"), 0.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    found = [tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect()]
-    assert found == [(0, 1, 1, 0.5)]
+    rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]), (6, [1.0]), (None, [1.0, 1.0]), (1, [0.5, 0.25]), (7, [float("inf"), 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit("clash"))
+    found = sorted(tuple(r) for r in ann.search(df, F.col("vec_id") % 20 == 0).collect())
+    assert found == [(0, 1, 1, 0.5), (0, 2, 1, 0.5)]
     assert ann.search(df.limit(0), F.lit(True)).collect() == []
 
 
+def test_blocks_hold_whole_lists_and_parts_of_large_ones():
+    first, parts, blocks = ann.blocks_of(np.array([3, 4, 0, 25, 5, 9]), 10)
+    assert first.tolist() == [0, 0, 0, 1, 4, 5] and parts.tolist() == [1, 1, 1, 3, 1, 1] and blocks == 6
+
+
 def plain_shards(keys, shards, virtual):
     """Bounded loads by definition, key by key, for the same order of offers."""
     points = sharding.ring_points(shards, virtual)

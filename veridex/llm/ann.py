@@ -1,21 +1,23 @@
 """Approximate nearest neighbours: an inverted file with product-quantised residuals.
 
 Coarse centroids and the codebooks of the residuals' subspaces are fitted on a bounded sample (`sample_rows`
-vectors, chosen by a hash of the id). Every vector is indexed: assigned to its nearest centroid's list, its
+vectors, chosen by a hash of the vector). Every vector is indexed: assigned to its nearest centroid's list, its
 residual coded subspace by subspace. A query looks at its best lists, `probe_share` of them. There asymmetric distance
-tables - the query's inner products with all code words - score the codes, and
-the best `rerank` of all lists are ranked by their exact inner product in double precision.
+tables - the query's inner products with all code words - score the codes, and the best `rerank` of all lists, with
+all that tie with the last of them, are ranked by their exact inner product in double precision.
 
-Vectors are dealt out to segments of about `segment_rows` by a hash of vec_id, each with its part of every
-list, so no list, however hot, and no group of equal vectors meets in one task; queries visit all segments, in
-chunks of about `chunk_rows`. As the hash deals the best candidates out evenly, a segment returns its share of
-`rerank` with a margin, and what is returned for a query hardly grows with the number of segments. The number
-of lists grows with the square root of the number of vectors, up to the size of the sample. Of candidates with
-equal scores those with the smaller vec_id go on.
+Equal vectors are one class, which is indexed, and asked, once. As ties go to the smaller vec_id, a class needs only its
+k + 1 smallest vec_ids, however many rows it has.
+
+Lists are gathered in blocks of about `block_rows` vectors; a list that is larger than a block is split over several by
+a hash. A query is sent to the blocks that hold lists it looks at, in chunks of about `chunk_rows` queries, and each block
+returns its best `rerank`, so nothing of the best is left out and no task holds more than a block and a chunk. The number
+of lists grows with the square root of the number of vectors, up to the size of the sample.
 
 Vectors that are null, zero, of another length than most, or hold null or non-finite components take no part.
-Of rows with one vec_id any one is searched for, found and scored. With fewer candidates than k all are
-returned. On vectors without clusters (as random ones) recall needs most lists; `probe_share` says how many.
+Repeated vec_ids: every row with a query's vec_id asks, and all rows but itself are candidates. With fewer candidates
+than k all are returned. An empty table gives an empty result; other columns don't matter, whatever their names. On
+vectors without clusters (as random ones) recall needs most lists; `probe_share` says how many.
 """
 
 from __future__ import annotations
@@ -29,10 +31,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .heat import attached, hot_keys
 from .store import written
 
-SAMPLE_ROWS, SEGMENT_ROWS, CHUNK_ROWS, K = 8192, 16_384, 4096, 20
-PROBE_SHARE, RERANK, SUBSPACES, CODES = 0.85, 400, 16, 256
+SAMPLE_ROWS, BLOCK_ROWS, CHUNK_ROWS, K = 8192, 65_536, 65_536, 20
+#: Small tables are still cut into so many blocks, so that their work is shared out.
+LEAST_BLOCKS = 12
+PROBE_SHARE, RERANK, SUBSPACES, CODES = 0.75, 150, 32, 256
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
@@ -78,22 +83,37 @@ class Quantizer:
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
-    v = F.col(vector).cast("array<double>")
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    some = F.exists("v", lambda x: x != 0.0)
+    """(vec_id, v) of the vectors that take part."""
+    v = F.col(vector)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
+    some = F.exists("v", lambda x: x != 0)
     rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     rows = rows.where(F.coalesce(finite & some, F.lit(False)))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     return rows.where(F.size("v") == (sizes["n"] if sizes else 0))
 
 
-def fit(rows: DataFrame, total: int, sample_rows: int = SAMPLE_ROWS) -> Quantizer | None:
-    """A quantizer from about sample_rows vectors."""
-    u = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(u < min(1.0, sample_rows / max(total, 1))).select("v").toPandas() if total else None
+def hashed(rows: DataFrame) -> DataFrame:
+    """rows with two independent 64-bit hashes of the vector, which name its class; zeros count without their sign."""
+    plain = F.transform("v", lambda x: F.when(x == 0, F.lit(0).cast(rows.schema["v"].dataType.elementType)).otherwise(x))
+    return rows.withColumn("p", plain).withColumns({"h1": F.xxhash64("p"), "h2": F.xxhash64(F.lit(1), F.reverse("p"))}).drop("p")
+
+
+def classes_of(rows: DataFrame, k: int) -> DataFrame:
+    """(c, h1, h2, v, asked, n_asked, ids): the distinct vectors of (vec_id, v, h1, h2, asked), with the k + 1 smallest vec_ids."""
+    least = Window.partitionBy("h1", "h2").orderBy("vec_id")
+    few = rows.select("h1", "h2", "vec_id").withColumn("r", F.row_number().over(least)).where(F.col("r") <= k + 1)
+    ids = few.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    one = rows.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.count_if("asked").alias("n_asked"))
+    return written(one.join(ids, ["h1", "h2"]).withColumn("c", F.monotonically_increasing_id()), "classes")
+
+
+def fit(classes: DataFrame, total: int, sample_rows: int = SAMPLE_ROWS) -> Quantizer | None:
+    """A quantizer from about sample_rows distinct vectors."""
+    u = F.pmod(F.col("h1"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    sample = classes.where(u < min(1.0, sample_rows / max(total, 1))).select("v").toPandas() if total else None
     if sample is None or sample.empty:
-        sample = rows.limit(1).select("v").toPandas()
+        sample = classes.limit(1).select("v").toPandas()
         if sample.empty:
             return None
     x = np.stack(sample["v"].to_numpy()).astype(np.float32)
@@ -101,6 +121,20 @@ def fit(rows: DataFrame, total: int, sample_rows: int = SAMPLE_ROWS) -> Quantize
     return Quantizer(x[order], lists=max(1, math.isqrt(total)))
 
 
+def blocks_of(sizes: np.ndarray, block_rows: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Each list's first block and number of blocks, and the number of all blocks: whole lists, in order, up to about
+    block_rows vectors a block; larger lists are split."""
+    first, parts, block, held = np.zeros(len(sizes), np.int64), np.ones(len(sizes), np.int64), 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if held and held + n > block_rows:
+            block, held = block + 1, 0
+        first[i], parts[i] = block, max(1, math.ceil(n / block_rows))
+        held += n
+        if parts[i] > 1:
+            block, held = block + int(parts[i]), 0
+    return first, parts, block + (held > 0)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -112,92 +146,113 @@ def _index_batches(quantizer):
             if batch.num_rows:
                 own, codes = q.encode(_matrix(batch.column("v"), q.dim).astype(np.float32))
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(own.astype(np.int32)), packed], names=["vec_id", "list", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own.astype(np.int32)), packed], names=["c", "list", "code"])
 
     return run
 
 
-def _probe_batches(quantizer, probes: int):
+def _probe_batches(quantizer, layout, probes: int):
+    """For each query and block that holds lists it looks at a row with these lists."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q: Quantizer = quantizer.value
+        first, parts, _ = layout.value
         for batch in batches:
-            if batch.num_rows:
-                score = _matrix(batch.column("v"), q.dim).astype(np.float32) @ q.coarse.T
-                best = np.argsort(-score, axis=1, kind="stable")[:, :probes]
-                lists = pa.array(list(best.astype(np.int32)), pa.list_(pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("v"), lists], names=["query_id", "v", "lists"])
+            v = _matrix(batch.column("v"), q.dim).astype(np.float32)
+            ids = batch.column("c").to_numpy()
+            for at in range(0, len(v), 64):
+                score = v[at : at + 64] @ q.coarse.T
+                best = np.sort(np.argsort(-score, axis=1, kind="stable")[:, :probes], axis=1)
+                rows = []
+                for i, lists in enumerate(best):
+                    block = np.repeat(first[lists], parts[lists]) + np.arange(parts[lists].sum()) - np.repeat(np.cumsum(parts[lists]) - parts[lists], parts[lists])
+                    member = np.repeat(lists, parts[lists])
+                    order = np.argsort(block, kind="stable")
+                    cuts = np.flatnonzero(np.r_[True, np.diff(block[order]) != 0])
+                    rows += [(int(block[order[a]]), int(ids[at + i]), v[at + i], member[order[a:z]].astype(np.int32)) for a, z in zip(cuts, np.r_[cuts[1:], len(order)], strict=True)]
+                columns = [pa.array([r[j] for r in rows], kind) for j, kind in enumerate((pa.int32(), pa.int64(), pa.list_(pa.float32()), pa.list_(pa.int32())))]
+                yield pa.RecordBatch.from_arrays(columns, names=["block", "q", "v", "lists"])
 
     return run
 
 
-def _search_segment(quantizer, returned: int):
-    """The best of a segment for each query of a chunk, by asymmetric distance tables."""
+def _search_block(quantizer, rerank: int):
+    """The best of a block for each query of a chunk, by asymmetric distance tables, with all that tie with the last."""
 
     def run(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         q: Quantizer = quantizer.value
         found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(queries) and len(members):
-            members = members.sort_values(["list", "vec_id"], kind="stable")
-            ids, lists = members["vec_id"].to_numpy(), members["list"].to_numpy()
-            codes = np.ascontiguousarray(np.frombuffer(b"".join(members["code"]), dtype=np.uint8).reshape(len(ids), -1).T)
-            cuts = np.searchsorted(lists, np.arange(len(q.coarse) + 1))
+            members = members.sort_values(["list", "c"], kind="stable")
+            ids, lists = members["c"].to_numpy(), members["list"].to_numpy()
+            codes = np.ascontiguousarray(np.frombuffer(b"".join(members["code"]), dtype=np.uint8).reshape(len(ids), -1).T).astype(np.int64)
+            starts, ends = np.searchsorted(lists, np.arange(len(q.coarse))), np.searchsorted(lists, np.arange(len(q.coarse)), side="right")
             for at in range(0, len(queries), 64):
                 part = queries.iloc[at : at + 64]
                 v = np.stack(part["v"].to_numpy()).astype(np.float32)
                 tables, base = q.tables(v), v @ q.coarse.T
-                for i, (query, probed) in enumerate(zip(part["query_id"].to_numpy(), part["lists"], strict=True)):
-                    wanted = np.zeros(len(q.coarse), dtype=bool)
-                    wanted[probed] = True
-                    rows = np.flatnonzero(np.repeat(wanted, np.diff(cuts)))
-                    score = base[i, lists[rows]]
-                    for j, own in enumerate(codes):
-                        score = score + tables[i, j][own[rows]]
-                    keep = ids[rows] != query
-                    rows, score = rows[keep], score[keep]
-                    if len(rows) > returned:
-                        cut = np.partition(score, len(score) - returned)[len(score) - returned]
-                        level = np.flatnonzero(score == cut)
-                        above = np.flatnonzero(score > cut)
-                        level = level[np.argsort(ids[rows[level]], kind="stable")][: returned - len(above)]
-                        best = np.r_[above, level]
+                for i, (query, probed) in enumerate(zip(part["q"].to_numpy(), part["lists"], strict=True)):
+                    probed = probed[ends[probed] > starts[probed]]
+                    sizes = ends[probed] - starts[probed]
+                    rows = np.repeat(starts[probed] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+                    score = np.repeat(base[i, probed], sizes)
+                    own = codes[:, rows]
+                    for j, table in enumerate(tables[i]):
+                        score += table[own[j]]
+                    if len(rows) > rerank:
+                        best = np.flatnonzero(score >= np.partition(score, len(score) - rerank)[len(score) - rerank])
                         rows, score = rows[best], score[best]
                     found.append((np.full(len(rows), query), ids[rows], score))
         empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else empty
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "near"), columns, strict=True)))
+        return pd.DataFrame(dict(zip(("q", "c", "near"), columns, strict=True)))
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float = PROBE_SHARE, rerank: int = RERANK, segment_rows: int = SEGMENT_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k rows nearest to each row for which is_query holds."""
+def search(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float = PROBE_SHARE, rerank: int = RERANK, block_rows: int = BLOCK_ROWS, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k rows nearest to each row for which is_query (of vec_id) holds."""
     spark = vectors.sparkSession
-    rows = usable(vectors).dropDuplicates(["vec_id"])
-    total, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    model = fit(rows, total)
+    rows = hashed(usable(vectors)).withColumn("asked", is_query)
+    classes = classes_of(rows, k)
+    total, asked, rows_asked = classes.agg(F.count("*"), F.count_if(F.col("n_asked") > 0), F.sum("n_asked")).first()
+    model = fit(classes, total)
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(model)
-    segments, chunks = max(1, math.ceil(total / segment_rows)), max(1, math.ceil(asked / chunk_rows))
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    index = written(rows.mapInArrow(_index_batches(shared), "vec_id long, list int, code binary"), "ivf")
-    members = index.select(part("vec_id", segments).alias("segment"), spread(chunks).alias("chunk"), "vec_id", "list", "code")
+    index = written(classes.select("c", "v").mapInArrow(_index_batches(shared), "c long, list int, code binary"), "ivf")
+    sizes = np.zeros(len(model.coarse), dtype=np.int64)
+    for r in index.groupBy("list").count().collect():
+        sizes[r["list"]] = r["count"]
+    first, parts, blocks = blocks_of(sizes, min(block_rows, max(1024, total // LEAST_BLOCKS)))
+    layout = spark.sparkContext.broadcast((first, parts, blocks))
+    where = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, parts, strict=True))], "list int, first int, parts int")
+    chunks = max(1, math.ceil(asked / chunk_rows))
+    block = (F.col("first") + F.pmod(F.xxhash64("c"), F.col("parts"))).cast("int")
+    members = index.join(F.broadcast(where), "list").select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "c", "list", "code")
     probes = max(1, math.ceil(probe_share * len(model.coarse)))
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "v")
-    sent = queries.mapInArrow(_probe_batches(shared, probes), "query_id long, v array<double>, lists array<int>")
-    sent = sent.select(spread(segments).alias("segment"), part("query_id", chunks).alias("chunk"), "query_id", F.transform("v", lambda x: x.cast("float")).alias("v"), "lists")
-    share = rerank / segments
-    returned = min(rerank, math.ceil(share + 6 * math.sqrt(share)) + k // 4)
-    found = sent.groupBy("segment", "chunk").cogroup(members.groupBy("segment", "chunk")).applyInPandas(_search_segment(shared, returned), "query_id long, vec_id long, near float")
-    return _reranked(found, rows, queries, k, rerank)
-
-
-def _reranked(found: DataFrame, rows: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("near"), "vec_id")
-    short = found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= rerank).select("query_id", "vec_id").distinct()
-    exact = short.join(rows.select("vec_id", F.col("v").alias("y")), "vec_id").join(queries.select("query_id", F.col("v").alias("x")), "query_id")
-    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    scored = exact.select("query_id", "vec_id", dot.alias("score"))
-    last = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    queries = classes.where("n_asked > 0")
+    sent = queries.select("c", "v").mapInArrow(_probe_batches(shared, layout, probes), "block int, q long, v array<float>, lists array<int>")
+    sent = sent.select("block", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("chunk"), "q", "v", "lists")
+    found = sent.groupBy("block", "chunk").cogroup(members.groupBy("block", "chunk")).applyInPandas(_search_block(shared, rerank), "q long, c long, near float")
+    top = _reranked(found, classes, k, rerank)
+    # every asking row gets its class's list without itself
+    asking = rows.where("asked").select("vec_id", "h1", "h2")
+    answers = queries.select("h1", "h2", F.col("c").alias("own"), "n_asked").join(top, F.col("own") == top["q"], "left").drop("q")
+    each = attached(asking, answers, ["h1", "h2"], hot_keys(queries, ["h1", "h2"], rows_asked or 0, "n_asked"))
+    itself = F.array_position(F.transform("best", lambda b: (b["c"] == F.col("own")) & (b["vec_id"] == F.col("vec_id"))), True)
+    others = F.filter("best", lambda b, i: i + 1 != itself)
+    ranked = each.select(F.col("vec_id").alias("query_id"), F.posexplode(F.slice(others, 1, k)).alias("i", "b"))
+    return ranked.select("query_id", (F.col("i") + 1).alias("rank"), "b.vec_id", "b.score")
+
+
+def _reranked(found: DataFrame, classes: DataFrame, k: int, rerank: int) -> DataFrame:
+    """(q, best): for each class that asks the k + 1 best rows, itself included, by exact score, then vec_id."""
+    by = Window.partitionBy("q")
+    short = found.withColumn("r", F.rank().over(by.orderBy(F.desc("near")))).where(F.col("r") <= rerank).select("q", "c")
+    exact = short.join(classes.select("c", F.col("v").alias("y")), "c").join(classes.select(F.col("c").alias("q"), F.col("v").alias("x")), "q")
+    dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    scored = exact.select("q", "c", dot.alias("score")).withColumn("r", F.rank().over(by.orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
+    rows = scored.join(classes.select("c", "ids"), "c").select("q", "c", "score", F.explode("ids").alias("vec_id"))
+    last = rows.withColumn("r", F.row_number().over(by.orderBy(F.desc("score"), "vec_id", "c"))).where(F.col("r") <= k + 1)
+    return last.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "c", "vec_id", "score"))), lambda x: x.dropFields("r")).alias("best"))
