@@ -136,6 +136,22 @@ def test_best_path_is_viterbi():
             assert abs(s[np.arange(n), path].sum() - 2.0 * (np.diff(path) != 0).sum() - value.max()) < 1e-3
 
 
+@pytest.mark.parametrize("languages", range(2, 9))
+def test_best_path_is_exact_whatever_the_penalty(languages):
+    blocks = np.array([[0, 2, -20]] * 5 + [[0, -20, 2]] * 5, dtype=np.float32)
+    assert language.best_path(blocks, 12.0).tolist() == [1] * 5 + [2] * 5
+    rng = np.random.default_rng(languages)
+    for penalty in (2.0, 5.0, 8.0, 12.0, 16.0, 20.0):
+        for n in (1, 2, 3, 10, 40):
+            for _ in range(25):
+                s = np.repeat(rng.normal(size=(n, languages)).astype(np.float32) * rng.choice([1, 3, 8]), rng.integers(1, 6), axis=0)
+                path = language.best_path(s, penalty)
+                value = s[0].astype(float)
+                for row in s[1:]:
+                    value = row + np.maximum(value, value.max() - penalty)
+                assert abs(s[np.arange(len(s)), path].sum() - penalty * (np.diff(path) != 0).sum() - value.max()) < 1e-3
+
+
 def test_best_path_of_two_stretches_against_the_best_single_language():
     s = np.array([[10, -20, 0], [-20, 10, 0]], dtype=np.float32)
     assert language.best_path(s, 12.0).tolist() == [0, 1]
@@ -228,6 +244,54 @@ def test_markov_models_score_keys_without_digits(spark):
     assert [r["text"] for r in secret_scan.redacted(docs, model=model).collect()] == ["x [secret] y"]
 
 
+def planted(rng):
+    """Strings of shapes that the patterns don't know, and identifiers of code."""
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    pick = lambda signs, n: "".join(rng.choice(signs) for _ in range(n))
+    word = lambda: rng.choice("name account value index table query result stream window parser engine config number total close list column record buffer client server order price".split())
+    secrets = [
+        pick(lower + upper + digits, 20), pick(lower + upper + digits + "+/", 40), pick(upper + digits, 20), pick(lower + digits, 24), pick("0123456789ABCDEF", 32), pick("0123456789abcdef", 24), pick(lower + upper, 24),
+        "-".join(pick("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), "sk_live_" + pick(lower + upper + digits, 24),
+    ]
+    plain = ["_".join(word() for _ in range(4)), word() + "".join(word().title() for _ in range(3)), "/".join(word() for _ in range(4)), "-".join(word() for _ in range(4)), f"{word()}-2021-11-28-{word()}", "".join(word() for _ in range(4)) + "12"]
+    return secrets, plain
+
+
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the given tables")
+def test_markov_models_find_planted_shapes_that_no_pattern_knows(spark):
+    model = secret_scan.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))  # its labels are 40 hex digits only
+    rng, rows, secret = random.Random(25), [], {}
+    for i in range(120):
+        secrets, plain = planted(rng)
+        words = ["the", "of", "thing"] * 3 + secrets + [p for p in plain if len(p) >= 16]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        secret[i] = set(secrets)
+    found = secret_scan.report(spark.createDataFrame(rows, DOC), model=model).collect()
+    right = wrong = 0
+    for r in found:
+        text = dict(rows)[r["doc_id"]]
+        for span in r["spans"].split(","):
+            kind, a, z = span.split(":")
+            if kind == "markov":
+                right += text[int(a) : int(z)] in secret[r["doc_id"]]
+                wrong += text[int(a) : int(z)] not in secret[r["doc_id"]]
+    assert right >= 0.97 * 9 * 120 and wrong <= 0.02 * right
+
+
+def test_secret_report_matches_definition(spark):
+    rows = [(i, t) for i, t in enumerate(SECRETS)] + [(0, SECRETS[1]), (None, None), (7, SECRETS[6] + " " + "x" * 100_000)]
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    model = secret_scan.Ratio(np.zeros((2, secret_scan._SIZE**2)))
+    found = secret_scan.report(spark.createDataFrame(rows, DOC), model=model).collect()
+    want = []
+    for d, t in rows:
+        spans = secret_scan.base_spans(t or "")
+        line = ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
+        want.append((d, *(sum(k == kind for k, _, _ in spans) for kind in ("assign", "access", "hex")), sha(line), line))
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
 def test_secret_redaction_and_edges(spark):
     rows = [(1, "x token=abcdefgh1 y", 19, "a"), (2, None, None, "b"), (2, "clean", 5, "c"), (3, "", 0, "d")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long, spans string")
@@ -300,16 +364,72 @@ def test_field_sums_and_best_path():
     assert tuple(field.best(4, spans, scores)) == max(paths)[1]
 
 
+def finder(field, least=0.8):
+    return lambda run, before: pii.candidates(run, before, field, least)
+
+
 def test_field_learns_from_patterns(spark):
     docs = pii_docs(spark)
     field = pii.train(docs)
     for text, kind in (("mail bob@site.org now", "email"), ("call +1 (203) 555-4321 now", "phone")):
-        assert [k for k, _, _ in pii.added(text, [], field, 0.5)] == [kind]
-    assert pii.added("version 12.2 of 1999, words", [], field) == []
+        assert [k for k, _, _ in pii.added(text, [], finder(field, 0.5))] == [kind]
+    assert pii.added("version 12.2 of 1999, words", [], finder(field)) == []
     found = pii.report(docs).collect()
     assert sum(r["n_email"] for r in found) > 50 and len(found) == 150
 
 
+@pytest.mark.skipif(not os.path.exists(SMALL), reason="needs the given tables")
+def test_field_finds_planted_notations_that_no_pattern_knows(spark):
+    given = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field = pii.train(given)
+    rng, rows, want = random.Random(26), [], {}
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+
+    def card():
+        while not pii.luhn(x := d(16)):
+            pass
+        return ".".join(x[i : i + 4] for i in range(0, 16, 4))
+
+    for i in range(200):
+        kind, entity = [
+            ("phone", f"({d(3)}) {d(3)}-{d(4)}"), ("phone", f"{d(3)}-{d(3)}-{d(4)}"), ("card", card()), ("email", f"{name()}[at]{name()}.org"), ("email", f"{name()}(at){name()}.example.com"),
+            ("ip", "[.]".join(str(rng.randint(1, 254)) for _ in range(4))),
+        ][i % 6]
+        other = [f"{rng.randint(1990, 2030)}-{d(2)}-{d(2)}", d(6), f"page {d(3)} of {d(3)}", f"{d(2)}:{d(2)}:{d(2)}", f"${d(3)},{d(3)}.{d(2)}"][i % 5]
+        text = f"thing of {entity} where und {other} eau"
+        rows.append((i, text))
+        want[i] = f"{kind}:{text.index(entity)}:{text.index(entity) + len(entity)}"
+    found = {r["doc_id"]: r["spans"] for r in pii.report(spark.createDataFrame(rows, DOC), model=field).collect()}
+    right = sum(want[i] in found[i].split(",") for i in want)
+    wrong = sum(s != want[i] for i in want for s in found[i].split(",") if s)
+    assert right >= 0.9 * len(rows) and wrong <= 0.05 * len(rows)
+    clean = pii.report(given, model=field).collect()  # and hardly anything is added to the given texts
+    assert sum(r["spans"].count(":") // 2 - r["n_email"] - r["n_ip"] - r["n_card"] - r["n_phone"] for r in clean) <= 5
+
+
+def test_field_scores_runs_as_a_whole():
+    field, entity = pii.Field(), "(203) 555-4321"
+    for name, weight in (("bias", -9.0), (f"shape={'(9) 9-9'}", 20.0)):
+        field.weights[pii.KINDS.index("phone"), pii._places([name])] = weight
+    for before in (0, 37, 38, 39, 40, 41, 79, 400):  # wherever it lies in a long run
+        text = "x " + "k9 " * before + entity + " k9" * 50
+        assert len(list(pii.runs(text))) == 1
+        assert pii.added(text, [], finder(field)) == [("phone", text.index(entity), text.index(entity) + len(entity))]
+
+
+def test_pii_report_matches_definition(spark):
+    rng = random.Random(27)
+    rows = [(i, "".join(rng.choice("12345.@+-() ab%") for _ in range(rng.randint(0, 60)))) for i in range(300)] + [(None, None), (1, "a@b.co"), (1, "a@b.co")]
+    found = pii.report(spark.createDataFrame(rows, DOC), model=pii.Field()).collect()
+    want = []
+    for d, t in rows:
+        spans = plain_pii(t or "")
+        line = ",".join(f"{k}:{a}:{z}" for k, a, z in spans)
+        want.append((d, *(sum(k == kind for k, _, _ in spans) for kind in pii.KINDS), hashlib.sha256(line.encode()).hexdigest(), line))
+    assert sorted(map(str, map(tuple, found))) == sorted(map(str, want))
+
+
 def test_pii_edges(spark):
     docs = spark.createDataFrame([(1, None, "s"), (1, "", "s"), (None, "a@b.co", "s"), (2, "9" * 5000, "s")], f"{DOC}, spans string")
     assert sorted(r["n_email"] for r in pii.report(docs).collect()) == [0, 0, 0, 1]
@@ -326,7 +446,7 @@ def test_very_long_runs_stay_linear(ranks):
     many = "token=abcdefgh1 a@b.co 10.2.3.4 " * 200
     for text in ("9" * 200_000, "x" * 200_000, "1." * 50_000, "@" * 1000, "a@" * 1000, "+1 " * 1000, "+1" + " " * 200_000, "token " * 30_000, "漢" * 200_000, many):
         base = pii.base_spans(text)
-        pii.added(text, base, field)
+        pii.added(text, base, finder(field))
         own = secret_scan.base_spans(text)
         ratio.added(text, own)
         language._word_grams([text])
