@@ -1,17 +1,21 @@
-"""Near copies by exact Jaccard similarity of word shingles.
-
-Two documents are near copies if the sets of their five-word shingles (hashed to 64 bits; a shorter text is one
-shingle) have a Jaccard similarity of at least 0.8. Documents are kept in the order of doc_id: one stays unless
-it is a near copy of a smaller one that stays. So every document that goes has a near copy that stays, and no
-chain of links drops unlike documents.
-
-Candidates share one of 40 keys of 8 MinHashes each: at similarity 0.8 a pair has one with probability 0.999, at
-0.9 or more with nearly 1. Every decision is taken on a candidate's exact similarity. Documents with equal sets
-are one member. In rounds, the least member of each key is compared with the others, so a group, however large,
-costs one comparison a member and key; once keys are small, all pairs that are left are compared at once. A key
-that many unlike documents share takes a round for each that stays.
-
-Nulls: a null text is like an empty one; rows with null doc_id stay. Of rows with one doc_id one stays.
+"""Near copies by SimHash links and by exact Jaccard similarity of word shingles.
+
+Two documents are near copies if the sets of their five-word shingles (a shorter text is one shingle) have a Jaccard
+similarity of at least 0.8. Documents are kept in the order of doc_id: one stays unless it is a near copy of a smaller
+one that stays. So every document that goes has a near copy that stays, and no chain of links drops unlike documents.
+
+Candidates share a key. One key is their component by SimHash links (see simhash: fingerprints at most 3 bits apart). At
+a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, which deletion variants can't reach in bounded
+space, so there are 40 keys more, of 8 MinHashes each: at similarity 0.8 a pair shares one with probability 0.999, at
+0.9 or more with nearly 1. Every decision is taken on a candidate's exact similarity; the sets hold 32-bit hashes, of
+which two sets of n agree by chance in n * n / 2 ** 32 on average. Documents with equal sets are one member. In rounds,
+the least member of each key is compared with the others, so a group, however large, costs one comparison a member and
+key; once keys are small, all pairs that are left are compared at once. A key that many unlike documents share takes a
+round for each that stays.
+
+Nulls: a null text is like an empty one; rows with null doc_id stay. Of rows with one doc_id and like texts (equal sets
+of shingles) one stays, those with other texts are documents of their own and follow one another by a hash. Texts of any
+length are read whole. An empty table gives an empty result; all columns stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,6 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .store import written
 from .text import releasing
 
@@ -65,33 +70,30 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def narrow(hashes: np.ndarray) -> np.ndarray:
+    """The set by 32 bits of each hash, sorted."""
+    return np.unique((hashes >> np.uint64(32)).astype(np.uint32))
+
+
 def _digest(hashes: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(hashes.tobytes())
 
 
 def _sign_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles(x.as_py()) for x in batch.column("text").cast(pa.large_binary())]
-        digests, keys = pa.array([_digest(s) for s in sets], pa.binary()), pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), digests, keys], names=["doc_id", "digest", "keys"])
-
-
-def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sets of the rows that have the digest wanted; a row like the one before it is left out."""
-    last = None
-    for batch in batches:
-        nodes, sets = [], []
-        for node, text, digest in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.large_binary()), batch.column("digest").to_pylist(), strict=True):
-            own = shingles(text.as_py())
-            if last != (node, digest) and _digest(own) == digest:
-                last = (node, digest)
-                nodes.append(node)
-                sets.append(own.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "shingles"])
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            texts = [x.as_py() for x in part.column("text").cast(pa.large_binary())]
+            sets = [shingles(x) for x in texts]
+            columns = {
+                "doc_id": part.column("doc_id"), "edition": part.column("edition"), "digest": pa.array([_digest(s) for s in sets], pa.binary()), "fp": pa.array([simhash.fingerprint(x) for x in texts], pa.int64()),
+                "keys": pa.array([band_keys(s) for s in sets], pa.list_(pa.int64())), "shingles": pa.array([narrow(s).tobytes() for s in sets], pa.binary()),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
 def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    of = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint64)
+    of = lambda x: np.frombuffer(x.as_buffer(), dtype=np.uint32)
     for batch in batches:
         near = [jaccard(of(a), of(b)) >= LEAST for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
         yield batch.select(["node", "head"]).filter(pa.array(near, pa.bool_()))
@@ -103,24 +105,29 @@ def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(a, "node").join(b, "head").select("node", "head", "a", "b").mapInArrow(_near_batches, "node long, head long").dropDuplicates()
 
 
-def copies(texts: DataFrame) -> DataFrame:
-    """node: the doc_ids that go. texts: doc_id and text, without nulls."""
-    signed = written(texts.mapInArrow(_sign_batches, "doc_id long, digest binary, keys array<long>"), "signs")
-    classes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "keys")).alias("least"))
-    classes = written(classes.select(F.col("least.doc_id").alias("node"), "digest", F.col("least.keys").alias("keys")).dropDuplicates(["node"]), "classes")
-    keys = classes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = written(keys.join(shared, "key").select("key", "node"), "keys")
-    wanted = live.select("node").distinct().join(classes.select("node", "digest"), "node").withColumnRenamed("node", "doc_id")
-    sets = written(texts.join(wanted.hint("merge"), "doc_id").select("doc_id", "text", "digest").mapInArrow(_set_batches, "node long, shingles binary"), "sets")
+_SIGNS = "doc_id long, edition long, digest binary, fp long, keys array<long>, shingles binary"
+
 
-    gone = signed.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_anti").select(F.col("doc_id").alias("node"))
+def kept(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The documents (doc_id, edition) that stay, and those that occur in several rows. texts: doc_id, edition, text, without nulls."""
+    signed = written(texts.mapInArrow(releasing(_sign_batches), _SIGNS), "signs")
+    # a class is a set of shingles; its first document stands for it, and it goes by a number that follows their order
+    classes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "edition")).alias("first")).select("first.*").orderBy("doc_id", "edition")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    members = signed.join(classes, ["doc_id", "edition"])
+    sets = members.select("node", "shingles")
+    linked = members.select("node", "fp").join(simhash.linked(members.select("fp").distinct()), "fp")
+    keys = members.select("node", F.explode("keys").alias("key")).unionByName(linked.select("node", F.xxhash64("component", F.lit("simhash")).alias("key")))
+    shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
+    live = written(keys.join(shared, "key").select("key", "node").distinct(), "keys")
+    gone = classes.select("node").limit(0)
     verified = False  # whether keys hold near copies only
     while True:
         heads = live.groupBy("key").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
         pairs, rows = heads.agg(F.sum(F.expr("n * (n - 1) / 2")), F.sum("n")).first()
         if not rows:
-            return gone.distinct()
+            stay = classes.join(gone.distinct(), "node", "left_anti").select("doc_id", "edition")
+            return written(stay, "stay"), signed.groupBy("doc_id", "edition").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "edition")
         if not verified and pairs <= max(FEW_PAIRS, PAIRS_PER_ROW * rows):
             other = live.select("key", F.col("node").alias("head"))
             near = _near(live.join(other, "key").where("head < node").select("node", "head").distinct(), sets)
@@ -136,8 +143,11 @@ def copies(texts: DataFrame) -> DataFrame:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """docs without near copies of documents that stay, each doc_id once; rows with null doc_id stay."""
+    """docs without near copies of documents that stay, each of these once; rows with null doc_id stay."""
+    edition = F.xxhash64(F.coalesce("text", F.lit("")))
     ours = docs.where(F.col("doc_id").isNotNull())
-    gone = written(copies(ours.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))), "copies")
-    one = ours.join(gone.select(F.col("node").alias("doc_id")).hint("merge"), "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return one.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    stay, repeated = kept(ours.select("doc_id", edition.alias("edition"), F.coalesce("text", F.lit("")).alias("text")))
+    whole = ours.select("doc_id", edition.alias("edition"), F.struct(*docs.columns).alias("row")).join(stay, ["doc_id", "edition"], "left_semi")
+    once = whole.join(repeated, ["doc_id", "edition"], "left_anti").select("row")
+    several = whole.join(repeated, ["doc_id", "edition"], "left_semi").groupBy("doc_id", "edition").agg(F.min_by("row", F.xxhash64("row")).alias("row")).select("row")
+    return once.unionByName(several).select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))

@@ -216,11 +216,15 @@ def components(links: DataFrame, rounds: int = 100) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
 
 
+def linked(fps: DataFrame) -> DataFrame:
+    """(fp, component): the component of each linked one of distinct fingerprints."""
+    return components(written(near_links(fps), "links")).withColumnRenamed("node", "fp")
+
+
 def _components_of(fps: DataFrame) -> DataFrame:
     """(fp, component, component_id): of each fingerprint in (doc_id, fp) its component and the least doc_id there."""
     classes = written(fps.where(F.col("doc_id").isNotNull()).groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    found = components(written(near_links(classes.select("fp")), "links")).withColumnRenamed("node", "fp")
-    named = classes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    named = classes.join(linked(classes.select("fp")), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     return named.join(least, "component").select("fp", "component", "component_id")
 
