@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from veridex.llm import decontaminate, near_copies, simhash, substring_dedup
+from veridex.llm import decontaminate, heat, near_copies, simhash, substring_dedup
 from veridex.llm import text as T
 
 DOC = "doc_id long, text string"
@@ -80,7 +80,9 @@ def test_substring_dedup_of_very_long_texts(spark, monkeypatch):
     assert found == dedup_by_definition(docs)
 
 
-def test_substring_dedup_within_one_slice_and_across(spark):
+@pytest.mark.parametrize("most", [2000, 1])
+def test_substring_dedup_within_one_slice_and_across(spark, monkeypatch, most):
+    monkeypatch.setattr(heat, "MOST", most)
     rows = [(i, " ".join(f"t{k}" for k in range(30))) for i in range(40)]
     docs = spark.createDataFrame(rows, DOC).repartition(8)
     found = {r[0]: r[2] for r in substring_dedup.dedup_substrings(docs).collect()}
@@ -299,3 +301,12 @@ def test_stage_drops_near_copies_by_jaccard(spark, monkeypatch, few):
     assert near_copies.first_of_each(docs.limit(0)).collect() == []
     edges = spark.createDataFrame([(None, "a b"), (4, None), (2, ""), (7, "A b"), (7, "a b"), (9, "a b")], DOC)
     assert sorted(r[0] or -1 for r in near_copies.first_of_each(edges).collect()) == [-1, 2, 7]
+
+
+def test_stage_keeps_other_texts_of_repeated_ids(spark):
+    p, q = " ".join(f"p{i}" for i in range(50)), " ".join(f"q{i}" for i in range(50))
+    rows = [(5, p, 1), (5, q, 1), (6, p, 2), (7, q, 3), (5, p, 1), (8, q + " more", 4), (9, "r " * 60_000, 5), (None, p, 6), (None, p, 6)]
+    docs = spark.createDataFrame(rows, f"{DOC}, edition int").repartition(3)
+    kept = near_copies.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or -1, r["text"][0]) for r in kept.collect()) == [(-1, "p"), (-1, "p"), (5, "p"), (5, "q"), (9, "r")]

@@ -9,11 +9,12 @@ fingerprint), and merge-joins it with the runs before it and with itself, bucket
 a candidate. Runs are compacted to one row a fingerprint when there are too many; their list is kept beside
 them, so a later session can open the index again and append.
 
-Candidates are verified: of the windows that have two independent 64-bit hashes of all their words in common,
-the first one in the order of documents is found by a minimum, which combines before the shuffle. Those that
-are first go back to their documents, and every other window of a candidate is late: its words go. So no window,
-however often it occurs, gathers its occurrences in one task: repeats within a slice of texts are settled where
-they are found, and of a fingerprint that a slice holds twice one row stands for the slice in the run.
+Candidates are verified: windows of one fingerprint are compared by a 64-bit hash of all their words, and the first
+one in the order of documents is found as a minimum. Those that are first go back to their documents, and every other
+window of a candidate is late: its words go. Repeats within a slice of texts are settled where they are found, and of
+a fingerprint that a slice holds twice one row stands for the slice in the run. The windows of hot fingerprints, which
+are counted first, are dealt out one by one, so a window, however often it occurs, brings at most a row a slice to a
+task, and no task gets the windows of a whole hot passage.
 
 A document is a doc_id with a text. Documents of one doc_id are ordered by a hash of their text; equal rows are
 one document and get the same result. Nulls: a null text has no words; a row with null doc_id is returned with
@@ -34,6 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
+from .heat import hot_keys
 from .store import fresh_path, remove, written
 
 WINDOW = 20
@@ -42,7 +44,7 @@ ANCHOR = 4
 BATCHES, MAX_RUNS = 3, 1
 _SLICE_BYTES = 8 << 20
 _POSITIONS = "slot long, key long, fingerprint long, known boolean"
-_CLAIMS = "w long, v long, doc_id long, key long, start int"
+_CLAIMS = "slot long, doc_id long, key long, start int, windows array<long>"
 _FIRSTS = "array<struct<doc_id:bigint,start:int>>"
 
 
@@ -192,7 +194,7 @@ class FingerprintIndex:
 
 
 def _candidate_windows(part: pa.RecordBatch, window: int, anchor: int, data: np.ndarray, offsets: np.ndarray):
-    """Of the windows whose fingerprint is a candidate of their row: first words of rows, rows, first words."""
+    """First words of rows; and of the windows whose fingerprint is a candidate of their row: rows, first words, fingerprints."""
     first, _, whole, prints, _ = _fingerprints(data, offsets, window, anchor)
     rows = _row_of(first, whole)
     wanted = part.column("candidates")
@@ -205,26 +207,34 @@ def _candidate_windows(part: pa.RecordBatch, window: int, anchor: int, data: np.
     hit = np.zeros(len(mine), dtype=bool)
     inside = at < len(keys)
     hit[inside] = keys[at[inside]] == mine[inside]
-    return first, rows[hit], whole[hit]
+    return first, rows[hit], whole[hit], prints[hit]
 
 
-def _claim(window: int, anchor: int):
-    """The windows of candidates, by two hashes of all their words. Of equal ones in a slice the first is enough."""
+def _claim(window: int, anchor: int, hot):
+    """The windows of candidates, in stretches of one fingerprint. Of equal ones in a slice the first is enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches, "text", _SLICE_BYTES):
             data, offsets = T.utf8(part.column("text"))
-            first, rows, whole = _candidate_windows(part, window, anchor, data, offsets)
+            first, rows, whole, prints = _candidate_windows(part, window, anchor, data, offsets)
             starts, ends, _ = T.words(data, offsets, T.BLANK_SEPARATED)
-            w, v = (T.grams(T.word_hashes(data, starts, ends, seed), window)[whole] if len(whole) else np.zeros(0, T.U) for seed in (0, 0x5EED))
+            w = T.grams(T.word_hashes(data, starts, ends), window)[whole] if len(whole) else np.zeros(0, T.U)
             docs, keys = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[rows] for c in ("doc_id", "key"))
             start = whole - first[rows]
-            order = np.lexsort((start, keys, docs, v, w))
+            order = np.lexsort((start, keys, docs, w, prints))
             lead = np.ones(len(order), dtype=bool)
-            lead[1:] = (w[order[1:]] != w[order[:-1]]) | (v[order[1:]] != v[order[:-1]])
-            order = order[lead]
-            columns = [T.signed(w[order]), T.signed(v[order]), docs[order], keys[order], start[order].astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w", "v", "doc_id", "key", "start"])
+            lead[1:] = (w[order[1:]] != w[order[:-1]]) | (prints[order[1:]] != prints[order[:-1]])
+            order = np.sort(order[lead])
+            rows, start, prints, w, docs, keys = (x[order] for x in (rows, start, prints, w, docs, keys))
+            own = np.isin(prints, hot.value)
+            cut = np.ones(len(rows) + 1, dtype=bool)
+            cut[1:-1] = (rows[1:] != rows[:-1]) | (start[1:] != start[:-1] + 1) | (prints[1:] != prints[:-1]) | own[1:]
+            at = np.flatnonzero(cut)
+            windows = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(T.signed(w)))
+            at = at[:-1]
+            slot = np.where(own[at], T.mixed(prints[at] + w[at] * T._M1), prints[at])
+            columns = [pa.array(T.signed(slot)), pa.array(docs[at]), pa.array(keys[at]), pa.array(start[at].astype(np.int32)), windows]
+            yield pa.RecordBatch.from_arrays(columns, names=["slot", "doc_id", "key", "start", "windows"])
 
     return T.releasing(run)
 
@@ -236,7 +246,7 @@ def _cut(window: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in T.slices(batches, "text"):
             data, offsets = T.utf8(part.column("text"))
-            first, rows, whole = _candidate_windows(part, window, anchor, data, offsets)
+            first, _, whole, _ = _candidate_windows(part, window, anchor, data, offsets)
             firsts = part.column("firsts")
             owner = np.repeat(np.arange(part.num_rows), np.diff(firsts.offsets.to_numpy()))
             docs, start = (firsts.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -281,8 +291,12 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR
     index.drop()
     wanted = candidates.groupBy("key").agg(F.collect_set("fingerprint").alias("candidates"))
     # claims and cuts are joined on the same key, so texts are shuffled once for both
-    claims = texts.join(wanted.hint("merge"), "key").mapInArrow(_claim(window, anchor), _CLAIMS)
-    first = claims.groupBy("w", "v").agg(F.min(F.struct("doc_id", "key", "start")).alias("first"))
+    counted = candidates.groupBy("fingerprint").agg(F.count("*").alias("n"))
+    hot = np.array([r[0] for r in hot_keys(counted, ["fingerprint"], candidates.count()).collect()], dtype=np.int64).view(T.U)
+    claims = texts.join(wanted.hint("merge"), "key").mapInArrow(_claim(window, anchor, docs.sparkSession.sparkContext.broadcast(hot)), _CLAIMS)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    each = claims.repartition(n, "slot").select("slot", "doc_id", "key", "start", F.posexplode("windows").alias("i", "w"))
+    first = each.groupBy("slot", "w").agg(F.min(F.struct("doc_id", "key", (F.col("start") + F.col("i")).alias("start"))).alias("first"))
     firsts = first.groupBy(F.col("first.key").alias("key")).agg(F.collect_list(F.struct("first.doc_id", "first.start")).alias("firsts"))
     whole = texts.join(wanted.hint("merge"), "key", "left").join(firsts.hint("merge"), "key", "left").select("doc_id", "text", "candidates", "firsts")
     none = [F.lit(None).cast("array<long>").alias("candidates"), F.lit(None).cast(_FIRSTS).alias("firsts")]
