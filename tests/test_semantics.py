@@ -139,7 +139,7 @@ def test_between_items_equals_all_pairs(spark):
 def test_full_targets_have_no_control(spark):
     targets = spark.createDataFrame([(1, (1 << 16) - 1), (2, 1)], "image_id long, mask long")
     coverage = spark.createDataFrame([(i, c, float(c)) for i in (1, 2) for c in range(16)], "image_id long, cell_idx int, tissue_pct double")
-    found = {r["image_id"]: r for r in resample.matched_control(targets, coverage, 7, max_size=16).collect()}
+    found = {r["image_id"]: r for r in resample.matched_control(targets, coverage, 7).collect()}
     assert found[1]["control_mask"] is None and found[2]["control_mask"] == 2 and found[2]["tissue_gap"] == 1.0
     random = {r["image_id"]: r for r in resample.random_control(targets, 7).collect()}
     assert random[2]["overlap"] == 0 and random[1]["overlap"] == 16

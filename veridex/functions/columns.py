@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,21 +64,35 @@ def share(part: Column, whole: Column) -> Column:
     return part.cast("double") / F.greatest(whole, F.lit(1)).cast("double")
 
 
+def incomplete_beta(a: float, b: float, x: float) -> float:
+    """The regularised incomplete beta function by its continued fraction, whose length grows with the root of a + b."""
+    if x <= 0 or x >= 1:
+        return 0.0 if x <= 0 else 1.0
+    if x > (a + 1) / (a + b + 2):
+        return 1.0 - incomplete_beta(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)) / a
+    c, d, i, h = 1.0, 1.0 / (1.0 - (a + b) * x / (a + 1)), 0, 1.0 / (1.0 - (a + b) * x / (a + 1))
+    while True:
+        i += 1
+        for term in (i * (b - i) * x / ((a + 2 * i - 1) * (a + 2 * i)), -(a + i) * (a + b + i) * x / ((a + 2 * i) * (a + 2 * i + 1))):
+            d, c = 1.0 / ((1.0 + term * d) or 1e-300), (1.0 + term / c) or 1e-300
+            h *= d * c
+        if abs(d * c - 1.0) < 1e-15 or i > 1_000_000:
+            return front * h
+
+
 def sign_test(pos: Column | str, neg: Column | str) -> Column:
     """Exact two-sided sign (McNemar) test: min(1, 2 * P(X <= min)) for X ~ Binomial(pos + neg, 1/2); 1 without trials.
 
-    Terms are added in log space, so large counts don't overflow.
+    For rows that are aggregated already: the distribution function is an incomplete beta function, so its steps grow
+    with the root of the counts.
     """
-    pos, neg = (F.col(x).cast("double") if isinstance(x, str) else x.cast("double") for x in (pos, neg))
-    n, k = pos + neg, F.least(pos, neg)
-    start = F.struct((-n * F.log(F.lit(2.0))).alias("term"), F.exp(-n * F.log(F.lit(2.0))).alias("sum"))
 
-    def step(acc, i):
-        term = acc["term"] + F.log(n - i + 1) - F.log(i)
-        return F.struct(term.alias("term"), (acc["sum"] + F.exp(term)).alias("sum"))
+    @F.pandas_udf("double")
+    def p_value(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([None if pd.isna(x) or pd.isna(y) else 1.0 if x == y else min(1.0, 2 * incomplete_beta(max(x, y), min(x, y) + 1, 0.5)) for x, y in zip(a, b, strict=True)], dtype="float64")
 
-    steps = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), k.cast("long")), lambda i: i > 0), lambda i: i.cast("double"))
-    return F.when(n == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * F.aggregate(steps, start, step, lambda a: a["sum"])))
+    return p_value(*(F.col(x).cast("double") if isinstance(x, str) else x.cast("double") for x in (pos, neg)))
 
 
 def sign_test_sql(pos: str, neg: str) -> str:

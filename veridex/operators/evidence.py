@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from math import comb
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -158,21 +162,54 @@ def stability_probe(masks: DataFrame, group: list[str]) -> DataFrame:
     return j.agg(F.count("*").alias("groups"), F.avg("mean_jaccard").alias("mean_jaccard"), F.avg("mean_cells").alias("mean_cells"), share(F.sum("cells_in_all"), F.sum("union_cells")).alias("core_share"))
 
 
+#: Number of cells of each mask.
+POPCOUNT = np.array([i.bit_count() for i in range(1 << CELLS)])
+_BINOMIAL = np.array([[comb(j, i) * (-1) ** (j - i) if j >= i else 0 for j in range(CELLS + 1)] for i in range(CELLS + 1)], dtype=np.float64)
+
+
+def pair_similarity(counts: np.ndarray) -> tuple[float, float | None]:
+    """Number of pairs, and their mean similarity, of sets that occur counts[mask] times.
+
+    For each size the counts are added up over supersets; products of these sums count, for each pair of sizes, the sets of j
+    cells that both of a pair hold, from which the pairs by cells in common follow by inversion.
+    """
+    n = float(counts.sum())
+    pairs = n * (n - 1) / 2
+    if not pairs:
+        return pairs, None
+    held = np.unique(POPCOUNT[counts > 0])
+    above = np.where(POPCOUNT == held[:, None], counts, 0.0)
+    for c in range(CELLS):
+        halves = above.reshape(len(held), -1, 2, 1 << c)
+        halves[:, :, 0] += halves[:, :, 1]
+    common = np.stack([above[:, POPCOUNT == j] @ above[:, POPCOUNT == j].T for j in range(CELLS + 1)])
+    by_common = np.tensordot(_BINOMIAL, common, axes=1)  # ordered pairs, each set with itself too
+    total = 0.0
+    for x, a in enumerate(held.tolist()):
+        by_common[a, x, x] -= counts[POPCOUNT == a].sum()
+        for y, b in enumerate(held.tolist()):
+            for i in range(min(a, b) + 1):
+                total += by_common[i, x, y] / 2 * (i / (a + b - i) if a + b else 1.0)
+    return pairs, total / pairs
+
+
 def between_item_similarity(masks: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Mean similarity over all pairs of rows, from the counts of distinct masks.
 
-    At most 2^16 masks exist, so the pairs of distinct masks don't grow with the rows.
+    At most 2^16 masks exist, so a group has at most so many rows when it is worked out, whatever its number of items.
     """
     by = by or []
-    counts = masks.groupBy(*by, "mask").agg(F.count("*").alias("n"))
-    a = counts.select(*by, F.col("mask").alias("mask_a"), F.col("n").alias("n_a"))
-    b = counts.select(*by, F.col("mask").alias("mask_b"), F.col("n").alias("n_b"))
-    pairs = (a.join(b, by) if by else a.crossJoin(F.broadcast(b))).where("mask_a <= mask_b")
-    same = F.col("mask_a") == F.col("mask_b")
-    weight = F.when(same, F.col("n_a") * (F.col("n_a") - 1) / 2).otherwise(F.col("n_a") * F.col("n_b").cast("double"))
-    total = F.sum("w")
-    out = pairs.withColumn("w", weight).groupBy(*by).agg(total.alias("n_pairs"), F.try_divide(F.sum(F.col("w") * jaccard_masks("mask_a", "mask_b")), total).alias("mean_jaccard"))
-    return out
+    counted = masks.groupBy(*by, "mask").agg(F.count("*").alias("n"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        counts = np.zeros(1 << CELLS)
+        counts[pdf["mask"].to_numpy()] = pdf["n"].to_numpy()
+        pairs, mean = pair_similarity(counts)
+        return pd.DataFrame({**{c: pdf[c].iloc[:1] for c in by}, "n_pairs": [pairs], "mean_jaccard": [mean]}).astype({"mean_jaccard": "float64"})
+
+    schema = counted.select(*by).schema.add("n_pairs", "double").add("mean_jaccard", "double")
+    out = counted.groupBy(*by).applyInPandas(run, schema)
+    return out.withColumn("mean_jaccard", F.when(~F.isnan("mean_jaccard"), F.col("mean_jaccard")))
 
 
 def top_k_cells(citations: DataFrame, coverage: DataFrame, k: int, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import share, u
+from ..functions.columns import incomplete_beta, share, u
+from .ranks import with_ahead
 
 
 def classification_summary(df: DataFrame, by: list[str], truth: str = "label", predicted: str = "label_pred") -> DataFrame:
@@ -24,7 +26,8 @@ def classification_summary(df: DataFrame, by: list[str], truth: str = "label", p
 def binary_metrics(df: DataFrame, truth: str, predicted: str, by: list[str] | None = None, positive: str | None = None) -> DataFrame:
     """Accuracy, precision, recall and F1; nothing of nothing is 0. Without positive, the larger of exactly two labels."""
     if positive is None:
-        labels = sorted(r[0] for r in df.select(truth).union(df.select(predicted)).distinct().limit(3).collect() if r[0] is not None)
+        known = df.select(F.col(truth).alias("x")).union(df.select(predicted)).where("x IS NOT NULL")
+        labels = sorted(r[0] for r in known.distinct().limit(3).collect())
         if len(labels) != 2:
             raise ValueError(f"positive is needed: there are labels {labels}")
         positive = labels[1]
@@ -42,38 +45,22 @@ def _score_counts(df: DataFrame, score: str, positive: Column, by: list[str], we
 def midranks(df: DataFrame, score: str, by: list[str]) -> DataFrame:
     """(by, s, n, midrank): ranks with ties, from distinct scores."""
     c = df.where(F.col(score).isNotNull()).groupBy(*by, F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    below = F.sum("n").over(Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    return c.withColumn("midrank", F.coalesce(below, F.lit(0)) + (F.col("n") + 1) / F.lit(2.0))
+    return with_ahead(c, by, "s", "n").select(*by, "s", "n", (F.col("ahead") + (F.col("n") + 1) / F.lit(2.0)).alias("midrank"))
 
 
 def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] | None = None, weight: Column | None = None) -> DataFrame:
     """Exact area under the curve, ties half; null where one class is missing.
 
-    Rows shrink to distinct scores first. Scores are then range-partitioned, and a partition adds the negatives
-    of the partitions below (one number each) to its own running sum, so no window holds all scores.
+    Rows shrink to distinct scores first; each then wins against the negatives with lower scores, which are added up
+    by ranges of scores (see ranks.with_ahead), so no window holds all scores.
     """
     by = by or []
-    counts = _score_counts(df, score, positive, by, weight)
-    if by:
-        w = Window.partitionBy(*by).orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-        below = counts.withColumn("below", F.coalesce(F.sum("q").over(w), F.lit(0)))
-    else:
-        below = _below(counts)
+    below = with_ahead(_score_counts(df, score, positive, by, weight), by, "s", "q", name="below")
     pairs = F.sum("p") * F.sum("q")
     wins = F.sum(F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0)))
     return below.groupBy(*by).agg(F.when(pairs > 0, wins / pairs).alias("auc"), F.sum("p").alias("positives"), F.sum("q").alias("negatives"))
 
 
-def _below(counts: DataFrame) -> DataFrame:
-    """Negatives with a lower score, in two levels."""
-    n = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = counts.repartitionByRange(n, "s").withColumn("part", F.spark_partition_id())
-    inner = F.sum("q").over(Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1))
-    sums = dealt.groupBy("part").agg(F.sum("q").alias("total"))
-    offsets = sums.withColumn("ahead", F.coalesce(F.sum("total").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return dealt.withColumn("inner", F.coalesce(inner, F.lit(0))).join(F.broadcast(offsets.select("part", "ahead")), "part").withColumn("below", F.col("inner") + F.col("ahead"))
-
-
 def log_loss(df: DataFrame, p_true: Column, by: list[str] | None = None) -> DataFrame:
     """Mean cross entropy of the probability that the true class was given (at least 1e-15)."""
     return df.groupBy(*(by or [])).agg(F.avg(-F.ln(F.greatest(p_true, F.lit(1e-15)))).alias("log_loss"), F.count("*").alias("n"))
@@ -140,42 +127,62 @@ def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int,
     return values.agg(F.percentile("auc", low).alias("ci_low"), F.percentile("auc", high).alias("ci_high"), F.count("auc").alias("replicates"))
 
 
+def bootstrap_ci(df: DataFrame, metrics: dict[str, Callable[[DataFrame], DataFrame]], columns: list[str], replicates: int = 1000, seed: int = 42, ci: float = 0.95) -> DataFrame:
+    """(metric, ci_low, ci_high, replicates): percentile intervals of any metrics under the Poisson bootstrap.
+
+    A metric takes rows of (b, columns, w), where w is the number of times that such rows were drawn in replicate b, and
+    returns (b, value). Replicates in which it is null are left out. Rows count by their different values of columns, as
+    n rows drawn Poisson(1) times each are drawn Poisson(n) times together; so the work grows with the different values
+    times the replicates. Draws depend on seed, replicate and values alone.
+    """
+    cells = df.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.lit(seed), *columns))
+    each = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+
+    @F.pandas_udf("long")
+    def drawn(h: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([np.random.Generator(np.random.Philox(key=[int(x) & 0xFFFFFFFFFFFFFFFF, int(r)])).poisson(k) for x, r, k in zip(h, b, n, strict=True)], dtype="int64")
+
+    weighted = each.withColumn("w", drawn("h", "b", "n")).where("w > 0").select("b", *columns, "w")
+    values = None
+    for name, metric in metrics.items():
+        own = metric(weighted).select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
+        values = own if values is None else values.unionByName(own)
+    low, high = (1 - ci) / 2, (1 + ci) / 2
+    return values.groupBy("metric").agg(F.percentile("value", low).alias("ci_low"), F.percentile("value", high).alias("ci_high"), F.count("value").alias("replicates"))
+
+
 def paired_robustness(df: DataFrame) -> DataFrame:
-    """Clean and changed predictions of the same items (truth, p_clean, p_changed, failed): accuracies, flips, differences."""
+    """Clean and changed predictions of the same items (truth, p_clean, p_changed, failed): accuracies and AUCs both ways, their
+    differences, flips, mean change and failures."""
     t = F.col("truth") == 1
     clean, changed = F.col("p_clean") >= 0.5, F.col("p_changed") >= 0.5
     n = F.count("*")
-    return df.agg(
+    out = df.agg(
         n.alias("n"), share(F.count_if(clean == t), n).alias("accuracy_clean"), share(F.count_if(changed == t), n).alias("accuracy_changed"),
         share(F.count_if(clean != changed), n).alias("flip_rate"), F.avg(F.abs(F.col("p_clean") - F.col("p_changed"))).alias("mean_abs_change"), share(F.count_if("failed"), n).alias("failure_rate"),
     )
+    auc = lambda p, name: roc_auc(df, p, t).select(F.col("auc").alias(name))
+    out = out.crossJoin(auc("p_clean", "auc_clean")).crossJoin(auc("p_changed", "auc_changed"))
+    return out.withColumns({"accuracy_delta": F.col("accuracy_changed") - F.col("accuracy_clean"), "auc_delta": F.col("auc_changed") - F.col("auc_clean")})
 
 
 def binomial_ci(spark: SparkSession, df: DataFrame, k: str, n: str, level: float = 0.95) -> DataFrame:
-    """df with the exact (Clopper-Pearson) interval of k of n, by bisection on the binomial distribution in log space."""
-    def tail(k: int, n: int, p: float) -> float:
-        """P(X >= k)"""
-        if k <= 0:
-            return 1.0
-        logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(k, n + 1)]
-        top = max(logs)
-        return math.exp(top) * sum(math.exp(x - top) for x in logs)
+    """df with the exact (Clopper-Pearson) interval of k of n, by bisection on the incomplete beta function."""
+    half = (1 - level) / 2
 
     def root(f) -> float:
-        low, high = 1e-12, 1 - 1e-12
-        for _ in range(80):
+        low, high = 0.0, 1.0
+        for _ in range(60):
             mid = (low + high) / 2
             low, high = (low, mid) if f(mid) else (mid, high)
-        return low
-
-    half = (1 - level) / 2
+        return (low + high) / 2
 
     @F.pandas_udf("struct<ci_low:double,ci_high:double>")
     def interval(ks: pd.Series, ns: pd.Series) -> pd.DataFrame:
         rows = []
         for a, b in zip(ks.astype(int), ns.astype(int), strict=True):
-            low = 0.0 if a == 0 else root(lambda p, a=a, b=b: tail(a, b, p) >= half)
-            high = 1.0 if a == b else root(lambda p, a=a, b=b: 1 - tail(a + 1, b, p) <= half)
+            low = 0.0 if a == 0 else root(lambda p, a=a, b=b: incomplete_beta(a, b - a + 1, p) >= half)
+            high = 1.0 if a == b else root(lambda p, a=a, b=b: 1 - incomplete_beta(a + 1, b - a, p) <= half)
             rows.append((low, high))
         return pd.DataFrame(rows, columns=["ci_low", "ci_high"])
 

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import md5
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELLS, bit, mask_of, share, u
-from .evidence import between_item_similarity
+from .evidence import POPCOUNT, between_item_similarity
+from .ranks import BUCKETS, with_ahead
 
 
 def first_n_per_class(df: DataFrame, label: str, ordinal: str, n: int) -> DataFrame:
@@ -53,22 +59,38 @@ def subsets(spark: SparkSession, k: int | None = None) -> DataFrame:
     return s if k is None else s.where(F.col("size") == k)
 
 
-def matched_control(targets: DataFrame, coverage: DataFrame, seed: int, max_size: int = 4) -> DataFrame:
+def matched_control(targets: DataFrame, coverage: DataFrame, seed: int) -> DataFrame:
     """For each target (image_id, mask) the other set of as many cells that overlaps least, then is nearest in tissue.
 
-    Ties go by a seeded hash. Volume is targets x C(16, k); larger targets than max_size, and those of all 16
-    cells, get no control and are not usable.
+    All C(16, k) sets of as many cells are tried for every k; ties go by a seeded hash, then the smaller set. A target of no
+    or of all 16 cells has no other set: no control.
     """
-    spark = targets.sparkSession
     tissue = coverage.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "tissue_pct"))), lambda x: x["tissue_pct"]).alias("tissue"))
-    summed = lambda m: F.aggregate(F.sequence(F.lit(0), F.lit(CELLS - 1)), F.lit(0.0), lambda s, i: s + F.when(m.bitwiseAND(bit(i)) != 0, F.element_at("tissue", i + 1)).otherwise(0.0))
-    t = targets.join(tissue, "image_id").withColumn("size", F.bit_count("mask")).withColumn("target_tissue", summed(F.col("mask")))
-    tried = t.where(F.col("size").between(1, max_size)).join(F.broadcast(subsets(spark).where(F.col("size").between(1, max_size))), "size").where("subset <> mask")
-    gap = F.round(F.abs(summed(F.col("subset")) - F.col("target_tissue")), 6)
-    order = F.struct(F.bit_count(F.col("subset").bitwiseAND(F.col("mask"))).alias("overlap"), gap.alias("gap"), u(seed, "image_id", "subset").alias("draw"), F.col("subset"))
-    best = tried.groupBy("image_id", "mask").agg(F.min(order).alias("b"))
-    out = targets.join(best, ["image_id", "mask"], "left")
-    return out.select("image_id", "mask", F.col("b.subset").alias("control_mask"), F.col("b.overlap").cast("long").alias("overlap"), F.col("b.gap").alias("tissue_gap"))
+    rows = targets.select("image_id", "mask").join(tissue, "image_id", "left")
+    members = (np.arange(1 << CELLS)[:, None] >> np.arange(CELLS)) & 1
+    by_size = [np.flatnonzero(POPCOUNT == k) for k in range(CELLS + 1)]
+
+    def best(image, mask: int, cells) -> tuple:
+        others = by_size[mask.bit_count()]
+        if cells is None or len(cells) != CELLS or len(others) < 2:
+            return None, None, None
+        others = others[others != mask]
+        overlap = POPCOUNT[others & mask]
+        others = others[overlap == overlap.min()]
+        cells = np.array(cells, dtype=np.float64)
+        gap = np.round(np.abs(members[others] @ cells - members[mask] @ cells), 6)
+        tied = others[gap == gap.min()].tolist()
+        draw = lambda s: (md5(f"{seed}|{image}|{s}".encode()).hexdigest()[:8], s)
+        return min(tied, key=draw), int(overlap.min()), float(gap.min())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [best(i, int(m), t) for i, m, t in zip(pdf["image_id"], pdf["mask"], pdf["tissue"], strict=True)]
+            out = pd.DataFrame(found, columns=["control_mask", "overlap", "tissue_gap"]).astype({"control_mask": "Int64", "overlap": "Int64", "tissue_gap": "float64"})
+            yield pd.concat([pdf[["image_id", "mask"]].reset_index(drop=True), out], axis=1)
+
+    schema = rows.select("image_id", "mask").schema.add("control_mask", "long").add("overlap", "long").add("tissue_gap", "double")
+    return rows.mapInPandas(run, schema)
 
 
 def random_control(targets: DataFrame, seed: int) -> DataFrame:
@@ -98,13 +120,14 @@ def uniform_set_null(masks: DataFrame, observed: DataFrame, replicates: int, see
     return joined.agg(F.avg("j").alias("null_mean"), F.max("mean_jaccard").alias("observed"), share(F.count_if(F.col("j") >= F.col("mean_jaccard") - 1e-12), F.count("*")).alias("p_value"))
 
 
-def _empties(coverage: DataFrame, empty_below: float) -> DataFrame:
+def empties(coverage: DataFrame, empty_below: float = 5.0) -> DataFrame:
+    """(image_id, empty_mask): the cells of each image without tissue."""
     return coverage.groupBy("image_id").agg(F.coalesce(F.bit_or(F.when(F.col("tissue_pct") < empty_below, bit("cell_idx"))), F.lit(0)).alias("empty_mask"))
 
 
 def uniform_cell_null(masks: DataFrame, coverage: DataFrame, replicates: int, seed: int, ids: list[str], empty_below: float = 5.0) -> DataFrame:
     """Empty cells that as many random cells of the same image hit, per replicate, against those cited."""
-    sized = masks.withColumn("size", F.bit_count("mask")).join(_empties(coverage, empty_below), "image_id")
+    sized = masks.withColumn("size", F.bit_count("mask")).join(empties(coverage, empty_below), "image_id")
     drawn = _drawn(sized, replicates, seed, "size", ids)
     per = drawn.groupBy("r").agg(F.sum(F.bit_count(F.col("drawn_mask").bitwiseAND(F.col("empty_mask"))).cast("long")).alias("hit"), F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("empty_mask"))).cast("long")).alias("cited"))
     return per.agg(F.max("cited").alias("observed"), F.avg("hit").alias("null_mean"), share(F.count_if(F.col("hit") <= F.col("cited")), F.count("*")).alias("p_value"))
@@ -112,20 +135,21 @@ def uniform_cell_null(masks: DataFrame, coverage: DataFrame, replicates: int, se
 
 def uniform_cell_expectation(masks: DataFrame, coverage: DataFrame, empty_below: float = 5.0) -> DataFrame:
     """The same null's mean in closed form: each cited cell is empty as often as the image's cells are."""
-    e = masks.join(_empties(coverage, empty_below), "image_id")
+    e = masks.join(empties(coverage, empty_below), "image_id")
     return e.agg(F.sum(F.bit_count("mask") * F.bit_count("empty_mask") / F.lit(float(CELLS))).alias("null_mean"))
 
 
 def shuffled_item_null(masks: DataFrame, coverage: DataFrame, replicates: int, seed: int, empty_below: float = 5.0, id_column: str = "image_id") -> DataFrame:
     """Empty cells hit when cell sets keep but items are permuted; one row of masks an item.
 
-    A replicate's permutation joins the rank of items by id to their rank by hash: windows hold one replicate.
+    A replicate's permutation joins the rank of items by id to their rank by hash (see ranks.with_ahead). Every replicate is a
+    copy of the items; nulls.shuffled_items draws the same law from counts.
     """
-    items = masks.join(_empties(coverage, empty_below), "image_id").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    plain = F.row_number().over(Window.partitionBy("r").orderBy(id_column))
-    mixed = F.row_number().over(Window.partitionBy("r").orderBy(u(seed, "r", id_column), id_column))
-    a = items.select("r", "mask", "empty_mask", plain.alias("rank"))
-    b = items.select("r", F.col("empty_mask").alias("other"), mixed.alias("rank"))
+    items = masks.join(empties(coverage, empty_below), "image_id").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    even = [i / BUCKETS for i in range(1, BUCKETS)]
+    plain = with_ahead(masks.join(empties(coverage, empty_below), "image_id"), [], id_column, name="rank")
+    a = plain.select("mask", "empty_mask", "rank").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    b = with_ahead(items.withColumn("draw", u(seed, "r", id_column)), ["r"], "draw", bounds=even, ties=(id_column,), name="rank").select("r", F.col("empty_mask").alias("other"), "rank")
     hit = lambda m: F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col(m))).cast("long"))
     per = a.join(b, ["r", "rank"]).groupBy("r").agg(hit("other").alias("hit"), hit("empty_mask").alias("cited"))
     return per.agg(F.max("cited").alias("observed"), F.avg("hit").alias("null_mean"), share(F.count_if(F.col("hit") <= F.col("cited")), F.count("*")).alias("p_value"))
@@ -135,9 +159,10 @@ def label_permutation(df: DataFrame, value: str, group: str, replicates: int, se
     """Difference of means of group over the rest, and the share of permutations at or above it."""
     totals = df.agg(F.count_if(group).alias("n_in"), (F.avg(F.when(F.col(group), F.col(value))) - F.avg(F.when(~F.col(group), F.col(value)))).alias("observed"))
     each = df.select(row_key, value).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    rank = F.row_number().over(Window.partitionBy("r").orderBy(u(seed, "r", row_key), row_key))
-    drawn = each.withColumn("rank", rank).crossJoin(F.broadcast(totals))
-    inside = F.col("rank") <= F.col("n_in")
+    even = [i / BUCKETS for i in range(1, BUCKETS)]
+    ranked = with_ahead(each.withColumn("draw", u(seed, "r", row_key)), ["r"], "draw", bounds=even, ties=(row_key,), name="rank")
+    drawn = ranked.crossJoin(F.broadcast(totals))
+    inside = F.col("rank") < F.col("n_in")
     diff = F.avg(F.when(inside, F.col(value))) - F.avg(F.when(~inside, F.col(value)))
     per = drawn.groupBy("r").agg(diff.alias("d"), F.max("observed").alias("observed"))
     return per.agg(F.max("observed").alias("observed"), F.avg("d").alias("null_mean"), share(F.count_if(F.col("d") >= F.col("observed")), F.count("*")).alias("p_value"))

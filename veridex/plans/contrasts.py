@@ -56,6 +56,12 @@ def _(t: Tables):
     return M.roc_auc(judged(t), "confidence", F.col("label") == "SSA")
 
 
+@query("d9_roc_auc_prices", _AUC.format(rows="SELECT o_totalprice AS confidence, CASE WHEN o_orderpriority < '3' THEN 'SSA' ELSE 'HP' END AS label FROM orders"), (), ("auc",))
+def _(t: Tables):
+    rows = t.orders.select(F.col("o_totalprice").alias("confidence"), F.when(F.col("o_orderpriority") < "3", "SSA").otherwise("HP").alias("label"))
+    return M.roc_auc(rows, "confidence", F.col("label") == "SSA")
+
+
 @query("e3_midranks", f"""
     SELECT prompt_id, s, n, coalesce(sum(n) OVER (PARTITION BY prompt_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + (n + 1) / 2.0::DOUBLE AS midrank
     FROM (SELECT prompt_id, confidence AS s, count(*) AS n FROM ({JUDGED}) GROUP BY ALL)""", RA, ("midrank",))
@@ -252,10 +258,16 @@ def _(t: Tables):
     return C.feature_usage(t.citations.where("replicate = 1"), ["prompt_id"])
 
 
-@query("d33_paired_robustness", """
+_PAIRED = "(SELECT l_orderkey % 2 AS truth, l_quantity / 50::DOUBLE AS p_clean, l_discount * 10::DOUBLE AS p_changed, l_linenumber = 7 AS failed FROM lineitem)"
+
+
+@query("d33_paired_robustness", f"""
     SELECT count(*) AS n, count(*) FILTER ((p_clean >= 0.5) = (truth = 1))::DOUBLE / count(*) AS accuracy_clean, count(*) FILTER ((p_changed >= 0.5) = (truth = 1))::DOUBLE / count(*) AS accuracy_changed,
-           count(*) FILTER ((p_clean >= 0.5) <> (p_changed >= 0.5))::DOUBLE / count(*) AS flip_rate, avg(abs(p_clean - p_changed)) AS mean_abs_change, count(*) FILTER (failed)::DOUBLE / count(*) AS failure_rate
-    FROM (SELECT l_orderkey % 2 AS truth, l_quantity / 50::DOUBLE AS p_clean, l_discount * 10::DOUBLE AS p_changed, l_linenumber = 7 AS failed FROM lineitem)""", (), ("accuracy_clean", "accuracy_changed", "flip_rate", "mean_abs_change", "failure_rate"))
+           count(*) FILTER ((p_clean >= 0.5) <> (p_changed >= 0.5))::DOUBLE / count(*) AS flip_rate, avg(abs(p_clean - p_changed)) AS mean_abs_change, count(*) FILTER (failed)::DOUBLE / count(*) AS failure_rate,
+           (SELECT auc FROM ({_AUC.format(rows=f"SELECT p_clean AS confidence, CASE WHEN truth = 1 THEN 'SSA' ELSE 'HP' END AS label FROM {_PAIRED}")})) AS auc_clean,
+           (SELECT auc FROM ({_AUC.format(rows=f"SELECT p_changed AS confidence, CASE WHEN truth = 1 THEN 'SSA' ELSE 'HP' END AS label FROM {_PAIRED}")})) AS auc_changed,
+           accuracy_changed - accuracy_clean AS accuracy_delta, auc_changed - auc_clean AS auc_delta
+    FROM {_PAIRED}""", (), ("accuracy_clean", "accuracy_changed", "flip_rate", "mean_abs_change", "failure_rate", "auc_clean", "auc_changed", "accuracy_delta", "auc_delta"))
 def _(t: Tables):
     rows = t.lineitem.select((F.col("l_orderkey") % 2).alias("truth"), (F.col("l_quantity") / F.lit(50.0)).alias("p_clean"), (F.col("l_discount") * F.lit(10.0)).alias("p_changed"), (F.col("l_linenumber") == 7).alias("failed"))
     return M.paired_robustness(rows)

@@ -8,6 +8,7 @@ from ..functions.columns import u_sql
 from ..operators import evidence as E
 from ..operators import ledger as L
 from ..operators import metrics as M
+from ..operators import nulls as N
 from ..operators import resample as S
 from .contrasts import JUDGED, RA, judged
 from .registry import Tables, query
@@ -35,6 +36,41 @@ def _(t: Tables):
     return M.bootstrap_auc(rows, "confidence", F.col("label") == "SSA", 5)
 
 
+@query("h1_bootstrap_ci")
+def _(t: Tables):
+    """Three metrics at 1000 replicates; a cell of equal rows is drawn as one."""
+    rows = judged(t).select("confidence", "label", "label_pred")
+    right = F.sum(F.when(F.col("label") == F.col("label_pred"), F.col("w")).otherwise(0)) / F.sum("w")
+    hit = F.sum(F.when((F.col("label") == "SSA") & (F.col("label_pred") == "SSA"), F.col("w")).otherwise(0))
+    named = F.sum(F.when(F.col("label_pred") == "SSA", F.col("w")).otherwise(0))
+    metrics = {
+        "auc": lambda d: M.roc_auc(d, "confidence", F.col("label") == "SSA", ["b"], F.col("w")).select("b", F.col("auc").alias("value")),
+        "accuracy": lambda d: d.groupBy("b").agg(right.alias("value")), "precision": lambda d: d.groupBy("b").agg(F.try_divide(hit, named).alias("value")),
+    }
+    return M.bootstrap_ci(rows, metrics, rows.columns)
+
+
+@query("h2_uniform_sets")
+def _(t: Tables):
+    return N.uniform_sets(image_masks(t), 2000, SEED)
+
+
+@query("h3_uniform_cells")
+def _(t: Tables):
+    return N.uniform_cells(image_masks(t).join(S.empties(t.coverage), "image_id"), 5000, SEED)
+
+
+@query("h4_shuffled_items")
+def _(t: Tables):
+    return N.shuffled_items(image_masks(t).join(S.empties(t.coverage), "image_id"), 5000, SEED)
+
+
+@query("h5_permuted_labels")
+def _(t: Tables):
+    rows = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"), (F.col("o_orderpriority") == "1-URGENT").alias("g"))
+    return N.permuted_labels(rows, "x", "g", 20_000, SEED, "k")
+
+
 _DRAW = f"""(SELECT r, image_id, any_value(mask) AS mask, bit_or(CAST(1 AS BIGINT) << c::INT) AS drawn FROM (
     SELECT r, image_id, mask, c, row_number() OVER (PARTITION BY r, image_id ORDER BY {u_sql(SEED, 'r', 'image_id', 'c')}, c) AS k FROM m, range(2) AS x(r), range(16) AS y(c)) WHERE k <= bit_count(mask) GROUP BY ALL)"""
 _SIM = "bit_count(a.mask & b.mask)::DOUBLE / bit_count(a.mask | b.mask)"
@@ -107,7 +143,12 @@ _TOP2 = """SELECT image_id, CAST(bit_or(CAST(1 AS BIGINT) << cell_idx) AS BIGINT
         SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY o, gap, {u_sql(SEED, 'image_id', 'subset')}, subset) AS k FROM g) WHERE k = 1""", CC, ("tissue_gap",))
 def _(t: Tables):
     top = E.top_k_cells(t.citations, t.coverage, 2)
-    return S.matched_control(E.cited_cells(top, ["image_id"]).drop("cells"), t.coverage, SEED, max_size=2)
+    return S.matched_control(E.cited_cells(top, ["image_id"]).drop("cells"), t.coverage, SEED)
+
+
+@query("c12_matched_control_whole_sets")
+def _(t: Tables):
+    return S.matched_control(image_masks(t), t.coverage, SEED)
 
 
 @query("i10_match_quality", """
