@@ -33,6 +33,9 @@ def with_ahead(df: DataFrame, by: list[str], order: str, value: str | None = Non
     inner = F.sum("_n").over(Window.partitionBy(*by, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
     sums = dealt.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_total"))
     ahead = F.sum("_total").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sums.select(*by, "_bucket", F.coalesce(ahead, F.lit(0)).alias("_offset"))
-    out = dealt.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(offsets, [*by, "_bucket"])
+    offsets = sums.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_range"), F.coalesce(ahead, F.lit(0)).alias("_offset"))
+    offsets = offsets if by else F.broadcast(offsets)  # without groups at most BUCKETS rows
+    # the range is compared as an expression, as Spark would else infer a filter on the bounds for the other side, and fail
+    same = [F.col(c) == F.col(f"_by_{c}") for c in by] + [F.col("_bucket") == F.pmod("_range", F.lit(1 << 20))]
+    out = dealt.withColumn("_inner", F.coalesce(inner, F.lit(0))).join(offsets, same)
     return out.withColumn(name, F.col("_inner") + F.col("_offset")).select(*df.columns, name)
