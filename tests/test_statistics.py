@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from veridex.functions.columns import incomplete_beta
-from veridex.operators import evidence, metrics, nulls, ranks, resample
+from veridex.operators import evidence, metrics, nulls, ranks, resample, scoring
+from veridex.sources import files
 
 SF = "/root/testdata/sf0.001"
 
@@ -145,3 +146,23 @@ def test_matched_controls_of_every_size(spark):
 def test_queries_without_sql_run_on_the_tables(spark, name):
     rows = entry.queries()[name](spark, SF).collect()
     assert rows and all(r["replicates"] in (1000, 2000, 5000) for r in rows if "replicates" in r.asDict())
+
+
+def test_annotations_that_break_their_contract_are_an_error(spark, tmp_path):
+    rows = [("a", "HP", 1, "train"), ("a", "SSA", 9, "test")]
+    spark.createDataFrame(rows, "image_id string, label string, ssa_votes int, partition string").write.option("header", True).csv(f"{tmp_path}/bad")
+    with pytest.raises(ValueError, match="duplicate_key"):
+        files.read_annotations(spark, f"{tmp_path}/bad")
+    spark.createDataFrame(rows[:1], "image_id string, label string, ssa_votes int, partition string").write.option("header", True).csv(f"{tmp_path}/good")
+    assert files.read_annotations(spark, f"{tmp_path}/good", partition="train").count() == 1
+    with pytest.raises(ValueError, match="empty"):
+        files.read_annotations(spark, f"{tmp_path}/good", partition="test")
+
+
+def test_interrupted_runs_pay_once(spark, tmp_path):
+    requests = spark.createDataFrame([(f"{i:02d}", f"p{i}") for i in range(12)], "cache_key string, prompt string")
+    cache, ledger = f"{tmp_path}/cache", f"{tmp_path}/ledger"
+    first = scoring.score_run(requests, str.upper, cache, ledger, max_new=5)
+    second = scoring.score_run(requests, str.upper, cache, ledger)
+    assert first.count() == 5 and second.where("cache_hit").count() == 5 and second.where("NOT cache_hit").count() == 7
+    assert spark.read.parquet(ledger).count() == 17 and {r["answer"] for r in second.collect()} == {f"P{i}" for i in range(12)}

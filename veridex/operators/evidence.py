@@ -65,11 +65,15 @@ def with_coverage(citations: DataFrame, coverage: DataFrame) -> DataFrame:
 
 def empty_citations(citations: DataFrame, coverage: DataFrame, by: list[str], empty_below: float = 5.0) -> DataFrame:
     """How many distinct cited cells have no tissue, with the rate of cells drawn uniformly in the same images."""
-    cited = citations.select(*RESPONSE, *[c for c in by if c not in RESPONSE], "cell_idx").distinct()
-    tiles = coverage.groupBy("image_id").agg((F.count_if(F.col("tissue_pct") < empty_below) / F.count("*")).alias("uniform"))
-    per = with_coverage(cited, coverage).groupBy(*dict.fromkeys([*RESPONSE, *by])).agg(
-        F.count("*").alias("n"), F.count_if(F.col("tissue_pct") < empty_below).alias("e"), F.min("tissue_pct").alias("low"), F.avg("tissue_pct").alias("mean")
-    ).join(tiles, "image_id")
+    keys = list(dict.fromkeys([*RESPONSE, *by]))
+    masks = citations.groupBy(*keys).agg(F.bit_or(bit("cell_idx")).alias("mask"))
+    # one row an image with the tissue of its cells, so citations meet it once
+    empty = F.col("tissue_pct") < empty_below
+    tiles = coverage.groupBy("image_id").agg((F.count_if(empty) / F.count("*")).alias("uniform"), F.map_from_entries(F.collect_list(F.struct("cell_idx", "tissue_pct"))).alias("tissue"))
+    values = F.filter(F.transform(cells_of("mask"), lambda c: F.try_element_at("tissue", c)), lambda x: x.isNotNull())
+    per = masks.join(tiles, "image_id").withColumn("x", values).where(F.size("x") > 0)
+    mean = F.aggregate("x", F.lit(0.0), lambda s, x: s + x) / F.size("x")
+    per = per.select(*keys, "uniform", F.size("x").cast("long").alias("n"), F.size(F.filter("x", lambda x: x < empty_below)).cast("long").alias("e"), F.array_min("x").alias("low"), mean.alias("mean"))
     n, e = F.sum("n"), F.sum("e")
     return per.groupBy(*by).agg(
         F.count("*").alias("responses"), n.alias("n_cited"), e.alias("n_empty"), share(e, n).alias("empty_rate"),
@@ -154,12 +158,23 @@ def replicate_stability(masks: DataFrame, group: list[str], keep_single: bool =
     )
 
 
+def response_history(responses: DataFrame, group: list[str]) -> DataFrame:
+    """Per group the labels and confidences of its labelled responses in the order of replicates, and whether all labels agree."""
+    ok = responses.where("label_pred IS NOT NULL").withColumn("at", F.struct("replicate", "seq"))
+    out = ordered_history(ok, group, "at", "label_pred", "confidence")
+    labels = F.col("label_pred")
+    return out.select(*group, F.size(labels).cast("long").alias("n_reps"), labels.alias("labels"), F.col("confidence").alias("confidences"), (F.size(F.array_distinct(labels)) == 1).alias("label_stable"))
+
+
 def stability_probe(masks: DataFrame, group: list[str]) -> DataFrame:
-    """Over all groups, single and empty ones too: mean similarity, mean cells, and the core's share of all cited cells."""
+    """Over all groups, single and empty ones too: mean similarity by group and over all pairs, mean cells, and the core's share
+    of all cited cells."""
     s = replicate_stability(masks, group, keep_single=True)
     union = masks.groupBy(*group).agg(F.bit_count(F.bit_or("mask")).alias("union_cells"))
     j = s.join(union, group)
-    return j.agg(F.count("*").alias("groups"), F.avg("mean_jaccard").alias("mean_jaccard"), F.avg("mean_cells").alias("mean_cells"), share(F.sum("cells_in_all"), F.sum("union_cells")).alias("core_share"))
+    pairs = F.col("n_reps") * (F.col("n_reps") - 1) / 2
+    pooled = F.sum(F.col("mean_jaccard") * pairs) / F.greatest(F.sum(pairs), F.lit(1.0))
+    return j.agg(F.count("*").alias("groups"), F.avg("mean_jaccard").alias("mean_jaccard"), pooled.alias("pair_jaccard"), F.avg("mean_cells").alias("mean_cells"), share(F.sum("cells_in_all"), F.sum("union_cells")).alias("core_share"))
 
 
 #: Number of cells of each mask.

@@ -145,12 +145,13 @@ def first_nonzero(*columns: str) -> Column:
     return F.coalesce(*[F.nullif(F.col(c), F.lit(0).cast("double")) for c in columns], F.lit(0.0))
 
 
-def run_health(calls: DataFrame, by: str) -> DataFrame:
-    """Records, scored ones, errors, and answers without error that can't be parsed."""
+def run_health(calls: DataFrame, by: str, gap: Column | None = None) -> DataFrame:
+    """Records, scored ones, errors, answers without error that can't be parsed, and the mean of gap over scored records (0 of none)."""
     ok = F.col("predicted_label").isNotNull() & ~F.col("failed")
     return calls.groupBy(by).agg(
         F.count("*").alias("records"), F.count_if(ok).alias("scored"), F.count_if("failed").alias("errors"),
         F.count_if(~F.col("failed") & F.col("predicted_label").isNull()).alias("parse_failures"),
+        *([F.coalesce(F.avg(F.when(ok, gap)), F.lit(0.0)).alias("mean_match_gap")] if gap is not None else []),
     )
 
 

@@ -117,7 +117,7 @@ def permuted_labels(df: DataFrame, value: str, group: str, replicates: int = 20_
     for b, count in rows.groupBy("block").count().collect():
         sizes[b] = count
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         b, values = int(key[0]), pdf.sort_values(["key", "value"])["value"].to_numpy()
         sums = np.zeros(replicates)
         for r in range(replicates):

@@ -8,9 +8,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import append_ledger, read_cache, write_cache
+from ..sources.shared import fresh_folder
+from .metrics import log_loss, roc_auc
+
 
 def image_key(mode: Column, width: Column, height: Column, data: Column) -> Column:
     """SHA-256 of mode, size and bytes."""
@@ -47,6 +52,31 @@ def score_batch(requests: DataFrame, scorer: Callable[[str], str], key: str = "c
     return todo.mapInPandas(run, f"{key} string, answer string, error string, latency_seconds double")
 
 
+def score_run(requests: DataFrame, scorer: Callable[[str], str], cache: str, ledger: str, max_new: int | None = None, key: str = "cache_key", prompt: str = "prompt") -> DataFrame:
+    """Answer requests from the cache, call the scorer for the others, and record both: the run's rows of the ledger.
+
+    Answers go to the cache before the ledger, so a run that breaks off pays for none twice. max_new caps the misses that are
+    called; requests beyond it stay for a later run. Errors are recorded and not cached.
+    """
+    spark, todo = requests.sparkSession, requests.select(key, prompt).dropDuplicates([key])
+    try:
+        known = read_cache(spark, cache, todo, key).select(key, "answer")
+    except AnalysisException:  # no cache yet
+        known = spark.createDataFrame([], f"{key} string, answer string")
+    called = score_batch(todo.join(known, key, "left_anti"), scorer, key, prompt, max_new)
+    path = fresh_folder(spark, "called")
+    called.write.parquet(path)
+    called = spark.read.parquet(path)
+    write_cache(called.where("error IS NULL").select(key, "answer"), cache, key)
+    hits = known.select(key, "answer", F.lit(None).cast("string").alias("error"), F.lit(0.0).alias("latency_seconds"), F.lit(True).alias("cache_hit"))
+    out = hits.unionByName(called.withColumn("cache_hit", F.lit(False)))
+    folder = fresh_folder(spark, "run")
+    out.write.parquet(folder)
+    out = spark.read.parquet(folder)
+    append_ledger(out, ledger)
+    return out
+
+
 def dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -101,7 +131,14 @@ def linear_probe(train: DataFrame, vector: str, label: str, weight_decay: float
 
 
 def probe_scores(model, test: DataFrame, vector: str, label: str, item: str) -> DataFrame:
-    """(item, label, predicted, p_true)"""
+    """(item, label, predicted, p_true, p_positive)"""
     rows = test.select(item, array_to_vector(vector).alias("features"), F.col(label).cast("int").alias("label"))
     out = model.transform(rows).withColumn("p", vector_to_array("probability"))
-    return out.select(item, "label", F.col("prediction").cast("int").alias("predicted"), F.coalesce(F.try_element_at("p", F.col("label") + 1), F.lit(0.0)).alias("p_true"))
+    return out.select(item, "label", F.col("prediction").cast("int").alias("predicted"), F.coalesce(F.try_element_at("p", F.col("label") + 1), F.lit(0.0)).alias("p_true"), F.coalesce(F.try_element_at("p", F.lit(2)), F.lit(0.0)).alias("p_positive"))
+
+
+def probe_evaluate(scores: DataFrame) -> DataFrame:
+    """Accuracy, AUC of the positive class (1) and cross entropy of (label, predicted, p_true, p_positive)."""
+    accuracy = scores.agg(F.avg((F.col("label") == F.col("predicted")).cast("double")).alias("accuracy"))
+    auc = roc_auc(scores, "p_positive", F.col("label") == 1).select(F.col("auc").alias("roc_auc"))
+    return accuracy.crossJoin(auc).crossJoin(log_loss(scores, F.col("p_true")).select(F.col("log_loss").alias("loss"), "n"))

@@ -286,7 +286,14 @@ def normalization_failed(pixels: DataFrame) -> DataFrame:
 def image_pixels(images: DataFrame) -> DataFrame:
     """Rows (image_id from origin, y, x, r, g, b) of Spark's image source, whose bytes come as b, g, r."""
     i = F.col("image")
-    at = F.explode(F.sequence(F.lit(0), i["height"] * i["width"] - 1)).alias("p")
-    px = images.select(F.xxhash64(i["origin"]).alias("image_id"), i["width"].alias("w"), i["nChannels"].alias("n"), i["data"].alias("data"), at)
-    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("p") * F.col("n") + k + 1, F.lit(1))), 16, 10).cast("int")
-    return px.select("image_id", (F.col("p") / F.col("w")).cast("int").alias("y"), (F.col("p") % F.col("w")).alias("x"), byte(2).alias("r"), byte(1).alias("g"), byte(0).alias("b"))
+    rows = images.select(F.xxhash64(i["origin"]).alias("image_id"), i["width"].alias("w"), i["nChannels"].alias("n"), i["data"].alias("data"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for image, w, n, data in pdf.itertuples(index=False):
+                px = np.frombuffer(data, dtype=np.uint8).reshape(-1, n).astype(np.int32)
+                at = np.arange(len(px), dtype=np.int32)
+                b, g, r = (px[:, min(k, n - 1)] for k in range(3))
+                yield pd.DataFrame({"image_id": image, "y": at // w, "x": at % w, "r": r, "g": g, "b": b})
+
+    return rows.mapInPandas(run, "image_id long, y int, x int, r int, g int, b int")

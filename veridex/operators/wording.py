@@ -69,14 +69,25 @@ def rubric_relevance(items: DataFrame, rubric: DataFrame) -> DataFrame:
 
 
 def description_report(items: DataFrame, by: list[str]) -> DataFrame:
-    """Directional descriptions, and how often they match the stated and the true label."""
+    """Directional descriptions, those without direction (which count for nothing), and how often the former match the stated and the
+    true label."""
     d = F.col("direction") != "none"
     return items.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count_if(d).alias("directional"), F.count_if(d & (F.col("direction") == F.col("stated"))).alias("matches_stated"),
+        F.count("*").alias("n"), F.count_if(d).alias("directional"), F.count_if(~d).alias("downgraded"), F.count_if(d & (F.col("direction") == F.col("stated"))).alias("matches_stated"),
         F.count_if(d & (F.col("direction") == F.col("label"))).alias("matches_true"), F.sum(F.size("terms").cast("long")).alias("terms"),
     )
 
 
+def class_counts(items: DataFrame, by: list[str]) -> DataFrame:
+    """How many descriptions each class (kind) has."""
+    return items.groupBy(*by, "kind").agg(F.count("*").alias("n"))
+
+
+def inconsistent_items(items: DataFrame) -> DataFrame:
+    """Descriptions with a direction that speaks for another label than the one stated."""
+    return items.where((F.col("direction") != "none") & ~F.col("direction").eqNullSafe(F.col("stated")))
+
+
 def feature_source(items: DataFrame, sources: DataFrame) -> DataFrame:
     """Structure sources of cited features; features without one go."""
     return items.join(sources, "feature")
@@ -96,6 +107,26 @@ def lint_prompts(texts: DataFrame, terms: DataFrame, text: str = "text") -> Data
     return terms.join(found, ["rule", "term"], "left").select("rule", "term", F.coalesce("n_texts", F.lit(0)).alias("n_texts"))
 
 
+def missing_vocabulary(texts: DataFrame, terms: DataFrame, text: str = "text") -> DataFrame:
+    """How many texts lack each term that they must hold, as written."""
+    held = texts.select(F.coalesce(F.col(text), F.lit("")).alias("t")).crossJoin(F.broadcast(terms))
+    return held.groupBy("term").agg(F.count_if(~F.col("t").contains(F.col("term"))).alias("n_missing"))
+
+
+def key_order_errors(specs: DataFrame, output: str = "output_format", keys: str = "key_order", first: str = "first_key") -> DataFrame:
+    """specs with what is wrong with the order of declared keys in their output format: a missing key, another order, another first key."""
+    at = F.transform(F.col(keys), lambda k: F.position(F.concat(F.lit('"'), k, F.lit('"')), F.col(output)))
+    error = F.when(F.exists(at, lambda p: p == 0), "missing key").when(at != F.array_sort(at), "other order").when(F.element_at(keys, 1) != F.col(first), "other first key")
+    return specs.withColumn("error", error)
+
+
+def voices_crossed(paraphrases: DataFrame) -> DataFrame:
+    """(crossed): whether all conditions have the same voices in the same order. paraphrases: (condition, number, voice)."""
+    voices = F.transform(F.array_sort(F.collect_list(F.struct("number", "voice"))), lambda x: x["voice"])
+    each = paraphrases.groupBy("condition").agg(voices.alias("voices"))
+    return each.agg((F.count_distinct("voices") <= 1).alias("crossed"))
+
+
 def drift(old: DataFrame, new: DataFrame, key: str, text: str) -> DataFrame:
     """Keys whose frozen text changed, vanished or is new."""
     a = old.select(key, F.sha2(text, 256).alias("old_hash"))

@@ -262,12 +262,12 @@ _PAIRED = "(SELECT l_orderkey % 2 AS truth, l_quantity / 50::DOUBLE AS p_clean,
 
 
 @query("d33_paired_robustness", f"""
+    SELECT *, accuracy_changed - accuracy_clean AS accuracy_delta, auc_changed - auc_clean AS auc_delta FROM (
     SELECT count(*) AS n, count(*) FILTER ((p_clean >= 0.5) = (truth = 1))::DOUBLE / count(*) AS accuracy_clean, count(*) FILTER ((p_changed >= 0.5) = (truth = 1))::DOUBLE / count(*) AS accuracy_changed,
            count(*) FILTER ((p_clean >= 0.5) <> (p_changed >= 0.5))::DOUBLE / count(*) AS flip_rate, avg(abs(p_clean - p_changed)) AS mean_abs_change, count(*) FILTER (failed)::DOUBLE / count(*) AS failure_rate,
            (SELECT auc FROM ({_AUC.format(rows=f"SELECT p_clean AS confidence, CASE WHEN truth = 1 THEN 'SSA' ELSE 'HP' END AS label FROM {_PAIRED}")})) AS auc_clean,
-           (SELECT auc FROM ({_AUC.format(rows=f"SELECT p_changed AS confidence, CASE WHEN truth = 1 THEN 'SSA' ELSE 'HP' END AS label FROM {_PAIRED}")})) AS auc_changed,
-           accuracy_changed - accuracy_clean AS accuracy_delta, auc_changed - auc_clean AS auc_delta
-    FROM {_PAIRED}""", (), ("accuracy_clean", "accuracy_changed", "flip_rate", "mean_abs_change", "failure_rate", "auc_clean", "auc_changed", "accuracy_delta", "auc_delta"))
+           (SELECT auc FROM ({_AUC.format(rows=f"SELECT p_changed AS confidence, CASE WHEN truth = 1 THEN 'SSA' ELSE 'HP' END AS label FROM {_PAIRED}")})) AS auc_changed
+    FROM {_PAIRED})""", (), ("accuracy_clean", "accuracy_changed", "flip_rate", "mean_abs_change", "failure_rate", "auc_clean", "auc_changed", "accuracy_delta", "auc_delta"))
 def _(t: Tables):
     rows = t.lineitem.select((F.col("l_orderkey") % 2).alias("truth"), (F.col("l_quantity") / F.lit(50.0)).alias("p_clean"), (F.col("l_discount") * F.lit(10.0)).alias("p_changed"), (F.col("l_linenumber") == 7).alias("failed"))
     return M.paired_robustness(rows)

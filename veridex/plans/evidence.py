@@ -130,12 +130,23 @@ def _(t: Tables):
 
 @query("d28_stability_probe", f"""
     WITH m AS ({MASKS_SQL}), p AS ({_PAIRS}), c AS ({_CELLS}), n AS (SELECT image_id, prompt_id, count(*) AS n_reps FROM m GROUP BY ALL)
-    SELECT count(*) AS groups, avg(coalesce(mj, 0)) AS mean_jaccard, avg(cited::DOUBLE / n_reps) AS mean_cells, sum(cells_in_all)::DOUBLE / greatest(sum(union_cells), 1) AS core_share
-    FROM n LEFT JOIN p USING (image_id, prompt_id) JOIN c USING (image_id, prompt_id)""", ("citations",), ("mean_jaccard", "mean_cells", "core_share"))
+    SELECT count(*) AS groups, avg(coalesce(mj, 0)) AS mean_jaccard, (SELECT avg(j) FROM (SELECT {JACCARD_SQL} AS j FROM m a JOIN m b ON a.image_id = b.image_id AND a.prompt_id = b.prompt_id AND a.replicate < b.replicate)) AS pair_jaccard,
+           avg(cited::DOUBLE / n_reps) AS mean_cells, sum(cells_in_all)::DOUBLE / greatest(sum(union_cells), 1) AS core_share
+    FROM n LEFT JOIN p USING (image_id, prompt_id) JOIN c USING (image_id, prompt_id)""", ("citations",), ("mean_jaccard", "pair_jaccard", "mean_cells", "core_share"))
 def _(t: Tables):
     return E.stability_probe(masks(t), ["image_id", "prompt_id"])
 
 
+@query("d28_label_stability", """
+    SELECT image_id, prompt_id, count(*) AS n_reps, string_agg(label_pred, ',' ORDER BY replicate, seq, label_pred, confidence) AS labels, string_agg(CAST(CAST(round(confidence * 100) AS BIGINT) AS VARCHAR), ',' ORDER BY replicate, seq, label_pred, confidence) AS confidences,
+           count(DISTINCT label_pred) = 1 AS label_stable
+    FROM responses WHERE label_pred IS NOT NULL GROUP BY ALL""", ("responses",))
+def _(t: Tables):
+    h = E.response_history(t.responses, ["image_id", "prompt_id"])
+    percent = F.transform("confidences", lambda c: F.round(c * 100).cast("long").cast("string"))
+    return h.select("image_id", "prompt_id", "n_reps", F.array_join("labels", ",").alias("labels"), F.array_join(percent, ",").alias("confidences"), "label_stable")
+
+
 @query("c10_between_item_similarity", f"""
     WITH m AS (SELECT prompt_id, mask, count(*) AS n FROM ({MASKS_SQL}) GROUP BY ALL),
     w AS (SELECT a.prompt_id, CASE WHEN a.mask = b.mask THEN a.n * (a.n - 1) / 2.0::DOUBLE ELSE a.n * b.n::DOUBLE END AS w, {JACCARD_SQL} AS j

@@ -22,6 +22,25 @@ def _(t: Tables):
     return out.select("event_id", "record.k", "bad")
 
 
+@query("a1_read_ledger", "SELECT CAST(json_extract(props, '$.k') AS BIGINT) % 10 AS key, max(event_id) AS event_id, count(*) AS n FROM events GROUP BY 1")
+def _(t: Tables):
+    """Written as lines in the order of events, with blank ones, and read back: of each key the last line."""
+    path, line = fresh_folder(t.spark, "lines"), F.to_json(F.struct("event_id", F.get_json_object("props", "$.k").cast("long").alias("k")))
+    in_order = t.events.repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    in_order.select(F.concat(line, F.when(F.col("event_id") % 7 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    ledger = FI.read_ledger(t.spark, path, "event_id BIGINT, k BIGINT").withColumn("key", F.col("k") % 10)
+    last = L.dedup(ledger.select("key", "event_id", "seq"), ["key"], "last").select("key", "event_id")
+    return last.join(ledger.groupBy("key").agg(F.count("*").alias("n")), "key")
+
+
+@query("a3_read_annotations", "SELECT label, count(*) AS n, sum(ssa_votes)::BIGINT AS votes FROM annotations WHERE partition = 'test' GROUP BY 1", ("annotations",))
+def _(t: Tables):
+    path = fresh_folder(t.spark, "annotations")
+    names = {"image_id": "Image Name", "label": "Majority Vote Label", "ssa_votes": "Number of Annotators who Selected SSA (Out of 7)", "partition": "Partition"}
+    t.annotations.select(*[F.col(c).alias(n) for c, n in names.items()]).write.option("header", True).csv(path)
+    return FI.read_annotations(t.spark, path, names, "test").groupBy("label").agg(F.count("*").alias("n"), F.sum("ssa_votes").alias("votes"))
+
+
 @query("a2_append_ledger", "SELECT experiment, count(*) AS n, sum(output_tokens)::BIGINT AS tokens FROM calls GROUP BY 1", ("calls",))
 def _(t: Tables):
     path = fresh_folder(t.spark, "ledger")
@@ -48,13 +67,12 @@ def _(t: Tables):
 
 @query("a8_stream_split", "SELECT image_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY partition ORDER BY image_id) - 1 AS ordinal FROM annotations) WHERE partition = 'test' AND ordinal < 1000", ("annotations",))
 def _(t: Tables):
-    from pyspark.sql import Window
+    from ..operators.ranks import with_ahead
 
-    n = F.row_number().over(Window.partitionBy("partition").orderBy("image_id")) - 1
-    return FI.stream_split(t.annotations.withColumn("ordinal", n.cast("long")), "test", 1000).select("image_id", "ordinal")
+    return FI.stream_split(with_ahead(t.annotations, ["partition"], "image_id", name="ordinal"), "test", 1000).select("image_id", "ordinal")
 
 
-@query("a9_manifest", "SELECT partition, label, '{\"seed\":42,\"items\":[' || string_agg('{\"image_id\":' || image_id || ',\"ssa_votes\":' || ssa_votes || '}', ',' ORDER BY image_id) || ']}' AS document, count(*) AS n_items FROM annotations GROUP BY ALL", ("annotations",))
+@query("a9_manifest", "SELECT partition, label, CAST(floor(image_id / 4096) AS BIGINT) AS part, '{\"seed\":42,\"items\":[' || string_agg('{\"image_id\":' || image_id || ',\"ssa_votes\":' || ssa_votes || '}', ',' ORDER BY image_id) || ']}' AS document, count(*) AS n_items FROM annotations GROUP BY ALL", ("annotations",))
 def _(t: Tables):
     return FI.manifest(t.annotations, ["partition", "label"], "image_id", "ssa_votes", seed=42)
 
@@ -78,7 +96,7 @@ def _(t: Tables):
 def _(t: Tables):
     path = fresh_folder(t.spark, "cache")
     rows = t.calls.withColumn("cache_key", F.sha2(F.col("seq").cast("string"), 256))
-    FI.write_cache(rows.coalesce(1), path)
+    FI.write_cache(rows.repartition(F.substring("cache_key", 1, 2)), path)
     return FI.read_cache(t.spark, path, rows.where("NOT failed")).groupBy(F.substring("cache_key", 1, 1).alias("first")).agg(F.count("*").alias("n"))
 
 
@@ -209,11 +227,25 @@ def _(t: Tables):
 
 
 @query("d29_description_report", f"""
-    SELECT feature, count(*) AS n, count(*) FILTER (direction <> 'none') AS directional, count(*) FILTER (direction <> 'none' AND direction = (CASE WHEN i.replicate % 2 = 0 THEN 'HP' ELSE 'SSA' END)) AS matches_stated,
+    SELECT feature, count(*) AS n, count(*) FILTER (direction <> 'none') AS directional, count(*) FILTER (direction = 'none') AS downgraded, count(*) FILTER (direction <> 'none' AND direction = (CASE WHEN i.replicate % 2 = 0 THEN 'HP' ELSE 'SSA' END)) AS matches_stated,
            count(*) FILTER (direction <> 'none' AND direction = label) AS matches_true, count(*)::BIGINT AS terms FROM {_ITEMS} i JOIN annotations a USING (image_id) GROUP BY 1""", ("citations", "annotations"))
 def _(t: Tables):
-    rows = _directed(t).join(t.annotations, "image_id").withColumns({"stated": F.when(F.col("replicate") % 2 == 0, "HP").otherwise("SSA"), "terms": F.array("feature")})
-    return WO.description_report(rows, ["feature"])
+    return WO.description_report(_described(t), ["feature"])
+
+
+def _described(t: Tables):
+    kind = F.concat(F.lit("k"), (F.col("cell_idx") % 3).cast("string"))
+    return _directed(t).join(t.annotations, "image_id").withColumns({"stated": F.when(F.col("replicate") % 2 == 0, "HP").otherwise("SSA"), "terms": F.array("feature"), "kind": kind})
+
+
+@query("d29_class_counts", "SELECT feature, 'k' || (cell_idx % 3) AS kind, count(*) AS n FROM citations GROUP BY ALL", ("citations",))
+def _(t: Tables):
+    return WO.class_counts(_described(t), ["feature"])
+
+
+@query("d29_inconsistent_items", f"SELECT image_id, replicate, item, direction FROM {_ITEMS} WHERE direction <> 'none' AND direction <> CASE WHEN replicate % 2 = 0 THEN 'HP' ELSE 'SSA' END", ("citations",))
+def _(t: Tables):
+    return WO.inconsistent_items(_described(t)).select("image_id", "replicate", "item", "direction")
 
 
 @query("b20_content_tokens", f"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))) AS token FROM documents) GROUP BY 1")
@@ -236,6 +268,35 @@ def _(t: Tables):
     return WO.lint_prompts(t.documents, terms)
 
 
+@query("b22_missing_vocabulary", "SELECT term, count(*) FILTER (NOT contains(coalesce(text, ''), term)) AS n_missing FROM documents, (VALUES ('the'), ('eau '), ('$')) AS t(term) GROUP BY 1")
+def _(t: Tables):
+    return WO.missing_vocabulary(t.documents, t.spark.createDataFrame([("the",), ("eau ",), ("$",)], "term string"))
+
+
+_FORMATS = ['{"label": 0, "confidence": 1}', '{"confidence": 1, "label": 0}', '{"label": 0}', '{"label": 0, "confidence": 1, "evidence": []}']
+
+
+@query("b22_key_order", "SELECT error, count(*) AS n FROM (SELECT CASE WHEN o_orderkey % 4 = 2 THEN 'missing key' WHEN o_orderkey % 4 = 1 THEN 'other order' WHEN o_custkey % 2 = 0 THEN 'other first key' END AS error FROM orders) GROUP BY 1")
+def _(t: Tables):
+    specs = t.orders.select(F.element_at(F.array(*map(F.lit, _FORMATS)), (F.col("o_orderkey") % 4 + 1).cast("int")).alias("output_format"), F.array(F.lit("label"), F.lit("confidence")).alias("key_order"), F.when(F.col("o_custkey") % 2 == 0, "evidence").otherwise("label").alias("first_key"))
+    return WO.key_order_errors(specs).groupBy("error").agg(F.count("*").alias("n"))
+
+
+@query("b22_voices_crossed", "SELECT count(DISTINCT voices) <= 1 AS crossed FROM (SELECT o_orderpriority, string_agg(o_orderstatus, ',' ORDER BY o_orderkey) AS voices FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS k FROM orders) WHERE k <= 5 GROUP BY 1)")
+def _(t: Tables):
+    from ..operators.resample import first_n_per_class
+
+    first = first_n_per_class(t.orders, "o_orderpriority", "o_orderkey", 5)
+    return WO.voices_crossed(first.select(F.col("o_orderpriority").alias("condition"), F.col("o_orderkey").alias("number"), F.col("o_orderstatus").alias("voice")))
+
+
+@query("b22_drift", "SELECT drift, count(*) AS n FROM (SELECT CASE WHEN c_custkey % 10 = 0 THEN 'gone' WHEN c_custkey % 7 = 0 THEN 'changed' END AS drift FROM customer UNION ALL SELECT 'new' FROM supplier) WHERE drift IS NOT NULL GROUP BY 1")
+def _(t: Tables):
+    old = t.customer.select("c_custkey", F.col("c_name").alias("text"))
+    new = old.where("c_custkey % 10 <> 0").withColumn("text", F.when(F.col("c_custkey") % 7 == 0, "other").otherwise(F.col("text"))).unionByName(t.supplier.select((-1 - F.col("s_suppkey")).alias("c_custkey"), F.col("s_name").alias("text")))
+    return WO.drift(old, new, "c_custkey", "text").groupBy("drift").agg(F.count("*").alias("n"))
+
+
 @query("b23_feature_source", "SELECT source, count(*) AS n, count(*) FILTER (cell_idx < 8) AS named FROM citations JOIN (VALUES ('architecture', 'epithelium'), ('serration', 'epithelium')) AS s(feature, source) USING (feature) GROUP BY 1", ("citations",))
 def _(t: Tables):
     sources = t.spark.createDataFrame([("architecture", "epithelium"), ("serration", "epithelium")], "feature string, source string")
@@ -297,6 +358,12 @@ def _(t: Tables):
     return L.run_health(t.calls, "experiment")
 
 
+@query("d18_match_gap", f"SELECT experiment, count(*) AS records, count(*) FILTER ({_OK}) AS scored, coalesce(avg(latency_seconds) FILTER ({_OK} AND seq % 2 = 0), 0) AS mean_match_gap FROM calls GROUP BY 1", ("calls",), ("mean_match_gap",))
+def _(t: Tables):
+    """The gap counts in one arm alone, here that of even numbers."""
+    return L.run_health(t.calls, "experiment", F.when(F.col("seq") % 2 == 0, F.col("latency_seconds"))).select("experiment", "records", "scored", "mean_match_gap")
+
+
 @query("d35_completion_audit", f"""
     WITH p AS (SELECT experiment, image_id, count(*) FILTER ({_OK}) AS s, count(*) FILTER (NOT ({_OK})) AS f FROM calls GROUP BY ALL)
     SELECT experiment, sum(s)::BIGINT AS success_rows, count(*) FILTER (s > 0) AS unique_ids, (sum(s) - count(*) FILTER (s > 0))::BIGINT AS duplicates, 150 - count(*) FILTER (s > 0) AS remaining,
@@ -323,6 +390,33 @@ def _(t: Tables):
     return scored.join(rows.select("cache_key", "label"), "cache_key").groupBy("label").agg(F.count("*").alias("n"), F.count("error").alias("errors"))
 
 
+@query("j1_score_run", """
+    WITH r AS (SELECT *, row_number() OVER (ORDER BY CAST(c_custkey AS VARCHAR)) AS k FROM customer), a AS (SELECT *, k <= 50 AS first, c_custkey % 17 = 0 AS bad FROM r)
+    SELECT 1 AS run, false AS cache_hit, bad AS failed, count(*) AS n FROM a WHERE first GROUP BY ALL UNION ALL SELECT 2, first AND NOT bad, bad, count(*) FROM a GROUP BY ALL""")
+def _(t: Tables):
+    """The first run may call 50 times, the second one calls what is left; failures are called again."""
+    def scorer(prompt: str) -> str:
+        if int(prompt) % 17 == 0:
+            raise ValueError("refused")
+        return prompt
+
+    rows = t.customer.select(F.col("c_custkey").cast("string").alias("cache_key"), F.col("c_custkey").cast("string").alias("prompt"))
+    cache, ledger = fresh_folder(t.spark, "cache"), fresh_folder(t.spark, "ledger")
+    runs = [SC.score_run(rows, scorer, cache, ledger, most).withColumn("run", F.lit(i)) for i, most in ((1, 50), (2, None))]
+    return runs[0].unionByName(runs[1]).groupBy("run", "cache_hit", F.col("error").isNotNull().alias("failed")).agg(F.count("*").alias("n"))
+
+
+@query("j6_probe_evaluate", """
+    WITH r AS (SELECT l_orderkey % 2 AS label, l_quantity / 50::DOUBLE AS p FROM lineitem), c AS (SELECT p AS s, count(*) FILTER (label = 1) AS a, count(*) FILTER (label = 0) AS b FROM r GROUP BY 1),
+    z AS (SELECT *, coalesce(sum(b) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c)
+    SELECT (SELECT avg((label = (p >= 0.5)::INT)::INT::DOUBLE) FROM r) AS accuracy, (SELECT sum(a * (below + b / 2.0::DOUBLE))::DOUBLE / (sum(a) * sum(b))::DOUBLE FROM z) AS roc_auc,
+           (SELECT avg(-ln(greatest(CASE WHEN label = 1 THEN p ELSE 1 - p END, 1e-15))) FROM r) AS loss, (SELECT count(*) FROM r) AS n""", (), ("accuracy", "roc_auc", "loss"))
+def _(t: Tables):
+    p = F.col("l_quantity") / F.lit(50.0)
+    rows = t.lineitem.select((F.col("l_orderkey") % 2).alias("label"), (p >= 0.5).cast("int").alias("predicted"), p.alias("p_positive"))
+    return SC.probe_evaluate(rows.withColumn("p_true", F.when(F.col("label") == 1, F.col("p_positive")).otherwise(1 - F.col("p_positive"))))
+
+
 _MEANS = "SELECT label, list(m ORDER BY i) AS mean_vector FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings) GROUP BY ALL) GROUP BY 1"
 
 

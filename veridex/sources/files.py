@@ -13,10 +13,16 @@ CORRUPT = "_corrupt_record"
 
 
 def read_ledger(spark: SparkSession, path: str, schema: str, on_bad: str = "fail") -> DataFrame:
-    """JSON lines with a schema, blank lines ignored. on_bad: fail, skip, or keep (bad lines in _corrupt_record)."""
+    """JSON lines with a schema, blank lines ignored. on_bad: fail, skip, or keep (bad lines in _corrupt_record).
+
+    seq says where a line stands: its file, the part of the file that a task reads, and its number there. It orders a ledger's
+    lines as they were written, file by file, without a shuffle.
+    """
     mode = {"fail": "FAILFAST", "skip": "DROPMALFORMED", "keep": "PERMISSIVE"}[on_bad]
     kind = T._parse_datatype_string(schema) if on_bad != "keep" else T._parse_datatype_string(f"{schema}, {CORRUPT} string")
-    return spark.read.schema(kind).option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    lines = spark.read.schema(kind).option("mode", mode).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    seq = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return lines.select("*", seq.alias("seq"))
 
 
 def parse_ledger(lines: DataFrame, column: str, schema: str, on_bad: str = "keep") -> DataFrame:
@@ -36,8 +42,21 @@ def append_ledger(df: DataFrame, path: str, kind: str = "parquet") -> None:
     df.write.mode("append").format(kind).save(path)
 
 
-def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(ANNOTATION_SCHEMA).option("header", True).csv(path)
+def read_annotations(spark: SparkSession, path: str, names: dict[str, str] | None = None, partition: str | None = None) -> DataFrame:
+    """Annotations from CSV with a header; rows that break the contract (see ledger.check_annotations) are an error, and so is an
+    empty partition. names: the file's name of each column, where it is another."""
+    names = names or {}
+    raw = spark.read.option("header", True).csv(path)
+    rows = raw.select(*[F.col(names.get(f.name, f.name)).cast(f.dataType).alias(f.name) for f in T._parse_datatype_string(ANNOTATION_SCHEMA)])
+    from ..operators.ledger import check_annotations
+
+    bad = {r["rule"]: r["n_bad"] for r in check_annotations(rows).collect() if r["n_bad"]}
+    if bad:
+        raise ValueError(f"annotations break their contract: {bad}")
+    rows = rows if partition is None else rows.where(F.col("partition") == partition)
+    if partition is not None and rows.isEmpty():
+        raise ValueError(f"partition {partition} is empty")
+    return rows
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
@@ -87,11 +106,12 @@ def stream_split(source: DataFrame, partition: str, max_samples: int | None = No
     return out if max_samples is None else out.where(F.col(ordinal) < max_samples)
 
 
-def manifest(df: DataFrame, by: list[str], order: str, *columns: str, **parameters) -> DataFrame:
-    """Selections with their parameters, one document a group."""
+def manifest(df: DataFrame, by: list[str], order: str, *columns: str, part_size: int = 4096, **parameters) -> DataFrame:
+    """Selections with their parameters, as documents of at most part_size values of the (whole, distinct) order column each."""
     rows = F.sort_array(F.collect_list(F.struct(order, *columns)))
     fixed = [F.lit(v).alias(k) for k, v in parameters.items()]
-    return df.groupBy(*by).agg(F.to_json(F.struct(*fixed, rows.alias("items"))).alias("document"), F.count("*").alias("n_items"))
+    part = F.floor(F.col(order) / F.lit(part_size)).alias("part")
+    return df.groupBy(*by, part).agg(F.to_json(F.struct(*fixed, rows.alias("items"))).alias("document"), F.count("*").alias("n_items"))
 
 
 def read_dimension(spark: SparkSession, path: str, schema: str) -> DataFrame:
