@@ -610,15 +610,17 @@ def _once(key, make):
     return _MADE[key]
 
 
-def _encode_batches(data, pattern: str, spaced: bool):
+def _encode_batches(data, pattern: str, spaced: bool, decoded: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = data.value
         encoder = _once(("encode", hash(raw), pattern, spaced), lambda: Encoder(read_ranks(raw), pattern, spaced))
         for part in T.slices(batches, "text", SLICE_BYTES):
             ids, offsets = encoder.encode(*T.utf8(part.column("text")))
             ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids))
-            columns = {n: part.column(n) for n in part.schema.names if n != "ids"} | {"ids": ids}
-            del columns["text"]
+            columns = {n: part.column(n) for n in part.schema.names if n not in ("ids", "text")} | {"ids": ids}
+            if decoded:
+                decoder = _once(("decode", hash(raw)), lambda: Decoder(read_ranks(raw)))
+                columns["decoded"] = decoder.texts(ids.values.to_numpy(), offsets)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
     return T.releasing(run)
@@ -642,16 +644,19 @@ def _decode_batches(data):
     return T.releasing(run)
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", spaced: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", spaced: bool = True, decoded: bool = False) -> DataFrame:
     """docs without its text, with ids array<int>. ranks_path is read on the driver; its bytes go to the executors once.
 
-    spaced: see Encoder; False for patterns in which a space may end a piece.
+    spaced: see Encoder; False for patterns in which a space may end a piece. decoded: the ids are decoded as well, as by
+    decode, while they are at hand.
     """
     with open(ranks_path, "rb") as file:
         data = docs.sparkSession.sparkContext.broadcast(file.read())
-    keep = [F.col(c) for c in docs.columns if c not in (text, "text", "ids")]
-    source = docs.select(*keep, F.coalesce(text, F.lit("")).alias("text"), F.array().cast("array<int>").alias("ids"))
-    return source.mapInArrow(_encode_batches(data, pattern, spaced), source.drop("text").schema)
+    new = ["ids", "decoded"] if decoded else ["ids"]
+    keep = [F.col(c) for c in docs.columns if c not in (text, "text", *new)]
+    source = docs.select(*keep, F.coalesce(text, F.lit("")).alias("text"))
+    schema = source.drop("text").select("*", F.array().cast("array<int>").alias("ids"), *[F.lit("").alias(c) for c in new[1:]]).schema
+    return source.mapInArrow(_encode_batches(data, pattern, spaced, decoded), schema)
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
@@ -663,7 +668,7 @@ def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
 
 
 def digests(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded (doc_id, ids), decoding the ids."""
-    out = decode(encoded.select("doc_id", "ids"), ranks_path)
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encoded (doc_id, ids), decoding the ids where that isn't done yet."""
+    out = encoded if "decoded" in encoded.columns else decode(encoded.select("doc_id", "ids"), ranks_path)
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -102,7 +102,8 @@ def _near_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (node, head) that are near copies."""
     a, b = sets.select("node", F.col("shingles").alias("a")), sets.select(F.col("node").alias("head"), F.col("shingles").alias("b"))
-    return pairs.join(a, "node").join(b, "head").select("node", "head", "a", "b").mapInArrow(_near_batches, "node long, head long").dropDuplicates()
+    heads = written(b.join(pairs.select("head").distinct(), "head", "left_semi"), "heads")
+    return pairs.join(a, "node").join(heads, "head").select("node", "head", "a", "b").mapInArrow(releasing(_near_batches), "node long, head long").dropDuplicates()
 
 
 _SIGNS = "doc_id long, edition long, digest binary, fp long, keys array<long>, shingles binary"
@@ -113,6 +114,7 @@ def kept(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     signed = written(texts.mapInArrow(releasing(_sign_batches), _SIGNS), "signs")
     # a class is a set of shingles; its first document stands for it, and it goes by a number that follows their order
     classes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "edition")).alias("first")).select("first.*").orderBy("doc_id", "edition")
+    # small tables are written before they meet the sets, so that their size is known and the sets stay where they are
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = signed.join(classes, ["doc_id", "edition"])
     sets = members.select("node", "shingles")
@@ -130,12 +132,12 @@ def kept(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
             return written(stay, "stay"), signed.groupBy("doc_id", "edition").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "edition")
         if not verified and pairs <= max(FEW_PAIRS, PAIRS_PER_ROW * rows):
             other = live.select("key", F.col("node").alias("head"))
-            near = _near(live.join(other, "key").where("head < node").select("node", "head").distinct(), sets)
+            near = _near(written(live.join(other, "key").where("head < node").select("node", "head").distinct(), "pairs"), sets)
             live = written(near.select(F.xxhash64("node", "head").alias("key"), F.explode(F.array("node", "head")).alias("node")), "keys")
             verified = True
             continue
         found = written(live.join(heads, "key").where("node <> head").select("node", "head").distinct(), "pairs")
-        ready = found.join(found.select(F.col("node").alias("head")).distinct(), "head", "left_anti").select("node", "head")
+        ready = written(found.join(found.select(F.col("node").alias("head")).distinct(), "head", "left_anti").select("node", "head"), "ready")
         near = written(ready if verified else _near(ready, sets), "near").select("node")
         gone = gone.unionByName(near)
         done = near.unionByName(ready.select(F.col("head").alias("node"))).distinct()

@@ -45,7 +45,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN)
+    encoded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), RANKS, PATTERN, decoded=True)
     return bpe.digests(encoded, RANKS)
 
 
