@@ -260,6 +260,16 @@ def test_decontamination_matches_definition(spark, block_bytes):
     assert sorted(map(tuple, found)) == sorted((d, *plain_hits(t, items)) for d, t in rows)
 
 
+def test_decontamination_of_very_long_texts(spark):
+    rng = random.Random(29)
+    words = ["alpha", "beta", "é", "x1", "of", "the"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    item = text(15)
+    rows = [(1, f"{text(6000)} {item} {text(3000)}"), (2, "q" * 300_000), (3, f"{'z' * 200_000} {item}")]
+    found = decontaminate.contamination_report(spark.createDataFrame(rows, DOC), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert sorted(map(tuple, found)) == sorted((d, *plain_hits(t, [(7, item)])) for d, t in rows)
+
+
 def test_decontamination_edges(spark):
     docs = spark.createDataFrame([(1, "a b c", "h", 5)], "doc_id long, text string, hits string, row int")
     none = spark.createDataFrame([], "item_id long, text string")

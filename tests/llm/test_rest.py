@@ -196,6 +196,37 @@ def test_most_keys_stay_home_when_a_shard_is_added(spark):
     assert sum(a[k] != b[k] for k in a) < 0.35 * len(a)
 
 
+def test_shards_of_very_long_texts(spark):
+    rows = [(i, "é" * 200_000 if i == 3 else "x") for i in range(40)]
+    found = {r["doc_id"]: r for r in sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string"), 4, 8).collect()}
+    assert found[3]["size"] == 400_008 and found[3]["text_crc32"] == zlib.crc32(("é" * 200_000).encode())
+    assert sorted(Counter(r["shard"] for r in found.values()).values()) == [10, 10, 10, 10]
+
+
+def test_pipeline_edges(spark, tmp_path):
+    rng = random.Random(28)
+    words = ["the", "thing", "where", "other", "within", "which"]
+    text = lambda n: " ".join(rng.choice(words) + str(rng.randint(0, 999)) for _ in range(n))
+    a, long, item = text(60), text(20_000), text(12)
+    rows = [(i, text(50), "en", None, None) for i in range(20)]
+    rows += [(30, a, "en", "s", 1), (30, a, "en", "s", 1), (31, a, "en", "s", 1), (30, text(60), None, "s", 1), (None, text(40), "en", "s", 1), (32, long, "en", "s", 1), (33, long + " end", "en", "s", 1)]
+    rows += [(34, None, None, None, None), (35, "", "en", "s", 0), (36, f"{long} {item}", "en", "s", 1), (37, text(30) + " " + "z" * 100_000, "en", "s", 1)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clash = ("row", "hits", "spans", "ids", "score", "edition", "node", "key")
+    docs = spark.createDataFrame([(*r, *clash) for r in rows], names + "".join(f", {c} string" for c in clash)).repartition(3)
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns and out.select(*clash).distinct().count() == 1
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = Counter(r["doc_id"] for r in found)
+    assert ids == Counter({**{i: 1 for i in range(20)}, 30: 2, None: 1, 32: 1, 37: 1})
+    assert {r["decoded"] for r in found if r["doc_id"] == 32} == {long}
+
+
 def test_pipeline_on_a_small_corpus(spark, tmp_path):
     rng = random.Random(16)
     words = {"en": ["the", "thing", "where", "other", "within", "which"], "fr": ["le", "était", "où", "être", "nous", "eux"]}

@@ -11,7 +11,8 @@ and passes over all documents, so no benchmark is too large and documents are ne
 hits gather from block to block.
 
 Nulls: null texts have no words; rows with null item_id are items named "" in lists of items. Repeated items
-count by item_id, repeated documents each get their row. Without items nothing is contaminated.
+count by item_id, repeated documents each get their row. Without items nothing is contaminated; without documents the
+result is empty. Texts of any length are read whole, a slice of whole texts at a time.
 """
 
 from __future__ import annotations
@@ -180,7 +181,8 @@ def _hit_batches(index):
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, hits (stretches of words within occurring windows) and items (whose windows occur).
 
-    Every row and column of docs stays; docs needs a column text.
+    Every row of docs stays, and every column, except that columns named hits, items and n_words give way to the new ones. docs
+    needs a column text. (uncontaminated carries all columns, whatever their names.)
     """
     if not window >= shingle >= 1:
         raise ValueError("shingle must be between 1 and window")

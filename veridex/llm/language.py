@@ -12,7 +12,9 @@ words gains more than the penalty, nor a first and a last stretch together, whic
 are stretches; words are walked one by one only in texts where a switch could pay.
 
 Nulls: a null text, or one without a letter, is `und` with score 0; rows with null text or language don't train;
-a row with null doc_id is predicted but never learned from. Without any labelled row all texts are `und`.
+a row with null doc_id is predicted but never learned from. Without any labelled row all texts are `und`. Repeated rows each
+get their prediction; an empty table gives an empty result. Texts of any length are read whole. identify returns its own columns
+alone; accepted carries all columns, whatever their names.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ parameters fix. From it the plan gives each arc's rows, in ring order, to shards
 and slot then follow from its rank within its arc. DataFrame functions do the rest.
 
 Nulls: a null doc_id is a key like any other (the empty string); a null text has size 8 and checksum 0.
-Repeated rows get slots of their own. With no rows the result is empty.
+Repeated rows get slots of their own, but lie in one arc, as do all rows of one doc_id. With no rows the result is empty. Texts
+of any length count whole. Of other columns none is returned, so their names don't matter.
 """
 
 from __future__ import annotations
