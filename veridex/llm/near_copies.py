@@ -4,8 +4,7 @@ Two documents are near copies if the sets of their five-word shingles (a shorter
 similarity of at least 0.8. Documents are kept in the order of doc_id: one stays unless it is a near copy of a smaller
 one that stays. So every document that goes has a near copy that stays, and no chain of links drops unlike documents.
 
-Candidates share a key. One key is their component by SimHash links (see simhash: fingerprints at most 3 bits apart). At
-a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, which deletion variants can't reach in bounded
+Candidates share a key. Some keys are SimHash links (see simhash: fingerprints at most 3 bits apart). At a similarity of 0.8 fingerprints of 64 bits differ in about ten bits, which deletion variants can't reach in bounded
 space, so there are 40 keys more, of 8 MinHashes each: at similarity 0.8 a pair shares one with probability 0.999, at
 0.9 or more with nearly 1. Every decision is taken on a candidate's exact similarity; the sets hold 32-bit hashes, of
 which two sets of n agree by chance in n * n / 2 ** 32 on average. Documents with equal sets are one member. In rounds,
@@ -34,7 +33,7 @@ from .text import releasing
 
 SHINGLE, LEAST, BANDS, BAND_ROWS, SEED = 5, 0.8, 40, 8, 42
 #: All pairs of the members of keys are compared once there are at most so many for each row of keys, or so few.
-PAIRS_PER_ROW, FEW_PAIRS = 2, 20_000
+PAIRS_PER_ROW, FEW_PAIRS = 64, 20_000
 _BLOCK = 1024
 _RNG = np.random.default_rng(SEED)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -118,8 +117,9 @@ def kept(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     members = signed.join(classes, ["doc_id", "edition"])
     sets = members.select("node", "shingles")
-    linked = members.select("node", "fp").join(simhash.linked(members.select("fp").distinct()), "fp")
-    keys = members.select("node", F.explode("keys").alias("key")).unionByName(linked.select("node", F.xxhash64("component", F.lit("simhash")).alias("key")))
+    links = written(simhash.near_links(members.select("fp").distinct()), "links").withColumn("key", F.xxhash64("u", "v", F.lit("simhash")))
+    linked = members.select("node", "fp").join(links.select(F.explode(F.array("u", "v")).alias("fp"), "key"), "fp").select("node", "key")
+    keys = members.select("node", F.explode("keys").alias("key")).unionByName(linked)
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     live = written(keys.join(shared, "key").select("key", "node").distinct(), "keys")
     gone = classes.select("node").limit(0)
