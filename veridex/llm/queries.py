@@ -9,7 +9,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, decontaminate, language, pii, secret_scan, sharding, simhash, substring_dedup, url_filter
+from . import ann, bpe, decontaminate, importance, language, mixing, pii, secret_scan, sharding, simhash, substring_dedup, url_filter, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("quality")
+    quality = _table(spark, sf_dir, "labels").select("doc_id", F.when(label == 1, 2.0).when(label == 0, 0.5).alias("quality"))
+    return mixing.mix(_table(spark, sf_dir, "documents"), quality).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_url_filter": op2_url_filter,
@@ -76,9 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_language": op9_language,
     "op10_sharding": op10_sharding,
+    "op11_mixing": op11_mixing,
+    "op12_whitening": op12_whitening,
+    "op13_importance": op13_importance,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_mixing": mixing.SQL,
     "op2_url_filter": r"""
         WITH parts AS (
             SELECT page_id, row_number() OVER () AS row_no,
