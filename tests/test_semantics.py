@@ -1,15 +1,13 @@
 """Hand-checked cases of operators, and the traps of their definitions."""
 
 import math
-import struct
-import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from veridex.functions import columns as C
-from veridex.operators import answers, contrast, evidence, ledger, metrics, resample, scoring, tiles, wording
+from veridex.operators import answers, contrast, evidence, ledger, metrics, resample, scoring, wording
 from veridex.sources import files
 from veridex.streaming import calls
 
@@ -172,54 +170,9 @@ def test_descriptions(spark):
     assert sorted(map(tuple, wording.drift(old, new, "k", "t").collect())) == [(2, "changed"), (3, "new")]
 
 
-def pixels(spark, image):
-    h, w, _ = image.shape
-    rows = [(1, y, x, *map(int, image[y, x])) for y in range(h) for x in range(w)]
-    return spark.createDataFrame(rows, "image_id long, y int, x int, r int, g int, b int")
-
-
-def test_tissue_rule_tie_and_rounding(spark):
-    image = np.array([[[204, 204, 204], [203, 203, 203], [250, 225, 240], [255, 255, 255]]])
-    df = pixels(spark, image)
-    assert [r[0] for r in df.orderBy("x").select(tiles.is_tissue()).collect()] == [False, True, True, False]
-    region = df.withColumn("in_region", F.lit(True))
-    assert tiles.mask_mean(region).collect()[0]["r"] == round((204 + 203 + 250 + 255) / 4)
-
-
-def test_whole_tile_operators(spark):
-    rng = np.random.default_rng(2)
-    image = rng.integers(30, 220, (12, 12, 3))
-    df = pixels(spark, image)
-    blurred = tiles.mask_blur(df.withColumn("in_region", F.col("x") < 6), 2.0).orderBy("y", "x").collect()
-    got = np.array([[r["r"], r["g"], r["b"]] for r in blurred]).reshape(12, 12, 3)
-    assert (got[:, 6:] == image[:, 6:]).all() and got[:, :6].std() < image[:, :6].std()
-    parts = tiles.stain_partition(df, 1.0, 3).agg(F.count_if(F.col("epithelium") & F.col("stroma"))).collect()[0][0]
-    assert parts == 0
-    flat = np.full((5, 3), 250)
-    assert (tiles.macenko(flat) == flat).all()
-    out = tiles.macenko(image.reshape(-1, 3).astype(np.uint8))
-    assert out.shape == (144, 3) and out.dtype == np.uint8
-    mask = np.zeros((8, 8), bool)
-    mask[1:4, 1:4] = mask[6, 6] = True
-    assert tiles.without_blobs(mask, 2).sum() == 9 and tiles.opened(mask).sum() == 9
-    one = df.withColumn("m", (F.col("x") == 5) & (F.col("y") == 5))
-    near = one.where("abs(x - 5) <= 1 AND abs(y - 5) <= 1").where(tiles.is_tissue()).count()
-    assert tiles.dilate(one, "m").count() == near > 0
-
-
-def png(path, image):
-    h, w, _ = image.shape
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    raw = b"".join(b"\0" + image[y].astype(np.uint8).tobytes() for y in range(h))
-    path.write_bytes(b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b""))
-
-
 def test_files(spark, tmp_path):
-    image = np.arange(2 * 3 * 3).reshape(2, 3, 3) * 5
     (tmp_path / "tiles").mkdir()
-    png(tmp_path / "tiles" / "a.png", image)
-    rows = tiles.image_pixels(files.read_tiles(spark, str(tmp_path / "tiles"))).orderBy("y", "x").collect()
-    assert [[r["r"], r["g"], r["b"]] for r in rows] == image.reshape(-1, 3).tolist()
+    (tmp_path / "tiles" / "a.png").write_bytes(b"")
     assert [r[0] for r in files.file_names(spark, str(tmp_path / "tiles")).collect()] == ["a.png"]
     (tmp_path / "l.jsonl").write_text('{"k": 1}\n\n{"k": 2}\nbad\n')
     path = str(tmp_path / "l.jsonl")

@@ -165,4 +165,6 @@ def test_interrupted_runs_pay_once(spark, tmp_path):
     first = scoring.score_run(requests, str.upper, cache, ledger, max_new=5)
     second = scoring.score_run(requests, str.upper, cache, ledger)
     assert first.count() == 5 and second.where("cache_hit").count() == 5 and second.where("NOT cache_hit").count() == 7
-    assert spark.read.parquet(ledger).count() == 17 and {r["answer"] for r in second.collect()} == {f"P{i}" for i in range(12)}
+    again = [scoring.score_run(requests, str.upper, cache, ledger, run="third") for _ in range(2)]
+    assert all(r.where("cache_hit").count() == 12 for r in again)
+    assert files.committed_ledger(spark, ledger).count() == 17 + 12 and {r["answer"] for r in second.collect()} == {f"P{i}" for i in range(12)}

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,17 +52,17 @@ def score_batch(requests: DataFrame, scorer: Callable[[str], str], key: str = "c
     return todo.mapInPandas(run, f"{key} string, answer string, error string, latency_seconds double")
 
 
-def score_run(requests: DataFrame, scorer: Callable[[str], str], cache: str, ledger: str, max_new: int | None = None, key: str = "cache_key", prompt: str = "prompt") -> DataFrame:
+def score_run(
+    requests: DataFrame, scorer: Callable[[str], str], cache: str, ledger: str, max_new: int | None = None, key: str = "cache_key", prompt: str = "prompt", run: str | None = None
+) -> DataFrame:
     """Answer requests from the cache, call the scorer for the others, and record both: the run's rows of the ledger.
 
-    Answers go to the cache before the ledger, so a run that breaks off pays for none twice. max_new caps the misses that are
-    called; requests beyond it stay for a later run. Errors are recorded and not cached.
+    Answers go to the cache before the ledger, so a run that breaks off pays for none twice; a run that is repeated under its
+    name enters the ledger once. max_new caps the misses that are called; requests beyond it stay for a later run. Errors
+    are recorded and not cached.
     """
     spark, todo = requests.sparkSession, requests.select(key, prompt).dropDuplicates([key])
-    try:
-        known = read_cache(spark, cache, todo, key).select(key, "answer")
-    except AnalysisException:  # no cache yet
-        known = spark.createDataFrame([], f"{key} string, answer string")
+    known = read_cache(spark, cache, todo, key, f"{key} string, answer string").select(key, "answer")
     called = score_batch(todo.join(known, key, "left_anti"), scorer, key, prompt, max_new)
     path = fresh_folder(spark, "called")
     called.write.parquet(path)
@@ -73,7 +73,7 @@ def score_run(requests: DataFrame, scorer: Callable[[str], str], cache: str, led
     folder = fresh_folder(spark, "run")
     out.write.parquet(folder)
     out = spark.read.parquet(folder)
-    append_ledger(out, ledger)
+    append_ledger(out, ledger, run or uuid.uuid4().hex)
     return out
 
 

@@ -8,10 +8,14 @@ from ..operators import answers as A
 from ..operators import evidence as E
 from ..operators import ledger as L
 from ..operators import scoring as SC
+from ..operators import tiles as TI
 from ..operators import wording as WO
 from ..sources import files as FI
+from ..sources import keyed
+from ..sources.commits import Log
 from ..sources.shared import fresh_folder
 from ..streaming import calls as ST
+from . import fixtures
 from .contrasts import _STOP, RA
 from .registry import Tables, query
 
@@ -43,10 +47,41 @@ def _(t: Tables):
 
 @query("a2_append_ledger", "SELECT experiment, count(*) AS n, sum(output_tokens)::BIGINT AS tokens FROM calls GROUP BY 1", ("calls",))
 def _(t: Tables):
+    """In two batches; one is appended again, another breaks off before its commit: both count once."""
     path = fresh_folder(t.spark, "ledger")
-    for part in (0, 1):
-        FI.append_ledger(t.calls.where(F.col("seq") % 2 == part), path)
-    return t.spark.read.parquet(path).groupBy("experiment").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("tokens"))
+    for batch in ("even", "odd", "even"):
+        rows = t.calls.where(F.col("seq") % 2 == int(batch == "odd"))
+        if batch == "odd":
+            Log(t.spark, path).write_files(rows)
+        FI.append_ledger(rows, path, batch)
+    return FI.committed_ledger(t.spark, path, seq="place").groupBy("experiment").agg(F.count("*").alias("n"), F.sum("output_tokens").alias("tokens"))
+
+
+@query("a1_order_of_batches", """
+    SELECT experiment, image_id, first(seq ORDER BY seq % 3 DESC, seq) AS first_call, last(seq ORDER BY seq % 3 DESC, seq) AS last_call, count(*) AS n FROM calls GROUP BY ALL""", ("calls",))
+def _(t: Tables):
+    """Appended in three batches whose numbers fall, lines in the order of calls: first and last call of each item as they were appended."""
+    path = fresh_folder(t.spark, "ledger")
+    for part in (2, 1, 0):
+        rows = t.calls.where(F.col("seq") % 3 == part).select("experiment", "image_id", F.col("seq").alias("call"))
+        FI.append_ledger(rows.repartitionByRange(4, "call").sortWithinPartitions("call"), path, f"part {part}")
+    ledger, keys = FI.committed_ledger(t.spark, path).select("experiment", "image_id", "call", "seq"), ["experiment", "image_id"]
+    ends = [L.dedup(ledger, keys, keep).select(*keys, F.col("call").alias(f"{keep}_call")) for keep in ("first", "last")]
+    return ends[0].join(ends[1], keys).join(ledger.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+
+
+@query("a4_read_tiles", f"""
+    WITH pixels AS ({fixtures.VIEWS["pixels"].replace("o_orderkey", "s_suppkey").replace("FROM orders", "FROM supplier")}), bad AS (SELECT *, image_id % 10 = 3 AS bad FROM pixels)
+    SELECT image_id, CASE WHEN NOT bad THEN 8 END AS height, CASE WHEN NOT bad THEN 8 END AS width, CASE WHEN bad THEN 'not an image' END AS error,
+           CASE WHEN NOT bad THEN sum(r)::BIGINT END AS r, CASE WHEN NOT bad THEN sum(g)::BIGINT END AS g, CASE WHEN NOT bad THEN sum(b * (x + 1))::BIGINT END AS weighted FROM bad GROUP BY image_id, bad""")
+def _(t: Tables):
+    """Images written to the shared folder, some of them cut off, and read back: every one is a row."""
+    made = FI.encode_tiles(fixtures.tiles(t.supplier.select(F.col("s_suppkey").alias("image_id"))))
+    path = fresh_folder(t.spark, "images")
+    FI.write_images(made.withColumn("data", F.when(F.col("image_id") % 10 == 3, F.substring("data", 1, 20)).otherwise(F.col("data"))), path)
+    found = FI.read_tiles(t.spark, path)
+    sums = TI.mapped(found, lambda rgb, rows: {"r": rgb[..., 0].sum(axis=(1, 2), dtype="int64"), "g": rgb[..., 1].sum(axis=(1, 2), dtype="int64"), "weighted": (rgb[..., 2].astype("int64").sum(axis=1) * range(1, 9)).sum(axis=1)}, "r long, g long, weighted long")
+    return found.select("image_id", "height", "width", "error").join(sums, "image_id", "left")
 
 
 @query("a5_missing_files", "SELECT image_id FROM annotations WHERE image_id NOT IN (SELECT image_id FROM responses WHERE label_pred IS NOT NULL)", RA)
@@ -92,12 +127,20 @@ def _(t: Tables):
     return FI.check_embeddings(t.embeddings, "embedding", "label", 64)
 
 
-@query("a12_prediction_cache", "SELECT substr(sha256(CAST(seq AS VARCHAR)), 1, 1) AS first, count(*) AS n FROM calls WHERE NOT failed GROUP BY 1", ("calls",))
+@query("a12_prediction_cache", """
+    WITH w AS (SELECT image_id, seq % 3 AS batch, max(seq) AS seq FROM calls GROUP BY ALL), l AS (SELECT image_id, last(seq ORDER BY batch) AS seq FROM w GROUP BY 1)
+    SELECT substr(sha256(CAST(image_id AS VARCHAR)), 1, 1) AS first, count(*) AS n, sum(seq)::BIGINT AS seqs FROM l WHERE image_id IN (SELECT image_id FROM calls WHERE failed) GROUP BY 1""", ("calls",))
 def _(t: Tables):
+    """Three writes of the same keys, the first two merged, one write repeated: a lookup finds the latest row of each key."""
     path = fresh_folder(t.spark, "cache")
-    rows = t.calls.withColumn("cache_key", F.sha2(F.col("seq").cast("string"), 256))
-    FI.write_cache(rows.repartition(F.substring("cache_key", 1, 2)), path)
-    return FI.read_cache(t.spark, path, rows.where("NOT failed")).groupBy(F.substring("cache_key", 1, 1).alias("first")).agg(F.count("*").alias("n"))
+    keyed_calls = t.calls.withColumn("cache_key", F.sha2(F.col("image_id").cast("string"), 256))
+    for part in (0, 1, 2, 2):
+        rows = keyed_calls.where(F.col("seq") % 3 == part).groupBy("cache_key").agg(F.max("seq").alias("seq"))
+        FI.write_cache(rows, path, batch=f"part {part}")
+        if part == 1:
+            keyed.compact(t.spark, path, "cache_key")
+    found = FI.read_cache(t.spark, path, keyed_calls.where("failed"))
+    return found.groupBy(F.substring("cache_key", 1, 1).alias("first")).agg(F.count("*").alias("n"), F.sum("seq").alias("seqs"))
 
 
 _ANSWER = "'{\"label\":\"' || coalesce(label_pred, '') || '\",\"confidence\":0.5,\"evidence\":[]}'"
@@ -460,8 +503,6 @@ def _(t: Tables):
 
 
 def _calls_stream(t: Tables):
-    from . import fixtures
-
     events = ST.table_stream(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema)
     return t.spark.sql(fixtures.VIEWS["calls"].replace("FROM events", "FROM {source}"), source=events)
 

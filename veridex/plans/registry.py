@@ -22,6 +22,8 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name == "tiles":
+            return fixtures.tiles(self.orders.select(F.col("o_orderkey").alias("image_id")))
         if name in fixtures.VIEWS:
             return fixtures.view(self.spark, self.sf_dir, name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")

@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import struct
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.tiles import TILE, mapped
+from . import keyed
+from .commits import append_batch, read_batches
+
 ANNOTATION_SCHEMA = "image_id string, label string, ssa_votes int, partition string"
 CELL = "struct<row:int,col:int,bbox:array<int>,tissue_pct:double,tissue_pct_gray_rule:double,mean_gray:double,mean_saturation:double,is_empty:boolean,touches_tile_border:boolean>"
 COVERAGE_SCHEMA = f"image string, label string, votes int, partition string, tile_tissue_pct double, empty_cells array<string>, cells map<string,{CELL}>"
@@ -37,9 +46,14 @@ def parse_ledger(lines: DataFrame, column: str, schema: str, on_bad: str = "keep
     return out
 
 
-def append_ledger(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Append a batch; readers see all of it or nothing."""
-    df.write.mode("append").format(kind).save(path)
+def append_ledger(df: DataFrame, path: str, batch: str) -> bool:
+    """Append a batch under its name; readers see all of it or nothing, and the same batch again changes nothing (see commits)."""
+    return append_batch(df, path, batch)
+
+
+def committed_ledger(spark: SparkSession, path: str, schema: str | None = None, seq: str = "seq") -> DataFrame:
+    """All committed rows with their batch and seq: the order of batches, and of lines in each."""
+    return read_batches(spark, path, schema, seq_column=seq)
 
 
 def read_annotations(spark: SparkSession, path: str, names: dict[str, str] | None = None, partition: str | None = None) -> DataFrame:
@@ -60,8 +74,45 @@ def read_annotations(spark: SparkSession, path: str, names: dict[str, str] | Non
 
 
 def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded images; bytes come as b, g, r (see operators.tiles.image_pixels)."""
-    return spark.read.format("image").option("dropInvalid", True).load(path)
+    """Images as packed tiles (image_id, height, width, rgb, origin, error), bad ones as rows with error and no bytes.
+
+    image_id is that of a folder image_id=..., or else a hash of the file's place. Gray images have equal channels, alpha is left out.
+    """
+    images = spark.read.format("image").load(path)
+    i = F.col("image")
+    key = F.col("image_id").cast("long") if "image_id" in images.columns else F.xxhash64(i["origin"])
+    bad = (i["height"] <= 0) | (i["width"] <= 0)
+    rows = images.select(key.alias("image_id"), *[F.when(~bad, i[c]).alias(c) for c in ("height", "width")], i["nChannels"].alias("channels"), i["data"].alias("data"), i["origin"].alias("origin"), F.when(bad, F.lit("not an image")).alias("error"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = []
+            for data, n, error in zip(*(batch.column(c).to_pylist() for c in ("data", "channels", "error")), strict=True):
+                px = None if error else np.frombuffer(data, dtype=np.uint8).reshape(-1, n)
+                # the source has blue first
+                packed.append(None if error else px[:, [2, 1, 0] if n >= 3 else [0, 0, 0]].tobytes())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("image_id", "height", "width")], pa.array(packed, pa.binary()), batch.column("origin"), batch.column("error")], names=["image_id", "height", "width", "rgb", "origin", "error"])
+
+    return rows.mapInArrow(run, f"{TILE}, origin string, error string")
+
+
+def bitmap(rgb: np.ndarray) -> bytes:
+    """A tile (height x width x 3 bytes) as a BMP file: a header of 54 bytes, then rows from below, blue first, in fours of bytes."""
+    height, width = rgb.shape[:2]
+    rows = np.zeros((height, -(-width * 3 // 4) * 4), dtype=np.uint8)
+    rows[:, : width * 3] = rgb[::-1, :, ::-1].reshape(height, -1)
+    header = struct.pack("<2sIHHI", b"BM", 54 + rows.size, 0, 0, 54) + struct.pack("<IiiHHIIiiII", 40, width, height, 1, 24, 0, rows.size, 2835, 2835, 0, 0)
+    return header + rows.tobytes()
+
+
+def encode_tiles(tiles: DataFrame) -> DataFrame:
+    """(image_id, data): packed tiles as files of images."""
+    return mapped(tiles, lambda rgb, rows: {"data": pa.array([bitmap(t) for t in rgb], pa.binary())}, "data binary")
+
+
+def write_images(files: DataFrame, path: str) -> None:
+    """One file for each row of (image_id, data), in a folder of its own, by Spark's writers alone: a text of the bytes as they are."""
+    files.select("image_id", F.col("data").cast("string").alias("data")).write.partitionBy("image_id").text(path)
 
 
 def file_names(spark: SparkSession, path: str) -> DataFrame:
@@ -131,12 +182,11 @@ def save_embeddings(df: DataFrame, path: str, vector: str, label: str, dim: int)
     df.write.mode("overwrite").parquet(path)
 
 
-def write_cache(df: DataFrame, path: str, key: str = "cache_key") -> None:
-    """Content-addressed results, in folders by the first two characters of their key."""
-    df.withColumn("shard", F.substring(key, 1, 2)).write.mode("append").partitionBy("shard").parquet(path)
+def write_cache(df: DataFrame, path: str, key: str = "cache_key", batch: str | None = None) -> bool:
+    """Content-addressed results into a keyed store; of a key that is written again the latest write wins."""
+    return keyed.put(df, path, key, batch)
 
 
-def read_cache(spark: SparkSession, path: str, keys: DataFrame, key: str = "cache_key") -> DataFrame:
-    """The cached rows of keys; only their shards are read."""
-    wanted = keys.select(key).distinct().withColumn("shard", F.substring(key, 1, 2))
-    return spark.read.parquet(path).join(wanted, [key, "shard"], "left_semi").drop("shard")
+def read_cache(spark: SparkSession, path: str, keys: DataFrame, key: str = "cache_key", schema: str | None = None) -> DataFrame:
+    """The cached rows of keys; only files whose range of keys holds one of them are read. schema: that of a cache that isn't there yet."""
+    return keyed.get(spark, path, keys, key, schema)
