@@ -172,7 +172,7 @@ def test_descriptions(spark):
 
 def test_files(spark, tmp_path):
     (tmp_path / "tiles").mkdir()
-    (tmp_path / "tiles" / "a.png").write_bytes(b"")
+    (tmp_path / "tiles" / "a.png").write_bytes(b"x")
     assert [r[0] for r in files.file_names(spark, str(tmp_path / "tiles")).collect()] == ["a.png"]
     (tmp_path / "l.jsonl").write_text('{"k": 1}\n\n{"k": 2}\nbad\n')
     path = str(tmp_path / "l.jsonl")

@@ -88,8 +88,8 @@ def test_nulls_follow_their_laws(spark):
     cells = nulls.uniform_cells(df, 400, 5).first()
     want = sum(int(a).bit_count() * int(b).bit_count() / 16 for a, b in zip(m, e))
     assert cells["observed"] == hit and abs(cells["null_mean"] - want) < 0.02 * want and cells["replicates"] == 400
-    for block in (1 << 18, 70):  # one block, and several
-        shuffled = nulls.shuffled_items(df, 400, 5, block).first()
+    for block, leaf in ((1 << 18, 1 << 14), (70, 20), (70, 0)):  # one block, and several, down to single sets
+        shuffled = nulls.shuffled_items(df, 400, 5, block, leaf).first()
         want = (bits(m).sum(axis=1) * bits(e).sum(axis=1)).sum() / len(rows)
         assert shuffled["observed"] == hit and abs(shuffled["null_mean"] - want) < 0.01 * want
     rng = np.random.default_rng(6)
@@ -105,7 +105,7 @@ def test_permuted_labels_follow_their_law(spark):
     x, g = rng.normal(size=500), rng.random(500) < 0.3
     df = spark.createDataFrame([(i, float(v), bool(b)) for i, (v, b) in enumerate(zip(x, g))], "k long, x double, g boolean")
     for block in (1 << 18, 60):
-        r = nulls.permuted_labels(df, "x", "g", 2000, 9, "k", block).first()
+        r = nulls.permuted_labels(df, "x", "g", 2000, 9, block).first()
         observed = x[g].mean() - x[~g].mean()
         plain = [x[p := rng.permutation(g)].mean() - x[~p].mean() for _ in range(2000)]
         assert abs(r["observed"] - observed) < 1e-9 and abs(r["null_mean"]) < 0.02 and abs(r["p_value"] - np.mean(np.array(plain) >= observed)) < 0.05

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import incomplete_beta, share, u
+from ..functions.draws import binomial, generator, share_of
+from ..sources.shared import fresh_folder
 from .ranks import with_ahead
 
 
@@ -127,23 +131,57 @@ def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int,
     return values.agg(F.percentile("auc", low).alias("ci_low"), F.percentile("auc", high).alias("ci_high"), F.count("auc").alias("replicates"))
 
 
-def bootstrap_ci(df: DataFrame, metrics: dict[str, Callable[[DataFrame], DataFrame]], columns: list[str], replicates: int = 1000, seed: int = 42, ci: float = 0.95) -> DataFrame:
-    """(metric, ci_low, ci_high, replicates): percentile intervals of any metrics under the Poisson bootstrap.
+#: Different rows of a block of the bootstrap, and weights that a task makes at once.
+CELL_BLOCK, WEIGHTS = 256, 1 << 18
+
+
+def bootstrap_weights(df: DataFrame, columns: list[str], replicates: int = 1000, seed: int = 42) -> DataFrame:
+    """(b, columns, w): how often the rows with these values are drawn when as many rows as there are are drawn with replacement.
 
-    A metric takes rows of (b, columns, w), where w is the number of times that such rows were drawn in replicate b, and
-    returns (b, value). Replicates in which it is null are left out. Rows count by their different values of columns, as
-    n rows drawn Poisson(1) times each are drawn Poisson(n) times together; so the work grows with the different values
-    times the replicates. Draws depend on seed, replicate and values alone.
+    Equal rows are drawn together. In each replicate the draws are shared out over blocks of different rows by a binary tree of binomial
+    splits, whose numbers on its own path a block works out for itself, and within a block by a multinomial draw; so
+    the weights of a replicate add up to the number of rows. Rows that aren't drawn are left out. Draws depend on seed,
+    replicate and values alone; the work grows with the different rows times the replicates.
     """
-    cells = df.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(F.lit(seed), *columns))
-    each = cells.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    cells = df.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("h", F.xxhash64(*columns))
+    path = fresh_folder(df.sparkSession, "cells")
+    cells.write.parquet(path)
+    cells = df.sparkSession.read.parquet(path)
+    total, different = cells.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    blocks = max(1, min(1 << 16, -(-different // CELL_BLOCK)))
+    dealt = cells.withColumn("block", F.pmod("h", F.lit(blocks)).cast("int"))
+    sizes = np.zeros(blocks, dtype=np.int64)
+    for b, n in dealt.groupBy("block").agg(F.sum("n")).collect():
+        sizes[b] = n
+    step = max(1, min(replicates, WEIGHTS * blocks // max(1, different)))
+    parts = -(-replicates // step)
+    each = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("h")
+        b, part = table["block"][0].as_py(), table["part"][0].as_py()
+        n = table["n"].to_numpy().astype(np.float64)
+        takes = share_of(b, sizes, np.full(replicates, total), seed, binomial)
+        at = np.arange(part * step, min(replicates, (part + 1) * step))
+        drawn = np.stack([generator(seed, b, int(r), 1).multinomial(takes[r], n / n.sum()) for r in at])
+        r, cell = np.nonzero(drawn)
+        rows = table.select(columns).take(pa.array(cell))
+        return pa.table([pa.array(at[r].astype(np.int32)), *rows.columns, pa.array(drawn[r, cell])], names=["b", *columns, "w"])
+
+    schema = T.StructType([T.StructField("b", T.IntegerType()), *[df.select(*columns).schema[c] for c in columns], T.StructField("w", T.LongType())])
+    return each.groupBy("block", "part").applyInArrow(run, schema)
 
-    @F.pandas_udf("long")
-    def drawn(h: pd.Series, b: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([np.random.Generator(np.random.Philox(key=[int(x) & 0xFFFFFFFFFFFFFFFF, int(r)])).poisson(k) for x, r, k in zip(h, b, n, strict=True)], dtype="int64")
 
-    weighted = each.withColumn("w", drawn("h", "b", "n")).where("w > 0").select("b", *columns, "w")
-    values = None
+def bootstrap_ci(df: DataFrame, metrics: dict[str, Callable[[DataFrame], DataFrame]], columns: list[str], replicates: int = 1000, seed: int = 42, ci: float = 0.95) -> DataFrame:
+    """(metric, ci_low, ci_high, replicates): percentile intervals of any metrics under the bootstrap.
+
+    A metric takes rows of (b, columns, w), where w is the number of times that such rows were drawn in replicate b (see
+    bootstrap_weights), and returns (b, value). Replicates in which it is null are left out.
+    """
+    weighted = bootstrap_weights(df, columns, replicates, seed)
+    path = fresh_folder(df.sparkSession, "weights")
+    weighted.write.parquet(path)
+    weighted, values = df.sparkSession.read.parquet(path), None
     for name, metric in metrics.items():
         own = metric(weighted).select(F.lit(name).alias("metric"), F.col("value").cast("double").alias("value"))
         values = own if values is None else values.unionByName(own)

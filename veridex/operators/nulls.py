@@ -1,9 +1,9 @@
 """Permutation and uniform nulls at full numbers of replicates, from counts whose size the 16 cells bound.
 
 Sets of cells are 16-bit masks, so items shrink to counts of masks, of sizes, or of pairs of sizes before anything is
-drawn. A replicate then costs the same for any number of items (H2, H3), a pass over two bytes an item in bounded blocks
-(H4), or a pass over the values, shared out by blocks of rows (H5). Replicates are rows that Spark deals out; the draws of
-a replicate depend on seed and replicate alone.
+drawn. A replicate then costs the same for any number of items (H2, H3), at most a number for each pair of a cited and an empty set,
+or a permuted item, whichever are fewer (H4), or a pass over the different values (H5). Replicates times blocks are dealt
+out by Spark. Draws depend on seed, replicate and block alone and are exact for any totals (see functions.draws).
 """
 
 from __future__ import annotations
@@ -17,14 +17,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELLS, share
+from ..functions.draws import generator, share_of, split
+from ..sources.shared import fresh_folder
 from .evidence import POPCOUNT, between_item_similarity, pair_similarity
 
-#: Rows of a block in permutations.
-BLOCK = 1 << 18
-
-
-def _generator(seed: int, *numbers: int) -> np.random.Generator:
-    return np.random.Generator(np.random.Philox(np.random.SeedSequence([seed, *numbers])))
+#: Items, or different values, of a block in permutations; items that are permuted one by one.
+BLOCK, LEAF = 1 << 18, 1 << 14
 
 
 def replicated(spark: SparkSession, replicates: int, statistic: Callable[[int], float]) -> DataFrame:
@@ -46,7 +44,7 @@ def uniform_sets(masks: DataFrame, replicates: int = 2000, seed: int = 0) -> Dat
     by_size = [np.flatnonzero(POPCOUNT == k) for k in range(CELLS + 1)]
 
     def statistic(r: int) -> float:
-        rng, counts = _generator(seed, r), np.zeros(1 << CELLS)
+        rng, counts = generator(seed, r), np.zeros(1 << CELLS)
         for k, members in enumerate(by_size):
             if sizes[k]:
                 counts[members] = rng.multinomial(sizes[k], np.full(len(members), 1 / len(members)))
@@ -69,63 +67,112 @@ def uniform_cells(items: DataFrame, replicates: int = 5000, seed: int = 0) -> Da
     hits = np.arange(CELLS + 1)
 
     def statistic(r: int) -> float:
-        rng = _generator(seed, r)
+        rng = generator(seed, r)
         return sum(int(rng.multinomial(n, p / p.sum()) @ hits) for n, p in laws)
 
     return _at_most(replicated(items.sparkSession, replicates, statistic), float(sum(r["hit"] for r in cells)))
 
 
-def shuffled_items(items: DataFrame, replicates: int = 5000, seed: int = 0, block: int = BLOCK) -> DataFrame:
-    """H4: empty cells hit when cited sets keep but items are permuted. items: (mask, empty_mask), fewer than 10 ** 9 rows.
-
-    Both columns shrink to counts of masks. A replicate deals the empty masks out to blocks of cited masks, by draws without
-    replacement, and permutes them within each block.
+class _Deal:
+    """Cited sets (kinds with numbers of items) in a binary tree of about equal work, to which empty sets are dealt at random."""
+
+    def __init__(self, cited: np.ndarray, empty: np.ndarray, seed: int, block: int, leaf: int):
+        self.masks, self.kinds = np.flatnonzero(cited), np.flatnonzero(empty)
+        self.items, self.given, self.seed, self.leaf = cited[self.masks], empty[self.kinds], seed, leaf
+        # a kind costs a number for each empty set, or one for each of its items
+        self.work = np.r_[0, np.cumsum(np.minimum(self.items, len(self.kinds)))]
+        self.ends = np.r_[0, np.cumsum(self.items)]
+        self.depth = max(0, int(np.ceil(np.log2(max(1, self.work[-1] / block)))))
+
+    def _mid(self, low: int, high: int) -> int:
+        at = int(np.searchsorted(self.work, (self.work[low] + self.work[high]) / 2))
+        return min(max(at, low + 1), high - 1) if high - low > 1 else high
+
+    def _left(self, r: int, node: int, low: int, mid: int, given: np.ndarray) -> np.ndarray:
+        return split(generator(self.seed, r, node), given, int(self.ends[mid] - self.ends[low]))
+
+    def hits(self, r: int, b: int) -> int:
+        """What replicate r hits in block b: down the block's own path, then in the block."""
+        low, high, node, given = 0, len(self.masks), 1, self.given
+        for level in reversed(range(self.depth)):
+            if low == high:
+                return 0
+            mid = self._mid(low, high)
+            left = self._left(r, node, low, mid, given)
+            right = b >> level & 1
+            low, high, given = (mid, high, given - left) if right else (low, mid, left)
+            node = 2 * node + right
+        return self._within(r, node, low, high, self.kinds, given)
+
+    def _within(self, r: int, node: int, low: int, high: int, kinds: np.ndarray, given: np.ndarray) -> int:
+        if low == high:
+            return 0
+        kinds, given = kinds[given > 0], given[given > 0]
+        if high - low == 1:
+            return int(POPCOUNT[self.masks[low] & kinds].astype(np.int64) @ given)
+        if self.ends[high] - self.ends[low] <= self.leaf:
+            own = np.repeat(self.masks[low:high], self.items[low:high])
+            return int(POPCOUNT[own & generator(self.seed, r, node).permutation(np.repeat(kinds, given))].sum())
+        mid = self._mid(low, high)
+        left = self._left(r, node, low, mid, given)
+        return self._within(r, 2 * node, low, mid, kinds, left) + self._within(r, 2 * node + 1, mid, high, kinds, given - left)
+
+
+def shuffled_items(items: DataFrame, replicates: int = 5000, seed: int = 0, block: int = BLOCK, leaf: int = LEAF, count: str | None = None) -> DataFrame:
+    """H4: empty cells hit when cited sets keep but items are permuted. items: (mask, empty_mask), any number of rows.
+
+    Both columns shrink to counts of sets. A replicate deals the empty sets to the cited ones down a binary tree, by draws without
+    replacement, to single cited sets or to at most `leaf` items, which are permuted. Replicates times blocks of at most `block` such
+    numbers are dealt out. count: a column with the number of items that a row stands for.
     """
+    n = F.col(count) if count else F.lit(1).cast("long")
     counts = [np.zeros(1 << CELLS, dtype=np.int64) for _ in range(2)]
     for c, column in zip(counts, ("mask", "empty_mask"), strict=True):
-        for mask, n in items.groupBy(column).count().collect():
-            c[mask] = n
-    hit = F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("empty_mask"))).cast("long"))
+        for mask, m in items.groupBy(column).agg(F.sum(n)).collect():  # at most 65,536 rows
+            c[mask] = m
+    hit = F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("empty_mask"))) * n)
     observed = float(items.agg(F.coalesce(hit, F.lit(0))).first()[0])
-    cited, kinds = counts[0], np.flatnonzero(counts[1])
-    ends, total = np.cumsum(cited), int(cited.sum())
-
-    def statistic(r: int) -> float:
-        rng, left, hits = _generator(seed, r), counts[1][kinds].copy(), 0
-        for at in range(0, total, block):
-            n = min(block, total - at)
-            own = np.searchsorted(ends, np.arange(at, at + n), side="right")
-            given = rng.multivariate_hypergeometric(left, n) if n < left.sum() else left
-            left = left - given
-            hits += int(POPCOUNT[own & rng.permutation(np.repeat(kinds, given))].sum())
-        return hits
-
-    return _at_most(replicated(items.sparkSession, replicates, statistic), observed)
+    deal = _Deal(*counts, seed, block, leaf)
+    units = replicated(items.sparkSession, replicates << deal.depth, lambda i: deal.hits(i >> deal.depth, i & (1 << deal.depth) - 1))
+    null = units.groupBy(F.shiftright("r", deal.depth).alias("r")).agg(F.sum("value").alias("value"))
+    return _at_most(null, observed)
 
 
-def permuted_labels(df: DataFrame, value: str, group: str, replicates: int = 20_000, seed: int = 0, row_key: str = "k", block: int = BLOCK) -> DataFrame:
+def permuted_labels(df: DataFrame, value: str, group: str, replicates: int = 20_000, seed: int = 0, block: int = BLOCK, count: str | None = None) -> DataFrame:
     """H5: difference of means of group over the rest, and the share of permutations at or above it.
 
-    Rows lie in blocks by a hash of row_key. In each replicate the draws without replacement are shared out over the blocks,
-    alike in every task, and a block adds up its part; only sums are shuffled.
+    Equal values count together (count: a column with the number of rows that a row stands for), so rows may be of any number and
+    a frequent value is one number. Values lie in blocks by their hash. A block learns what it gives to each replicate from the
+    numbers on its own path of a tree over the blocks, draws its values, and adds them up; only sums are shuffled. Rows
+    without value are left out, those without group are in the rest.
     """
-    inside, whole = F.col(group), F.col(value).cast("double")
-    n, n_in, total, observed = df.agg(F.count("*"), F.count_if(inside), F.sum(whole), F.avg(F.when(inside, whole)) - F.avg(F.when(~inside, whole))).first()
-    blocks = max(1, -(-n // block), min(df.sparkSession.sparkContext.defaultParallelism, n // 1000))
-    rows = df.select(F.pmod(F.xxhash64(row_key), F.lit(blocks)).cast("int").alias("block"), F.col(row_key).alias("key"), whole.alias("value"))
+    spark, n = df.sparkSession, F.col(count).cast("long") if count else F.lit(1).cast("long")
+    inside = F.coalesce(F.col(group), F.lit(False))
+    path = fresh_folder(spark, "values")
+    whole = F.col(value).cast("double")
+    df.where(whole.isNotNull()).groupBy(whole.alias("value")).agg(F.sum(n).alias("n"), F.sum(F.when(inside, n).otherwise(0)).alias("n_in")).write.parquet(path)
+    values = spark.read.parquet(path)
+    distinct, n_all, n_in, total, total_in = values.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("n_in"), F.lit(0)), F.sum(F.col("value") * F.col("n")), F.sum(F.col("value") * F.col("n_in"))).first()
+    n_out = n_all - n_in
+    observed = total_in / n_in - (total - total_in) / n_out if n_in and n_out else None
+    blocks = max(1, -(-distinct // block), min(spark.sparkContext.defaultParallelism, distinct // 1000))
+    dealt = values.select(F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block"), "value", "n")
     sizes = np.zeros(blocks, dtype=np.int64)
-    for b, count in rows.groupBy("block").count().collect():
-        sizes[b] = count
+    for b, m in dealt.groupBy("block").agg(F.sum("n")).collect():
+        sizes[b] = m
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        b, values = int(key[0]), pdf.sort_values(["key", "value"])["value"].to_numpy()
-        sums = np.zeros(replicates)
-        for r in range(replicates):
-            take = int(_generator(seed, r).multivariate_hypergeometric(sizes, n_in, method="marginals")[b])
-            sums[r] = values[_generator(seed, r, b).choice(len(values), take, replace=False, shuffle=False)].sum()
+        b = int(key[0])
+        pdf = pdf.sort_values("value")
+        x, counts = pdf["value"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64)
+        takes = share_of(b, sizes, np.full(replicates, n_in), seed)
+        single, sums = bool((counts == 1).all()), np.zeros(replicates)
+        for r, take in enumerate(takes.tolist()):
+            rng = generator(seed, b, r, 0)
+            sums[r] = x[rng.choice(len(x), take, replace=False, shuffle=False)].sum() if single else x @ split(rng, counts, take)
         return pd.DataFrame({"r": np.arange(replicates), "inside": sums})
 
-    sums = rows.groupBy("block").applyInPandas(run, "r int, inside double").groupBy("r").agg(F.sum("inside").alias("inside"))
-    d = F.col("inside") / F.lit(float(n_in or 1)) - (F.lit(float(total or 0.0)) - F.col("inside")) / F.lit(float(max(n - n_in, 1)))
+    sums = dealt.groupBy("block").applyInPandas(run, "r int, inside double").groupBy("r").agg(F.sum("inside").alias("inside"))
+    d = F.col("inside") / F.lit(float(n_in or 1)) - (F.lit(float(total or 0.0)) - F.col("inside")) / F.lit(float(max(n_out, 1)))
     each = sums.select(d.alias("d"))
-    return each.agg(F.lit(observed).alias("observed"), F.avg("d").alias("null_mean"), share(F.count_if(F.col("d") >= F.lit(observed)), F.count("*")).alias("p_value"), F.count("*").alias("replicates"))
+    return each.agg(F.lit(observed).cast("double").alias("observed"), F.avg("d").alias("null_mean"), share(F.count_if(F.col("d") >= F.lit(observed)), F.count("*")).alias("p_value"), F.count("*").alias("replicates"))

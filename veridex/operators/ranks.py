@@ -9,10 +9,16 @@ BUCKETS = 256
 
 
 def bucket_of(order: Column, bounds: list[float]) -> Column:
-    """How many bounds lie at or below the value. The bounds are literals, so a row's bucket never changes."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= order))
+    """How many (rising) bounds lie at or below the value. The bounds are literals, so a row's bucket never changes.
+
+    A binary search over the value as a variable: however costly order is, it is worked out once a row.
+    """
+
+    def search(x: Column, low: int, high: int) -> Column:
+        mid = (low + high) // 2
+        return F.lit(low) if low == high else F.when(x < bounds[mid], search(x, low, mid)).otherwise(search(x, mid + 1, high))
+
+    return F.coalesce(F.transform(F.array(order), lambda x: search(x, 0, len(bounds)))[0], F.lit(0))
 
 
 def range_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[float]:
@@ -21,15 +27,16 @@ def range_bounds(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[floa
     return sorted(set(found))
 
 
-def with_ahead(df: DataFrame, by: list[str], order: str, value: str | None = None, bounds: list[float] | None = None, ties: tuple[str, ...] = (), name: str = "ahead") -> DataFrame:
+def with_ahead(df: DataFrame, by: list[str], order: str, value: str | None = None, even: bool = False, ties: tuple[str, ...] = (), name: str = "ahead") -> DataFrame:
     """df with the sum of value (or the number of rows) over the rows before it in its group, by order, then ties.
 
     Rows are dealt out by ranges of order, and each range adds what lies in the ranges before it: one number a group
-    and range. A window holds one range of one group.
+    and range. A window holds one range of one group. even: order lies evenly in [0, 1), so ranges need no look at it.
     """
-    bounds = range_bounds(df, order) if bounds is None else bounds
     n = F.col(value) if value else F.lit(1).cast("long")
-    dealt = df.withColumns({"_bucket": bucket_of(F.col(order).cast("double"), bounds), "_n": n})
+    at = F.col(order).cast("double")
+    bucket = F.floor(at * BUCKETS).cast("int") if even else bucket_of(at, range_bounds(df, order))
+    dealt = df.withColumns({"_bucket": bucket, "_n": n})
     inner = F.sum("_n").over(Window.partitionBy(*by, "_bucket").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
     sums = dealt.groupBy(*by, "_bucket").agg(F.sum("_n").alias("_total"))
     ahead = F.sum("_total").over(Window.partitionBy(*(by or [F.lit(0)])).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))

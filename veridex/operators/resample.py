@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import CELLS, bit, mask_of, share, u
+from ..sources.shared import fresh_folder
 from .evidence import POPCOUNT, between_item_similarity
-from .ranks import BUCKETS, with_ahead
+from .ranks import with_ahead
 
 
 def first_n_per_class(df: DataFrame, label: str, ordinal: str, n: int) -> DataFrame:
@@ -59,38 +62,69 @@ def subsets(spark: SparkSession, k: int | None = None) -> DataFrame:
     return s if k is None else s.where(F.col("size") == k)
 
 
+@lru_cache
+def _choices(pool: int, taken: int) -> np.ndarray:
+    """All sets of `taken` of `pool` places, a row of 0 and 1 each; at most 495 where controls need them."""
+    rows = [[i in c for i in range(pool)] for c in combinations(range(pool), taken)]
+    return np.array(rows, dtype=np.int64).reshape(-1, pool)
+
+
+def controls(mask: np.ndarray, tissue: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+    """(overlap, gap, tied sets) of the best controls of targets (n masks of one size, n x 16 shares of tissue).
+
+    Overlap is least if the control takes uncited cells first. Up to 8 cells it lies in those alone, beyond it takes all of them, and
+    cited ones for the rest. So only sets within one pool of 8 to 16 cells are compared, all targets at once.
+    """
+    k = int(POPCOUNT[mask[0]])
+    bits = (mask[:, None] >> np.arange(CELLS)) & 1
+    pool_is = 0 if k <= CELLS // 2 else 1  # uncited, or cited, cells
+    cells = np.argsort(bits != pool_is, axis=1, kind="stable")[:, : CELLS - k if pool_is == 0 else k]
+    choices = _choices(cells.shape[1], k if pool_is == 0 else 2 * k - CELLS)
+    fixed = np.zeros(len(mask), dtype=np.int64) if pool_is == 0 else (1 << CELLS) - 1 - mask
+    sets = (1 << cells) @ choices.T + fixed[:, None]
+    area = np.take_along_axis(tissue, cells, axis=1) @ choices.T + ((1 - bits) * tissue).sum(axis=1, keepdims=True) * pool_is
+    gap = np.round(np.abs(area - (bits * tissue).sum(axis=1, keepdims=True)), 6)
+    least = gap.min(axis=1)
+    tied = gap == least[:, None]
+    cut = np.cumsum(tied.sum(axis=1))[:-1]
+    return np.full(len(mask), max(0, 2 * k - CELLS)), least, [t.tolist() for t in np.split(sets[tied], cut)]
+
+
+#: Targets that are compared at once.
+TARGETS = 4096
+
+
 def matched_control(targets: DataFrame, coverage: DataFrame, seed: int) -> DataFrame:
     """For each target (image_id, mask) the other set of as many cells that overlaps least, then is nearest in tissue.
 
-    All C(16, k) sets of as many cells are tried for every k; ties go by a seeded hash, then the smaller set. A target of no
-    or of all 16 cells has no other set: no control.
+    Targets of one size are compared as one array (see controls); ties go by a seeded hash, then the smaller set. A target of
+    no or of all 16 cells has no other set, one of an image without 16 cells none that is known: no control.
     """
     tissue = coverage.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell_idx", "tissue_pct"))), lambda x: x["tissue_pct"]).alias("tissue"))
     rows = targets.select("image_id", "mask").join(tissue, "image_id", "left")
-    members = (np.arange(1 << CELLS)[:, None] >> np.arange(CELLS)) & 1
-    by_size = [np.flatnonzero(POPCOUNT == k) for k in range(CELLS + 1)]
-
-    def best(image, mask: int, cells) -> tuple:
-        others = by_size[mask.bit_count()]
-        if cells is None or len(cells) != CELLS or len(others) < 2:
-            return None, None, None
-        others = others[others != mask]
-        overlap = POPCOUNT[others & mask]
-        others = others[overlap == overlap.min()]
-        cells = np.array(cells, dtype=np.float64)
-        gap = np.round(np.abs(members[others] @ cells - members[mask] @ cells), 6)
-        tied = others[gap == gap.min()].tolist()
-        draw = lambda s: (md5(f"{seed}|{image}|{s}".encode()).hexdigest()[:8], s)
-        return min(tied, key=draw), int(overlap.min()), float(gap.min())
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [best(i, int(m), t) for i, m, t in zip(pdf["image_id"], pdf["mask"], pdf["tissue"], strict=True)]
-            out = pd.DataFrame(found, columns=["control_mask", "overlap", "tissue_gap"]).astype({"control_mask": "Int64", "overlap": "Int64", "tissue_gap": "float64"})
-            yield pd.concat([pdf[["image_id", "mask"]].reset_index(drop=True), out], axis=1)
-
-    schema = rows.select("image_id", "mask").schema.add("control_mask", "long").add("overlap", "long").add("tissue_gap", "double")
-    return rows.mapInPandas(run, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["image_id", "mask", "overlap", "tissue_gap", "tied"]
+        for batch in batches:
+            size = POPCOUNT[batch.column("mask").to_numpy()]
+            whole = pa.compute.equal(pa.compute.list_value_length(batch.column("tissue")), CELLS).fill_null(False).to_numpy(zero_copy_only=False)
+            known = whole & (size > 0) & (size < CELLS)
+            rest = batch.filter(pa.array(~known))
+            none = [pa.nulls(rest.num_rows, kind) for kind in (pa.int64(), pa.float64(), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([*rest.columns[:2], *none], names=names)
+            for k in np.unique(size[known]):
+                same = batch.filter(pa.array(known & (size == k)))
+                for i in range(0, same.num_rows, TARGETS):
+                    part = same.slice(i, TARGETS)
+                    shares = part.column("tissue").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, CELLS)
+                    overlap, gap, tied = controls(part.column("mask").to_numpy(), shares)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(overlap), pa.array(gap), pa.array(tied, pa.list_(pa.int64()))], names=names)
+
+    base = rows.select("image_id", "mask").schema
+    found = rows.mapInArrow(run, T.StructType([*base.fields, *T._parse_datatype_string("overlap long, tissue_gap double, tied array<long>").fields]))
+    name = lambda s: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("image_id").cast("string"), s.cast("string"))), 1, 8)
+    best = F.array_min(F.transform("tied", lambda s: F.struct(name(s).alias("draw"), s.alias("set"))))["set"]
+    return found.select("image_id", "mask", best.alias("control_mask"), "overlap", "tissue_gap")
 
 
 def random_control(targets: DataFrame, seed: int) -> DataFrame:
@@ -145,11 +179,13 @@ def shuffled_item_null(masks: DataFrame, coverage: DataFrame, replicates: int, s
     A replicate's permutation joins the rank of items by id to their rank by hash (see ranks.with_ahead). Every replicate is a
     copy of the items; nulls.shuffled_items draws the same law from counts.
     """
-    items = masks.join(empties(coverage, empty_below), "image_id").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    even = [i / BUCKETS for i in range(1, BUCKETS)]
-    plain = with_ahead(masks.join(empties(coverage, empty_below), "image_id"), [], id_column, name="rank")
+    path = fresh_folder(masks.sparkSession, "items")
+    masks.join(empties(coverage, empty_below), "image_id").select(id_column, "mask", "empty_mask").write.parquet(path)
+    once = masks.sparkSession.read.parquet(path)
+    items = once.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    plain = with_ahead(once, [], id_column, name="rank")
     a = plain.select("mask", "empty_mask", "rank").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    b = with_ahead(items.withColumn("draw", u(seed, "r", id_column)), ["r"], "draw", bounds=even, ties=(id_column,), name="rank").select("r", F.col("empty_mask").alias("other"), "rank")
+    b = with_ahead(items.withColumn("draw", u(seed, "r", id_column)), ["r"], "draw", even=True, ties=(id_column,), name="rank").select("r", F.col("empty_mask").alias("other"), "rank")
     hit = lambda m: F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col(m))).cast("long"))
     per = a.join(b, ["r", "rank"]).groupBy("r").agg(hit("other").alias("hit"), hit("empty_mask").alias("cited"))
     return per.agg(F.max("cited").alias("observed"), F.avg("hit").alias("null_mean"), share(F.count_if(F.col("hit") <= F.col("cited")), F.count("*")).alias("p_value"))
@@ -159,8 +195,7 @@ def label_permutation(df: DataFrame, value: str, group: str, replicates: int, se
     """Difference of means of group over the rest, and the share of permutations at or above it."""
     totals = df.agg(F.count_if(group).alias("n_in"), (F.avg(F.when(F.col(group), F.col(value))) - F.avg(F.when(~F.col(group), F.col(value)))).alias("observed"))
     each = df.select(row_key, value).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    even = [i / BUCKETS for i in range(1, BUCKETS)]
-    ranked = with_ahead(each.withColumn("draw", u(seed, "r", row_key)), ["r"], "draw", bounds=even, ties=(row_key,), name="rank")
+    ranked = with_ahead(each.withColumn("draw", u(seed, "r", row_key)), ["r"], "draw", even=True, ties=(row_key,), name="rank")
     drawn = ranked.crossJoin(F.broadcast(totals))
     inside = F.col("rank") < F.col("n_in")
     diff = F.avg(F.when(inside, F.col(value))) - F.avg(F.when(~inside, F.col(value)))

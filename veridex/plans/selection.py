@@ -68,7 +68,7 @@ def _(t: Tables):
 @query("h5_permuted_labels")
 def _(t: Tables):
     rows = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("x"), (F.col("o_orderpriority") == "1-URGENT").alias("g"))
-    return N.permuted_labels(rows, "x", "g", 20_000, SEED, "k")
+    return N.permuted_labels(rows, "x", "g", 20_000, SEED)
 
 
 _DRAW = f"""(SELECT r, image_id, any_value(mask) AS mask, bit_or(CAST(1 AS BIGINT) << c::INT) AS drawn FROM (
@@ -129,26 +129,23 @@ def _(t: Tables):
     return S.random_control(image_masks(t), SEED)
 
 
-_TOP2 = """SELECT image_id, CAST(bit_or(CAST(1 AS BIGINT) << cell_idx) AS BIGINT) AS mask FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY tissue_pct DESC, cell) AS k
-    FROM (SELECT DISTINCT image_id, cell_idx FROM citations) JOIN coverage USING (image_id, cell_idx)) WHERE k <= 2 GROUP BY 1"""
-
-
 @query("c12_matched_control", f"""
-    WITH m AS ({_TOP2}), s AS (SELECT i AS subset FROM range(65536) AS x(i) WHERE bit_count(i) BETWEEN 1 AND 2),
+    WITH m AS ({IMAGE_MASKS}), s AS (SELECT i::BIGINT AS subset, bit_count(i) AS size FROM range(65536) AS x(i)),
     tt AS (SELECT image_id, list(tissue_pct ORDER BY cell_idx) AS t FROM coverage GROUP BY 1),
-    g AS (SELECT image_id, mask, subset, bit_count(subset & mask) AS o,
-                 round(abs(list_sum([t[i + 1] FOR i IN range(16) IF subset & (1::BIGINT << i::INT) != 0]) - list_sum([t[i + 1] FOR i IN range(16) IF mask & (1::BIGINT << i::INT) != 0])), 6) AS gap
-          FROM m JOIN tt USING (image_id) JOIN s ON bit_count(subset) = bit_count(mask) AND subset <> mask)
-    SELECT image_id, mask, subset AS control_mask, o::BIGINT AS overlap, gap AS tissue_gap FROM (
-        SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY o, gap, {u_sql(SEED, 'image_id', 'subset')}, subset) AS k FROM g) WHERE k = 1""", CC, ("tissue_gap",))
+    c AS (SELECT image_id, mask, subset FROM m JOIN s ON size = bit_count(mask) AND bit_count(subset & mask) = greatest(0, 2 * bit_count(mask) - 16) AND subset <> mask),
+    g AS (SELECT image_id, mask, subset, round(abs(list_sum([t[i + 1] FOR i IN range(16) IF subset & (1::BIGINT << i::INT) != 0]) - list_sum([t[i + 1] FOR i IN range(16) IF mask & (1::BIGINT << i::INT) != 0])), 6) AS gap
+          FROM c JOIN tt USING (image_id))
+    SELECT image_id, mask, subset AS control_mask, bit_count(subset & mask)::BIGINT AS overlap, gap AS tissue_gap FROM (
+        SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gap, substr(md5(concat_ws('|', '{SEED}', CAST(image_id AS VARCHAR), CAST(subset AS VARCHAR))), 1, 8), subset) AS k FROM g) WHERE k = 1""", CC, ("tissue_gap",))
 def _(t: Tables):
-    top = E.top_k_cells(t.citations, t.coverage, 2)
-    return S.matched_control(E.cited_cells(top, ["image_id"]).drop("cells"), t.coverage, SEED)
+    """The whole set that each image's answers cite."""
+    return S.matched_control(image_masks(t), t.coverage, SEED)
 
 
 @query("c12_matched_control_whole_sets")
 def _(t: Tables):
-    return S.matched_control(image_masks(t), t.coverage, SEED)
+    """The set that each single answer cites."""
+    return S.matched_control(E.cited_cells(t.citations, ["image_id", "prompt_id", "replicate", "seq"]).select("image_id", "mask").distinct(), t.coverage, SEED)
 
 
 @query("i10_match_quality", """

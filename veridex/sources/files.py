@@ -77,6 +77,7 @@ def read_tiles(spark: SparkSession, path: str) -> DataFrame:
     """Images as packed tiles (image_id, height, width, rgb, origin, error), bad ones as rows with error and no bytes.
 
     image_id is that of a folder image_id=..., or else a hash of the file's place. Gray images have equal channels, alpha is left out.
+    Spark's sources don't list files without any byte: they are missing files (see missing_files).
     """
     images = spark.read.format("image").load(path)
     i = F.col("image")
