@@ -1,6 +1,8 @@
 """Hand-checked cases of operators, and the traps of their definitions."""
 
 import math
+import time
+from datetime import datetime, timedelta
 
 import numpy as np
 import pytest
@@ -219,3 +221,27 @@ def test_stream_routes_and_survives_repeats(spark, tmp_path):
     q = calls.stream_dedup(stream(), ["experiment", "image_id"]).writeStream.format("memory").queryName("once").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "d")).start()
     q.awaitTermination()
     assert spark.table("once").count() == 1
+
+
+def test_running_cost_counts_calls_and_items_once(spark, tmp_path):
+    schema = "experiment string, call long, image_id long, failed boolean, predicted_label string, input_tokens long, output_tokens long, ts timestamp"
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    files_of = [
+        [("e", 1, 7, False, "HP", 10, 1, at(0)), ("e", 1, 7, False, "HP", 10, 1, at(0)), ("e", 2, 7, False, "SSA", 10, 1, at(1)), ("f", 3, 7, True, None, 5, 0, at(1))],
+        [("e", 1, 7, False, "HP", 10, 1, at(0)), ("e", 4, 8, False, "HP", 10, 1, at(60))],
+        [("e", 5, 9, False, "HP", 1000, 1, at(2)), ("e", 4, 8, False, "HP", 10, 1, at(60)), ("e", 6, 8, False, "HP", None, 1, at(61))],  # the first is late by then
+    ]
+    for i, rows in enumerate(files_of):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)  # files go by their time
+    read = spark.read.parquet(str(tmp_path / "in")).schema
+
+    def last(name, **options):
+        out = calls.running_cost(calls.table_stream(spark, str(tmp_path / "in"), read), "call", "image_id", **options)
+        keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/{name}/{n}")
+        out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/{name}-state").trigger(availableNow=True).start().awaitTermination()
+        parts = spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/{name}")
+        return {r["experiment"]: (r["calls"], r["answered"], r["cost"], r["over_budget"]) for r in calls.total_cost(parts, 1e6, 0.0, 50.0).collect()}
+
+    assert last("all") == {"e": (5, 3, 1030.0, True), "f": (1, 0, 5.0, False)}
+    assert last("timed", time="ts", delay="10 hours") == {"e": (4, 2, 30.0, False), "f": (1, 0, 5.0, False)}

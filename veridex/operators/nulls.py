@@ -23,6 +23,8 @@ from .evidence import POPCOUNT, between_item_similarity, pair_similarity
 
 #: Items, or different values, of a block in permutations; items that are permuted one by one.
 BLOCK, LEAF = 1 << 18, 1 << 14
+#: Values that occur at most so often, on average in a block, are drawn one by one, others by counts.
+FEW_EQUAL = 4
 
 
 def replicated(spark: SparkSession, replicates: int, statistic: Callable[[int], float]) -> DataFrame:
@@ -166,7 +168,8 @@ def permuted_labels(df: DataFrame, value: str, group: str, replicates: int = 20_
         pdf = pdf.sort_values("value")
         x, counts = pdf["value"].to_numpy(), pdf["n"].to_numpy(dtype=np.int64)
         takes = share_of(b, sizes, np.full(replicates, n_in), seed)
-        single, sums = bool((counts == 1).all()), np.zeros(replicates)
+        single, sums = bool(counts.sum() <= FEW_EQUAL * len(x)), np.zeros(replicates)
+        x = np.repeat(x, counts) if single else x
         for r, take in enumerate(takes.tolist()):
             rng = generator(seed, b, r, 0)
             sums[r] = x[rng.choice(len(x), take, replace=False, shuffle=False)].sum() if single else x @ split(rng, counts, take)

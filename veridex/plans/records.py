@@ -533,12 +533,11 @@ def _(t: Tables):
     return t.spark.read.option("recursiveFileLookup", True).parquet(path).select("experiment", "image_id")
 
 
-@query("k3_running_cost", f"SELECT experiment, count(*) AS calls, count(*) FILTER ({_OK}) AS answered, (sum(input_tokens) * 2.5::DOUBLE + sum(output_tokens) * 10.0::DOUBLE) / 1e6 AS cost, (sum(input_tokens) * 2.5 + sum(output_tokens) * 10.0) / 1e6 > 5 AS over_budget FROM calls GROUP BY 1", ("calls",), ("cost",))
-def _(t: Tables):
-    from ..operators.ledger import dedup
-
-    path = _final(t, ST.running_cost(_calls_stream(t), 2.5, 10.0, 5.0), "update", "cost")
-    rows = t.spark.read.option("recursiveFileLookup", True).parquet(path)
-    return dedup(rows, ["experiment"], "last", seq="calls").select("experiment", "calls", "answered", "cost", "over_budget")
-
-
+@query("k3_running_cost", f"SELECT experiment, count(*) AS calls, count(DISTINCT image_id) FILTER ({_OK}) AS answered, (sum(input_tokens) * 2.5::DOUBLE + sum(output_tokens) * 10.0::DOUBLE) / 1e6 AS cost, (sum(input_tokens) * 2.5 + sum(output_tokens) * 10.0) / 1e6 > 5 AS over_budget FROM calls GROUP BY 1", ("calls",), ("cost",))
+def _(t: Tables):
+    """Every third call is delivered twice, and items are answered again and again: calls and items count once."""
+    again = F.explode(F.array_repeat(F.lit(1), F.when(F.col("seq") % 3 == 0, 2).otherwise(1)))
+    calls = _calls_stream(t).withColumn("delivery", again)
+    path = _final(t, ST.running_cost(calls, "seq", "image_id"), "update", "cost")
+    parts = t.spark.read.option("recursiveFileLookup", True).parquet(path)
+    return ST.total_cost(parts, 2.5, 10.0, 5.0)

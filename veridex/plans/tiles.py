@@ -38,7 +38,7 @@ _COVER = f"""SELECT image_id, {CELL} AS cell_idx, 100.0::DOUBLE * count(*) FILTE
     avg(CASE WHEN {TOP} > 0 THEN ({TOP} - {LOW})::DOUBLE / {TOP} ELSE 0 END) AS mean_saturation FROM pixels GROUP BY ALL"""
 
 
-@query("i3_cell_coverage", f"SELECT image_id, substr('ABCD', 1 + cell_idx // 4, 1) || (cell_idx % 4 + 1) AS cell, tissue_pct, gray_pct, mean_gray, mean_saturation, tissue_pct < 5 AS is_empty, NOT (cell_idx // 4 IN (1, 2) AND cell_idx % 4 IN (1, 2)) AS touches_border FROM ({_COVER})", PX, ("tissue_pct", "gray_pct", "mean_gray", "mean_saturation"))
+@query("i3_cell_coverage", f"SELECT image_id, substr('ABCD', 1 + cell_idx // 4, 1) || (cell_idx % 4 + 1) AS cell, tissue_pct, gray_pct, mean_gray, mean_saturation, tissue_pct < 5 AS is_empty, NOT (cell_idx // 4 IN (1, 2) AND cell_idx % 4 IN (1, 2)) AS touches_border FROM ({_COVER})", PX, ("mean_saturation",))
 def _(t: Tables):
     return P.cell_coverage(t.tiles, CELL_PX).drop("cell_idx")
 

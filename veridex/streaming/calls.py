@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
 from ..operators.ledger import LABELS, quarantine
@@ -26,11 +30,83 @@ def stream_dedup(stream: DataFrame, key: list[str], time: str | None = None, del
     return ok.withWatermark(time, delay).dropDuplicatesWithinWatermark(key) if time else ok.dropDuplicates(key)
 
 
-def running_cost(stream: DataFrame, rate_in: float, rate_out: float, budget: float, by: str = "experiment") -> DataFrame:
-    """Calls, tokens and cost so far, and whether the budget is spent (update mode). Distinct ids: see stream_dedup."""
-    cost = (F.sum("input_tokens") * rate_in + F.sum("output_tokens") * rate_out) / F.lit(1e6)
-    done = F.count_if(F.col("predicted_label").isin(*LABELS) & ~F.col("failed"))
-    return stream.groupBy(by).agg(F.count("*").alias("calls"), done.alias("answered"), cost.alias("cost"), (cost > budget).alias("over_budget"))
+#: Parts of a group's ids, so that one group's calls don't meet in one task.
+PARTS = 16
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class CostSoFar(StatefulProcessor):
+    """Calls, tokens and answered items of one part of a group: each call and each item counts once.
+
+    State: calls seen, with their time; answered items; totals. With event times, calls older than the watermark are late and
+    don't count, so calls seen are forgotten once the watermark has passed them.
+    """
+
+    def __init__(self, timed: bool):
+        self.timed = timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.seen = handle.getMapState("seen", "call string", "at long")
+        self.items = handle.getMapState("items", "item string", "answered boolean")
+        self.totals = handle.getValueState("totals", "calls long, answered long, input_tokens long, output_tokens long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        calls, answered, tokens_in, tokens_out = self.totals.get() if self.totals.exists() else (0, 0, 0, 0)
+        passed, latest = timerValues.getCurrentWatermarkInMs() if self.timed else -1, -1
+        for pdf in rows:
+            fresh = pdf[pdf["at"] >= passed].drop_duplicates("call_id") if self.timed else pdf.drop_duplicates("call_id")
+            fresh = fresh[[not self.seen.containsKey((c,)) for c in fresh["call_id"]]] if len(fresh) else fresh
+            for c, at in zip(fresh["call_id"], fresh["at"], strict=True):
+                self.seen.updateValue((c,), (int(at),))
+            for item in fresh.loc[fresh["done"], "item_id"].drop_duplicates():
+                if not self.items.containsKey((item,)):
+                    self.items.updateValue((item,), (True,))
+                    answered += 1
+            calls, tokens_in, tokens_out = calls + len(fresh), tokens_in + int(fresh["tokens_in"].sum()), tokens_out + int(fresh["tokens_out"].sum())
+            latest = max(latest, int(fresh["at"].max()) if len(fresh) else -1)
+        self.totals.update((calls, answered, tokens_in, tokens_out))
+        if self.timed and latest >= passed:
+            self.handle.registerTimer(latest + 1)
+        yield pd.DataFrame({"group": [key[0]], "part": [key[1]], "calls": [calls], "answered": [answered], "input_tokens": [tokens_in], "output_tokens": [tokens_out]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for call in [c for c, at in self.seen.iterator() if at[0] < passed]:
+            self.seen.removeKey(call)
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def running_cost(stream: DataFrame, call: str, item: str, by: str = "experiment", time: str | None = None, delay: str = "1 day", parts: int = PARTS) -> DataFrame:
+    """(group, part, calls, answered, input_tokens, output_tokens) so far, in update mode: calls that are delivered again don't
+    count, items that are answered again count once, rows later than the delay don't count (without a time column none is late,
+    and no call is forgotten).
+
+    A group's items are dealt out to parts by their hash; total_cost adds them up. The state store must be RocksDB, which this sets for
+    the session. A call belongs to one item.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    done = F.coalesce(F.col("predicted_label").isin(*LABELS) & ~F.col("failed"), F.lit(False))
+    at = F.unix_millis(F.col(time).cast("timestamp")) if time else F.lit(0).cast("long")
+    rows = stream.withWatermark(time, delay) if time else stream
+    tokens = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(n) for c, n in (("input_tokens", "tokens_in"), ("output_tokens", "tokens_out"))]
+    name = F.coalesce(F.col(item).cast("string"), F.lit(""))
+    # the time itself stays, as the watermark lives on it
+    timed = [F.col(time).alias("event_time")] if time else []
+    rows = rows.select(F.col(by).cast("string").alias("group"), F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("part"), name.alias("item_id"), F.col(call).cast("string").alias("call_id"), done.alias("done"), at.alias("at"), *tokens, *timed)
+    schema = "group string, part int, calls long, answered long, input_tokens long, output_tokens long"
+    return rows.groupBy("group", "part").transformWithStateInPandas(CostSoFar(bool(time)), schema, "update", "eventtime" if time else "none")
+
+
+def total_cost(parts: DataFrame, rate_in: float, rate_out: float, budget: float, by: str = "experiment") -> DataFrame:
+    """Calls, answered items, cost and whether the budget is spent, from what running_cost has put out so far; totals only grow,
+    so the row with most calls of each part is its last."""
+    last = parts.groupBy("group", "part").agg(F.max_by(F.struct("calls", "answered", "input_tokens", "output_tokens"), "calls").alias("t"))
+    cost = (F.sum("t.input_tokens") * rate_in + F.sum("t.output_tokens") * rate_out) / F.lit(1e6)
+    return last.groupBy(F.col("group").alias(by)).agg(F.sum("t.calls").alias("calls"), F.sum("t.answered").alias("answered"), cost.alias("cost"), (cost > budget).alias("over_budget"))
 
 
 def table_stream(spark: SparkSession, path: str, schema, max_files: int = 1) -> DataFrame:
