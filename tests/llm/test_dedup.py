@@ -284,9 +284,11 @@ def plain_jaccard(a, b):
     return len(grams(a) & grams(b)) / len(grams(a) | grams(b))
 
 
-@pytest.mark.parametrize("few", [20_000, 0])
-def test_stage_drops_near_copies_by_jaccard(spark, monkeypatch, few):
-    monkeypatch.setattr(near_copies, "FEW_PAIRS", few)
+@pytest.mark.parametrize("small,members,rounds", [(64, 1024, 3), (2, 16, 0), (2, 7, 1)])
+def test_stage_drops_near_copies_by_jaccard(spark, monkeypatch, small, members, rounds):
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "MEMBERS", members)
+    monkeypatch.setattr(near_copies, "HEAD_ROUNDS", rounds)
     rng = random.Random(21)
     rows, text = [], lambda n: [f"w{rng.randint(0, 5000)}" for _ in range(n)]
 
@@ -313,6 +315,35 @@ def test_stage_drops_near_copies_by_jaccard(spark, monkeypatch, few):
     assert sorted(r[0] or -1 for r in near_copies.first_of_each(edges).collect()) == [-1, 2, 7]
 
 
+def test_overlaps_of_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    a, b = ([np.unique(rng.integers(0, top, n).astype(np.uint32)) for n in (0, 5, 40, 90)] for top in (50, 200))
+    want = [[len(np.intersect1d(x, y)) for y in b] for x in a]
+    for sparse, columns in ((64, 4096), (0, 7), (2, 3)):
+        monkeypatch.setattr(near_copies, "SPARSE", sparse)
+        monkeypatch.setattr(near_copies, "COLUMNS", columns)
+        assert near_copies.overlaps(a, b).tolist() == want
+    assert near_copies.overlaps([], b).shape == (0, 4) and near_copies.overlaps(a, []).shape == (4, 0)
+
+
+def test_templates_of_unlike_pages_end_in_few_rounds(spark):
+    """1,500 pages of 290 words that share 240, and copies of some of them."""
+    rng = random.Random(5)
+    words = lambda n: [f"x{rng.randrange(10**9)}" for _ in range(n)]
+    template = words(240)
+    rows = [(i, " ".join([*template, *words(50)])) for i in range(1500)]
+    rows += [(2000 + i, f"{rows[7 * i][1]} more {i}") for i in range(100)]
+    looked = []
+    real = near_copies._least_near
+    near_copies._least_near = lambda *a: looked.append(1) or real(*a)
+    try:
+        found = near_copies.first_of_each(spark.createDataFrame(rows, DOC).repartition(8))
+        assert sorted(r["doc_id"] for r in found.collect()) == list(range(1500))
+    finally:
+        near_copies._least_near = real
+    assert len(looked) <= 2
+
+
 def test_stage_keeps_other_texts_of_repeated_ids(spark):
     p, q = " ".join(f"p{i}" for i in range(50)), " ".join(f"q{i}" for i in range(50))
     rows = [(5, p, 1), (5, q, 1), (6, p, 2), (7, q, 3), (5, p, 1), (8, q + " more", 4), (9, "r " * 60_000, 5), (None, p, 6), (None, p, 6)]
