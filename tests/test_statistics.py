@@ -168,3 +168,19 @@ def test_interrupted_runs_pay_once(spark, tmp_path):
     again = [scoring.score_run(requests, str.upper, cache, ledger, run="third") for _ in range(2)]
     assert all(r.where("cache_hit").count() == 12 for r in again)
     assert files.committed_ledger(spark, ledger).count() == 17 + 12 and {r["answer"] for r in second.collect()} == {f"P{i}" for i in range(12)}
+
+
+@pytest.mark.parametrize("few", [64, 1])
+def test_stability_by_counts_equals_all_pairs(spark, monkeypatch, few):
+    """One group with thousands of replicates, some with few, in both ways."""
+    monkeypatch.setattr(evidence, "FEW_MASKS", few)
+    rng = np.random.default_rng(12)
+    rows = [("hot", i, int(m)) for i, m in enumerate(rng.integers(0, 1 << 16, 900))] + [("one", 0, 5), ("empty", 0, 0), ("empty", 1, 0)]
+    rows += [("same", i, 7) for i in range(50)] + [("mixed", i, int(m)) for i, m in enumerate(rng.integers(0, 16, 40))]
+    found = {r["g"]: r for r in evidence.replicate_stability(spark.createDataFrame(rows, "g string, replicate int, mask long"), ["g"], keep_single=True).collect()}
+    for g in ("hot", "one", "empty", "same", "mixed"):
+        m = [x for h, _, x in rows if h == g]
+        j = [1.0 if not a | b else (a & b).bit_count() / (a | b).bit_count() for a, b in combinations(m, 2)]
+        cited = [sum(x >> c & 1 for x in m) for c in range(16)]
+        want = (len(m), np.mean(j) if j else 0.0, sum(k == len(m) for k in cited), sum(k == 1 for k in cited), sum(cited) / len(m))
+        assert tuple(found[g][c] for c in ("n_reps", "mean_jaccard", "cells_in_all", "cells_in_one", "mean_cells")) == pytest.approx(want)

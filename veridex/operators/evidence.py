@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import CELLS, bit, cell_name, cells_of, jaccard_masks, share
 
@@ -67,13 +70,17 @@ def empty_citations(citations: DataFrame, coverage: DataFrame, by: list[str], em
     """How many distinct cited cells have no tissue, with the rate of cells drawn uniformly in the same images."""
     keys = list(dict.fromkeys([*RESPONSE, *by]))
     masks = citations.groupBy(*keys).agg(F.bit_or(bit("cell_idx")).alias("mask"))
-    # one row an image with the tissue of its cells, so citations meet it once
-    empty = F.col("tissue_pct") < empty_below
-    tiles = coverage.groupBy("image_id").agg((F.count_if(empty) / F.count("*")).alias("uniform"), F.map_from_entries(F.collect_list(F.struct("cell_idx", "tissue_pct"))).alias("tissue"))
-    values = F.filter(F.transform(cells_of("mask"), lambda c: F.try_element_at("tissue", c)), lambda x: x.isNotNull())
-    per = masks.join(tiles, "image_id").withColumn("x", values).where(F.size("x") > 0)
-    mean = F.aggregate("x", F.lit(0.0), lambda s, x: s + x) / F.size("x")
-    per = per.select(*keys, "uniform", F.size("x").cast("long").alias("n"), F.size(F.filter("x", lambda x: x < empty_below)).cast("long").alias("e"), F.array_min("x").alias("low"), mean.alias("mean"))
+    # one row an image with the tissue of its 16 cells, so citations meet it once; counts go by bits
+    empty, cell = F.col("tissue_pct") < empty_below, F.col("cell_idx")
+    known, none = (F.coalesce(F.bit_or(F.when(c, bit("cell_idx"))), F.lit(0)) for c in (F.col("tissue_pct").isNotNull(), empty))
+    tissue = [F.max(F.when(cell == i, F.col("tissue_pct"))).alias(f"t{i}") for i in range(CELLS)]
+    tiles = coverage.groupBy("image_id").agg((F.count_if(empty) / F.count("*")).alias("uniform"), known.alias("known"), none.alias("none"), *tissue)
+    tiles = tiles.select("image_id", "uniform", "known", "none", F.array(*[f"t{i}" for i in range(CELLS)]).alias("tissue"))
+    per = masks.join(tiles, "image_id").withColumn("mask", F.col("mask").bitwiseAND(F.col("known"))).where("mask <> 0")
+    values = F.transform(cells_of("mask"), lambda c: F.element_at("tissue", c + 1))
+    size = F.bit_count("mask").cast("long")
+    mean = F.aggregate(values, F.lit(0.0), lambda s, x: s + x) / size
+    per = per.select(*keys, "uniform", size.alias("n"), F.bit_count(F.col("mask").bitwiseAND(F.col("none"))).cast("long").alias("e"), F.array_min(values).alias("low"), mean.alias("mean"))
     n, e = F.sum("n"), F.sum("e")
     return per.groupBy(*by).agg(
         F.count("*").alias("responses"), n.alias("n_cited"), e.alias("n_empty"), share(e, n).alias("empty_rate"),
@@ -130,31 +137,53 @@ def transposition(citations: DataFrame, coverage: DataFrame, empty_below: float
 
 
 def replicate_pairs(masks: DataFrame, group: list[str], rank: str = "replicate") -> DataFrame:
-    """Unordered pairs of replicates of one group; groups are small by design (replicates of one call)."""
+    """Unordered pairs of replicates of one group, a row each (Spark splits the join of a large group; totals alone need no
+    pairs, see replicate_stability)."""
     a = masks.select(*group, F.col(rank).alias("rank_a"), F.col("mask").alias("mask_a"))
     b = masks.select(*group, F.col(rank).alias("rank_b"), F.col("mask").alias("mask_b"))
     return a.join(b, group).where("rank_a < rank_b").withColumn("jaccard", jaccard_masks("mask_a", "mask_b"))
 
 
-def _counted(mask: str, times: Column) -> Column:
-    """How many cells occur in exactly `times` of a group's masks."""
-    return F.size(F.filter(F.sequence(F.lit(0), F.lit(CELLS - 1)), lambda c: F.size(F.filter(mask, lambda m: m.bitwiseAND(bit(c)) != 0)) == times)).cast("long")
+#: Groups with more different masks are worked out by sums over supersets, others pair by pair.
+FEW_MASKS = 64
 
 
 def replicate_stability(masks: DataFrame, group: list[str], keep_single: bool = False) -> DataFrame:
     """Per group: replicates, mean pairwise similarity, cells in every and in exactly one replicate.
 
+    Replicates count by their masks, of which 16 cells allow 65,536: so a group is a bounded row, however many replicates it has.
     Groups of one replicate go unless keep_single, where their similarity is 0.
     """
-    g = masks.groupBy(*group).agg(F.count("*").alias("n_reps"), F.collect_list("mask").alias("masks"))
+    counted = masks.groupBy(*group, "mask").agg(F.count("*").alias("n"))
+    g = counted.groupBy(*group).agg(F.sum("n").alias("n_reps"), F.array_sort(F.collect_list(F.struct("mask", "n"))).alias("held"))
     if not keep_single:
         g = g.where("n_reps >= 2")
-    n = F.size("masks")
-    pairs = F.flatten(F.transform("masks", lambda m, i: F.transform(F.slice("masks", i + 2, n), lambda o: jaccard_masks(m, o))))
-    mean = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / F.greatest(F.size(pairs), F.lit(1)).cast("double")
-    return g.select(
-        *group, "n_reps", mean.alias("mean_jaccard"), _counted("masks", n).alias("cells_in_all"), _counted("masks", F.lit(1)).alias("cells_in_one"),
-        (F.aggregate("masks", F.lit(0).cast("long"), lambda s, m: s + F.bit_count(m)) / n.cast("double")).alias("mean_cells"),
+    few, size = F.size("held") <= FEW_MASKS, F.size("held")
+    times = lambda a, b: (a["n"] * b["n"]).cast("double") * jaccard_masks(a["mask"], b["mask"])
+    unlike = F.flatten(F.transform("held", lambda a, i: F.transform(F.slice("held", i + 2, size), lambda b: times(a, b))))
+    alike = F.aggregate("held", F.lit(0.0), lambda s, a: s + a["n"] * (a["n"] - 1) / 2)
+    all_pairs = F.greatest(F.col("n_reps") * (F.col("n_reps") - 1) / 2, F.lit(1.0))
+    small = g.where(few).withColumn("mean_jaccard", (F.aggregate(unlike, F.lit(0.0), lambda s, x: s + x) + alike) / all_pairs)
+    large = g.where(~few)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            means = []
+            for held in batch.column("held"):
+                counts = np.zeros(1 << CELLS)
+                counts[held.values.field("mask").to_numpy()] = held.values.field("n").to_numpy()
+                means.append(pair_similarity(counts)[1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(means, pa.float64())], names=[*batch.schema.names, "mean_jaccard"])
+
+    both = small.unionByName(large.mapInArrow(run, T.StructType([*large.schema.fields, T.StructField("mean_jaccard", T.DoubleType())])))
+    cells = F.array(*[F.lit(c) for c in range(CELLS)])
+    of = lambda c: F.aggregate("held", F.lit(0).cast("long"), lambda s, a: s + F.when(a["mask"].bitwiseAND(bit(c)) != 0, a["n"]).otherwise(0))
+    cited = F.transform(cells, of)
+    found = both.withColumn("cited", cited)
+    exactly = lambda n: F.size(F.filter("cited", lambda k: k == n)).cast("long")
+    return found.select(
+        *group, "n_reps", "mean_jaccard", exactly(F.col("n_reps")).alias("cells_in_all"), exactly(F.lit(1)).alias("cells_in_one"),
+        (F.aggregate("cited", F.lit(0).cast("long"), lambda s, k: s + k) / F.col("n_reps").cast("double")).alias("mean_cells"),
     )
 
 

@@ -291,7 +291,16 @@ def _(t: Tables):
     return C.centrality_corr(E.cell_frequency(t.citations, t.coverage))
 
 
-@query("d37_binomial_ci")
+_TAIL = "list_sum([exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(p) + (n - j) * ln(1 - p)) FOR j IN range({}, {})])"
+
+
+@query("d37_binomial_ci", f"""
+    WITH RECURSIVE c AS (SELECT prompt_id, count(*) FILTER (label = label_pred) AS k, count(*) AS n FROM responses JOIN annotations USING (image_id) WHERE label_pred IS NOT NULL GROUP BY 1),
+    b AS (SELECT prompt_id, k, n, side, 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high, 0.5::DOUBLE AS p FROM c, (VALUES (0), (1)) AS s(side)
+          UNION ALL SELECT prompt_id, k, n, side, i + 1, low, high, (low + high) / 2 FROM (
+              SELECT prompt_id, k, n, side, i, CASE WHEN up THEN p ELSE low END AS low, CASE WHEN up THEN high ELSE p END AS high FROM (
+                  SELECT *, CASE WHEN side = 0 THEN {_TAIL.format('k', 'n + 1')} < 0.025 ELSE {_TAIL.format('0', 'k + 1')} > 0.025 END AS up FROM b WHERE i < 40)))
+    SELECT prompt_id, k, n, round(max(p) FILTER (side = 0), 6) AS ci_low, round(max(p) FILTER (side = 1), 6) AS ci_high FROM b WHERE i = 40 GROUP BY ALL""", RA)
 def _(t: Tables):
     counts = M.classification_summary(t.responses.join(t.annotations, "image_id"), ["prompt_id"]).select("prompt_id", "k", "n")
-    return M.binomial_ci(t.spark, counts, "k", "n")
+    return M.binomial_ci(t.spark, counts, "k", "n").withColumns({c: F.round(c, 6) for c in ("ci_low", "ci_high")})
