@@ -123,6 +123,28 @@ def test_near_copies_beyond_rerank_are_all_compared(spark):
         assert sum(r["score"] >= bar - 1e-15 for r in found if r["query_id"] == q) >= 18
 
 
+@pytest.mark.parametrize("noise", [1e-3, 1e-2])
+def test_recall_beside_near_copies(spark, noise):
+    """Random vectors keep their recall beside two groups of near copies, and so do these."""
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(6500, 64)).astype(np.float32)
+    for at in (1500, 4000):
+        x[at : at + 2500] = x[at] + noise * rng.normal(size=(2500, 64))
+    order = rng.permutation(len(x))
+    x = x[order]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    found = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        found.setdefault(r["query_id"], set()).add(r["vec_id"])
+    right = {True: [], False: []}
+    wide = x.astype(np.float64)
+    for q in range(0, len(x), 20):
+        s = wide @ wide[q]
+        s[q] = -np.inf
+        right[bool(order[q] < 1500)].append(len(set(np.argsort(-s, kind="stable")[:20].tolist()) & found[q]) / 20)
+    assert np.mean(right[True]) >= 0.9 and np.mean(right[False]) >= 0.9, {k: np.mean(v) for k, v in right.items()}
+
+
 def test_registered_neighbours_query_reaches_the_recall(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = [(r["vec_id"], r["embedding"]) for r in table.collect() if r["embedding"] is not None]

@@ -40,10 +40,34 @@ LEAST_BLOCKS = 12
 PROBE_SHARE, RERANK, SUBSPACES, CODES = 0.75, 150, 32, 256
 
 
+#: A score may be off by so many standard deviations of its error.
+ERRORS = 3.0
+
+
+def seeded(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k rows of x, drawn in steps by their squared distance from those drawn before, so groups of near copies get few."""
+    chosen = rng.integers(len(x), size=1)
+    far = np.full(len(x), np.inf)
+    fresh = chosen
+    while len(chosen) < k:
+        for i in range(0, len(x), 4096):
+            part = x[i : i + 4096]
+            apart = (part * part).sum(axis=1)[:, None] + (x[fresh] * x[fresh]).sum(axis=1) - 2 * part @ x[fresh].T
+            far[i : i + 4096] = np.minimum(far[i : i + 4096], np.maximum(apart, 0).min(axis=1))
+        far[chosen] = 0
+        left = np.flatnonzero(far > 0)
+        many = min(max(1, k // 128), k - len(chosen), len(left))
+        if not many:  # all rows are drawn, or copies of such
+            rest = np.setdiff1d(np.arange(len(x)), chosen)
+            return x[np.r_[chosen, rng.permutation(rest)[: k - len(chosen)]]].copy()
+        fresh = rng.choice(left, many, replace=False, p=far[left] / far[left].sum())
+        chosen = np.r_[chosen, fresh]
+    return x[chosen].copy()
+
+
 def kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 7) -> np.ndarray:
     """Centroids by Lloyd's rounds from a seeded choice; an empty cluster keeps its centroid."""
-    rng = np.random.default_rng(seed)
-    c = x[rng.permutation(len(x))[: min(k, len(x))]].copy()
+    c = seeded(x.astype(np.float64), min(k, len(x)), np.random.default_rng(seed)).astype(x.dtype)
     for _ in range(rounds):
         near = nearest(x, c)
         sums = np.zeros_like(c)
@@ -67,12 +91,14 @@ class Quantizer:
         rest = sample - self.coarse[nearest(sample, self.coarse)]
         self.books = [kmeans(rest[:, a:z], codes, rounds=5) for a, z in zip(self.cuts[:-1], self.cuts[1:], strict=True)]
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """List and codes of each vector."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """List and codes of each vector, and the length of what they leave out."""
         own = nearest(x, self.coarse)
         rest = x - self.coarse[own]
         codes = [nearest(rest[:, a:z], b) for a, z, b in zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True)]
-        return own, np.stack(codes, axis=1).astype(np.uint8)
+        for (a, z, b), code in zip(zip(self.cuts[:-1], self.cuts[1:], self.books, strict=True), codes, strict=True):
+            rest[:, a:z] -= b[code]
+        return own, np.stack(codes, axis=1).astype(np.uint8), np.sqrt((rest * rest).sum(axis=1))
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """Inner products of each query with all code words: query x subspace x code."""
@@ -144,9 +170,9 @@ def _index_batches(quantizer):
         q: Quantizer = quantizer.value
         for batch in batches:
             if batch.num_rows:
-                own, codes = q.encode(_matrix(batch.column("v"), q.dim).astype(np.float32))
+                own, codes, left = q.encode(_matrix(batch.column("v"), q.dim).astype(np.float32))
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own.astype(np.int32)), packed], names=["c", "list", "code"])
+                yield pa.RecordBatch.from_arrays([batch.column("c"), pa.array(own.astype(np.int32)), packed, pa.array(left.astype(np.float32))], names=["c", "list", "code", "left"])
 
     return run
 
@@ -176,21 +202,23 @@ def _probe_batches(quantizer, layout, probes: int):
     return run
 
 
-def _search_block(quantizer, rerank: int):
-    """The best of a block for each query of a chunk, by asymmetric distance tables, with all that tie with the last."""
+def _search_block(quantizer, k: int, rerank: int):
+    """The best of a block for each query of a chunk, by asymmetric distance tables, with all that tie with the last or may be among the
+    k + 1 nearest (one of them is the query), and by how much each score may be off."""
 
     def run(key, queries: pd.DataFrame, members: pd.DataFrame) -> pd.DataFrame:
         q: Quantizer = quantizer.value
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        found: list[tuple[np.ndarray, ...]] = []
         if len(queries) and len(members):
             members = members.sort_values(["list", "c"], kind="stable")
-            ids, lists = members["c"].to_numpy(), members["list"].to_numpy()
+            ids, lists, left = (members[c].to_numpy() for c in ("c", "list", "left"))
             codes = np.ascontiguousarray(np.frombuffer(b"".join(members["code"]), dtype=np.uint8).reshape(len(ids), -1).T).astype(np.int64)
             starts, ends = np.searchsorted(lists, np.arange(len(q.coarse))), np.searchsorted(lists, np.arange(len(q.coarse)), side="right")
             for at in range(0, len(queries), 64):
                 part = queries.iloc[at : at + 64]
                 v = np.stack(part["v"].to_numpy()).astype(np.float32)
                 tables, base = q.tables(v), v @ q.coarse.T
+                spread = ERRORS * np.sqrt((v * v).sum(axis=1) / q.dim)
                 for i, (query, probed) in enumerate(zip(part["q"].to_numpy(), part["lists"], strict=True)):
                     probed = probed[ends[probed] > starts[probed]]
                     sizes = ends[probed] - starts[probed]
@@ -199,13 +227,16 @@ def _search_block(quantizer, rerank: int):
                     own = codes[:, rows]
                     for j, table in enumerate(tables[i]):
                         score += table[own[j]]
+                    off = spread[i] * left[rows]
                     if len(rows) > rerank:
-                        best = np.flatnonzero(score >= np.partition(score, len(score) - rerank)[len(score) - rerank])
-                        rows, score = rows[best], score[best]
-                    found.append((np.full(len(rows), query), ids[rows], score))
-        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
+                        last = np.partition(score, len(score) - rerank)[len(score) - rerank]
+                        surely = np.partition(score - off, len(score) - k - 1)[len(score) - k - 1]
+                        best = np.flatnonzero((score >= last) | (score + off >= surely))
+                        rows, score, off = rows[best], score[best], off[best]
+                    found.append((np.full(len(rows), query), ids[rows], score, off))
+        empty = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else empty
-        return pd.DataFrame(dict(zip(("q", "c", "near"), columns, strict=True)))
+        return pd.DataFrame(dict(zip(("q", "c", "near", "off"), columns, strict=True)))
 
     return run
 
@@ -220,7 +251,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float
     if model is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     shared = spark.sparkContext.broadcast(model)
-    index = written(classes.select("c", "v").mapInArrow(_index_batches(shared), "c long, list int, code binary"), "ivf")
+    index = written(classes.select("c", "v").mapInArrow(_index_batches(shared), "c long, list int, code binary, left float"), "ivf")
     sizes = np.zeros(len(model.coarse), dtype=np.int64)
     for r in index.groupBy("list").count().collect():
         sizes[r["list"]] = r["count"]
@@ -229,12 +260,12 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float
     where = spark.createDataFrame([(i, int(a), int(n)) for i, (a, n) in enumerate(zip(first, parts, strict=True))], "list int, first int, parts int")
     chunks = max(1, math.ceil(asked / chunk_rows))
     block = (F.col("first") + F.pmod(F.xxhash64("c"), F.col("parts"))).cast("int")
-    members = index.join(F.broadcast(where), "list").select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "c", "list", "code")
+    members = index.join(F.broadcast(where), "list").select(block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("chunk"), "c", "list", "code", "left")
     probes = max(1, math.ceil(probe_share * len(model.coarse)))
     queries = classes.where("n_asked > 0")
     sent = queries.select("c", "v").mapInArrow(_probe_batches(shared, layout, probes), "block int, q long, v array<float>, lists array<int>")
     sent = sent.select("block", F.pmod(F.xxhash64("q"), F.lit(chunks)).cast("int").alias("chunk"), "q", "v", "lists")
-    found = sent.groupBy("block", "chunk").cogroup(members.groupBy("block", "chunk")).applyInPandas(_search_block(shared, rerank), "q long, c long, near float")
+    found = sent.groupBy("block", "chunk").cogroup(members.groupBy("block", "chunk")).applyInPandas(_search_block(shared, k, max(rerank, k + 1)), "q long, c long, near float, off float")
     top = _reranked(found, classes, k, rerank)
     # every asking row gets its class's list without itself
     asking = rows.where("asked").select("vec_id", "h1", "h2")
@@ -249,7 +280,11 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, probe_share: float
 def _reranked(found: DataFrame, classes: DataFrame, k: int, rerank: int) -> DataFrame:
     """(q, best): for each class that asks the k + 1 best rows, itself included, by exact score, then vec_id."""
     by = Window.partitionBy("q")
-    short = found.withColumn("r", F.rank().over(by.orderBy(F.desc("near")))).where(F.col("r") <= rerank).select("q", "c")
+    low = F.col("near") - F.col("off")
+    placed = found.withColumns({"r": F.rank().over(by.orderBy(F.desc("near"))), "s": F.row_number().over(by.orderBy(low.desc()))})
+    surely = F.max(F.when(F.col("s") == k + 1, low)).over(by)
+    within = placed.withColumn("surely", surely).where((F.col("r") <= rerank) | (F.col("near") + F.col("off") >= F.coalesce("surely", F.lit(float("-inf")))))
+    short = within.select("q", "c")
     exact = short.join(classes.select("c", F.col("v").alias("y")), "c").join(classes.select(F.col("c").alias("q"), F.col("v").alias("x")), "q")
     dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     scored = exact.select("q", "c", dot.alias("score")).withColumn("r", F.rank().over(by.orderBy(F.desc("score")))).where(F.col("r") <= k + 1)
