@@ -2,16 +2,19 @@
 
 import base64
 import hashlib
+import json
 import os
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import public_tokenizers as P
 import pytest
 import tiktoken
 
-from veridex.llm import bpe, language, pii, queries, secret_scan
+from veridex.llm import bpe, language, pii, pii_runs, queries, secret_scan
 
 SMALL = "/root/testdata/sf0.001"
 DOC = "doc_id long, text string"
@@ -451,3 +454,44 @@ def test_very_long_runs_stay_linear(ranks):
         ratio.added(text, own)
         language._word_grams([text])
     assert len(secret_scan.base_spans(many)) == 200 and len(pii.base_spans(many)) == 400
+
+
+PII_PIECES = ["[at]", "(at)", "@", "[.]", "(.)", ".", "-", "+", "12", "555", "4321", "a", "at", "b.c", "x-y", "é", "日", "{", "}", '"', ":", ",", " ", "192.168.1.1", "4111-1111-1111-1111", "(203) 555-4321", "jo@x.org", "_", "w", "2"]
+
+
+@pytest.mark.parametrize("window", [4096, 5])
+def test_pii_of_long_runs_equals_whole_runs(monkeypatch, window):
+    """Segments, their scores, and what is found, a window at a time and at once."""
+    monkeypatch.setattr(pii_runs, "WINDOW", window)
+    rng, field = random.Random(window), pii.Field(np.random.default_rng(1).normal(size=(4, 1 << pii.WEIGHT_BITS)) * 0.25 - 0.1)
+    for _ in range(60):
+        run, before = " ".join("".join(rng.choice(PII_PIECES) for _ in range(rng.randint(1, 60))).split()), rng.choice(["", "tel"])
+        if not run:
+            continue
+        tokens = pii.tokens_of(run)
+        found = pii.segments(run, tokens, before)
+        want = {(i, j): s for (i, j, _), s in zip(found, field.scores([p for _, _, p in found]))}
+        long = pii_runs.Run(run, before, field, len(pii.KINDS), pii.MAX_TOKENS, pii._place, pii.luhn, pii._kind_of)
+        got = {(i, i + length): s for length, at, scores in long.segments(0, long.n, long.n) for i, s in zip(at.tolist(), scores)}
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+        spans = []
+        for least in (10**9, 0):
+            monkeypatch.setattr(pii, "LONG_RUN", least)
+            spans.append(pii.candidates(run, before, field, 0.3))
+        assert spans[0] == spans[1], run
+
+
+def test_pii_of_minified_json_needs_little_memory(monkeypatch):
+    rng = random.Random(3)
+    rows = [{"id": rng.randrange(10**9), "v": [rng.random() for _ in range(5)], "mail": f"a{i}[at]x.org"} for i in range(450)]
+    run = json.dumps(rows, separators=(",", ":"))
+    field = pii.Field(np.random.default_rng(1).normal(size=(4, 1 << pii.WEIGHT_BITS)) * 0.25 - 0.1)
+    peaks = []
+    for size in (len(run) // 2, len(run)):
+        tracemalloc.start()
+        began = time.perf_counter()
+        assert pii.candidates(run[:size], "", field, 0.0)
+        assert time.perf_counter() - began < 60
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert len(run) > 50_000 and peaks[1] - peaks[0] < 150 * len(run) // 2 and peaks[1] < 150e6

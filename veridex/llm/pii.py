@@ -9,7 +9,7 @@ more than the patterns: telephone numbers without a plus sign, dotted card numbe
 
 Only runs with a digit, an at sign or a written-out one can hold personal data, so tokens elsewhere are outside and
 are never scored. A segment that the best path takes and that the field finds likely enough is added, if no base span
-touches it. Whole runs are scored, however long; time grows with their length.
+touches it. Whole runs are scored, however long; long ones a window at a time (see pii_runs), so memory holds a few bytes a token.
 
 Nulls: a null text is empty. All columns but the text are carried by scan (one named spans gives way to the spans).
 Repeated rows each get their result; an empty table gives an empty result. Without samples nothing is added.
@@ -28,12 +28,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import pii_runs
 from . import text as T
 
 KINDS = ("email", "ip", "card", "phone")
 LEAST_PROBABILITY, SAMPLE_ROWS, SAMPLE_RUNS = 0.8, 5000, 2500
 #: Tokens of an entity at most, tokens of a run that is used in training at most, bits of a weight's place.
 MAX_TOKENS, TRAIN_TOKENS, WEIGHT_BITS = 16, 60, 14
+#: Runs of more characters go through pii_runs, which finds the same.
+LONG_RUN = 100
 
 _AFTER_AT = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -311,8 +314,16 @@ def samples_of(run: str, before: str) -> Iterator[tuple]:
             yield s
 
 
+@lru_cache(100_000)
+def _place(name: str) -> int:
+    return int(_places([name])[0])
+
+
 def candidates(run: str, before: str, field: Field, least: float) -> list[Span]:
     """Segments of the best path of a run that are likely enough."""
+    if len(run) > LONG_RUN:
+        long = pii_runs.Run(run, before, field, len(KINDS), MAX_TOKENS, _place, luhn, _kind_of)
+        return [(KINDS[k], a, z) for k, a, z in pii_runs.likely(long, least)]
     tokens = tokens_of(run)
     found = segments(run, tokens, before)
     spans, scores = [(i, j) for i, j, _ in found], field.scores([p for _, _, p in found])
