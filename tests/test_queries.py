@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["d5_empty_citations", "d4_replicate_stability", "c10_between_item_similarity", "d9_roc_auc", "d11_ece", "d15_discordance", "h4_shuffled_item_null", "c12_matched_control", "i3_cell_coverage", "d31_budget", "k3_running_cost", "b19_rubric_relevance", "d9_roc_auc_prices", "e3_midranks", "d28_label_stability", "d28_stability_probe", "d29_inconsistent_items", "d33_paired_robustness", "a1_read_ledger", "a3_read_annotations", "a8_stream_split", "b22_key_order", "b22_drift", "j1_score_run", "j6_probe_evaluate"]
+SAMPLE = ["d5_empty_citations", "d4_replicate_stability", "c10_between_item_similarity", "d9_roc_auc", "d11_ece", "d15_discordance", "h4_shuffled_item_null", "c12_matched_control", "i3_cell_coverage", "d31_budget", "k3_running_cost", "b19_rubric_relevance", "d9_roc_auc_prices", "e3_midranks", "d28_label_stability", "d28_stability_probe", "d29_inconsistent_items", "d33_paired_robustness", "a1_read_ledger", "a1_order_of_batches", "a2_append_ledger", "a4_read_tiles", "a12_prediction_cache", "i3_tile_coverage", "i7_mask_blur", "i9_mask_accounting", "i9_box_accounting", "i12_stain_zscores", "i13_structure_accounting", "h11_block_shuffle", "d37_binomial_ci", "h5_label_permutation", "a3_read_annotations", "a8_stream_split", "b22_key_order", "b22_drift", "j1_score_run", "j6_probe_evaluate"]
 
 
 @pytest.fixture(scope="module")

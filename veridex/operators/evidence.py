@@ -148,12 +148,7 @@ def replicate_pairs(masks: DataFrame, group: list[str], rank: str = "replicate")
 FEW_MASKS = 64
 
 
-def replicate_stability(masks: DataFrame, group: list[str], keep_single: bool = False) -> DataFrame:
-    """Per group: replicates, mean pairwise similarity, cells in every and in exactly one replicate.
-
-    Replicates count by their masks, of which 16 cells allow 65,536: so a group is a bounded row, however many replicates it has.
-    Groups of one replicate go unless keep_single, where their similarity is 0.
-    """
+def _stability(masks: DataFrame, group: list[str], keep_single: bool) -> DataFrame:
     counted = masks.groupBy(*group, "mask").agg(F.count("*").alias("n"))
     g = counted.groupBy(*group).agg(F.sum("n").alias("n_reps"), F.array_sort(F.collect_list(F.struct("mask", "n"))).alias("held"))
     if not keep_single:
@@ -183,10 +178,19 @@ def replicate_stability(masks: DataFrame, group: list[str], keep_single: bool =
     exactly = lambda n: F.size(F.filter("cited", lambda k: k == n)).cast("long")
     return found.select(
         *group, "n_reps", "mean_jaccard", exactly(F.col("n_reps")).alias("cells_in_all"), exactly(F.lit(1)).alias("cells_in_one"),
-        (F.aggregate("cited", F.lit(0).cast("long"), lambda s, k: s + k) / F.col("n_reps").cast("double")).alias("mean_cells"),
+        (F.aggregate("cited", F.lit(0).cast("long"), lambda s, k: s + k) / F.col("n_reps").cast("double")).alias("mean_cells"), F.size(F.filter("cited", lambda k: k > 0)).alias("union_cells"),
     )
 
 
+def replicate_stability(masks: DataFrame, group: list[str], keep_single: bool = False) -> DataFrame:
+    """Per group: replicates, mean pairwise similarity, cells in every and in exactly one replicate.
+
+    Replicates count by their masks, of which 16 cells allow 65,536: so a group is a bounded row, however many replicates it has.
+    Groups of one replicate go unless keep_single, where their similarity is 0.
+    """
+    return _stability(masks, group, keep_single).drop("union_cells")
+
+
 def response_history(responses: DataFrame, group: list[str]) -> DataFrame:
     """Per group the labels and confidences of its labelled responses in the order of replicates, and whether all labels agree."""
     ok = responses.where("label_pred IS NOT NULL").withColumn("at", F.struct("replicate", "seq"))
@@ -198,9 +202,7 @@ def response_history(responses: DataFrame, group: list[str]) -> DataFrame:
 def stability_probe(masks: DataFrame, group: list[str]) -> DataFrame:
     """Over all groups, single and empty ones too: mean similarity by group and over all pairs, mean cells, and the core's share
     of all cited cells."""
-    s = replicate_stability(masks, group, keep_single=True)
-    union = masks.groupBy(*group).agg(F.bit_count(F.bit_or("mask")).alias("union_cells"))
-    j = s.join(union, group)
+    j = _stability(masks, group, keep_single=True)
     pairs = F.col("n_reps") * (F.col("n_reps") - 1) / 2
     pooled = F.sum(F.col("mean_jaccard") * pairs) / F.greatest(F.sum(pairs), F.lit(1.0))
     return j.agg(F.count("*").alias("groups"), F.avg("mean_jaccard").alias("mean_jaccard"), pooled.alias("pair_jaccard"), F.avg("mean_cells").alias("mean_cells"), share(F.sum("cells_in_all"), F.sum("union_cells")).alias("core_share"))

@@ -13,7 +13,7 @@ from ..operators import resample as S
 from .contrasts import JUDGED, RA, judged
 from .registry import Tables, query
 
-SEED = 20260806
+SEED = 1789
 IMAGE_MASKS = "SELECT image_id, CAST(bit_or(CAST(1 AS BIGINT) << cell_idx) AS BIGINT) AS mask FROM citations WHERE prompt_id = 'cte_p1' GROUP BY 1"
 EMPTIES = "SELECT image_id, CAST(coalesce(bit_or(CASE WHEN tissue_pct < 5 THEN CAST(1 AS BIGINT) << cell_idx END), 0) AS BIGINT) AS empty_mask FROM coverage GROUP BY 1"
 CC = ("citations", "coverage")
