@@ -208,14 +208,16 @@ def kept(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     classes = signed.groupBy("digest").agg(F.min(F.struct("doc_id", "edition")).alias("first")).select("first.*").orderBy("doc_id", "edition")
     # small tables are written before they meet the sets, so that their size is known and the sets stay where they are
     classes = keep.written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    members = signed.join(classes, ["doc_id", "edition"])
-    sets = members.select("node", "shingles")
-    links = keep.written(simhash.near_links(members.select("fp").distinct()), "links").withColumn("key", F.xxhash64("u", "v", F.lit("simhash")))
     size = F.octet_length("shingles").alias("size")
-    linked = members.select("node", "fp", size).join(links.select(F.explode(F.array("u", "v")).alias("fp"), "key"), "fp").select("node", "size", "key")
-    keys = members.select("node", size, F.explode("keys").alias("key")).unionByName(linked)
+    members = signed.select("doc_id", "edition", "fp", "keys", size).join(classes, ["doc_id", "edition"])
+    links = keep.written(simhash.near_links(members.select("fp").distinct()), "links").withColumn("key", F.xxhash64("u", "v", F.lit("simhash")))
+    linked = members.select("node", "fp", "size").join(links.select(F.explode(F.array("u", "v")).alias("fp"), "key"), "fp").select("node", "size", "key")
+    keys = members.select("node", "size", F.explode("keys").alias("key")).unionByName(linked)
     shared = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key")
     live = keep.written(keys.join(shared, "key").select("key", "node", "size").distinct(), "keys")
+    # only members that share a key are compared: their sets are numbered once, and no others are moved
+    alike = keep.written(classes.join(live.select("node").distinct(), "node", "left_semi"), "alike")
+    sets = keep.written(signed.select("doc_id", "edition", "shingles").join(alike, ["doc_id", "edition"]).select("node", "shingles"), "sets")
     gone = classes.select("node").limit(0)
     before = live.count()
     for _ in range(HEAD_ROUNDS):
