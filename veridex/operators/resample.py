@@ -216,7 +216,9 @@ def block_shuffle(blocks: DataFrame, seed: int, least_tissue: float = 0.3) -> Da
 
     Surplus source blocks get none; `moved_from` and `moved_to` pair up by rank, and the lost ones are reported.
     """
-    by = Window.partitionBy("image_id")
-    source = blocks.where("masked > 0").select("image_id", F.col("block").alias("moved_from"), "masked", F.row_number().over(by.orderBy("block")).alias("rank"))
-    slots = blocks.where(F.col("tissue_share") > least_tissue).select("image_id", F.col("block").alias("moved_to"), F.row_number().over(by.orderBy(u(seed, "image_id", "block"), "block")).alias("rank"))
-    return source.join(slots, ["image_id", "rank"], "left").select("image_id", "moved_from", "moved_to", "masked", F.col("moved_to").isNull().alias("lost"))
+    source = F.when(F.col("masked") > 0, F.struct(F.col("block").alias("moved_from"), "masked"))
+    slot = F.when(F.col("tissue_share") > least_tissue, F.struct(u(seed, "image_id", "block").alias("draw"), F.col("block").alias("moved_to")))
+    # an image's blocks meet as two short lists in one shuffle: no join, of which Spark might send a whole side through the driver
+    each = blocks.groupBy("image_id").agg(F.array_sort(F.collect_list(source)).alias("sources"), F.array_sort(F.collect_list(slot)).alias("slots"))
+    moved = each.select("image_id", F.posexplode("sources").alias("rank", "source"), "slots").select("image_id", "source.*", F.get("slots", F.col("rank"))["moved_to"].alias("moved_to"))
+    return moved.select("image_id", "moved_from", "moved_to", "masked", F.col("moved_to").isNull().alias("lost"))
