@@ -11,3 +11,8 @@ def plan(df) -> str:
 
 def test_blocks_of_a_tile_meet_without_a_join(spark):
     assert "Join" not in plan(entry.queries()["h11_block_shuffle"](spark, SF))
+
+
+def test_tables_of_tiles_are_not_broadcast(spark):
+    for name in ("i9_box_accounting", "i9_mask_accounting", "i5_mask_mean", "i8_region_mask"):
+        assert "Broadcast" not in plan(entry.queries()[name](spark, SF)), name
