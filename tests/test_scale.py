@@ -1,5 +1,7 @@
 """What larger tables would break: sides sent through the driver, one key in one task, memory that grows with the input."""
 
+import duckdb
+
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
@@ -16,3 +18,17 @@ def test_blocks_of_a_tile_meet_without_a_join(spark):
 def test_tables_of_tiles_are_not_broadcast(spark):
     for name in ("i9_box_accounting", "i9_mask_accounting", "i5_mask_mean", "i8_region_mask"):
         assert "Broadcast" not in plan(entry.queries()[name](spark, SF)), name
+
+
+def test_a_set_of_all_cells_is_a_row_without_control_on_both_sides(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{SF}/orders.parquet' WHERE o_orderkey < 12) TO '{tmp_path}/orders.parquet'")
+    # lines of order 0 cite each cell
+    con.execute(f"""COPY (SELECT * FROM '{SF}/lineitem.parquet' WHERE l_orderkey BETWEEN 1 AND 11 UNION ALL
+        SELECT l.* REPLACE (0 AS l_orderkey, i AS l_partkey, 0 AS l_suppkey, 1 AS l_linenumber, 'N' AS l_returnflag) FROM (SELECT * FROM '{SF}/lineitem.parquet' LIMIT 1) l, range(16) AS c(i)) TO '{tmp_path}/lineitem.parquet'""")
+    for name in ("orders", "lineitem"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    columns = "image_id, mask, control_mask, overlap, tissue_gap"
+    wanted = con.execute(f"SELECT {columns} FROM ({entry.oracle_sql()['c12_matched_control']}) ORDER BY 1").fetchall()
+    found = sorted(tuple(r) for r in entry.queries()["c12_matched_control"](spark, str(tmp_path)).select(*columns.split(", ")).collect())
+    assert found == wanted and found[0] == (0, 65535, None, None, None)

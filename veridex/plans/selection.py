@@ -131,14 +131,14 @@ def _(t: Tables):
 
 @query("c12_matched_control", f"""
     WITH m AS ({IMAGE_MASKS}), s AS (SELECT i::BIGINT AS subset, bit_count(i) AS size FROM range(65536) AS x(i)),
-    tt AS (SELECT image_id, list(tissue_pct ORDER BY cell_idx) AS t FROM coverage GROUP BY 1),
+    tt AS (SELECT image_id, list(tissue_pct ORDER BY cell_idx) AS t FROM coverage GROUP BY 1 HAVING count(*) = 16),
     c AS (SELECT image_id, mask, subset FROM m JOIN s ON size = bit_count(mask) AND bit_count(subset & mask) = greatest(0, 2 * bit_count(mask) - 16) AND subset <> mask),
     g AS (SELECT image_id, mask, subset, round(abs(list_sum([t[i + 1] FOR i IN range(16) IF subset & (1::BIGINT << i::INT) != 0]) - list_sum([t[i + 1] FOR i IN range(16) IF mask & (1::BIGINT << i::INT) != 0])), 6) AS gap
           FROM c JOIN tt USING (image_id))
-    SELECT image_id, mask, subset AS control_mask, bit_count(subset & mask)::BIGINT AS overlap, gap AS tissue_gap FROM (
-        SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gap, substr(md5(concat_ws('|', '{SEED}', CAST(image_id AS VARCHAR), CAST(subset AS VARCHAR))), 1, 8), subset) AS k FROM g) WHERE k = 1""", CC, ("tissue_gap",))
+    SELECT image_id, m.mask, subset AS control_mask, bit_count(subset & m.mask)::BIGINT AS overlap, gap AS tissue_gap FROM m LEFT JOIN (SELECT image_id, subset, gap FROM (
+        SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gap, substr(md5(concat_ws('|', '{SEED}', CAST(image_id AS VARCHAR), CAST(subset AS VARCHAR))), 1, 8), subset) AS k FROM g) WHERE k = 1) USING (image_id)""", CC, ("tissue_gap",))
 def _(t: Tables):
-    """The whole set that each image's answers cite."""
+    """The whole set that each image's answers cite; one of all 16 cells is a row without control."""
     return S.matched_control(image_masks(t), t.coverage, SEED)
 
 
