@@ -61,7 +61,7 @@ def content_tokens(text: Column | str, stop: tuple[str, ...] = STOP_WORDS) -> Co
 
 def rubric_relevance(items: DataFrame, rubric: DataFrame) -> DataFrame:
     """Items (feature, direction) with relevance and supported label; primary evidence without direction counts for nothing."""
-    joined = items.join(rubric, "feature", "left")
+    joined = items.join(F.broadcast(rubric), "feature", "left")
     undirected = F.col("direction") == "none"
     relevance = F.when((F.col("relevance") == "primary") & undirected, "none").otherwise(F.coalesce("relevance", F.lit("none")))
     support = F.when(~undirected, F.col("direction")).when(F.col("relevance") == "primary", F.lit("none")).otherwise(F.coalesce("supports", F.lit("none")))
@@ -89,8 +89,8 @@ def inconsistent_items(items: DataFrame) -> DataFrame:
 
 
 def feature_source(items: DataFrame, sources: DataFrame) -> DataFrame:
-    """Structure sources of cited features; features without one go."""
-    return items.join(sources, "feature")
+    """Structure sources of cited features; features without one go. sources are few: items are not dealt out by feature."""
+    return items.join(F.broadcast(sources), "feature")
 
 
 def render_requests(items: DataFrame, blocks: DataFrame, separator: str = "\n\n") -> DataFrame:
