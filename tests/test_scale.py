@@ -32,3 +32,12 @@ def test_a_set_of_all_cells_is_a_row_without_control_on_both_sides(spark, tmp_pa
     wanted = con.execute(f"SELECT {columns} FROM ({entry.oracle_sql()['c12_matched_control']}) ORDER BY 1").fetchall()
     found = sorted(tuple(r) for r in entry.queries()["c12_matched_control"](spark, str(tmp_path)).select(*columns.split(", ")).collect())
     assert found == wanted and found[0] == (0, 65535, None, None, None)
+
+
+def test_citations_are_not_dealt_out_by_their_few_features(spark):
+    for name in ("b23_feature_source", "b19_rubric_relevance"):
+        assert "SortMergeJoin" not in plan(entry.queries()[name](spark, SF)), name
+
+
+def test_counts_of_classes_need_no_annotations(spark):
+    assert "SortMergeJoin" not in (found := plan(entry.queries()["d29_class_counts"](spark, SF))) and "BroadcastHashJoin" not in found

@@ -273,12 +273,12 @@ def _(t: Tables):
     SELECT feature, count(*) AS n, count(*) FILTER (direction <> 'none') AS directional, count(*) FILTER (direction = 'none') AS downgraded, count(*) FILTER (direction <> 'none' AND direction = (CASE WHEN i.replicate % 2 = 0 THEN 'HP' ELSE 'SSA' END)) AS matches_stated,
            count(*) FILTER (direction <> 'none' AND direction = label) AS matches_true, count(*)::BIGINT AS terms FROM {_ITEMS} i JOIN annotations a USING (image_id) GROUP BY 1""", ("citations", "annotations"))
 def _(t: Tables):
-    return WO.description_report(_described(t), ["feature"])
+    return WO.description_report(_described(t).join(t.annotations, "image_id"), ["feature"])
 
 
 def _described(t: Tables):
     kind = F.concat(F.lit("k"), (F.col("cell_idx") % 3).cast("string"))
-    return _directed(t).join(t.annotations, "image_id").withColumns({"stated": F.when(F.col("replicate") % 2 == 0, "HP").otherwise("SSA"), "terms": F.array("feature"), "kind": kind})
+    return _directed(t).withColumns({"stated": F.when(F.col("replicate") % 2 == 0, "HP").otherwise("SSA"), "terms": F.array("feature"), "kind": kind})
 
 
 @query("d29_class_counts", "SELECT feature, 'k' || (cell_idx % 3) AS kind, count(*) AS n FROM citations GROUP BY ALL", ("citations",))
@@ -288,7 +288,7 @@ def _(t: Tables):
 
 @query("d29_inconsistent_items", f"SELECT image_id, replicate, item, direction FROM {_ITEMS} WHERE direction <> 'none' AND direction <> CASE WHEN replicate % 2 = 0 THEN 'HP' ELSE 'SSA' END", ("citations",))
 def _(t: Tables):
-    return WO.inconsistent_items(_described(t)).select("image_id", "replicate", "item", "direction")
+    return WO.inconsistent_items(_described(t).join(t.annotations, "image_id")).select("image_id", "replicate", "item", "direction")
 
 
 @query("b20_content_tokens", f"SELECT token, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) > 2 AND w NOT IN ({_STOP})))) AS token FROM documents) GROUP BY 1")
