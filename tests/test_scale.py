@@ -1,8 +1,14 @@
 """What larger tables would break: sides sent through the driver, one key in one task, memory that grows with the input."""
 
+import tracemalloc
+
 import duckdb
+import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
+from veridex.operators import tiles
+from veridex.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
 
@@ -41,3 +47,13 @@ def test_citations_are_not_dealt_out_by_their_few_features(spark):
 
 def test_counts_of_classes_need_no_annotations(spark):
     assert "SortMergeJoin" not in (found := plan(entry.queries()["d29_class_counts"](spark, SF))) and "BroadcastHashJoin" not in found
+
+
+def test_tiles_of_a_batch_are_worked_on_in_small_stacks():
+    ids = np.arange(10_000)
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), *[pa.array(np.full(len(ids), 8, dtype=np.int32))] * 2, tiles._binary(fixtures.drawn(ids))], names=["image_id", "height", "width", "rgb"])
+    tracemalloc.start()
+    seen = sum(len(tiles.macenko(rgb)) for rgb, _ in tiles.stacks(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == len(ids) and peak < 40e6
