@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 
 import __spark_entry__ as entry
-from veridex.operators import tiles
+from veridex.operators import answers, evidence, tiles
 from veridex.plans import fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,18 @@ def test_tiles_of_a_batch_are_worked_on_in_small_stacks():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert seen == len(ids) and peak < 40e6
+
+
+def test_answers_are_parsed_once(spark):
+    raw = spark.createDataFrame([('{"label": "HP", "confidence": 0.5, "evidence": []}',), ("{",), (None,)], "raw string")
+    out = answers.validate(raw, "raw", answers.Protocol(), strict=True)
+    assert plan(out).lower().count("parse_json") == 1
+    good, bad = answers.split_valid(out)
+    assert "parse_json" not in (plan(good) + plan(bad)).lower() and (good.count(), bad.count()) == (1, 2)
+
+
+def test_citations_are_shuffled_once_to_be_nested(spark):
+    rows = spark.createDataFrame([(1, "p", 1, 0, "stroma", c) for c in (5, 0, 5)] + [(1, "p", 1, 1, "serration", 15)], "image_id long, prompt_id string, replicate int, item int, feature string, cell_idx int")
+    out = evidence.nested(rows)
+    assert out.select("evidence").first()[0] == [(0, "stroma", ["A1", "B2", "B2"], "seen in stroma"), (1, "serration", ["D4"], "seen in serration")]
+    assert plan(out).count("Exchange") == 1

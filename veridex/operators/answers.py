@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_folder
+
 
 @dataclass(frozen=True)
 class Protocol:
@@ -65,9 +67,9 @@ def key_order_histogram(df: DataFrame, payload: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.array_join(key_order(F.col(payload)), ">"), F.lit("none")).alias("key_order")).agg(F.count("*").alias("n"))
 
 
-def _kind(v: Column) -> Column:
-    """object, array, string, number, boolean, null or missing. Booleans are no numbers."""
-    t = F.schema_of_variant(v)
+def _kind(v: Column, type_: str) -> Column:
+    """object, array, string, number, boolean, null or missing, by the value's type. Booleans are no numbers."""
+    t = F.col(type_)
     return (
         F.when(v.isNull(), "missing").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string")
         .when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number")
@@ -84,20 +86,27 @@ def validate(df: DataFrame, payload: str, protocol: Protocol, strict: bool = Fal
     Lenient: cells are trimmed and upper-cased, and split into valid and invalid; everything is recorded and no
     row goes. Strict: keys must be exactly the protocol's, and cells must be written as they are.
     """
-    v = F.try_parse_json(payload)
-    label, conf, kind = _get(v, "$.label", "string"), _get(v, "$.confidence", "double"), _kind(v)
-    raw_items = _get(v, "$.evidence", "array<variant>")
-    conf_kind, items_kind = _kind(_get(v, "$.confidence", "variant")), _kind(_get(v, "$.evidence", "variant"))
     cell_ok = lambda c: c.rlike("^[A-D][1-4]$")
     clean = (lambda c: c) if strict else (lambda c: F.upper(F.trim(c)))
+    nothing = lambda kind: F.array().cast(f"array<{kind}>")
 
-    def item(x):
-        cells = F.transform(F.coalesce(_get(x, "$.grid_cells", "array<string>"), F.array().cast("array<string>")), clean)
-        return F.struct(
-            _get(x, "$.feature", "string").alias("feature"), F.filter(cells, cell_ok).alias("grid_cells_valid"), F.filter(cells, lambda c: ~F.coalesce(cell_ok(c), F.lit(False))).alias("grid_cells_invalid"), _get(x, "$.description", "string").alias("description")
-        )
+    def stated_item(x):
+        cells = F.transform(F.coalesce(_get(x, "$.grid_cells", "array<string>"), nothing("string")), clean)
+        return F.struct(_get(x, "$.feature", "string").alias("feature"), cells.alias("cells"), _get(x, "$.description", "string").alias("description"))
 
-    evidence = F.transform(F.coalesce(raw_items, F.array().cast("array<variant>")), item)
+    def item(x):
+        bad = F.filter(x["cells"], lambda c: ~F.coalesce(cell_ok(c), F.lit(False)))
+        return F.struct(x["feature"].alias("feature"), F.filter(x["cells"], cell_ok).alias("grid_cells_valid"), bad.alias("grid_cells_invalid"), x["description"].alias("description"))
+
+    # a step a level, so that an answer is parsed, and each part of it read, once
+    v = F.col("_v")
+    df, columns = df.withColumn("_v", F.try_parse_json(payload)), df.columns
+    df = df.withColumns({"_conf_v": _get(v, "$.confidence", "variant"), "_items_v": _get(v, "$.evidence", "variant")})
+    df = df.withColumns({f"_{n}_type": F.schema_of_variant(c) for n, c in (("whole", "_v"), ("conf", "_conf_v"), ("items", "_items_v"))})
+    df = df.withColumns({"_kind": _kind(v, "_whole_type"), "_conf_kind": _kind(F.col("_conf_v"), "_conf_type"), "_items_kind": _kind(F.col("_items_v"), "_items_type")})
+    df = df.withColumns({"_label": _get(v, "$.label", "string"), "_conf": _get(v, "$.confidence", "double"), "_raw_items": F.coalesce(_get(v, "$.evidence", "array<variant>"), nothing("variant"))})
+    df = df.withColumn("_stated", F.transform("_raw_items", stated_item)).withColumn("_evidence", F.transform("_stated", item))
+    label, conf, evidence, kind, conf_kind, items_kind, raw_items = (F.col(f"_{c}") for c in ("label", "conf", "evidence", "kind", "conf_kind", "items_kind", "raw_items"))
     parsed = F.when(kind == "object", F.struct(label.alias("label"), F.when(conf_kind == "number", conf).alias("confidence"), evidence.alias("evidence")))
     found = [
         F.when(kind != "object", "answer is no object"),
@@ -115,14 +124,17 @@ def validate(df: DataFrame, payload: str, protocol: Protocol, strict: bool = Fal
     if strict:
         keys = F.coalesce(F.sort_array(F.json_object_keys(payload)), F.array().cast("array<string>"))
         found.append(F.when((kind == "object") & (keys != F.array(*[F.lit(k) for k in sorted(protocol.keys)])), F.concat(F.lit("keys "), F.array_join(keys, ","))))
-        item_keys = F.transform(F.coalesce(raw_items, F.array().cast("array<variant>")), lambda x: F.sort_array(F.json_object_keys(F.to_json(x))))
+        item_keys = F.transform(raw_items, lambda x: F.sort_array(F.json_object_keys(F.to_json(x))))
         wanted = F.array(*[F.lit(k) for k in sorted(protocol.item_keys)])
         found.append(F.when(F.exists(item_keys, lambda k: ~F.coalesce(k == wanted, F.lit(False))), "item keys"))
-    return df.withColumn("parsed", parsed).withColumn("violations", F.concat(F.array_compact(F.array(*found)), per_item))
+    return df.select(*columns, parsed.alias("parsed"), F.concat(F.array_compact(F.array(*found)), per_item).alias("violations"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, quarantine)"""
+    """(good, quarantine). The answers are validated once and kept in a table: as a filter, each rule would be worked out again."""
+    path = fresh_folder(validated.sparkSession, "validated")
+    validated.write.parquet(path)
+    validated = validated.sparkSession.read.parquet(path)
     return validated.where(F.size("violations") == 0), validated.where(F.size("violations") > 0)
 
 

@@ -188,7 +188,7 @@ def _(t: Tables):
 
 @query("b4_validate_strict", f"SELECT prompt_id, count(*) FILTER (label_pred IS NOT NULL) AS good, count(*) FILTER (label_pred IS NULL) AS quarantined FROM {_BY_RESPONSE} GROUP BY 1", ("responses",))
 def _(t: Tables):
-    good, bad = A.split_valid(A.validate(_raw(t), "raw", A.Protocol(), strict=True))
+    good, bad = A.split_valid(A.validate(_raw(t), "raw", A.Protocol(), strict=True).select("prompt_id", "violations"))
     tagged = good.select("prompt_id", F.lit(True).alias("g")).unionByName(bad.select("prompt_id", F.lit(False).alias("g")))
     return tagged.groupBy("prompt_id").agg(F.count_if("g").alias("good"), F.count_if(~F.col("g")).alias("quarantined"))
 
