@@ -123,9 +123,9 @@ def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int,
     """
     limits = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
     each = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    draw = u(seed, "b", row_key)
-    weight = sum(((draw >= x).cast("long") for x in limits), F.lit(0).cast("long"))
-    drawn = each.withColumn("w", weight).where("w > 0")
+    # the draw is a column of its own, and no filter goes by it: either way Spark would work it out once a limit
+    weight = sum(((F.col("_draw") >= x).cast("long") for x in limits), F.lit(0).cast("long"))
+    drawn = each.withColumn("_draw", u(seed, "b", row_key)).withColumn("w", weight)
     values = roc_auc(drawn, score, positive, by=["b"], weight=F.col("w"))
     low, high = (1 - ci) / 2, (1 + ci) / 2
     return values.agg(F.percentile("auc", low).alias("ci_low"), F.percentile("auc", high).alias("ci_high"), F.count("auc").alias("replicates"))
