@@ -79,3 +79,29 @@ def test_a_draw_of_the_bootstrap_is_made_once(spark):
     rows = spark.createDataFrame([(str(i), float(i % 7), i % 3 == 0) for i in range(50)], "row_key string, s double, t boolean")
     logical = metrics.bootstrap_auc(rows, "s", F.col("t"), 5)._jdf.queryExecution().optimizedPlan().toString()
     assert 0 < logical.count("md5(") <= 2  # the AUC reads its counts twice
+
+
+def plain_json(raw: str) -> tuple:
+    start = raw.find("{")
+    if start < 0:
+        return None, "no opening brace"
+    depth, quoted, escaped = 0, False, False
+    for i, c in enumerate(raw[start:]):
+        if quoted:
+            quoted, escaped = c != '"' or escaped, c == "\\" and not escaped
+        elif c == '"':
+            quoted = True
+        else:
+            depth += {"{": 1, "}": -1}.get(c, 0)
+            if c == "}" and depth == 0:
+                return raw[start : start + i + 1], None
+    return None, "unbalanced braces"
+
+
+def test_braces_by_runs_of_characters_equal_those_by_character(spark):
+    rng = np.random.default_rng(3)
+    marks = list('{}{}""\\a\n') + ["\U0001f600"]
+    raws = ["".join(rng.choice(marks, rng.integers(0, 25))) for _ in range(3000)] + ["{" + '\\\\"x' * 50_000 + "}"]
+    out = spark.createDataFrame([(r,) for r in raws], "raw string").select("raw", answers.extract_json("raw").alias("x"))
+    assert [(r["raw"], tuple(r["x"])) for r in out.collect()] == [(r, plain_json(r)) for r in raws]
+    assert "split(" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -28,29 +28,32 @@ def protocol_dim(spark: SparkSession, protocols: dict[str, Protocol]) -> DataFra
 def extract_json(raw: Column | str) -> Column:
     """struct(payload, error): the first balanced braces outside of strings, of the fenced part if there is a fence.
 
-    One fold over the characters decides; errors are "no opening brace" and "unbalanced braces".
+    One fold over runs of characters between braces, quotes and escapes decides; errors are "no opening brace" and "unbalanced braces".
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
     text = F.coalesce(raw, F.lit(""))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced != "", fenced).otherwise(text)
-    start = F.instr(body, "{")
-    rest = F.substring(body, start, F.length(body))
-    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(0).alias("end"))
-
-    def step(s, c):
-        open_, done = ~s["quoted"], s["end"] > 0
-        depth = s["depth"] + F.when(open_ & (c == "{"), 1).when(open_ & (c == "}"), -1).otherwise(0)
-        quoted = F.when((c == '"') & ~s["escaped"], ~s["quoted"]).otherwise(s["quoted"])
-        escaped = s["quoted"] & (c == "\\") & ~s["escaped"]
-        at = s["at"] + 1
-        end = F.when(open_ & (c == "}") & (depth == 0), at).otherwise(0)
-        moved = F.struct(depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), at.alias("at"), end.alias("end"))
-        return F.when(done, s).otherwise(moved)
-
-    end = F.aggregate(F.split(rest, ""), state, step, lambda s: s["end"])
-    error = F.when(start == 0, "no opening brace").when(end == 0, "unbalanced braces")
-    return F.struct(F.when(error.isNull(), F.substring(rest, F.lit(1), end)).alias("payload"), error.alias("error"))
+    # a value as a lambda's variable is worked out once a row
+    once = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)
+    body = once(F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1), lambda fenced: F.when(fenced != "", fenced).otherwise(text))
+    rest = once(body, lambda b: F.when(b.contains("{"), F.substring(b, F.instr(b, "{"), F.length(b))))
+    # runs of other characters, escaped pairs, and single marks; a pair outside of strings counts by its second character
+    parts = lambda r: F.regexp_extract_all(r, F.lit(r'(?s)([^\\"{}]++|\\.|["{}\\])'), F.lit(1))
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(0).alias("at"), F.lit(0).alias("end"))
+
+    def step(s, part):
+        mark = F.when(s["quoted"], F.when(part == '"', part)).otherwise(F.substring(part, -1, 1))
+        depth = s["depth"] + F.when(mark == "{", 1).when(mark == "}", -1).otherwise(0)
+        at = s["at"] + F.length(part)
+        quoted = F.when(mark == '"', ~s["quoted"]).otherwise(s["quoted"])
+        end = F.when((mark == "}") & (depth == 0), at).otherwise(0)
+        moved = F.struct(depth.alias("depth"), quoted.alias("quoted"), at.alias("at"), end.alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(moved)
+
+    def found(r, end):
+        error = F.when(r.isNull(), "no opening brace").when(end == 0, "unbalanced braces")
+        return F.struct(F.when(end > 0, F.substring(r, F.lit(1), end)).alias("payload"), error.alias("error"))
+
+    return once(rest, lambda r: once(F.aggregate(parts(r), state, step, lambda s: s["end"]), lambda end: found(r, end)))
 
 
 def key_order(payload: Column | str) -> Column:
