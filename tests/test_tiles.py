@@ -187,6 +187,14 @@ def test_images_become_tiles_and_bad_ones_rows(spark, tmp_path):
     assert len(back) == 6 and all((back[i] == im).all() for i, im in enumerate(images))
 
 
+def test_few_bytes_in_many_images_are_written_by_all_tasks(spark, tmp_path):
+    """The images come as one small partition, and Spark would coalesce it again; each is opened by a task of its own share."""
+    one = files.encode_tiles(packed(spark, *random_images(3, 40)).coalesce(1))
+    files.write_images(one, str(tmp_path / "many"))
+    parts = {p.name.split("-")[1] for p in (tmp_path / "many").glob("image_id=*/*.txt")}
+    assert len(parts) >= 8 and files.read_tiles(spark, str(tmp_path / "many")).where("error IS NULL").count() == 40
+
+
 def test_dilation_and_structures(spark):
     image = np.full((8, 8, 3), 100)
     image[0, 0] = image[5, 5] = (240, 100, 100)

@@ -75,11 +75,13 @@ def _(t: Tables):
     SELECT image_id, CASE WHEN NOT bad THEN 8 END AS height, CASE WHEN NOT bad THEN 8 END AS width, CASE WHEN bad THEN 'not an image' END AS error,
            CASE WHEN NOT bad THEN sum(r)::BIGINT END AS r, CASE WHEN NOT bad THEN sum(g)::BIGINT END AS g, CASE WHEN NOT bad THEN sum(b * (x + 1))::BIGINT END AS weighted FROM bad GROUP BY image_id, bad""")
 def _(t: Tables):
-    """Images written to the shared folder, some of them cut off, and read back: every one is a row."""
+    """Images written to the shared folder, some of them cut off, and read back, each once, into a table of tiles: every one is a row."""
     made = FI.encode_tiles(fixtures.tiles(t.supplier.select(F.col("s_suppkey").alias("image_id"))))
     path = fresh_folder(t.spark, "images")
     FI.write_images(made.withColumn("data", F.when(F.col("image_id") % 10 == 3, F.substring("data", 1, 20)).otherwise(F.col("data"))), path)
-    found = FI.read_tiles(t.spark, path)
+    table = fresh_folder(t.spark, "tiles")
+    FI.read_tiles(t.spark, path).write.parquet(table)
+    found = t.spark.read.parquet(table)
     sums = TI.mapped(found, lambda rgb, rows: {"r": rgb[..., 0].sum(axis=(1, 2), dtype="int64"), "g": rgb[..., 1].sum(axis=(1, 2), dtype="int64"), "weighted": (rgb[..., 2].astype("int64").sum(axis=1) * range(1, 9)).sum(axis=1)}, "r long, g long, weighted long")
     return found.select("image_id", "height", "width", "error").join(sums, "image_id", "left")
 
