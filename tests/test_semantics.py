@@ -245,3 +245,18 @@ def test_running_cost_counts_calls_and_items_once(spark, tmp_path):
 
     assert last("all") == {"e": (5, 3, 1030.0, True), "f": (1, 0, 5.0, False)}
     assert last("timed", time="ts", delay="10 hours") == {"e": (4, 2, 30.0, False), "f": (1, 0, 5.0, False)}
+
+
+def test_running_cost_takes_no_call_to_python(spark, tmp_path):
+    """What a call costs is a look-up in Spark's own state; a call that comes again in a later batch doesn't count."""
+    schema = "experiment string, call long, image_id long, failed boolean, predicted_label string, input_tokens long, output_tokens long"
+    for rows in ([(e, i, i % 7, i % 5 == 0, "HP" if i % 3 else None, i, 1) for e in "ef" for i in range(300)], [("e", i, i % 7, False, "HP", i, 1) for i in range(200, 400)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(1.1)
+    out = calls.running_cost(calls.table_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema), "call", "image_id")
+    keep = lambda batch, n: batch.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}")
+    query = out.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len({op["operatorName"] for p in query.recentProgress for op in p["stateOperators"]} & {"dedupe", "stateStoreSave"}) == 2
+    found = {r["experiment"]: (r["calls"], r["answered"], r["cost"]) for r in calls.total_cost(spark.read.option("recursiveFileLookup", True).parquet(f"{tmp_path}/out"), 1e6, 0.0, 1.0).collect()}
+    assert found == {"e": (400, 7, float(sum(range(400)))), "f": (300, 7, float(sum(range(300))))}

@@ -38,13 +38,10 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 class CostSoFar(StatefulProcessor):
     """Calls, tokens and answered items of one part of a group: each call and each item counts once.
 
-    State: calls seen, with their time; answered items; totals. With event times, calls older than the watermark are late and
-    don't count, so calls seen are forgotten once the watermark has passed them.
+    State: calls seen, with their time; answered items; totals. Calls older than the watermark of this very batch are late and don't
+    count (Spark's own operators drop them a batch later), so calls seen are forgotten once the watermark has passed them.
     """
 
-    def __init__(self, timed: bool):
-        self.timed = timed
-
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.seen = handle.getMapState("seen", "call string", "at long")
@@ -53,9 +50,9 @@ class CostSoFar(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         calls, answered, tokens_in, tokens_out = self.totals.get() if self.totals.exists() else (0, 0, 0, 0)
-        passed, latest = timerValues.getCurrentWatermarkInMs() if self.timed else -1, -1
+        passed, latest = timerValues.getCurrentWatermarkInMs(), -1
         for pdf in rows:
-            fresh = pdf[pdf["at"] >= passed].drop_duplicates("call_id") if self.timed else pdf.drop_duplicates("call_id")
+            fresh = pdf[pdf["at"] >= passed].drop_duplicates("call_id")
             fresh = fresh[[not self.seen.containsKey((c,)) for c in fresh["call_id"]]] if len(fresh) else fresh
             for c, at in zip(fresh["call_id"], fresh["at"], strict=True):
                 self.seen.updateValue((c,), (int(at),))
@@ -66,7 +63,7 @@ class CostSoFar(StatefulProcessor):
             calls, tokens_in, tokens_out = calls + len(fresh), tokens_in + int(fresh["tokens_in"].sum()), tokens_out + int(fresh["tokens_out"].sum())
             latest = max(latest, int(fresh["at"].max()) if len(fresh) else -1)
         self.totals.update((calls, answered, tokens_in, tokens_out))
-        if self.timed and latest >= passed:
+        if latest >= passed:
             self.handle.registerTimer(latest + 1)
         yield pd.DataFrame({"group": [key[0]], "part": [key[1]], "calls": [calls], "answered": [answered], "input_tokens": [tokens_in], "output_tokens": [tokens_out]})
 
@@ -85,20 +82,24 @@ def running_cost(stream: DataFrame, call: str, item: str, by: str = "experiment"
     count, items that are answered again count once, rows later than the delay don't count (without a time column none is late,
     and no call is forgotten).
 
-    A group's items are dealt out to parts by their hash; total_cost adds them up. The state store must be RocksDB, which this sets for
-    the session. A call belongs to one item.
+    A group's items are its parts, or with a time column dealt out to parts by their hash; total_cost adds them up. Without it both steps
+    are Spark's own: calls seen lie spread by call, and a row of totals an item, so a call costs no way to Python. The state store
+    must be RocksDB, which this sets for the session. A call belongs to one item.
     """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     done = F.coalesce(F.col("predicted_label").isin(*LABELS) & ~F.col("failed"), F.lit(False))
-    at = F.unix_millis(F.col(time).cast("timestamp")) if time else F.lit(0).cast("long")
-    rows = stream.withWatermark(time, delay) if time else stream
     tokens = [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(n) for c, n in (("input_tokens", "tokens_in"), ("output_tokens", "tokens_out"))]
     name = F.coalesce(F.col(item).cast("string"), F.lit(""))
+    group, call_id = F.col(by).cast("string").alias("group"), F.col(call).cast("string").alias("call_id")
+    if not time:
+        once = stream.select(group, name.alias("part"), call_id, done.alias("done"), *tokens).dropDuplicates(["group", "part", "call_id"])
+        sums = [F.sum(c).alias(n) for c, n in (("tokens_in", "input_tokens"), ("tokens_out", "output_tokens"))]
+        return once.groupBy("group", "part").agg(F.count("*").alias("calls"), F.max(F.col("done").cast("long")).alias("answered"), *sums)
+    at = F.unix_millis(F.col(time).cast("timestamp"))
     # the time itself stays, as the watermark lives on it
-    timed = [F.col(time).alias("event_time")] if time else []
-    rows = rows.select(F.col(by).cast("string").alias("group"), F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("part"), name.alias("item_id"), F.col(call).cast("string").alias("call_id"), done.alias("done"), at.alias("at"), *tokens, *timed)
+    rows = stream.withWatermark(time, delay).select(group, F.pmod(F.xxhash64(name), F.lit(parts)).cast("int").alias("part"), name.alias("item_id"), call_id, done.alias("done"), at.alias("at"), *tokens, F.col(time).alias("event_time"))
     schema = "group string, part int, calls long, answered long, input_tokens long, output_tokens long"
-    return rows.groupBy("group", "part").transformWithStateInPandas(CostSoFar(bool(time)), schema, "update", "eventtime" if time else "none")
+    return rows.groupBy("group", "part").transformWithStateInPandas(CostSoFar(), schema, "update", "eventtime")
 
 
 def total_cost(parts: DataFrame, rate_in: float, rate_out: float, budget: float, by: str = "experiment") -> DataFrame:
