@@ -3,7 +3,9 @@
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -111,6 +113,15 @@ def test_permuted_labels_follow_their_law(spark):
         assert abs(r["observed"] - observed) < 1e-9 and abs(r["null_mean"]) < 0.02 and abs(r["p_value"] - np.mean(np.array(plain) >= observed)) < 0.05
 
 
+def test_blocks_of_values_lie_in_tasks_of_their_own(spark):
+    """They are few bytes, which Spark would coalesce into one task, before groups are made and after."""
+    values = spark.range(4000).select(F.col("id").cast("double").alias("value"), F.lit(1).cast("long").alias("n"))
+    dealt = nulls.in_blocks(values, 4)
+    task = lambda key, pdf: pd.DataFrame({"block": [int(key[0])], "task": [TaskContext.get().partitionId()], "rows": [len(pdf)]})
+    found = dealt.groupBy("block").applyInPandas(task, "block int, task int, rows long").collect()
+    assert len(found) == 4 == len({r["task"] for r in found}) and sum(r["rows"] for r in found) == 4000
+
+
 def test_bootstrap_of_any_metric(spark):
     rng = np.random.default_rng(8)
     rows = [(float(np.round(s, 1)), bool(s + rng.normal() > 0)) for s in rng.normal(size=400)]

@@ -13,7 +13,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import CELLS, share
@@ -140,6 +140,15 @@ def shuffled_items(items: DataFrame, replicates: int = 5000, seed: int = 0, bloc
     return _at_most(null, observed)
 
 
+def in_blocks(values: DataFrame, blocks: int) -> DataFrame:
+    """(block, value, n), each block in a task of its own: values are few bytes but much work, and Spark would coalesce them by size."""
+    return values.select(_block(blocks), "value", "n").repartitionByRange(4 * blocks, "block")  # bounds are sampled: more than blocks, so that no two share a range
+
+
+def _block(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block")
+
+
 def permuted_labels(df: DataFrame, value: str, group: str, replicates: int = 20_000, seed: int = 0, block: int = BLOCK, count: str | None = None) -> DataFrame:
     """H5: difference of means of group over the rest, and the share of permutations at or above it.
 
@@ -158,9 +167,8 @@ def permuted_labels(df: DataFrame, value: str, group: str, replicates: int = 20_
     n_out = n_all - n_in
     observed = total_in / n_in - (total - total_in) / n_out if n_in and n_out else None
     blocks = max(1, -(-distinct // block), min(spark.sparkContext.defaultParallelism, distinct // 1000))
-    dealt = values.select(F.pmod(F.xxhash64("value"), F.lit(blocks)).cast("int").alias("block"), "value", "n")
     sizes = np.zeros(blocks, dtype=np.int64)
-    for b, m in dealt.groupBy("block").agg(F.sum("n")).collect():
+    for b, m in values.groupBy(_block(blocks)).agg(F.sum("n")).collect():
         sizes[b] = m
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,7 +183,7 @@ def permuted_labels(df: DataFrame, value: str, group: str, replicates: int = 20_
             sums[r] = x[rng.choice(len(x), take, replace=False, shuffle=False)].sum() if single else x @ split(rng, counts, take)
         return pd.DataFrame({"r": np.arange(replicates), "inside": sums})
 
-    sums = dealt.groupBy("block").applyInPandas(run, "r int, inside double").groupBy("r").agg(F.sum("inside").alias("inside"))
+    sums = in_blocks(values, blocks).groupBy("block").applyInPandas(run, "r int, inside double").groupBy("r").agg(F.sum("inside").alias("inside"))
     d = F.col("inside") / F.lit(float(n_in or 1)) - (F.lit(float(total or 0.0)) - F.col("inside")) / F.lit(float(max(n_out, 1)))
     each = sums.select(d.alias("d"))
     return each.agg(F.lit(observed).cast("double").alias("observed"), F.avg("d").alias("null_mean"), share(F.count_if(F.col("d") >= F.lit(observed)), F.count("*")).alias("p_value"), F.count("*").alias("replicates"))
