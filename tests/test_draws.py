@@ -110,3 +110,19 @@ def test_shuffled_items_beyond_a_billion_items(spark):
         want = float((bits(m).sum(axis=1).astype(float) * bits(e).sum(axis=1) / n.sum()).sum())
         assert n.sum() > 10**10 and abs(r["null_mean"] / want - 1) < 1e-4 and r["replicates"] == 60
         assert r["observed"] == sum(bin(a & b).count("1") * k for a, b, k in rows)
+
+
+def test_dealing_to_many_items_is_bounded_and_follows_its_law():
+    """300 cited sets meet 40 empty ones; however many items there are, a replicate takes few numbers, with the spread of permutations."""
+    rng = np.random.default_rng(4)
+    cited, empty = np.zeros(1 << 16, dtype=np.int64), np.zeros(1 << 16, dtype=np.int64)
+    masks, kinds = rng.choice(1 << 16, 300, replace=False), np.r_[rng.choice(1 << 10, 20, replace=False), (1 << 15) + rng.choice(1 << 6, 20, replace=False)]
+    np.add.at(cited, rng.choice(masks, 3000), 1)
+    np.add.at(empty, rng.choice(kinds, 3000), 1)
+    plain = [int(nulls.POPCOUNT[np.repeat(np.arange(1 << 16), cited) & rng.permutation(np.repeat(np.arange(1 << 16), empty))].sum()) for _ in range(3000)]
+    for block, leaf in ((1 << 18, 1 << 14), (1 << 18, 0), (3000, 30)):
+        deal = nulls._Deal(cited, empty, 5, block, leaf)
+        found = [sum(deal.hits(r, b) for b in range(1 << deal.depth)) for r in range(600)]
+        assert abs(np.mean(found) - np.mean(plain)) < 5 * np.std(plain) / np.sqrt(600) and abs(np.std(found) / np.std(plain) - 1) < 0.15
+    many = nulls._Deal(np.full(1 << 16, 10**6), empty * (1 << 16), 5, 1 << 18, 1 << 14)
+    assert many.root.work < 17 * (1 << 17) and many.root.work < np.count_nonzero(empty) * (1 << 16) / 3

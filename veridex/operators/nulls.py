@@ -1,8 +1,8 @@
 """Permutation and uniform nulls at full numbers of replicates, from counts whose size the 16 cells bound.
 
 Sets of cells are 16-bit masks, so items shrink to counts of masks, of sizes, or of pairs of sizes before anything is
-drawn. A replicate then costs the same for any number of items (H2, H3), at most a number for each pair of a cited and an empty set,
-or a permuted item, whichever are fewer (H4), or a pass over the different values (H5). Replicates times blocks are dealt
+drawn. A replicate then costs the same for any number of items (H2, H3), at most 65,536 numbers a level of a tree over the empty sets
+(H4), or a pass over the different values (H5). Replicates times blocks are dealt
 out by Spark. Draws depend on seed, replicate and block alone and are exact for any totals (see functions.draws).
 """
 
@@ -75,65 +75,89 @@ def uniform_cells(items: DataFrame, replicates: int = 5000, seed: int = 0) -> Da
     return _at_most(replicated(items.sparkSession, replicates, statistic), float(sum(r["hit"] for r in cells)))
 
 
-class _Deal:
-    """Cited sets (kinds with numbers of items) in a binary tree of about equal work, to which empty sets are dealt at random."""
+class _Node:
+    """Empty sets (kinds with numbers of items) that are dealt together, and the classes of cited sets that they tell apart."""
 
-    def __init__(self, cited: np.ndarray, empty: np.ndarray, seed: int, block: int, leaf: int):
-        self.masks, self.kinds = np.flatnonzero(cited), np.flatnonzero(empty)
-        self.items, self.given, self.seed, self.leaf = cited[self.masks], empty[self.kinds], seed, leaf
-        # a kind costs a number for each empty set, or one for each of its items
-        self.work = np.r_[0, np.cumsum(np.minimum(self.items, len(self.kinds)))]
-        self.ends = np.r_[0, np.cumsum(self.items)]
-        self.depth = max(0, int(np.ceil(np.log2(max(1, self.work[-1] / block)))))
+    def __init__(self, kinds: np.ndarray, numbers: np.ndarray, masks: np.ndarray, leaf: int):
+        shared, some = int(np.bitwise_and.reduce(kinds)), int(np.bitwise_or.reduce(kinds))
+        # cells that all kinds share are hit whichever kind an item gets; only cells in which kinds differ tell cited sets apart
+        self.own = POPCOUNT[masks & shared].astype(np.int64)
+        self.masks, where = np.unique(masks & (some ^ shared), return_inverse=True)
+        self.where, self.kinds, self.numbers, self.kids = where.astype(np.uint16), kinds & (some ^ shared), numbers, ()
+        items = int(numbers.sum())
+        self.work = min(len(masks), items)
+        self.permuted = len(kinds) > 1 and items <= min(leaf, 4 * len(self.masks))
+        if len(kinds) > 1 and not self.permuted:
+            left = self._left()
+            self.given = int(numbers[left].sum())
+            self.kids = tuple(_Node(self.kinds[part], numbers[part], self.masks, leaf) for part in (left, ~left))
+            self.work += sum(k.work for k in self.kids)
+
+    def _left(self) -> np.ndarray:
+        """The kinds without one cell, or the first half: whichever leaves fewest classes. The first never leaves more than there are."""
+        cells = [(self.kinds >> c & 1) == 0 for c in range(CELLS)]
+        cuts = [x for x in cells if 0 < x.sum() < len(x)] + [np.arange(len(self.kinds)) < len(self.kinds) // 2]
+        differ = lambda k: POPCOUNT[np.bitwise_or.reduce(k) ^ np.bitwise_and.reduce(k)]
+        return min(cuts, key=lambda x: 2 ** int(differ(self.kinds[x])) + 2 ** int(differ(self.kinds[~x])))
 
-    def _mid(self, low: int, high: int) -> int:
-        at = int(np.searchsorted(self.work, (self.work[low] + self.work[high]) / 2))
-        return min(max(at, low + 1), high - 1) if high - low > 1 else high
+    def classes(self, counts: np.ndarray) -> np.ndarray:
+        return np.bincount(self.where, weights=counts, minlength=len(self.masks)).astype(np.int64)  # exact below 2**53 items
 
-    def _left(self, r: int, node: int, low: int, mid: int, given: np.ndarray) -> np.ndarray:
-        return split(generator(self.seed, r, node), given, int(self.ends[mid] - self.ends[low]))
+
+class _Deal:
+    """Cited sets are dealt to the empty ones down a binary tree over these."""
+
+    def __init__(self, cited: np.ndarray, empty: np.ndarray, seed: int, block: int, leaf: int):
+        masks, kinds = np.flatnonzero(cited), np.flatnonzero(empty)
+        self.items, self.seed = cited[masks], seed
+        self.root = _Node(kinds, empty[kinds], masks, leaf) if len(kinds) else None
+        self.depth = max(0, int(np.ceil(np.log2(max(1, self.root.work / block))))) if self.root else 0
 
     def hits(self, r: int, b: int) -> int:
-        """What replicate r hits in block b: down the block's own path, then in the block."""
-        low, high, node, given = 0, len(self.masks), 1, self.given
-        for level in reversed(range(self.depth)):
-            if low == high:
-                return 0
-            mid = self._mid(low, high)
-            left = self._left(r, node, low, mid, given)
-            right = b >> level & 1
-            low, high, given = (mid, high, given - left) if right else (low, mid, left)
-            node = 2 * node + right
-        return self._within(r, node, low, high, self.kinds, given)
-
-    def _within(self, r: int, node: int, low: int, high: int, kinds: np.ndarray, given: np.ndarray) -> int:
-        if low == high:
+        """What replicate r hits in block b: down the block's own path, then below it. What a node hits by itself counts in its first block."""
+        if not self.root:
             return 0
-        kinds, given = kinds[given > 0], given[given > 0]
-        if high - low == 1:
-            return int(POPCOUNT[self.masks[low] & kinds].astype(np.int64) @ given)
-        if self.ends[high] - self.ends[low] <= self.leaf:
-            own = np.repeat(self.masks[low:high], self.items[low:high])
-            return int(POPCOUNT[own & generator(self.seed, r, node).permutation(np.repeat(kinds, given))].sum())
-        mid = self._mid(low, high)
-        left = self._left(r, node, low, mid, given)
-        return self._within(r, 2 * node, low, mid, kinds, left) + self._within(r, 2 * node + 1, mid, high, kinds, given - left)
+        node, number, counts, total = self.root, 1, self.items, 0
+        for level in reversed(range(self.depth)):
+            first = b & (2 << level) - 1 == 0
+            if not node.kids:
+                return total + (self._below(r, number, node, counts) if first else 0)
+            total += int(node.own @ counts) if first else 0
+            node, number, counts = self._kids(r, number, node, counts)[b >> level & 1]
+        return total + self._below(r, number, node, counts)
+
+    def _kids(self, r: int, number: int, node: _Node, counts: np.ndarray) -> tuple:
+        counts = node.classes(counts)
+        left = split(generator(self.seed, r, number), counts, node.given)
+        return (node.kids[0], 2 * number, left), (node.kids[1], 2 * number + 1, counts - left)
+
+    def _below(self, r: int, number: int, node: _Node, counts: np.ndarray) -> int:
+        total = int(node.own @ counts)
+        if node.permuted:
+            own = np.repeat(node.masks, node.classes(counts))
+            total += int(POPCOUNT[own & generator(self.seed, r, number).permutation(np.repeat(node.kinds, node.numbers))].sum())
+        elif node.kids:
+            total += sum(self._below(r, n, kid, c) for kid, n, c in self._kids(r, number, node, counts))
+        return total
 
 
 def shuffled_items(items: DataFrame, replicates: int = 5000, seed: int = 0, block: int = BLOCK, leaf: int = LEAF, count: str | None = None) -> DataFrame:
     """H4: empty cells hit when cited sets keep but items are permuted. items: (mask, empty_mask), any number of rows.
 
-    Both columns shrink to counts of sets. A replicate deals the empty sets to the cited ones down a binary tree, by draws without
-    replacement, to single cited sets or to at most `leaf` items, which are permuted. Replicates times blocks of at most `block` such
-    numbers are dealt out. count: a column with the number of items that a row stands for.
+    Items shrink to counts of pairs of sets, in one pass. A replicate deals the cited sets to the empty ones down a binary tree, by draws
+    without replacement, to single empty sets or to at most `leaf` items, which are permuted. Below a node only those cells count in
+    which its empty sets differ, so cited sets fall together: a level of the tree never takes more than 65,536 numbers. Replicates times
+    blocks of about `block` such numbers are dealt out. count: a column with the number of items that a row stands for.
     """
-    n = F.col(count) if count else F.lit(1).cast("long")
+    n, path = F.col(count) if count else F.lit(1).cast("long"), fresh_folder(items.sparkSession, "pairs")
+    items.groupBy("mask", "empty_mask").agg(F.sum(n).alias("n")).write.parquet(path)
+    pairs = items.sparkSession.read.parquet(path)
     counts = [np.zeros(1 << CELLS, dtype=np.int64) for _ in range(2)]
     for c, column in zip(counts, ("mask", "empty_mask"), strict=True):
-        for mask, m in items.groupBy(column).agg(F.sum(n)).collect():  # at most 65,536 rows
+        for mask, m in pairs.groupBy(column).agg(F.sum("n")).collect():  # at most 65,536 rows
             c[mask] = m
-    hit = F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("empty_mask"))) * n)
-    observed = float(items.agg(F.coalesce(hit, F.lit(0))).first()[0])
+    hit = F.sum(F.bit_count(F.col("mask").bitwiseAND(F.col("empty_mask"))) * F.col("n"))
+    observed = float(pairs.agg(F.coalesce(hit, F.lit(0))).first()[0])
     deal = _Deal(*counts, seed, block, leaf)
     units = replicated(items.sparkSession, replicates << deal.depth, lambda i: deal.hits(i >> deal.depth, i & (1 << deal.depth) - 1))
     null = units.groupBy(F.shiftright("r", deal.depth).alias("r")).agg(F.sum("value").alias("value"))
