@@ -22,6 +22,15 @@ def test_blocks_of_a_tile_meet_without_a_join(spark):
     assert "Join" not in plan(entry.queries()["h11_block_shuffle"](spark, SF))
 
 
+def test_runs_are_not_sorted_to_meet_their_truth(spark):
+    from veridex.operators import ledger
+
+    runs, truth = spark.range(50).withColumnRenamed("id", "image_id"), spark.range(40).select(F.col("id").alias("image_id"), F.lit("HP").alias("label"))
+    joined = ledger.with_truth(runs, truth)
+    assert "SortMergeJoin" not in plan(joined) and "Broadcast" not in plan(joined) and joined.where("label IS NULL").count() == 10
+    assert "Join" not in plan(entry.queries()["d8_binary_metrics"](spark, SF))  # counted once, not for its labels and again for its counts
+
+
 def test_tables_of_tiles_are_not_broadcast(spark):
     for name in ("i9_box_accounting", "i9_mask_accounting", "i5_mask_mean", "i8_region_mask"):
         assert "Broadcast" not in plan(entry.queries()[name](spark, SF)), name

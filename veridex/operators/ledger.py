@@ -77,8 +77,11 @@ def union_runs(runs: dict[str, DataFrame], tag: str = "run") -> DataFrame:
 
 
 def with_truth(runs: DataFrame, truth: DataFrame, key: str = "image_id") -> DataFrame:
-    """runs with their truth; strict_truth tells whether any key had none."""
-    return runs.join(truth, key, "left")
+    """runs with their truth; strict_truth tells whether any key had none.
+
+    A task holds its share of the truth, a row a key, and runs pass by; merging would have it sort all of its runs.
+    """
+    return runs.join(truth.hint("shuffle_hash"), key, "left")
 
 
 def unmatched(joined: DataFrame, label: str = "label", key: str = "image_id") -> DataFrame:
