@@ -153,6 +153,20 @@ def test_matched_controls_of_every_size(spark):
         assert (found[k]["overlap"], found[k]["tissue_gap"]) == best and found[k]["control_mask"].bit_count() == k
 
 
+def test_only_tied_controls_are_written_out():
+    """Of 560 sets a target those that tie alone, as one list column and not a list of Python's a target."""
+    rng = np.random.default_rng(11)
+    mask, tissue = np.array([sum(1 << int(c) for c in rng.choice(16, 9, replace=False)) for _ in range(30)]), rng.integers(0, 5, (30, 16)).astype(float)
+    for masks in (mask, (1 << 16) - 1 - mask):
+        overlap, gap, tied = resample.controls(masks, tissue)
+        k = int(masks[0]).bit_count()
+        assert str(tied.type) == "list<item: int64>" and len(tied) == 30
+        area = lambda i, m: sum(tissue[i, c] for c in range(16) if m >> c & 1)
+        for i, m in enumerate(masks.tolist()):
+            near = [s for s in (sum(1 << c for c in cs) for cs in combinations(range(16), k)) if (s & m).bit_count() == overlap[i]]
+            assert sorted(tied[i].as_py()) == sorted(s for s in near if abs(area(i, s) - area(i, m)) == gap[i])
+
+
 @pytest.mark.parametrize("name", ["h2_uniform_sets", "h3_uniform_cells", "h4_shuffled_items", "h1_bootstrap_ci", "c12_matched_control_whole_sets"])
 def test_queries_without_sql_run_on_the_tables(spark, name):
     rows = entry.queries()[name](spark, SF).collect()

@@ -69,7 +69,7 @@ def _choices(pool: int, taken: int) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(-1, pool)
 
 
-def controls(mask: np.ndarray, tissue: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[list[int]]]:
+def controls(mask: np.ndarray, tissue: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.ListArray]:
     """(overlap, gap, tied sets) of the best controls of targets (n masks of one size, n x 16 shares of tissue).
 
     Overlap is least if the control takes uncited cells first. Up to 8 cells it lies in those alone, beyond it takes all of them, and
@@ -81,13 +81,15 @@ def controls(mask: np.ndarray, tissue: np.ndarray) -> tuple[np.ndarray, np.ndarr
     cells = np.argsort(bits != pool_is, axis=1, kind="stable")[:, : CELLS - k if pool_is == 0 else k]
     choices = _choices(cells.shape[1], k if pool_is == 0 else 2 * k - CELLS)
     fixed = np.zeros(len(mask), dtype=np.int64) if pool_is == 0 else (1 << CELLS) - 1 - mask
-    sets = (1 << cells) @ choices.T + fixed[:, None]
     area = np.take_along_axis(tissue, cells, axis=1) @ choices.T + ((1 - bits) * tissue).sum(axis=1, keepdims=True) * pool_is
     gap = np.round(np.abs(area - (bits * tissue).sum(axis=1, keepdims=True)), 6)
     least = gap.min(axis=1)
     tied = gap == least[:, None]
-    cut = np.cumsum(tied.sum(axis=1))[:-1]
-    return np.full(len(mask), max(0, 2 * k - CELLS)), least, [t.tolist() for t in np.split(sets[tied], cut)]
+    # only the sets that tie are written out
+    target, choice = np.nonzero(tied)
+    sets = ((1 << cells)[target] * choices[choice]).sum(axis=1) + fixed[target]
+    ends = np.r_[0, np.cumsum(tied.sum(axis=1))].astype(np.int32)
+    return np.full(len(mask), max(0, 2 * k - CELLS)), least, pa.ListArray.from_arrays(pa.array(ends), pa.array(sets))
 
 
 #: Targets that are compared at once.
@@ -118,12 +120,13 @@ def matched_control(targets: DataFrame, coverage: DataFrame, seed: int) -> DataF
                     part = same.slice(i, TARGETS)
                     shares = part.column("tissue").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, CELLS)
                     overlap, gap, tied = controls(part.column("mask").to_numpy(), shares)
-                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(overlap), pa.array(gap), pa.array(tied, pa.list_(pa.int64()))], names=names)
+                    yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(overlap), pa.array(gap), tied], names=names)
 
     base = rows.select("image_id", "mask").schema
     found = rows.mapInArrow(run, T.StructType([*base.fields, *T._parse_datatype_string("overlap long, tissue_gap double, tied array<long>").fields]))
     name = lambda s: F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("image_id").cast("string"), s.cast("string"))), 1, 8)
-    best = F.array_min(F.transform("tied", lambda s: F.struct(name(s).alias("draw"), s.alias("set"))))["set"]
+    drawn = F.array_min(F.transform("tied", lambda s: F.struct(name(s).alias("draw"), s.alias("set"))))["set"]
+    best = F.when(F.size("tied") == 1, F.get("tied", F.lit(0))).otherwise(drawn)
     return found.select("image_id", "mask", best.alias("control_mask"), "overlap", "tissue_gap")
 
 
