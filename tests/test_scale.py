@@ -77,6 +77,29 @@ def test_answers_are_parsed_once(spark):
     assert "parseJson" not in plan(good) + plan(bad) and (good.count(), bad.count()) == (1, 2)
 
 
+def test_keys_are_checked_without_writing_parts_of_an_answer_again(spark):
+    item = '{"feature": "stroma", "grid_cells": ["A1"], "description": "x"%s}'
+    answer = '{"label": "HP", "confidence": 0.5, "evidence": [%s]}'
+    items = [item % "", item % ', "more": null', '{"feature": "stroma", "grid_cells": ["A1"]}', "7", "null", f"{item % ''}, [{item % ''}]"]
+    raw = spark.createDataFrame([(answer % i,) for i in items], "raw string")
+    out = answers.validate(raw, "raw", answers.Protocol(), strict=True)
+    assert ["item keys" in r["violations"] for r in out.collect()] == [False] + [True] * 5
+    assert "StructsToJson" not in plan(out) and "jsonObjectKeys" not in plan(out) and plan(out).count("schemaOfVariant") <= 2
+
+
+def test_equal_answers_are_validated_once(spark, tmp_path, monkeypatch):
+    con, given = duckdb.connect(), []
+    # a third of the responses has no label; labels of the others go by whether the order's number is odd
+    con.execute("""CREATE TABLE lineitem AS SELECT i AS l_orderkey, CASE WHEN i % 3 = 0 THEN 11 ELSE 16 END AS l_partkey, 0 AS l_suppkey, 1 AS l_linenumber,
+        25.0::DOUBLE AS l_quantity, CASE WHEN i % 3 = 2 THEN 'A' ELSE 'N' END AS l_returnflag FROM range(300) AS x(i)""")
+    con.execute(f"COPY lineitem TO '{tmp_path}/lineitem.parquet'")
+    split = answers.split_valid
+    monkeypatch.setattr(answers, "split_valid", lambda df: given.append(df) or split(df))
+    found = sorted(map(tuple, entry.queries()["b4_validate_strict"](spark, str(tmp_path)).collect()))
+    assert found == sorted(con.execute(entry.oracle_sql()["b4_validate_strict"]).fetchall()) == [("co_p1", 100, 0), ("cte_p1", 100, 100)]
+    assert given[0].count() == 5
+
+
 def test_citations_are_shuffled_once_to_be_nested(spark):
     rows = spark.createDataFrame([(1, "p", 1, 0, "stroma", c) for c in (5, 0, 5)] + [(1, "p", 1, 1, "serration", 15)], "image_id long, prompt_id string, replicate int, item int, feature string, cell_idx int")
     out = evidence.nested(rows)

@@ -70,11 +70,11 @@ def key_order_histogram(df: DataFrame, payload: str) -> DataFrame:
     return df.groupBy(F.coalesce(F.array_join(key_order(F.col(payload)), ">"), F.lit("none")).alias("key_order")).agg(F.count("*").alias("n"))
 
 
-def _kind(v: Column, type_: str) -> Column:
-    """object, array, string, number, boolean, null or missing, by the value's type. Booleans are no numbers."""
+def _kind(type_: str) -> Column:
+    """object, array, string, number, boolean, null or missing, by a value's type. Booleans are no numbers."""
     t = F.col(type_)
     return (
-        F.when(v.isNull(), "missing").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string")
+        F.when(t.isNull(), "missing").when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "array").when(t == "STRING", "string")
         .when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").otherwise("number")
     )
 
@@ -83,54 +83,54 @@ def _get(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
+#: Read as this an object has its keys alone, in their order, and a value that is no object is null.
+_NAMES = "map<string,struct<>>"
+
+
 def validate(df: DataFrame, payload: str, protocol: Protocol, strict: bool = False) -> DataFrame:
     """df with parsed (label, confidence, evidence) and violations.
 
     Lenient: cells are trimmed and upper-cased, and split into valid and invalid; everything is recorded and no
     row goes. Strict: keys must be exactly the protocol's, and cells must be written as they are.
     """
-    cell_ok = lambda c: c.rlike("^[A-D][1-4]$")
-    clean = (lambda c: c) if strict else (lambda c: F.upper(F.trim(c)))
-    nothing = lambda kind: F.array().cast(f"array<{kind}>")
-
-    def stated_item(x):
-        cells = F.transform(F.coalesce(_get(x, "$.grid_cells", "array<string>"), nothing("string")), clean)
-        return F.struct(_get(x, "$.feature", "string").alias("feature"), cells.alias("cells"), _get(x, "$.description", "string").alias("description"))
+    cell_ok = lambda c: F.coalesce(c.rlike("^[A-D][1-4]$"), F.lit(False))
+    written = lambda x: F.coalesce(x["grid_cells"], F.array().cast("array<string>"))
+    cells = written if strict else (lambda x: F.transform(written(x), lambda c: F.upper(F.trim(c))))
+    bad = lambda x: F.filter(cells(x), lambda c: ~cell_ok(c))
 
     def item(x):
-        bad = F.filter(x["cells"], lambda c: ~F.coalesce(cell_ok(c), F.lit(False)))
-        return F.struct(x["feature"].alias("feature"), F.filter(x["cells"], cell_ok).alias("grid_cells_valid"), bad.alias("grid_cells_invalid"), x["description"].alias("description"))
+        return F.struct(x["feature"].alias("feature"), F.filter(cells(x), cell_ok).alias("grid_cells_valid"), bad(x).alias("grid_cells_invalid"), x["description"].alias("description"))
 
-    # a step a level, so that an answer is parsed, and each part of it read, once
-    v = F.col("_v")
+    # a step a level, so that an answer is parsed, and each part of it read, once. That the answer is an object and its evidence an
+    # array shows as they are read as such; the type of a value is worked out from all that is in it
+    v, array_of = F.col("_v"), "array<struct<feature:string,grid_cells:array<string>,description:string>>"
     df, columns = df.withColumn("_v", F.try_parse_json(payload)), df.columns
-    df = df.withColumns({"_conf_v": _get(v, "$.confidence", "variant"), "_items_v": _get(v, "$.evidence", "variant")})
-    df = df.withColumns({f"_{n}_type": F.schema_of_variant(c) for n, c in (("whole", "_v"), ("conf", "_conf_v"), ("items", "_items_v"))})
-    df = df.withColumns({"_kind": _kind(v, "_whole_type"), "_conf_kind": _kind(F.col("_conf_v"), "_conf_type"), "_items_kind": _kind(F.col("_items_v"), "_items_type")})
-    df = df.withColumns({"_label": _get(v, "$.label", "string"), "_conf": _get(v, "$.confidence", "double"), "_raw_items": F.coalesce(_get(v, "$.evidence", "array<variant>"), nothing("variant"))})
-    df = df.withColumn("_stated", F.transform("_raw_items", stated_item)).withColumn("_evidence", F.transform("_stated", item))
-    label, conf, evidence, kind, conf_kind, items_kind, raw_items = (F.col(f"_{c}") for c in ("label", "conf", "evidence", "kind", "conf_kind", "items_kind", "raw_items"))
-    parsed = F.when(kind == "object", F.struct(label.alias("label"), F.when(conf_kind == "number", conf).alias("confidence"), evidence.alias("evidence")))
+    df = df.withColumns({"_keys": F.map_keys(_get(v, "$", _NAMES)), "_conf_v": _get(v, "$.confidence", "variant"), "_items": _get(v, "$.evidence", array_of)})
+    items_type = F.when(F.col("_items").isNotNull(), "ARRAY").otherwise(F.schema_of_variant(_get(v, "$.evidence", "variant")))
+    df = df.withColumns({"_conf_type": F.schema_of_variant("_conf_v"), "_items_type": items_type, "_label": _get(v, "$.label", "string"), "_conf": _get(v, "$.confidence", "double")})
+    df = df.withColumns({"_conf_kind": _kind("_conf_type"), "_items_kind": _kind("_items_type"), "_items": F.coalesce("_items", F.array().cast(array_of))})
+    label, conf, conf_kind, items_kind, keys, items = (F.col(f"_{c}") for c in ("label", "conf", "conf_kind", "items_kind", "keys", "items"))
+    whole = keys.isNotNull()
+    parsed = F.when(whole, F.struct(label.alias("label"), F.when(conf_kind == "number", conf).alias("confidence"), F.transform(items, item).alias("evidence")))
     found = [
-        F.when(kind != "object", "answer is no object"),
-        F.when((kind == "object") & ~F.coalesce(label.isin(*protocol.labels), F.lit(False)), F.concat(F.lit("label "), F.coalesce(label, F.lit("missing")))),
-        F.when((kind == "object") & (conf_kind != "number"), F.concat(F.lit("confidence "), conf_kind)),
+        F.when(~whole, "answer is no object"),
+        F.when(whole & ~F.coalesce(label.isin(*protocol.labels), F.lit(False)), F.concat(F.lit("label "), F.coalesce(label, F.lit("missing")))),
+        F.when(whole & (conf_kind != "number"), F.concat(F.lit("confidence "), conf_kind)),
         F.when((conf_kind == "number") & ~conf.between(0.0, 1.0), "confidence out of range"),
-        F.when((kind == "object") & (items_kind != "array"), F.concat(F.lit("evidence "), items_kind)),
+        F.when(whole & (items_kind != "array"), F.concat(F.lit("evidence "), items_kind)),
     ]
-    per_item = F.flatten(F.transform(evidence, lambda x: F.array_compact(F.array(
+    per_item = F.flatten(F.transform(items, lambda x: F.array(
         F.when(~F.coalesce(x["feature"].isin(*protocol.features), F.lit(False)), F.concat(F.lit("feature "), F.coalesce(x["feature"], F.lit("missing")))),
-        F.when(F.size(x["grid_cells_invalid"]) > 0, F.concat(F.lit("cells "), F.array_join(x["grid_cells_invalid"], ","))),
-        F.when(F.size(x["grid_cells_valid"]) + F.size(x["grid_cells_invalid"]) == 0, F.lit("cells none")),
+        F.when(F.exists(cells(x), lambda c: ~cell_ok(c)), F.concat(F.lit("cells "), F.array_join(bad(x), ","))),
+        F.when(F.size(written(x)) == 0, F.lit("cells none")),
         F.when(F.trim(F.coalesce(x["description"], F.lit(""))) == "", F.lit("description blank")),
-    ))))
+    )))
     if strict:
-        keys = F.coalesce(F.sort_array(F.json_object_keys(payload)), F.array().cast("array<string>"))
-        found.append(F.when((kind == "object") & (keys != F.array(*[F.lit(k) for k in sorted(protocol.keys)])), F.concat(F.lit("keys "), F.array_join(keys, ","))))
-        item_keys = F.transform(raw_items, lambda x: F.sort_array(F.json_object_keys(F.to_json(x))))
-        wanted = F.array(*[F.lit(k) for k in sorted(protocol.item_keys)])
-        found.append(F.when(F.exists(item_keys, lambda k: ~F.coalesce(k == wanted, F.lit(False))), "item keys"))
-    return df.select(*columns, parsed.alias("parsed"), F.concat(F.array_compact(F.array(*found)), per_item).alias("violations"))
+        names = lambda allowed: F.array(*[F.lit(k) for k in sorted(allowed)])
+        found.append(F.when(F.sort_array(keys) != names(protocol.keys), F.concat(F.lit("keys "), F.array_join(F.sort_array(keys), ","))))
+        item_keys = _get(v, "$.evidence", f"array<{_NAMES}>")
+        found.append(F.when(F.exists(item_keys, lambda k: ~F.coalesce(F.map_keys(k) == names(protocol.item_keys), F.lit(False))), "item keys"))
+    return df.select(*columns, parsed.alias("parsed"), F.array_compact(F.concat(F.array(*found), per_item)).alias("violations"))
 
 
 def split_valid(validated: DataFrame) -> tuple[DataFrame, DataFrame]:

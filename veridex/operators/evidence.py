@@ -49,11 +49,12 @@ def evidence_items(responses: DataFrame, features: list[str], evidence: str = "e
 
 def nested(citations: DataFrame, keys: list[str] = RESPONSE) -> DataFrame:
     """Citations as responses with nested evidence, for operators that read answers. Citations are shuffled once, by response."""
-    cited = citations.select(*keys, F.struct("item", "feature", "cell_idx").alias("_c")).repartition(*keys)
-    each = cited.groupBy(*keys).agg(F.array_sort(F.collect_list("_c")).alias("_c"))
+    cited = citations.select(*keys, "item", "feature", "cell_idx").repartition(*keys).select(*keys, F.struct("item", "feature", "cell_idx", cell_name("cell_idx").alias("cell")).alias("_c"))
+    each = cited.groupBy(*keys).agg(F.sort_array(F.collect_list("_c")).alias("_c"))
     named = lambda x: F.struct(x["item"].alias("item"), x["feature"].alias("feature"))
-    cells = lambda i: F.transform(F.filter("_c", lambda x: named(x).eqNullSafe(i)), lambda x: cell_name(x["cell_idx"]))
-    item = lambda i: F.struct(i["item"].alias("item"), i["feature"].alias("feature"), F.filter(cells(i), F.isnotnull).alias("grid_cells_valid"), F.concat_ws(" ", F.lit("seen in"), i["feature"]).alias("description"))
+    within = lambda x, i: x["item"].eqNullSafe(i["item"]) & x["feature"].eqNullSafe(i["feature"]) & x["cell"].isNotNull()
+    cells = lambda i: F.transform(F.filter("_c", lambda x: within(x, i)), lambda x: x["cell"])
+    item = lambda i: F.struct(i["item"].alias("item"), i["feature"].alias("feature"), cells(i).alias("grid_cells_valid"), F.concat_ws(" ", F.lit("seen in"), i["feature"]).alias("description"))
     return each.select(*keys, F.transform(F.array_distinct(F.transform("_c", named)), item).alias("evidence"))
 
 

@@ -190,9 +190,12 @@ def _(t: Tables):
 
 @query("b4_validate_strict", f"SELECT prompt_id, count(*) FILTER (label_pred IS NOT NULL) AS good, count(*) FILTER (label_pred IS NULL) AS quarantined FROM {_BY_RESPONSE} GROUP BY 1", ("responses",))
 def _(t: Tables):
-    good, bad = A.split_valid(A.validate(_raw(t), "raw", A.Protocol(), strict=True).select("prompt_id", "violations"))
-    tagged = good.select("prompt_id", F.lit(True).alias("g")).unionByName(bad.select("prompt_id", F.lit(False).alias("g")))
-    return tagged.groupBy("prompt_id").agg(F.count_if("g").alias("good"), F.count_if(~F.col("g")).alias("quarantined"))
+    """An answer's violations depend on its text alone, so equal answers are validated as one, with their number."""
+    answers = _raw(t).groupBy("prompt_id", "raw").agg(F.count("*").alias("n"))
+    good, bad = A.split_valid(A.validate(answers, "raw", A.Protocol(), strict=True).select("prompt_id", "n", "violations"))
+    tagged = good.select("prompt_id", "n", F.lit(True).alias("g")).unionByName(bad.select("prompt_id", "n", F.lit(False).alias("g")))
+    number = lambda which: F.coalesce(F.sum(F.when(which, F.col("n"))), F.lit(0))
+    return tagged.groupBy("prompt_id").agg(number(F.col("g")).alias("good"), number(~F.col("g")).alias("quarantined"))
 
 
 @query("b6_protocol", "SELECT feature, count(*) AS n FROM citations WHERE feature IN ('serration', 'stroma') GROUP BY 1", ("citations",))
