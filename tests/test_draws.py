@@ -1,12 +1,17 @@
 """Exact draws against their laws, and nulls and bootstraps of any size."""
 
+import hashlib
+import math
 from math import comb, sqrt
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from veridex.functions import draws
+import __spark_entry__ as entry
+from veridex.functions import digests, draws
 from veridex.operators import metrics, nulls
 
 
@@ -126,3 +131,52 @@ def test_dealing_to_many_items_is_bounded_and_follows_its_law():
         assert abs(np.mean(found) - np.mean(plain)) < 5 * np.std(plain) / np.sqrt(600) and abs(np.std(found) / np.std(plain) - 1) < 0.15
     many = nulls._Deal(np.full(1 << 16, 10**6), empty * (1 << 16), 5, 1 << 18, 1 << 14)
     assert many.root.work < 17 * (1 << 17) and many.root.work < np.count_nonzero(empty) * (1 << 16) / 3
+
+
+def test_digests_of_many_texts_equal_md5():
+    rng = np.random.default_rng(2)
+    texts = ["", "|", "é" * 30, *("|" + "x" * int(n) + str(i) for i, n in enumerate(rng.integers(0, 150, 200)))]
+    for prefixes in ([b"42|0", b"42|7"], [b"7|10"], [b"42|999", b"42|100"], [b"-1234567|55"]):
+        found = digests.Texts(pa.array(["cut off", *texts]).slice(1), len(prefixes[0])).heads(prefixes)
+        assert found.tolist() == [[int(hashlib.md5(p + t.encode()).hexdigest()[:8], 16) for t in texts] for p in prefixes]
+
+
+def plain_poisson_auc(rows: list[tuple], replicates: int, seed: int) -> list[float]:
+    """Interval of (key, score, positive), a draw and a pair at a time; NaN is above all."""
+    limits, values = [sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(6)], []
+    for b in range(replicates):
+        draws = [int(hashlib.md5("|".join([str(seed), str(b)] + [k] * (k is not None)).encode()).hexdigest()[:8], 16) / 2**32 for k, _, _ in rows]
+        w = [(sum(u >= x for x in limits), (s != s, s), bool(t)) for u, (_, s, t) in zip(draws, rows, strict=True) if s is not None]
+        w = [(n, (1, 0.0) if s[0] else s, t) for n, s, t in w]
+        pairs = [(m * n, (s > r) + (s == r) / 2) for m, s, t in w if t for n, r, f in w if not f]
+        if total := sum(n for n, _ in pairs):
+            values.append(sum(n * x for n, x in pairs) / total)
+    return [*np.percentile(values, [2.5, 97.5]), len(values)]
+
+
+@pytest.mark.parametrize("kind", ["all different", "few", "odd"])
+def test_auc_under_poisson_weights_equals_a_plain_one(spark, monkeypatch, kind):
+    monkeypatch.setattr(metrics, "DRAWN_ROWS", 7)
+    rng, nan = np.random.default_rng(4), float("nan")
+    scores = {"all different": rng.random(60).tolist(), "few": rng.choice([0.25, 0.5], 60).tolist(), "odd": [0.0, -0.0, nan, None, nan, 1e300, -1e300, 2.0] * 8}[kind]
+    rows = [(None if i % 11 == 5 else f"{i % 40}|x", s, [True, False, None][i % 3]) for i, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "row_key string, s double, t boolean").repartition(3)
+    found = metrics.bootstrap_auc(df, "s", F.col("t"), 12, 9).first()
+    assert np.allclose(found, plain_poisson_auc(rows, 12, 9), rtol=1e-12, atol=0)
+
+
+def test_weights_with_a_hash_are_drawn_for_a_thousand_replicates(spark, tmp_path):
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE lineitem AS SELECT i // 3 AS l_orderkey, i * 7 % 50 AS l_partkey, i % 10 AS l_suppkey, (i % 3)::INT AS l_linenumber, (i * 37 % 50)::DOUBLE AS l_quantity,
+        CASE WHEN i % 2 = 0 THEN 'A' ELSE 'N' END AS l_returnflag FROM range(150) AS x(i)""")
+    con.execute("CREATE TABLE orders AS SELECT i AS o_orderkey, i * 5 % 8 AS o_custkey FROM range(50) AS x(i)")
+    for name in ("lineitem", "orders"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    found = tuple(entry.queries()["h1_bootstrap_auc"](spark, str(tmp_path)).first())
+    assert found[2] == 1000 and found == con.execute(entry.oracle_sql()["h1_bootstrap_auc"]).fetchone()
+
+
+def test_rows_are_not_repeated_to_be_drawn(spark):
+    rows = spark.createDataFrame([(str(i), float(i % 7), i % 3 == 0) for i in range(50)], "row_key string, s double, t boolean")
+    found = metrics.bootstrap_auc(rows, "s", F.col("t"), 1000)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in found and "explode" not in found

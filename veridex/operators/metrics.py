@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import incomplete_beta, share, u
+from ..functions.columns import incomplete_beta, share
+from ..functions.digests import Texts
 from ..functions.draws import binomial, generator, share_of
 from ..sources.shared import fresh_folder
 from .ranks import with_ahead
@@ -121,17 +124,109 @@ def confidence_audit(runs: DataFrame, truth: DataFrame, threshold: float = 0.1,
     return out.select(*by, "n", F.when(usable, F.col("ece")).alias("ece"), usable.alias("usable"), (usable & (F.col("ece") <= threshold)).alias("calibrated"))
 
 
+#: Least draws (of 32 bits) at which a row has the weights 1, 2, ... under Poisson(1).
+POISSON = [math.ceil(x * 2**32) for x in (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)]
+#: Rows and replicates that are drawn at once.
+DRAWN_ROWS, DRAWN_REPLICATES = 512, 64
+
+
+def poisson_weights(keys: pa.Array, seed: int, replicates: int) -> np.ndarray:
+    """Weights of rows (columns) in replicates (rows), as columns.u draws them from (seed, replicate, key) for keys after a "|"."""
+    out, starts = np.zeros((replicates, len(keys)), dtype=np.uint8), [f"{seed}|{b}".encode() for b in range(replicates)]
+    for room in sorted({len(x) for x in starts}):
+        texts, which = Texts(keys, room), [b for b in range(replicates) if len(starts[b]) == room]
+        for i in range(0, len(which), DRAWN_REPLICATES):
+            some = which[i : i + DRAWN_REPLICATES]
+            heads = texts.heads([starts[b] for b in some])
+            for x in POISSON:
+                out[some[0] : some[-1] + 1] += heads >= x
+    return out
+
+
+def _changes(s: pa.Array) -> np.ndarray:
+    """Where the values of a sorted array begin."""
+    other = pc.not_equal(s.slice(1), s.slice(0, len(s) - 1)).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(s.type):
+        nan = np.isnan(s.to_numpy(zero_copy_only=False))
+        other = other & ~(nan[1:] & nan[:-1])
+    return np.r_[0, np.flatnonzero(other) + 1]
+
+
+class _Wins:
+    """Counts and wins of rows by score, of sorted blocks of rows.
+
+    The first and the last score may go on in other tasks, so their counts are given as they are; of those between a task knows all rows.
+    """
+
+    def __init__(self, replicates: int):
+        self.ends, self.middle = [], None  # (score, positives, negatives)
+        self.p, self.q, self.wins = (np.zeros(replicates, dtype=np.int64) for _ in range(3))
+
+    def add(self, scores: list, p: np.ndarray, q: np.ndarray) -> None:
+        """Rising scores, with weights of positives and negatives (replicates x scores)."""
+        if self.ends and (scores[0] == self.ends[-1][0] or (scores[0] != scores[0] and self.ends[-1][0] != self.ends[-1][0])):
+            s, p0, q0 = self.ends.pop()
+            p[:, 0] += p0
+            q[:, 0] += q0
+            scores = [s, *scores[1:]]
+        if not self.ends:
+            self.ends.append((scores[0], p[:, 0].copy(), q[:, 0].copy()))
+            scores, p, q = scores[1:], p[:, 1:], q[:, 1:]
+        elif len(self.ends) == 2:
+            s, p0, q0 = self.ends.pop()
+            scores, p, q = [s, *scores], np.c_[p0, p], np.c_[q0, q]
+        if not scores:
+            return
+        self.ends.append((scores[-1], p[:, -1].copy(), q[:, -1].copy()))
+        if len(scores) > 1:
+            self.middle = scores[0] if self.middle is None else self.middle
+            p, q = p[:, :-1], q[:, :-1]
+            ahead = np.cumsum(q, axis=1) - q + self.q[:, None]
+            self.wins += (p * (2 * ahead + q)).sum(axis=1)
+            self.p += p.sum(axis=1)
+            self.q += q.sum(axis=1)
+
+    def rows(self, kind: pa.DataType):
+        """(b, s, p, q, more): wins are p * (negatives before + q / 2) + more."""
+        inner = [(self.middle, self.p, self.q, (self.wins - self.p * self.q) / 2)] if self.middle is not None else []
+        for s, p, q, more in [*((s, p, q, np.zeros(len(p))) for s, p, q in self.ends), *inner]:
+            b = np.flatnonzero(p + q)
+            yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array([s] * len(b), type=kind), *(pa.array(x[b]) for x in (p, q, more))], names=["b", "s", "p", "q", "more"])
+
+
 def bootstrap_auc(df: DataFrame, score: str, positive: Column, replicates: int, seed: int = 42, ci: float = 0.95, row_key: str = "row_key") -> DataFrame:
     """Percentile interval of the AUC under the Poisson bootstrap, whose weights seed, replicate and row decide.
 
-    A row's weight in a replicate is Poisson(1); this differs from drawing n rows by O(1 / sqrt n).
+    A row's weight in a replicate is Poisson(1); this differs from drawing n rows by O(1 / sqrt n). Rows are dealt out by ranges of score
+    and key; a task draws its rows' weights by blocks, for all replicates, and gives three rows a replicate: its first and last score,
+    which it may share, and what lies between. So rows are never repeated, and no task holds more than a block of them.
     """
-    limits = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-    each = df.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    # the draw is a column of its own, and no filter goes by it: either way Spark would work it out once a limit
-    weight = sum(((F.col("_draw") >= x).cast("long") for x in limits), F.lit(0).cast("long"))
-    drawn = each.withColumn("_draw", u(seed, "b", row_key)).withColumn("w", weight)
-    values = roc_auc(drawn, score, positive, by=["b"], weight=F.col("w"))
+    rows = df.where(F.col(score).isNotNull()).select(F.col(score).alias("s"), F.coalesce(positive, F.lit(False)).alias("t"), F.concat_ws("|", F.lit(""), F.col(row_key).cast("string")).alias("key"))
+    if isinstance(rows.schema["s"].dataType, T.FractionalType) and not isinstance(rows.schema["s"].dataType, T.DecimalType):
+        rows = rows.withColumn("s", F.col("s") + F.lit(0.0).cast(rows.schema["s"].dataType))  # -0.0 is 0.0
+    spark = df.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+    def drawn_by_md5(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wins, kind = _Wins(replicates), None
+        for batch in batches:
+            for i in range(0, batch.num_rows, DRAWN_ROWS):
+                s, t, key = batch.slice(i, DRAWN_ROWS).columns
+                kind, keys, at = s.type, pc.dictionary_encode(key), _changes(s)
+                w = poisson_weights(keys.dictionary, seed, replicates)
+                w = w if len(keys.dictionary) == len(key) else w[:, keys.indices.to_numpy()]
+                both, p = (np.add.reduceat(x, at, axis=1, dtype=np.int64) for x in (w, w * t.to_numpy(zero_copy_only=False)))
+                wins.add(s.take(pa.array(at)).to_pylist(), p, both - p)
+        if kind is not None:
+            yield from wins.rows(kind)
+
+    schema = T.StructType([T.StructField("b", T.IntegerType()), rows.schema["s"], *(T.StructField(c, T.LongType()) for c in "pq"), T.StructField("more", T.DoubleType())])
+    drawn = rows.repartitionByRange(tasks, "s", "key").sortWithinPartitions("s", "key").mapInArrow(drawn_by_md5, schema)
+    each = drawn.groupBy("b", "s").agg(*(F.sum(c).alias(c) for c in ("p", "q", "more")))
+    # of each replicate at most three rows a task
+    below = F.coalesce(F.sum("q").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pairs, wins = F.sum("p") * F.sum("q"), F.sum(F.col("p") * (F.col("below") + F.col("q") / F.lit(2.0)) + F.col("more"))
+    values = each.withColumn("below", below).groupBy("b").agg(F.when(pairs > 0, wins / pairs).alias("auc"))
     low, high = (1 - ci) / 2, (1 + ci) / 2
     return values.agg(F.percentile("auc", low).alias("ci_low"), F.percentile("auc", high).alias("ci_high"), F.count("auc").alias("replicates"))
 

@@ -26,14 +26,14 @@ def image_masks(t: Tables):
 
 @query("h1_bootstrap_auc", f"""
     WITH r AS (SELECT *, image_id || '|' || replicate || '|' || prompt_id || '|' || seq AS row_key FROM ({JUDGED})),
-    d AS (SELECT b, confidence AS s, label, {_POISSON.format(u=u_sql(42, 'b', 'row_key'))} AS w FROM r, range(5) AS x(b)),
+    d AS (SELECT b, confidence AS s, label, {_POISSON.format(u=u_sql(42, 'b', 'row_key'))} AS w FROM r, range(1000) AS x(b)),
     c AS (SELECT b, s, sum(CASE WHEN label = 'SSA' THEN w ELSE 0 END) AS p, sum(CASE WHEN label = 'SSA' THEN 0 ELSE w END) AS q FROM d WHERE w > 0 GROUP BY ALL),
     z AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY b ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM c),
     a AS (SELECT b, CASE WHEN sum(p) * sum(q) > 0 THEN sum(p * (below + q / 2.0::DOUBLE))::DOUBLE / (sum(p) * sum(q))::DOUBLE END AS auc FROM z GROUP BY 1)
     SELECT quantile_cont(auc, 0.025) AS ci_low, quantile_cont(auc, 0.975) AS ci_high, count(auc) AS replicates FROM a""", RA, ("ci_low", "ci_high"))
 def _(t: Tables):
     rows = judged(t).withColumn("row_key", F.concat_ws("|", *[F.col(c).cast("string") for c in ("image_id", "replicate", "prompt_id", "seq")]))
-    return M.bootstrap_auc(rows, "confidence", F.col("label") == "SSA", 5)
+    return M.bootstrap_auc(rows, "confidence", F.col("label") == "SSA", 1000)
 
 
 @query("h1_bootstrap_ci")
